@@ -169,11 +169,11 @@ def dedup_first_salted(df: DataFrame, key="headline", order=("paper", "date_raw"
     # min(struct) orders NULLs first; rank NULLs last like dedup_first.
     order_key = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))],
                          *[F.col(c) for c in rest if c not in order])
-    packed = df.select(*keys, order_key.alias("_o"), F.struct(*rest).alias("_r"))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salt_buckets))
-    lvl1 = packed.groupBy(*keys, salt.alias("_s")).agg(F.min(F.struct("_o", "_r")).alias("_m"))
+    packed = df.select(*keys, salt.alias("_s"), order_key.alias("_o"), F.struct(*rest).alias("_r"))
+    lvl1 = packed.groupBy(*keys, "_s").agg(F.min(F.struct("_o", "_r")).alias("_m"))
     lvl2 = lvl1.groupBy(*keys).agg(F.min("_m").alias("_m"))
-    return lvl2.select(*keys, "_m._r.*").select(*df.columns)
+    return lvl2.select(*keys, *[F.col("_m._r").getField(c).alias(c) for c in rest]).select(*df.columns)
 
 
 def top_k_per_group(df: DataFrame, by, order, k: int = 5) -> DataFrame:
