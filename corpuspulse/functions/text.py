@@ -73,7 +73,7 @@ def decode_obfuscated(c) -> Column:
 def text_after(c, marker: str = "vom") -> Column:
     """The text after ``marker`` only when the text has exactly two parts."""
     parts = F.split(_c(c), marker)
-    return F.when(F.size(parts) == 2, F.trim(F.element_at(parts, 2)))
+    return F.when(F.size(parts) == 2, F.regexp_replace(F.element_at(parts, 2), r"^\s+|\s+$", ""))
 
 
 def is_shouting(c) -> Column:
@@ -146,7 +146,9 @@ def paragraphs(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFra
     pieces = F.flatten(F.transform(
         F.split(F.col(text), "\n\n"),
         lambda p: F.flatten(F.transform(F.split(p, r"\. "), lambda q: F.split(q, r"\d+ \n")))))
-    kept = F.filter(pieces, lambda p: (F.length(F.trim(p)) > 0)
-                    & ~F.regexp_like(F.regexp_replace(F.trim(p), " ", ""), F.lit(r"^\d+$")))
+    def stripped(p):
+        return F.regexp_replace(p, r"^\s+|\s+$", "")
+    kept = F.filter(pieces, lambda p: (F.length(stripped(p)) > 0)
+                    & ~F.regexp_like(F.regexp_replace(stripped(p), " ", ""), F.lit(r"\A\d+\z")))
     cleaned = F.transform(kept, lambda p: F.regexp_replace(p, r"[\n-]", ""))
     return docs.select(*keep, F.posexplode(cleaned).alias("pos", "paragraph"))

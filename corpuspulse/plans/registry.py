@@ -51,3 +51,32 @@ HEADS = """heads AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+KW = """kw AS (
+  SELECT * FROM (VALUES ('conj', 0, 'and of'), ('conj', 1, 'that'), ('conj', 2, 'the'),
+                        ('article', 0, 'the'), ('article', 1, 'an'),
+                        ('pron', 0, 'this'), ('pron', 1, 'it is'), ('pron', 2, 'with')) AS t(topic, pos, keyword))"""
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_list(items) -> str:
+    return "[" + ", ".join(sql_str(x) for x in items) + "]"
+
+
+def sql_tokens(expr: str) -> str:
+    """Whitespace tokens without empty strings (as ``functions.text.tokens``)."""
+    return f"list_filter(regexp_split_to_array(trim({expr}), '\\s+'), lambda t: length(t) > 0)"
+
+
+def sql_clean_en(col: str, stop=()) -> str:
+    """SQL form of ``functions.text.clean_en`` (no lemma table)."""
+    from corpuspulse.functions.text import ASCII_PUNCTUATION
+    s = f"regexp_replace(translate(lower({col}), {sql_str(ASCII_PUNCTUATION)}, ''), '[^a-zA-Z\\s]', '', 'g')"
+    toks = sql_tokens(s)
+    if stop:
+        toks = f"list_filter({toks}, lambda t: NOT list_contains({sql_list(stop)}, t))"
+    return f"array_to_string({toks}, ' ')"

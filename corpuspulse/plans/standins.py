@@ -117,3 +117,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return driver_table(spark, sf_dir, "conversations")
+
+
+# Fixed parameter lists for the cleaners (a caller supplies real stop/lemma tables).
+STOP_EN = ["a", "is", "of", "to", "in", "it"]
+STOP_DE = ["der", "die", "und", "das"]
+LEMMAS = {"ere": "er", "ings": "ing", "ed": "e"}
+TOPIC_ALIAS = [("view", "views"), ("click", "clicks")]
+
+
+def topic_alias(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TOPIC_ALIAS, "raw string, topic string")
