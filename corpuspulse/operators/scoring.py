@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions.scores import label_score
 from corpuspulse.functions.text import clean_en, paragraphs, tokens
-from corpuspulse.operators.topics import match_topics, prepare_keywords, segment
+from corpuspulse.operators.topics import prepare_keywords, topic_segments
 
 # Fixed values of the VADER-style scorer.
 ALPHA = 15.0
@@ -25,6 +25,7 @@ NEGATION_SCALAR = -0.74
 BOOST_DECAY = [1.0, 0.95, 0.9]
 LABEL_THRESHOLD = 0.05
 LEXICON_BROADCAST_LIMIT = 1_000_000
+LEXICON_MAP_LIMIT = 100_000
 
 
 def _boost_map(boosters) -> Column | None:
@@ -38,13 +39,69 @@ def _boost_map(boosters) -> Column | None:
     return F.create_map(*[F.lit(x) for kv in items for x in kv])
 
 
+def lexicon_map(lexicon: DataFrame, limit: int = LEXICON_MAP_LIMIT) -> Column | None:
+    """The lexicon as a literal ``map<string,double>`` when it has at most ``limit`` rows.
+
+    Read once with a bounded scan; ``None`` when larger (callers then join).
+    """
+    rows = lexicon.select("token", F.col("valence").cast("double")).limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    if not rows:
+        return F.create_map().cast("map<string,double>")
+    merged = {}
+    for tok, val in rows:
+        merged[tok] = val
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in merged]),
+                             F.array(*[F.lit(v).cast("double") for v in merged.values()]))
+
+
+def _adjusted(v: Column, p1: Column, p2: Column, p3: Column, boosters, negators) -> Column:
+    """Booster and negation rules on one lexicon hit ``v`` given its three preceding tokens."""
+    bm = _boost_map(boosters)
+    if bm is not None:
+        adj = v
+        for j, p in enumerate([p1, p2, p3]):
+            b = F.coalesce(F.try_element_at(bm, p), F.lit(0.0))
+            adj = adj + b * F.signum(v) * F.lit(BOOST_DECAY[j])
+        v = adj
+    if negators:
+        neg = F.array(*[F.lit(w) for w in negators])
+        negated = (F.array_contains(neg, F.coalesce(p1, F.lit(""))) | F.array_contains(neg, F.coalesce(p2, F.lit("")))
+                   | F.array_contains(neg, F.coalesce(p3, F.lit(""))))
+        v = F.when(negated, v * F.lit(NEGATION_SCALAR)).otherwise(v)
+    return v
+
+
+def _normalise(s: Column) -> Column:
+    s = F.coalesce(s, F.lit(0.0))
+    return s / F.sqrt(s * s + F.lit(ALPHA))
+
+
+def compound_column(text, lex_map: Column, boosters=(), negators=()) -> Column:
+    """M7 as one expression: tokens -> map lookup -> rules -> sum -> normalise (no shuffle)."""
+    toks = tokens(F.col(text) if isinstance(text, str) else text)
+    vals = F.transform(toks, lambda t, i: F.coalesce(_adjusted(
+        F.try_element_at(lex_map, t), F.get(toks, i - 1), F.get(toks, i - 2), F.get(toks, i - 3),
+        boosters, negators), F.lit(0.0)))
+    return _normalise(F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x))
+
+
 def lexicon_compound(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     boosters=(), negators=(), out: str = "compound") -> DataFrame:
+                     boosters=(), negators=(), out: str = "compound", strategy: str | None = None) -> DataFrame:
     """M7: whole-text polarity in [-1, 1] for every text (empty text -> 0).
 
     ``lexicon(token, valence)`` is an input table; ``boosters`` a list of
     ``(token, boost)``; ``negators`` a list of tokens.  Returns ``(id, out)``.
+
+    ``strategy='map'`` (default when the lexicon has at most
+    ``LEXICON_MAP_LIMIT`` entries) evaluates everything inside the scan
+    stage; ``'join'`` explodes tokens, joins the lexicon (broadcast when its
+    bounded count allows) and sums per text with a partial aggregate.
     """
+    lex_map = lexicon_map(lexicon) if strategy in (None, "map") else None
+    if lex_map is not None:
+        return texts.select(id_col, compound_column(text_col, lex_map, boosters, negators).alias(out))
     toks = tokens(F.col(text_col))
     entries = F.transform(toks, lambda t, i: F.struct(
         t.alias("token"), F.get(toks, i - 1).alias("p1"), F.get(toks, i - 2).alias("p2"),
@@ -54,24 +111,9 @@ def lexicon_compound(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id
     lex = lexicon.select("token", F.col("valence").cast("double").alias("valence"))
     lex = F.broadcast(lex) if n_lex <= LEXICON_BROADCAST_LIMIT else lex
     hit = exploded.join(lex, "token")
-    v = F.col("valence")
-    bm = _boost_map(boosters)
-    if bm is not None:
-        adj = v
-        for j, p in enumerate(["p1", "p2", "p3"]):
-            b = F.coalesce(F.try_element_at(bm, F.col(p)), F.lit(0.0))
-            adj = adj + b * F.signum(v) * F.lit(BOOST_DECAY[j])
-        v = adj
-    if negators:
-        neg = F.array(*[F.lit(w) for w in negators])
-        negated = (F.array_contains(neg, F.coalesce(F.col("p1"), F.lit("")))
-                   | F.array_contains(neg, F.coalesce(F.col("p2"), F.lit("")))
-                   | F.array_contains(neg, F.coalesce(F.col("p3"), F.lit(""))))
-        v = F.when(negated, v * F.lit(NEGATION_SCALAR)).otherwise(v)
+    v = _adjusted(F.col("valence"), F.col("p1"), F.col("p2"), F.col("p3"), boosters, negators)
     sums = hit.groupBy(id_col).agg(F.sum(v).alias("_s"))
-    s = F.coalesce(F.col("_s"), F.lit(0.0))
-    comp = s / F.sqrt(s * s + F.lit(ALPHA))
-    return texts.select(id_col).join(sums, id_col, "left").select(id_col, comp.alias(out))
+    return texts.select(id_col).join(sums, id_col, "left").select(id_col, _normalise(F.col("_s")).alias(out))
 
 
 def compound_label(c) -> tuple[Column, Column]:
@@ -82,25 +124,33 @@ def compound_label(c) -> tuple[Column, Column]:
     return label, F.abs(c)
 
 
+def _context(window: int) -> Column:
+    left = tokens(F.col("left"))
+    right = tokens(F.col("right"))
+    return F.array_join(F.concat(F.slice(left, F.greatest(F.size(left) - window + 1, F.lit(1)), window),
+                                 F.slice(right, 1, window)), " ")
+
+
 def target_sentiment(segments: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", window: int = 3,
-                     boosters=(), negators=()) -> DataFrame:
+                     boosters=(), negators=(), keep=(), strategy: str | None = None) -> DataFrame:
     """M9 (+P9, A13): score of each (left, target, right) triple.
 
     Default scorer: lexicon compound over the ``window`` tokens on each side
     of the target, turned into (label, p) and then into +p / 0 / -p.  One
     triple per (text, topic), so the target mean (A13) is the score itself.
-    Output ``(id, topic, score)``.
+    Output ``(id, *keep, topic, score)``.
     """
-    left = tokens(F.col("left"))
-    right = tokens(F.col("right"))
-    ctx = F.array_join(F.concat(F.slice(left, F.greatest(F.size(left) - window + 1, F.lit(1)), window),
-                                F.slice(right, 1, window)), " ")
+    ctx = _context(window)
+    lex_map = lexicon_map(lexicon) if strategy in (None, "map") else None
+    if lex_map is not None:
+        label, p = compound_label(compound_column(ctx, lex_map, boosters, negators))
+        return segments.select(id_col, *keep, "topic", label_score(label, p).alias("score"))
     keyed = segments.select(F.concat_ws("\u0001", F.col(id_col).cast("string"), "topic").alias("_k"),
-                            id_col, "topic", ctx.alias("_ctx"))
-    comp = lexicon_compound(keyed.select("_k", "_ctx"), lexicon, "_k", "_ctx", boosters, negators)
+                            id_col, *keep, "topic", ctx.alias("_ctx"))
+    comp = lexicon_compound(keyed.select("_k", "_ctx"), lexicon, "_k", "_ctx", boosters, negators, strategy="join")
     label, p = compound_label("compound")
-    return (keyed.select("_k", id_col, "topic").join(comp, "_k")
-            .select(id_col, "topic", label_score(label, p).alias("score")))
+    return (keyed.select("_k", id_col, *keep, "topic").join(comp, "_k")
+            .select(id_col, *keep, "topic", label_score(label, p).alias("score")))
 
 
 def infer_targets(segments: DataFrame, scorer: Callable, id_col: str = "doc_id") -> DataFrame:
@@ -144,13 +194,17 @@ def score_headlines(heads: DataFrame, keywords: DataFrame, lexicon: DataFrame, i
         src = batch_infer(src, ["_raw"], translate, "_en string").drop("_raw").withColumnRenamed("_en", "_raw")
     clean = src.select(id_col, *keys, clean_en(F.col("_raw"), stop_words, lemmas).alias("_txt"))
     kw = prepare_keywords(keywords, mode, stop_words, lemmas)
-    hits = match_topics(clean, kw, id_col, "_txt")
-    segs = segment(clean, hits, id_col, "_txt", mode)
-    topic_scores = target_sentiment(segs, lexicon, id_col, boosters=boosters, negators=negators)
-    whole = lexicon_compound(clean, lexicon, id_col, "_txt", boosters, negators, out="score") \
-        .withColumn("topic", F.lit("whole"))
-    both = topic_scores.unionByName(whole.select(id_col, "topic", "score"))
-    return clean.select(id_col, *keys).join(both, id_col).select(id_col, *keys, "topic", "score")
+    segs = topic_segments(clean, kw, id_col, "_txt", mode, keep=keys)
+    topic_scores = target_sentiment(segs, lexicon, id_col, boosters=boosters, negators=negators, keep=keys)
+    lex_map = lexicon_map(lexicon)
+    if lex_map is not None:
+        whole = clean.select(id_col, *keys, F.lit("whole").alias("topic"),
+                             compound_column("_txt", lex_map, boosters, negators).alias("score"))
+    else:
+        whole = (clean.select(id_col, *keys)
+                 .join(lexicon_compound(clean, lexicon, id_col, "_txt", boosters, negators, out="score"), id_col)
+                 .withColumn("topic", F.lit("whole")))
+    return topic_scores.unionByName(whole.select(id_col, *keys, "topic", "score"))
 
 
 def programme_scores(par_scores: DataFrame, parties: DataFrame, topics: list[str],
@@ -190,8 +244,6 @@ def score_documents(docs: DataFrame, keywords: DataFrame, lexicon: DataFrame, id
             .withColumnRenamed("_en", "paragraph")
     clean = par.select("_pid", party_col, clean_en(F.col("paragraph"), stop_words, lemmas).alias("_txt"))
     kw = prepare_keywords(keywords, mode, stop_words, lemmas)
-    hits = match_topics(clean, kw, "_pid", "_txt")
-    segs = segment(clean, hits, "_pid", "_txt", mode)
-    ts = target_sentiment(segs, lexicon, "_pid", boosters=boosters, negators=negators)
-    scored = ts.join(clean.select("_pid", party_col), "_pid")
+    segs = topic_segments(clean, kw, "_pid", "_txt", mode, keep=(party_col,))
+    scored = target_sentiment(segs, lexicon, "_pid", boosters=boosters, negators=negators, keep=(party_col,))
     return programme_scores(scored, docs.select(party_col), taxonomy_topics(keywords), party_col)

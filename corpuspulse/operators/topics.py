@@ -7,8 +7,13 @@ phrase with the lowest ``pos`` wins.
 Physical strategy, chosen by the size of the keyword table (checked with a
 bounded count, never assumed):
 
-* up to ``broadcast_limit`` phrases: broadcast nested-loop join with a
-  ``contains`` predicate - JVM only, no shuffle of the text side;
+* up to ``broadcast_limit`` phrases (default ``strategy='array'``): the
+  phrase list is embedded once in the plan as an array of structs sorted by
+  (topic, pos); each text row filters it with ``contains`` and keeps the
+  first hit of each topic run - a narrow projection with no join and no
+  shuffle, so matching and segmentation stay in the scan stage;
+* ``strategy='join'``: broadcast nested-loop join with a ``contains``
+  predicate and a (id, topic) ``min_by`` aggregate (shuffles the hits);
 * above it: an Aho-Corasick automaton built once per Python worker from the
   broadcast phrase list, run with ``mapInPandas`` (linear in the text
   length, independent of the number of phrases);
@@ -63,13 +68,38 @@ def match_topics(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id",
         return _first_hit(_ngram_join(t, keywords, id_col), id_col)
     if strategy is None:
         n = _bounded_count(keywords, broadcast_limit)
-        strategy = "broadcast" if n <= broadcast_limit else "automaton"
-    if strategy == "broadcast":
+        strategy = "array" if n <= broadcast_limit else "automaton"
+    if strategy == "array":
+        first = first_hits(F.col("_h"), keyword_array(keywords, broadcast_limit))
+        return t.select(id_col, F.explode(first).alias("k")).select(
+            id_col, "k.topic", "k.pos", "k.keyword")
+    if strategy == "join":
         pairs = t.join(F.broadcast(keywords), F.col("_h").contains(F.col("keyword")))
         return _first_hit(pairs.select(id_col, "topic", "pos", "keyword"), id_col)
     return _first_hit(_automaton_join(t, keywords, id_col), id_col)
 
 
+def keyword_array(keywords: DataFrame, limit: int = BROADCAST_LIMIT) -> Column:
+    """The phrase table as one literal ``array<struct<topic,pos,keyword>>`` sorted by (topic, pos).
+
+    The table is read once (bounded: more than ``limit`` rows raises), like a
+    broadcast but shipped inside the plan.
+    """
+    rows = keywords.select("topic", "pos", "keyword").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} phrases; use strategy='automaton'")
+    rows = sorted((r[0], r[1], r[2]) for r in rows)
+    return F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(p).cast("int").alias("pos"),
+                              F.lit(k).alias("keyword")) for t, p, k in rows]) if rows else \
+        F.array().cast("array<struct<topic:string,pos:int,keyword:string>>")
+
+
+def first_hits(h: Column, kw_array: Column) -> Column:
+    """Per text: the lowest-``pos`` phrase of each topic that occurs in ``h``."""
+    hits = F.filter(kw_array, lambda k: F.contains(h, k["keyword"]))
+    return F.filter(hits, lambda k, i: (i == 0) | (F.get(hits, i - 1)["topic"] != k["topic"]))
+
+
 def _ngram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
     """Whole-word matching: phrase of n tokens = some n-gram of the text tokens."""
     kw = keywords.withColumn("_n", F.size(F.split("keyword", " ")))
@@ -139,6 +169,23 @@ def segment(texts: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col:
     Segments are the non-blank pieces of the text split at every occurrence.
     """
     j = texts.select(F.col(id_col), F.lower(F.col(text_col)).alias("_h")).join(hits, id_col)
+    return _segment_cols(j, id_col, mode)
+
+
+def tag_segments(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 mode: str = "fixed", keep=(), limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """J3 + P8 in one narrow projection: ``(id, *keep, topic, left, target, right)``.
+
+    Same rows as ``segment(texts, match_topics(texts, keywords))`` but without
+    the join back to the texts: each text row carries its own hits.
+    """
+    t = texts.select(F.col(id_col), *keep, F.lower(F.col(text_col)).alias("_h"))
+    hits = t.select(id_col, *keep, "_h", F.explode(first_hits(F.col("_h"), keyword_array(keywords, limit))).alias("k"))
+    hits = hits.select(id_col, *keep, "_h", "k.topic", "k.pos", "k.keyword")
+    return _segment_cols(hits, id_col, mode, keep)
+
+
+def _segment_cols(j: DataFrame, id_col: str, mode: str, keep=()) -> DataFrame:
     parts = F.split(F.col("_h"), _regex_quote(F.col("keyword")))
     segs = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")),
                     lambda p: F.length(p) > 0)
@@ -146,17 +193,25 @@ def segment(texts: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col:
     kw = F.col("keyword")
     starts, ends = F.startswith(F.col("_h"), kw), F.endswith(F.col("_h"), kw)
     empty = F.lit("")
-    if mode == "compat":
-        end_triple = (empty, seg0, kw)
-    else:
-        end_triple = (seg0, kw, empty)
+    end_triple = (empty, seg0, kw) if mode == "compat" else (seg0, kw, empty)
     left = F.when(starts, empty).when(ends, end_triple[0]).otherwise(seg0)
     target = F.when(starts, kw).when(ends, end_triple[1]).otherwise(kw)
     right = F.when(starts, seg0).when(ends, end_triple[2]).otherwise(seg1)
-    out = j.select(id_col, "topic", left.alias("left"), target.alias("target"), right.alias("right"))
+    out = j.select(id_col, *keep, "topic", left.alias("left"), target.alias("target"), right.alias("right"))
     return out.where(F.col("left").isNotNull() & F.col("target").isNotNull() & F.col("right").isNotNull())
 
 
+def topic_segments(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   mode: str = "fixed", keep=(), limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """J3 + P8 with the strategy picked by taxonomy size: fused per-row form when the
+    phrase list is small enough to ship in the plan, else automaton match + join."""
+    if _bounded_count(keywords, limit) <= limit:
+        return tag_segments(texts, keywords, id_col, text_col, mode, keep=keep, limit=limit)
+    hits = match_topics(texts, keywords, id_col, text_col, strategy="automaton")
+    j = texts.select(F.col(id_col), *keep, F.lower(F.col(text_col)).alias("_h")).join(hits, id_col)
+    return _segment_cols(j, id_col, mode, keep)
+
+
 def mentions_topic(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """texts that mention at least one topic (semi join on the match)."""

@@ -167,6 +167,12 @@ def q_match_topics(spark, sf):
     return TP.match_topics(_clean_heads(spark, sf), _kw(spark), "doc_id", "text")
 
 
+@register("match_topics_join", _CLEAN_KW + "SELECT * FROM hits")
+def q_match_topics_join(spark, sf):
+    """J3, join strategy: broadcast nested-loop join + min_by per (text, topic)."""
+    return TP.match_topics(_clean_heads(spark, sf), _kw(spark), "doc_id", "text", strategy="join")
+
+
 @register("match_topics_automaton", _CLEAN_KW + "SELECT * FROM hits")
 def q_match_topics_automaton(spark, sf):
     """J3, large-taxonomy strategy: Aho-Corasick automaton per worker (same result)."""
@@ -207,6 +213,12 @@ def q_segment(spark, sf):
     return TP.segment(texts, hits, "doc_id", "text")
 
 
+@register("tag_segments", _segment_sql("fixed"))
+def q_tag_segments(spark, sf):
+    """J3 + P8 fused: per-row hits and segments, no shuffle."""
+    return TP.tag_segments(_clean_heads(spark, sf), _kw(spark), "doc_id", "text")
+
+
 @register("segment_compat", _segment_sql("compat"))
 def q_segment_compat(spark, sf):
     """P8 with the literal ends-with slot order."""
