@@ -149,3 +149,38 @@ def q_keywords_from_text(spark, sf):
     """comma/line separated phrase files -> ordered (topic, pos, keyword)."""
     d = driver_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("topic"), "text")
     return keywords_from_text(d)
+
+
+_H1_SQL = """
+SELECT page_id, CAST(0 AS INT) AS pos,
+       trim(replace(replace(replace(replace(replace(
+         regexp_extract(html, '<article[^>]*>\\s*<h1[^>]*>([^<]*)</h1>', 1),
+         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS headline
+FROM pages"""
+
+
+@register("extract_tag_text", _H1_SQL)
+def q_extract_tag_text(spark, sf):
+    """S8 JVM path: ``article > h1`` text by regular expression (no Python)."""
+    from corpuspulse.sources.pages import extract_tag_text
+    return extract_tag_text(S.pages(spark, sf), "article", "h1")
+
+
+@register("extract_headlines", _H1_SQL)
+def q_extract_headlines(spark, sf):
+    """S8 rule path: pages parsed once per row in Arrow batches, one rule for all sites."""
+    from corpuspulse.sources.pages import Rule, extract_headlines
+    rules = [Rule(site="", record="article", headline="h1", date="const:-")]
+    return extract_headlines(S.pages(spark, sf), rules).select("page_id", "pos", "headline")
+
+
+@register("carry_forward", """
+SELECT conv_id, turn, role,
+       last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS)
+         OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_user_turn
+FROM conversations""")
+def q_carry_forward(spark, sf):
+    """Last non-NULL value so far within a group (NULL before the first one)."""
+    t = S.turns(spark, sf).select("conv_id", "turn", "role",
+                                  F.when(F.col("role") == "user", F.col("turn")).alias("last_user_turn"))
+    return R.carry_forward(t, "last_user_turn", ["conv_id"], ["turn"])
