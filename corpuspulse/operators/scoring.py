@@ -78,9 +78,14 @@ def _normalise(s: Column) -> Column:
     return s / F.sqrt(s * s + F.lit(ALPHA))
 
 
-def compound_column(text, lex_map: Column, boosters=(), negators=()) -> Column:
-    """M7 as one expression: tokens -> map lookup -> rules -> sum -> normalise (no shuffle)."""
-    toks = tokens(F.col(text) if isinstance(text, str) else text)
+def compound_column(toks: Column, lex_map: Column, boosters=(), negators=()) -> Column:
+    """M7 as one expression over a *materialised* token-array column:
+    map lookup -> rules -> sum -> normalise (no shuffle).
+
+    ``toks`` must be a column reference (``F.col``), not an expression: it is
+    read inside the per-token lambda, where an expression would be
+    re-evaluated for every token.
+    """
     vals = F.transform(toks, lambda t, i: F.coalesce(_adjusted(
         F.try_element_at(lex_map, t), F.get(toks, i - 1), F.get(toks, i - 2), F.get(toks, i - 3),
         boosters, negators), F.lit(0.0)))
@@ -100,13 +105,14 @@ def lexicon_compound(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id
     bounded count allows) and sums per text with a partial aggregate.
     """
     lex_map = lexicon_map(lexicon) if strategy in (None, "map") else None
+    staged = texts.select(id_col, tokens(F.col(text_col)).alias("_toks"))
     if lex_map is not None:
-        return texts.select(id_col, compound_column(text_col, lex_map, boosters, negators).alias(out))
-    toks = tokens(F.col(text_col))
+        return staged.select(id_col, compound_column(F.col("_toks"), lex_map, boosters, negators).alias(out))
+    toks = F.col("_toks")
     entries = F.transform(toks, lambda t, i: F.struct(
         t.alias("token"), F.get(toks, i - 1).alias("p1"), F.get(toks, i - 2).alias("p2"),
         F.get(toks, i - 3).alias("p3")))
-    exploded = texts.select(F.col(id_col), F.explode(entries).alias("e")).select(id_col, "e.*")
+    exploded = staged.select(F.col(id_col), F.explode(entries).alias("e")).select(id_col, "e.*")
     n_lex = lexicon.limit(LEXICON_BROADCAST_LIMIT + 1).count()
     lex = lexicon.select("token", F.col("valence").cast("double").alias("valence"))
     lex = F.broadcast(lex) if n_lex <= LEXICON_BROADCAST_LIMIT else lex
@@ -143,8 +149,9 @@ def target_sentiment(segments: DataFrame, lexicon: DataFrame, id_col: str = "doc
     ctx = _context(window)
     lex_map = lexicon_map(lexicon) if strategy in (None, "map") else None
     if lex_map is not None:
-        label, p = compound_label(compound_column(ctx, lex_map, boosters, negators))
-        return segments.select(id_col, *keep, "topic", label_score(label, p).alias("score"))
+        staged = segments.select(id_col, *keep, "topic", tokens(ctx).alias("_toks"))
+        label, p = compound_label(compound_column(F.col("_toks"), lex_map, boosters, negators))
+        return staged.select(id_col, *keep, "topic", label_score(label, p).alias("score"))
     keyed = segments.select(F.concat_ws("\u0001", F.col(id_col).cast("string"), "topic").alias("_k"),
                             id_col, *keep, "topic", ctx.alias("_ctx"))
     comp = lexicon_compound(keyed.select("_k", "_ctx"), lexicon, "_k", "_ctx", boosters, negators, strategy="join")
@@ -198,8 +205,9 @@ def score_headlines(heads: DataFrame, keywords: DataFrame, lexicon: DataFrame, i
     topic_scores = target_sentiment(segs, lexicon, id_col, boosters=boosters, negators=negators, keep=keys)
     lex_map = lexicon_map(lexicon)
     if lex_map is not None:
-        whole = clean.select(id_col, *keys, F.lit("whole").alias("topic"),
-                             compound_column("_txt", lex_map, boosters, negators).alias("score"))
+        whole = clean.select(id_col, *keys, tokens(F.col("_txt")).alias("_toks")).select(
+            id_col, *keys, F.lit("whole").alias("topic"),
+            compound_column(F.col("_toks"), lex_map, boosters, negators).alias("score"))
     else:
         whole = (clean.select(id_col, *keys)
                  .join(lexicon_compound(clean, lexicon, id_col, "_txt", boosters, negators, out="score"), id_col)

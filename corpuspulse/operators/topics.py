@@ -70,8 +70,8 @@ def match_topics(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id",
         n = _bounded_count(keywords, broadcast_limit)
         strategy = "array" if n <= broadcast_limit else "automaton"
     if strategy == "array":
-        first = first_hits(F.col("_h"), keyword_array(keywords, broadcast_limit))
-        return t.select(id_col, F.explode(first).alias("k")).select(
+        staged = t.select(id_col, all_hits(F.col("_h"), keyword_array(keywords, broadcast_limit)).alias("_all"))
+        return staged.select(id_col, F.explode(first_of_topic(F.col("_all"))).alias("k")).select(
             id_col, "k.topic", "k.pos", "k.keyword")
     if strategy == "join":
         pairs = t.join(F.broadcast(keywords), F.col("_h").contains(F.col("keyword")))
@@ -94,9 +94,14 @@ def keyword_array(keywords: DataFrame, limit: int = BROADCAST_LIMIT) -> Column:
         F.array().cast("array<struct<topic:string,pos:int,keyword:string>>")
 
 
-def first_hits(h: Column, kw_array: Column) -> Column:
-    """Per text: the lowest-``pos`` phrase of each topic that occurs in ``h``."""
-    hits = F.filter(kw_array, lambda k: F.contains(h, k["keyword"]))
+def all_hits(h: Column, kw_array: Column) -> Column:
+    """Per text: every phrase (sorted by topic, pos) that occurs in ``h``."""
+    return F.filter(kw_array, lambda k: F.contains(h, k["keyword"]))
+
+
+def first_of_topic(hits: Column) -> Column:
+    """Keep the first element of each topic run; ``hits`` must be a column reference
+    (it is read inside the lambda)."""
     return F.filter(hits, lambda k, i: (i == 0) | (F.get(hits, i - 1)["topic"] != k["topic"]))
 
 
@@ -180,7 +185,8 @@ def tag_segments(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id",
     the join back to the texts: each text row carries its own hits.
     """
     t = texts.select(F.col(id_col), *keep, F.lower(F.col(text_col)).alias("_h"))
-    hits = t.select(id_col, *keep, "_h", F.explode(first_hits(F.col("_h"), keyword_array(keywords, limit))).alias("k"))
+    t = t.select(id_col, *keep, "_h", all_hits(F.col("_h"), keyword_array(keywords, limit)).alias("_all"))
+    hits = t.select(id_col, *keep, "_h", F.explode(first_of_topic(F.col("_all"))).alias("k"))
     hits = hits.select(id_col, *keep, "_h", "k.topic", "k.pos", "k.keyword")
     return _segment_cols(hits, id_col, mode, keep)
 
