@@ -29,7 +29,7 @@ def read_keywords(spark: SparkSession, path: str, mode: str = "fixed") -> DataFr
     ``wholetext`` keeps each (small) file in one row so the phrase order is
     the file order; the topic is the file stem.
     """
-    raw = (spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(path)
+    raw = (spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
            .select(F.col("value").alias("text"),
                    F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "").alias("topic")))
     return keywords_from_text(raw, mode=mode)
