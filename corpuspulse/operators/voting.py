@@ -106,17 +106,48 @@ def party_mentions(scores: DataFrame, parties: DataFrame, alias: DataFrame | Non
             .groupBy("party").agg(F.coalesce(F.sum("n_pos"), F.lit(0)).cast("long").alias("party_mentions")))
 
 
+def _party_topics(party_scores: DataFrame, alias: DataFrame | None) -> DataFrame:
+    """Positions and mention topics of every party as one small table.
+
+    ``(party, topic, p_score, _mention)``: position rows carry the party's
+    score; mention rows (the topic naming the party; the party name itself
+    without an alias) carry NULL.  Mention rows are kept only for parties
+    that have positions, as the prediction is indexed by the position table.
+    """
+    ps = party_scores.select("party", "topic", nan_to_null("score").alias("p_score"),
+                             F.lit(False).alias("_mention"))
+    parties = ps.select("party").distinct()
+    if alias is None:
+        men = parties.select("party", F.col("party").alias("topic"))
+    else:
+        men = alias.select("party", "topic").join(parties, "party", "left_semi")
+    men = men.select("party", "topic", F.lit(None).cast("double").alias("p_score"), F.lit(True).alias("_mention"))
+    return ps.unionByName(men)
+
+
+def _tally(j: DataFrame, by) -> DataFrame:
+    """Topic votes and party mentions per key from (party topic rows x sign counts)."""
+    p = F.col("p_score")
+    vote = (F.when(p > 0, F.col("n_pos")).when(p < 0, F.col("n_neg")).otherwise(F.lit(0)))
+    g = j.groupBy(*by).agg(
+        F.sum(F.when(~F.col("_mention"), F.coalesce(vote, F.lit(0)))).alias("topic_votes"),
+        F.sum(F.when(F.col("_mention"), F.coalesce(F.col("n_pos"), F.lit(0)))).alias("party_mentions"),
+        F.max(~F.col("_mention")).alias("_has_position"))
+    return g.select(*by, F.coalesce("topic_votes", F.lit(0)).cast("long").alias("topic_votes"),
+                    F.coalesce("party_mentions", F.lit(0)).cast("long").alias("party_mentions"), "_has_position")
+
+
 def voting_prediction(scores: DataFrame, party_scores: DataFrame, alias: DataFrame | None = None,
                       paper: str | None = None, places: int | None = 2) -> DataFrame:
     """Topic votes + party mentions per party, and their share in percent.
 
-    Output ``(party, topic_votes, party_mentions, total_votes, pct)``.
+    Output ``(party, topic_votes, party_mentions, total_votes, pct)``.  One
+    scan of the scores feeds one sign-count aggregate per topic, which is
+    joined once with the party topic table (positions and mention topics).
     """
-    tv = topic_votes(scores, party_scores, paper).groupBy("party").agg(
-        F.sum("votes").cast("long").alias("topic_votes"))
-    pm = party_mentions(scores, party_scores, alias, paper)
-    out = tv.join(pm, "party", "left").select(
-        "party", "topic_votes", F.coalesce("party_mentions", F.lit(0)).alias("party_mentions"))
+    counts = sign_counts(for_paper(scores, paper))
+    j = _party_topics(party_scores, alias).join(counts, "topic", "left")
+    out = _tally(j, ["party"]).where("_has_position").drop("_has_position")
     out = out.withColumn("total_votes", F.col("topic_votes") + F.col("party_mentions"))
     return out.withColumn("pct", share_pct("total_votes", places=places))
 
@@ -128,21 +159,11 @@ def voting_by_paper(scores: DataFrame, party_scores: DataFrame, alias: DataFrame
     Output ``(paper, party, topic_votes, party_mentions, total_votes, pct)``;
     the share is taken within each paper; a paper whose total is 0 gets NULL.
     A party appears for a paper when the paper has scored rows on one of the
-    party's topics or on its alias topic.
+    party's topics or on its mention topic.
     """
     counts = sign_counts_by_paper(scores, total_label)
-    tv = (_votes(counts, party_scores, keep_zero=True, by=("paper",))
-          .groupBy("paper", "party").agg(F.sum("votes").cast("long").alias("topic_votes")))
-    if alias is None:
-        al = party_scores.select("party").distinct().withColumn("topic", F.col("party"))
-    else:
-        al = alias.select("party", "topic")
-    pm = (counts.join(al, "topic", "inner")
-          .groupBy("paper", "party").agg(F.sum("n_pos").cast("long").alias("party_mentions")))
-    out = tv.join(pm, ["paper", "party"], "full").select(
-        "paper", "party",
-        F.coalesce("topic_votes", F.lit(0)).cast("long").alias("topic_votes"),
-        F.coalesce("party_mentions", F.lit(0)).cast("long").alias("party_mentions"))
+    j = counts.join(_party_topics(party_scores, alias), "topic", "inner")
+    out = _tally(j, ["paper", "party"]).drop("_has_position")
     out = out.withColumn("total_votes", F.col("topic_votes") + F.col("party_mentions"))
     return out.withColumn("pct", share_pct("total_votes", by=("paper",), places=places))
 
