@@ -19,6 +19,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuspulse.functions.util import let, let2
+
 CENTROID_LITERAL_LIMIT = 2_000_000  # k * dim values shipped inside the plan
 
 
@@ -69,8 +71,8 @@ def assign_nearest(vecs: DataFrame, centroids: DataFrame, id_col: str = "vec_id"
     Output ``(id, cluster_label, sqdist)``; narrow (runs in the scan stage).
     """
     cents = _centroid_literal(centroids)
-    d = F.transform(cents, lambda c: F.struct(sqdist(F.col(vec), c["c"]).alias("d"), c["label"].alias("label")))
-    best = F.array_min(d)
+    best = let(F.col(vec), lambda v: F.array_min(
+        F.transform(cents, lambda c: F.struct(sqdist(v, c["c"]).alias("d"), c["label"].alias("label")))))
     return vecs.select(id_col, best["label"].alias("cluster_label"), best["d"].alias("sqdist"))
 
 
@@ -101,16 +103,16 @@ def silhouette(vecs: DataFrame, label: str = "cluster_label", vec: str = "embedd
                              F.lit(float(r["_mnn"])).alias("mnn"), F.lit(int(r["_n"])).alias("n"))
                     for r in sorted(cl, key=lambda r: r["label"])])
 
-    def mean_d(c):
-        dot = F.aggregate(F.zip_with("_x", c["mu"], lambda a, b: a.cast("double") * b), F.lit(0.0),
+    def mean_d(xv, nn, c):
+        dot = F.aggregate(F.zip_with(xv, c["mu"], lambda a, b: a.cast("double") * b), F.lit(0.0),
                           lambda acc, v: acc + v)
-        return F.col("_nn") - F.lit(2.0) * dot + c["mnn"]
+        return nn - F.lit(2.0) * dot + c["mnn"]
 
-    per = x.select(
-        F.transform(arr, lambda c: F.struct(c["label"].alias("label"), c["n"].alias("n"), mean_d(c).alias("d")))
+    per = x.select(let2(F.col("_x"), F.col("_nn"), lambda xv, nn: F.transform(
+        arr, lambda c: F.struct(c["label"].alias("label"), c["n"].alias("n"), mean_d(xv, nn, c).alias("d"))))
         .alias("_ds"), "_l")
-    own = F.filter("_ds", lambda s: s["label"] == F.col("_l"))[0]
-    others = F.filter("_ds", lambda s: s["label"] != F.col("_l"))
+    own = let2(F.col("_ds"), F.col("_l"), lambda ds, lab: F.filter(ds, lambda s: s["label"] == lab)[0])
+    others = let2(F.col("_ds"), F.col("_l"), lambda ds, lab: F.filter(ds, lambda s: s["label"] != lab))
     a = own["d"] * own["n"] / (own["n"] - 1)
     b = F.array_min(F.transform(others, lambda s: s["d"]))
     s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions.scores import label_score
 from corpuspulse.functions.text import clean_en, paragraphs, tokens
+from corpuspulse.functions.util import let
 from corpuspulse.operators.topics import prepare_keywords, topic_segments
+from corpuspulse.session import spread
 
 # Fixed values of the VADER-style scorer.
 ALPHA = 15.0
@@ -86,10 +88,12 @@ def compound_column(toks: Column, lex_map: Column, boosters=(), negators=()) ->
     read inside the per-token lambda, where an expression would be
     re-evaluated for every token.
     """
-    vals = F.transform(toks, lambda t, i: F.coalesce(_adjusted(
-        F.try_element_at(lex_map, t), F.get(toks, i - 1), F.get(toks, i - 2), F.get(toks, i - 3),
-        boosters, negators), F.lit(0.0)))
-    return _normalise(F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x))
+    def score(tv: Column) -> Column:
+        vals = F.transform(tv, lambda t, i: F.coalesce(_adjusted(
+            F.try_element_at(lex_map, t), F.get(tv, i - 1), F.get(tv, i - 2), F.get(tv, i - 3),
+            boosters, negators), F.lit(0.0)))
+        return F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x)
+    return _normalise(let(toks, score))
 
 
 def lexicon_compound(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -108,10 +112,9 @@ def lexicon_compound(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id
     staged = texts.select(id_col, tokens(F.col(text_col)).alias("_toks"))
     if lex_map is not None:
         return staged.select(id_col, compound_column(F.col("_toks"), lex_map, boosters, negators).alias(out))
-    toks = F.col("_toks")
-    entries = F.transform(toks, lambda t, i: F.struct(
-        t.alias("token"), F.get(toks, i - 1).alias("p1"), F.get(toks, i - 2).alias("p2"),
-        F.get(toks, i - 3).alias("p3")))
+    entries = let(F.col("_toks"), lambda tv: F.transform(tv, lambda t, i: F.struct(
+        t.alias("token"), F.get(tv, i - 1).alias("p1"), F.get(tv, i - 2).alias("p2"),
+        F.get(tv, i - 3).alias("p3"))))
     exploded = staged.select(F.col(id_col), F.explode(entries).alias("e")).select(id_col, "e.*")
     n_lex = lexicon.limit(LEXICON_BROADCAST_LIMIT + 1).count()
     lex = lexicon.select("token", F.col("valence").cast("double").alias("valence"))
@@ -196,7 +199,7 @@ def score_headlines(heads: DataFrame, keywords: DataFrame, lexicon: DataFrame, i
     match (J3) -> segmentation (P8) -> targeted score (M9); ``whole`` is the
     lexicon compound of the whole cleaned text (M7).
     """
-    src = heads.select(id_col, *keys, F.col(text_col).alias("_raw"))
+    src = spread(heads.select(id_col, *keys, F.col(text_col).alias("_raw")))
     if translate is not None:
         src = batch_infer(src, ["_raw"], translate, "_en string").drop("_raw").withColumnRenamed("_en", "_raw")
     clean = src.select(id_col, *keys, clean_en(F.col("_raw"), stop_words, lemmas).alias("_txt"))
@@ -244,7 +247,7 @@ def score_documents(docs: DataFrame, keywords: DataFrame, lexicon: DataFrame, id
 
     Output ``party_score(party, topic, score)``.
     """
-    par = paragraphs(docs, "text", keep=(id_col, party_col)).select(
+    par = paragraphs(spread(docs.select(id_col, party_col, "text")), "text", keep=(id_col, party_col)).select(
         F.concat_ws(":", F.col(id_col).cast("string"), F.col("pos").cast("string")).alias("_pid"),
         party_col, F.col("paragraph"))
     if translate is not None:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuspulse.functions.text import clean_en
+from corpuspulse.functions.util import let
 
 BROADCAST_LIMIT = 5_000
 AUTOMATON_LIMIT = 2_000_000
@@ -66,11 +67,12 @@ def match_topics(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id",
     t = texts.select(F.col(id_col), F.lower(F.col(text_col)).alias("_h"))
     if whole_word:
         return _first_hit(_ngram_join(t, keywords, id_col), id_col)
-    if strategy is None:
-        n = _bounded_count(keywords, broadcast_limit)
-        strategy = "array" if n <= broadcast_limit else "automaton"
+    rows = None
+    if strategy in (None, "array"):
+        rows = small_keywords(keywords, broadcast_limit)
+        strategy = "array" if rows is not None else "automaton"
     if strategy == "array":
-        staged = t.select(id_col, all_hits(F.col("_h"), keyword_array(keywords, broadcast_limit)).alias("_all"))
+        staged = t.select(id_col, all_hits(F.col("_h"), keyword_array(rows)).alias("_all"))
         return staged.select(id_col, F.explode(first_of_topic(F.col("_all"))).alias("k")).select(
             id_col, "k.topic", "k.pos", "k.keyword")
     if strategy == "join":
@@ -79,30 +81,36 @@ def match_topics(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id",
     return _first_hit(_automaton_join(t, keywords, id_col), id_col)
 
 
-def keyword_array(keywords: DataFrame, limit: int = BROADCAST_LIMIT) -> Column:
+def small_keywords(keywords: DataFrame, limit: int = BROADCAST_LIMIT):
+    """The phrase rows when there are at most ``limit`` of them, else ``None`` (one bounded read)."""
+    rows = keywords.select("topic", "pos", "keyword").limit(limit + 1).collect()
+    return None if len(rows) > limit else [(r[0], r[1], r[2]) for r in rows]
+
+
+def keyword_array(keywords, limit: int = BROADCAST_LIMIT) -> Column:
     """The phrase table as one literal ``array<struct<topic,pos,keyword>>`` sorted by (topic, pos).
 
-    The table is read once (bounded: more than ``limit`` rows raises), like a
-    broadcast but shipped inside the plan.
+    ``keywords`` is a DataFrame (read once, bounded: more than ``limit`` rows
+    raises) or rows from ``small_keywords``; shipped inside the plan like a
+    broadcast.
     """
-    rows = keywords.select("topic", "pos", "keyword").limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = small_keywords(keywords, limit) if isinstance(keywords, DataFrame) else keywords
+    if rows is None:
         raise ValueError(f"more than {limit} phrases; use strategy='automaton'")
-    rows = sorted((r[0], r[1], r[2]) for r in rows)
+    rows = sorted(rows)
     return F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(p).cast("int").alias("pos"),
                               F.lit(k).alias("keyword")) for t, p, k in rows]) if rows else \
         F.array().cast("array<struct<topic:string,pos:int,keyword:string>>")
 
 
 def all_hits(h: Column, kw_array: Column) -> Column:
-    """Per text: every phrase (sorted by topic, pos) that occurs in ``h``."""
-    return F.filter(kw_array, lambda k: F.contains(h, k["keyword"]))
+    """Per text: every phrase (sorted by topic, pos) that occurs in ``h`` (``h`` evaluated once)."""
+    return let(h, lambda hv: F.filter(kw_array, lambda k: F.contains(hv, k["keyword"])))
 
 
 def first_of_topic(hits: Column) -> Column:
-    """Keep the first element of each topic run; ``hits`` must be a column reference
-    (it is read inside the lambda)."""
-    return F.filter(hits, lambda k, i: (i == 0) | (F.get(hits, i - 1)["topic"] != k["topic"]))
+    """Keep the first element of each topic run (``hits`` evaluated once)."""
+    return let(hits, lambda hs: F.filter(hs, lambda k, i: (i == 0) | (F.get(hs, i - 1)["topic"] != k["topic"])))
 
 
 def _ngram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
@@ -110,14 +118,14 @@ def _ngram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
     kw = keywords.withColumn("_n", F.size(F.split("keyword", " ")))
     max_n = kw.agg(F.max("_n")).first()[0] or 1
     toks = F.filter(F.split(F.col("_h"), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) > 0)
-    def grams_of(n: int):
-        starts = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - n + 1)) \
+    def grams_of(tv: Column, n: int):
+        starts = F.when(F.size(tv) >= n, F.sequence(F.lit(1), F.size(tv) - n + 1)) \
                   .otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_t", i, n), " "))
+        return F.transform(starts, lambda i: F.array_join(F.slice(tv, i, n), " "))
 
-    grams = t.select(id_col, toks.alias("_t")).select(
-        id_col, F.explode(F.array_distinct(F.flatten(F.array(*[
-            grams_of(n) for n in range(1, max_n + 1)])))).alias("keyword"))
+    grams = t.select(id_col, let(toks, lambda tv: F.array_distinct(F.flatten(F.array(*[
+        grams_of(tv, n) for n in range(1, max_n + 1)])))).alias("_g")).select(
+        id_col, F.explode("_g").alias("keyword"))
     grams = grams.where(F.col("keyword").isNotNull())
     return grams.join(kw.drop("_n"), "keyword").select(id_col, "topic", "pos", "keyword")
 
@@ -177,7 +185,7 @@ def segment(texts: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col:
     return _segment_cols(j, id_col, mode)
 
 
-def tag_segments(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def tag_segments(texts: DataFrame, keywords, id_col: str = "doc_id", text_col: str = "text",
                  mode: str = "fixed", keep=(), limit: int = BROADCAST_LIMIT) -> DataFrame:
     """J3 + P8 in one narrow projection: ``(id, *keep, topic, left, target, right)``.
 
@@ -211,8 +219,9 @@ def topic_segments(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id"
                    mode: str = "fixed", keep=(), limit: int = BROADCAST_LIMIT) -> DataFrame:
     """J3 + P8 with the strategy picked by taxonomy size: fused per-row form when the
     phrase list is small enough to ship in the plan, else automaton match + join."""
-    if _bounded_count(keywords, limit) <= limit:
-        return tag_segments(texts, keywords, id_col, text_col, mode, keep=keep, limit=limit)
+    rows = small_keywords(keywords, limit)
+    if rows is not None:
+        return tag_segments(texts, rows, id_col, text_col, mode, keep=keep, limit=limit)
     hits = match_topics(texts, keywords, id_col, text_col, strategy="automaton")
     j = texts.select(F.col(id_col), *keep, F.lower(F.col(text_col)).alias("_h")).join(hits, id_col)
     return _segment_cols(j, id_col, mode, keep)

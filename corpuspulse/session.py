@@ -60,3 +60,16 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a materialised stage."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin repartition only when ``df`` arrives in fewer partitions than cores.
+
+    CPU-heavy per-row text work (explode, regex, lexicon scoring) on an input
+    read as a handful of splits would leave most cores idle.  Large inputs
+    already have many splits, so no shuffle is added for them.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
