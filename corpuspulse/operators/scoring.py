@@ -163,6 +163,11 @@ def target_sentiment(segments: DataFrame, lexicon: DataFrame, id_col: str = "doc
             .select(id_col, *keep, "topic", label_score(label, p).alias("score")))
 
 
+def target_mean(label_scores: DataFrame, keys=("doc_id", "topic")) -> DataFrame:
+    """Mean of the target scores of one text and topic (several targets -> their mean)."""
+    return label_scores.groupBy(*keys).agg(F.avg("score").alias("score"))
+
+
 def infer_targets(segments: DataFrame, scorer: Callable, id_col: str = "doc_id") -> DataFrame:
     """M9 with a caller's classifier: ``scorer(pandas DataFrame[left,target,right]) ->
     DataFrame[label, prob]``, run once per Arrow batch (see ``batch_infer``)."""

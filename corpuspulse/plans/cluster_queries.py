@@ -225,3 +225,13 @@ def q_reassign_by_cluster(spark, sf):
     ct = spark.createDataFrame(CLUSTER_TOPIC, "name string, topics array<string>")
     r = C.reassign_by_cluster(scores, named, ct)
     return r.select("doc_id", "topic", F.round("score", 6).alias("score"))
+
+
+@register("cluster_members_top", with_(HEADS, ASSIGNED_SQL) + """
+SELECT cluster_label, doc_id, headline, CAST(member_rank AS INT) AS member_rank FROM (
+  SELECT cluster_label, doc_id, headline,
+         row_number() OVER (PARTITION BY cluster_label ORDER BY headline, doc_id) AS member_rank
+  FROM assigned) t WHERE member_rank <= 3""")
+def q_cluster_members_top(spark, sf):
+    """A21 with a per-cluster limit (the limit is the feature: a preview of each cluster)."""
+    return C.cluster_members(_assigned(spark, sf), limit=3)

@@ -10,6 +10,7 @@ from corpuspulse.functions.text import GERMAN_MONTHS, decode_obfuscated, parse_e
 from corpuspulse.operators import reports as R
 from corpuspulse.plans import standins as S
 from corpuspulse.plans.registry import HEADS, register, with_
+from corpuspulse.plans.registry import OBS as OBS_SQL
 from corpuspulse.session import scratch_table_path
 from corpuspulse.sources import headlines as H
 from corpuspulse.sources.keywords import keywords_from_text
@@ -184,3 +185,34 @@ def q_carry_forward(spark, sf):
     t = S.turns(spark, sf).select("conv_id", "turn", "role",
                                   F.when(F.col("role") == "user", F.col("turn")).alias("last_user_turn"))
     return R.carry_forward(t, "last_user_turn", ["conv_id"], ["turn"])
+
+
+@register("csv_roundtrip", with_(OBS_SQL) + """
+SELECT obs_id, paper, topic, score FROM obs""")
+def q_csv_roundtrip(spark, sf):
+    """Write a stage table as CSV with a header, read it back with an explicit schema."""
+    from corpuspulse.sources.tables import read_table, write_table
+    path = scratch_table_path(spark, f"csv-{uuid.uuid4().hex}")
+    o = S.obs(spark, sf).select("obs_id", "paper", "topic", "score")
+    write_table(o, path, fmt="csv")
+    return read_table(spark, path, fmt="csv", schema="obs_id long, paper string, topic string, score double")
+
+
+@register("curated_partition_pruning", with_(HEADS) + """
+SELECT doc_id, headline, paper FROM heads WHERE paper = 'src3'""")
+def q_curated_partition_pruning(spark, sf):
+    """S5 + F3: curated Parquet partitioned by paper; a paper filter prunes to one folder."""
+    from corpuspulse.sources.tables import read_table, write_table
+    path = scratch_table_path(spark, f"curated-{uuid.uuid4().hex}")
+    write_table(S.heads(spark, sf).select("doc_id", "headline", "paper"), path, partition_by="paper")
+    return read_table(spark, path).where(F.col("paper") == "src3").select("doc_id", "headline", "paper")
+
+
+@register("in_section", """
+SELECT source AS paper, lang AS section, CAST(count(*) AS BIGINT) AS n
+FROM documents WHERE lang IN ('de', 'fr') GROUP BY 1, 2""")
+def q_in_section(spark, sf):
+    """section membership filter (language as the section)."""
+    from corpuspulse.operators.filters import in_section
+    d = driver_table(spark, sf, "documents").select(F.col("source").alias("paper"), F.col("lang").alias("section"))
+    return in_section(d, ["de", "fr"]).groupBy("paper", "section").agg(F.count(F.lit(1)).alias("n"))

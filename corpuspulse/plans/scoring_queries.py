@@ -156,3 +156,15 @@ def q_score_documents(spark, sf):
     """M11 + A12: programme documents -> paragraph scores -> mean per party x topic (0 if no hit)."""
     r = SC.score_documents(S.docs(spark, sf), S.kw(spark), S.lexicon(spark), **_KW_ARGS)
     return r.select("party", "topic", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@register("target_mean", _target_sql() + f""",
+ls AS (SELECT t.doc_id, h.paper, t.topic, {_label_score_sql('t.compound')} AS score
+       FROM tc t JOIN heads h ON h.doc_id = t.doc_id)
+SELECT paper, topic, round(avg(score), 6) + 0.0 AS score FROM ls GROUP BY paper, topic""")
+def q_target_mean(spark, sf):
+    """Mean targeted score per (paper, topic) over all target triples."""
+    texts = _clean_heads(spark, sf)
+    segs = TP.tag_segments(texts, TP.prepare_keywords(S.kw(spark)), "doc_id", "text", keep=("paper",))
+    r = SC.target_sentiment(segs, S.lexicon(spark), "doc_id", keep=("paper",), **_KW_ARGS)
+    return SC.target_mean(r, ("paper", "topic")).select("paper", "topic", (F.round("score", 6) + 0.0).alias("score"))
