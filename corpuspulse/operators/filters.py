@@ -8,6 +8,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuspulse.functions.text import is_shouting
 from corpuspulse.operators.voting import for_paper  # noqa: F401  (F3)
 
 
@@ -51,3 +52,8 @@ def no_topic_scored(texts: DataFrame, scores: DataFrame, key: str = "doc_id",
     """texts with no non-NULL topic score (``whole`` ignored): a left anti join."""
     scored = scores.where((F.col("topic") != F.lit(whole)) & F.col("score").isNotNull()).select(key)
     return texts.join(scored, key, "left_anti")
+
+
+def drop_shouting(df: DataFrame, col: str = "headline") -> DataFrame:
+    """P5: drop rows whose whole text is upper-case (a digits-only text is kept)."""
+    return df.where(~is_shouting(col) | F.col(col).isNull())

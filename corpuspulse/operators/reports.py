@@ -129,12 +129,16 @@ def sort_by_key(df: DataFrame, *cols) -> DataFrame:
     return df.orderBy(*cols)
 
 
-def union_all(*dfs: DataFrame) -> DataFrame:
-    """O2/S3: append frames by column name; missing columns become NULL."""
+def union_all(*dfs: DataFrame, id_col: str | None = None) -> DataFrame:
+    """O2/S3: append frames by column name; missing columns become NULL.
+
+    With ``id_col`` every row gets a new unique (not consecutive) 64-bit id,
+    computed per partition without a shuffle.
+    """
     out = dfs[0]
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
-    return out
+    return out.withColumn(id_col, F.monotonically_increasing_id()) if id_col else out
 
 
 def canonical_topics(df: DataFrame, alias: DataFrame, col: str = "topic") -> DataFrame:

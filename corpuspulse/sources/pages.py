@@ -36,7 +36,7 @@ VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embe
 @dataclasses.dataclass(frozen=True)
 class Rule:
     """One site's extraction rule (all selectors are relative to the record unless noted)."""
-    site: str                        # substring of the URL that selects the rule
+    site: str                        # regular expression searched in the URL (selects the rule)
     record: str                      # record selector (page level)
     headline: str                    # value spec: 'text' | '@attr' | 'sel' | 'sel@attr'; '||' fallbacks
     topline: str | None = None       # value spec, composed as 'topline: headline'
@@ -51,6 +51,11 @@ class Rule:
     prev_nth: int = 1                # ... the n-th such element going backwards
     stop_at: str | None = None       # ignore records after the first element matching this selector
     start_at: str | None = None      # ignore records before the first element matching this selector
+    record_has: str | None = None    # keep records containing an element matching this selector
+    date_scope: str = "record"       # 'record' or 'page': where the date spec is evaluated
+    date_after: str | None = None    # keep the text after this marker (only when it splits in two)
+    date_regex: str | None = None    # keep the first match of this pattern (group 1 if any)
+    date_b64: bool = False           # the date value is base64 text
     carry_date: bool = False         # records without a date reuse the last dated record's date
 
 
@@ -170,14 +175,14 @@ def _value(elems, spec: str | None, rec: int, url: str):
         alt = alt.strip()
         v = None
         if alt == "text":
-            v = _text(elems, rec, " ")
+            v = _text(elems, rec, " ") if rec >= 0 else None
         elif alt.startswith("const:"):
             v = alt[len("const:"):]
         elif alt.startswith("url:"):
             m = re.search(alt[len("url:"):], url or "")
             v = m.group(1) if m else None
         elif alt.startswith("@"):
-            v = elems[rec]["attrs"].get(alt[1:])
+            v = elems[rec]["attrs"].get(alt[1:]) if rec >= 0 else None
         else:
             sel, _, attr = alt.partition("@")
             hits = _select(elems, sel, rec)
@@ -188,6 +193,25 @@ def _value(elems, spec: str | None, rec: int, url: str):
     return None
 
 
+def _date_text(rule: Rule, raw):
+    if raw is None:
+        return None
+    if rule.date_b64:
+        import base64
+        import binascii
+        try:
+            raw = base64.b64decode(raw).decode("utf-8")
+        except (binascii.Error, ValueError):
+            return None
+    if rule.date_after is not None:
+        parts = raw.split(rule.date_after)
+        raw = parts[1].strip() if len(parts) == 2 else None
+    if raw is not None and rule.date_regex:
+        m = re.search(rule.date_regex, raw)
+        raw = (m.group(1) if m.groups() else m.group(0)) if m else None
+    return raw
+
+
 def extract_page(rule: Rule, url: str, doc: str):
     """All (pos, headline, topline, section, date_raw) of one page under one rule."""
     elems = _parse(doc)
@@ -199,8 +223,12 @@ def extract_page(rule: Rule, url: str, doc: str):
         stops = [s for s in _select(elems, rule.stop_at) if not recs or s > recs[0]]
         if stops:
             recs = [r for r in recs if r < stops[0]]
+    if rule.record_has:
+        recs = [r for r in recs if _select(elems, rule.record_has, r)]
     recs = recs[rule.offset::max(rule.stride, 1)]
     zipped = _select(elems, rule.date_zip) if rule.date_zip else None
+    page_date = _date_text(rule, _value(elems, rule.date, -1, url) if rule.date and rule.date_scope == "page"
+                           and not rule.date.startswith(("const:", "url:")) else None)
     out = []
     for pos, r in enumerate(recs):
         if rule.prev:
@@ -213,10 +241,12 @@ def extract_page(rule: Rule, url: str, doc: str):
         sec = _value(elems, rule.section, r, url)
         if rule.section and sec not in rule.allowed:
             continue
-        if zipped is not None:
-            date = _value(elems, rule.date, zipped[pos], url) if pos < len(zipped) else None
+        if rule.date_scope == "page" and rule.date and not rule.date.startswith(("const:", "url:")):
+            date = page_date
+        elif zipped is not None:
+            date = _date_text(rule, _value(elems, rule.date, zipped[pos], url)) if pos < len(zipped) else None
         else:
-            date = _value(elems, rule.date, r, url)
+            date = _date_text(rule, _value(elems, rule.date, r, url))
         if head is None:
             continue
         out.append((pos, head, top, sec, date))
@@ -237,7 +267,7 @@ def extract_headlines(pages: DataFrame, rules, parse_dates: bool = True) -> Data
             rows = []
             for pid, url, doc in zip(pdf["page_id"], pdf["url"], pdf["html"]):
                 for rule in rules:
-                    if rule.site and rule.site not in (url or ""):
+                    if rule.site and not re.search(rule.site, url or ""):
                         continue
                     for pos, head, top, sec, date in extract_page(rule, url, doc):
                         rows.append((pid, url, rule.site, pos, head, top, sec, date, rule.carry_date))

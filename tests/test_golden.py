@@ -431,3 +431,47 @@ def test_extract_tag_text(spark):
     pages = spark.createDataFrame([(1, "<article class='x'>\n<h1>Tom &amp; Jerry</h1><p>t</p></article>")],
                                   "page_id long, html string")
     assert extract_tag_text(pages).first().headline == "Tom & Jerry"
+
+
+def test_extract_more_rules(spark):
+    import base64
+    focus = ("<div class='box-hd-title'>Ausgabe vom 12.10.2023</div><div class='h'>Politik</div>"
+             "<table><tr><td><a href='1'><b>One</b> more</a><a href='x'>no bold</a></td></tr></table>"
+             "<div class='h'>Sport</div><table><tr><td><a href='2'><b>Late</b></a></td></tr></table>")
+    enc = base64.b64encode("11. Oktober 2023, 08:15 Uhr".encode()).decode()
+    zeit = (f"<section><a class='large'>Big<span class='encoded-date' data-obfuscated='{enc}'></span></a>"
+            "<a class='small'>Small</a></section>")
+    ntv = ("<article><span class='teaser__date'>\n10.10.2023 12:00</span><span class='teaser__headline'>N1</span></article>")
+    sz = "<span data-manual='teaser-title'>S1</span><span data-manual='teaser-title'>S2</span><time datetime='2023-10-01'></time><time datetime='2023-10-02'></time>"
+    tag = "<div class='w'><span class='topline'>Top</span><span class='hl'>Main</span></div><div class='w'><span class='hl'>Solo</span></div>"
+    pages = spark.createDataFrame([(1, "https://focus.example/1", focus), (2, "https://zeit.example/2", zeit),
+                                   (3, "https://ntv.example/3", ntv), (4, "https://sz.example/4", sz),
+                                   (5, "https://ts.example/x?filter=inland", tag), (6, "https://ts.example/x?filter=sport", tag)],
+                                  "page_id long, url string, html string")
+    rules = [
+        Rule(site="focus", record="a", record_has="b", headline="text", start_at="div.h", stop_at="div.h",
+             date="div.box-hd-title", date_scope="page", date_after="vom"),
+        Rule(site="zeit", record="a", headline="text", date="span.encoded-date@data-obfuscated", date_b64=True,
+             carry_date=True),
+        Rule(site="ntv", record="article", headline="span.teaser__headline", date="span.teaser__date",
+             date_regex=r"(\d{2}\.\d{2}\.\d{4})"),
+        Rule(site="sz", record="span[data-manual=teaser-title]", headline="text", date="@datetime", date_zip="time"),
+        Rule(site=r"ts\.example.*filter=inland", record="div.w", headline="span.hl", topline="span.topline"),
+    ]
+    out = extract_headlines(pages, rules).orderBy("page_id", "pos").collect()
+    got = [(r.page_id, r.headline, r.event_ts) for r in out]
+    assert got[0] == (1, "One more", dt.datetime(2023, 10, 12))
+    assert [g for g in got if g[0] == 1] == [got[0]]          # no bold -> skipped; after the stop -> skipped
+    assert (2, "Big", dt.datetime(2023, 10, 11, 8, 15)) in got
+    assert (2, "Small", dt.datetime(2023, 10, 11, 8, 15)) in got   # carried forward
+    assert (3, "N1", dt.datetime(2023, 10, 10)) in got
+    assert (4, "S1", dt.datetime(2023, 10, 1)) in got and (4, "S2", dt.datetime(2023, 10, 2)) in got
+    assert (5, "Top: Main", None) in got and (5, "Solo", None) in got
+    assert all(g[0] != 6 for g in got)
+
+
+def test_drop_shouting_and_row_ids(spark):
+    df = spark.createDataFrame([("ABC",), ("Abc",), (None,)], "headline string")
+    assert FL.drop_shouting(df).count() == 2
+    u = R.union_all(df, df, id_col="row_id")
+    assert u.select("row_id").distinct().count() == 6
