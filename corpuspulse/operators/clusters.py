@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspulse.functions.util import let, let2
+from corpuspulse.session import spread
 
 CENTROID_LITERAL_LIMIT = 2_000_000  # k * dim values shipped inside the plan
 
@@ -30,6 +31,7 @@ def embed_text(df: DataFrame, col: str = "text", dim: int = 64, id_col: str = "d
 
     A caller's sentence encoder plugs in through ``scoring.batch_infer`` instead.
     """
+    df = spread(df.select(id_col, col))
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=col, outputCol="_tok", pattern=r"\W+", toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
@@ -119,44 +121,64 @@ def silhouette(vecs: DataFrame, label: str = "cluster_label", vec: str = "embedd
     return per.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
+def _features(vecs: DataFrame, id_col: str, vec: str) -> DataFrame:
+    return vecs.select(id_col, F.col(vec), array_to_vector(F.col(vec)).alias("features"))
+
+
+def _fit(feats: DataFrame, k: int, seed: int, id_col: str, max_iter: int):
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
+                   predictionCol="cluster_label").fit(feats)
+    cents = feats.sparkSession.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
+        "cluster_label int, center array<double>")
+    return model, cents, float(model.summary.trainingCost)
+
+
 def kmeans_cluster(vecs: DataFrame, k: int = 50, seed: int = 42, id_col: str = "vec_id",
                    vec: str = "embedding", max_iter: int = 20):
     """M2: Spark ML k-means (k-means||).  Returns ``(assignments, centroids, cost)``.
 
-    The feature frame is persisted while the iterations run and released after.
+    The feature frame is persisted while the iterations run and released
+    after; assignments are the nearest-centroid labels (M3, narrow).
     """
-    feats = vecs.select(id_col, array_to_vector(F.col(vec)).alias("features")).persist()
+    feats = _features(vecs, id_col, vec).persist()
     try:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
-                       predictionCol="cluster_label").fit(feats)
-        assigned = model.transform(feats).select(id_col, "cluster_label")
-        cents = feats.sparkSession.createDataFrame(
-            [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-            "cluster_label int, center array<double>")
-        return assigned, cents, float(model.summary.trainingCost)
+        _, cents, cost = _fit(feats, k, seed, id_col, max_iter)
     finally:
         feats.unpersist()
+    assigned = assign_nearest(vecs, cents, id_col, vec).select(id_col, "cluster_label")
+    return assigned, cents, cost
 
 
-def elbow_curve(vecs: DataFrame, ks, seed: int = 42, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """M5: k-means training cost (inertia) for each k."""
+def _sweep(vecs: DataFrame, ks, seed: int, id_col: str, vec: str, max_iter: int, measure):
+    """Fit k-means for every k on one persisted feature frame; ``measure(feats, k, cents, cost)``."""
     spark = vecs.sparkSession
-    rows = []
-    for k in ks:
-        _, _, cost = kmeans_cluster(vecs, k, seed, id_col, vec)
-        rows.append((int(k), cost))
+    feats = _features(vecs, id_col, vec).persist()
+    try:
+        rows = []
+        for k in ks:
+            _, cents, cost = _fit(feats, int(k), seed, id_col, max_iter)
+            rows.append((int(k), float(measure(feats, cents, cost))))
+    finally:
+        feats.unpersist()
+    return spark, rows
+
+
+def elbow_curve(vecs: DataFrame, ks, seed: int = 42, id_col: str = "vec_id", vec: str = "embedding",
+                max_iter: int = 20) -> DataFrame:
+    """M5: k-means training cost (inertia) for each k."""
+    spark, rows = _sweep(vecs, ks, seed, id_col, vec, max_iter, lambda f, c, cost: cost)
     return spark.createDataFrame(rows, "k int, inertia double")
 
 
 def silhouette_sweep(vecs: DataFrame, ks, seed: int = 42, id_col: str = "vec_id",
-                     vec: str = "embedding") -> DataFrame:
+                     vec: str = "embedding", max_iter: int = 20) -> DataFrame:
     """M4: mean (squared-Euclidean) silhouette of the k-means labelling for each k."""
-    spark = vecs.sparkSession
-    rows = []
-    for k in ks:
-        assigned, _, _ = kmeans_cluster(vecs, k, seed, id_col, vec)
-        s = silhouette(vecs.join(assigned, id_col), "cluster_label", vec, id_col).first()["silhouette"]
-        rows.append((int(k), float(s)))
+    def measure(feats, cents, cost):
+        labelled = assign_nearest(feats, cents, id_col, vec)
+        return silhouette(labelled.join(feats.select(id_col, vec), id_col), "cluster_label", vec,
+                          id_col).first()["silhouette"]
+    spark, rows = _sweep(vecs, ks, seed, id_col, vec, max_iter, measure)
     return spark.createDataFrame(rows, "k int, silhouette double")
 
 
@@ -195,16 +217,25 @@ def cluster_members(assigned: DataFrame, text: str = "headline", id_col: str = "
             .where(F.col("member_rank") <= limit))
 
 
-def cluster_keywords(assigned: DataFrame, text: str = "headline", k: int = 5) -> DataFrame:
+def cluster_keywords(assigned: DataFrame, text: str = "headline", k: int = 5,
+                     first_seen_by: str | None = None) -> DataFrame:
     """A22 + W2: the ``k`` most frequent whitespace words per cluster, joined as a label.
 
-    Ties are broken by the word itself.  Word counts use a partial
-    aggregate, so a hot cluster costs one row per distinct word.
+    Ties are broken by the word itself, or - with ``first_seen_by`` (a column
+    giving the order of the texts) - by first appearance, as a running
+    counter over the texts in that order would.  Word counts use a partial
+    aggregate, so a hot cluster costs one row per distinct word, and the
+    ``rank <= k`` filter becomes a partial top-k before the shuffle.
     Output ``(cluster_label, top_words)``.
     """
-    words = assigned.select("cluster_label", F.explode(F.split(F.trim(F.col(text)), r"\s+")).alias("word"))
-    counts = words.where(F.length("word") > 0).groupBy("cluster_label", "word").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("cluster_label").orderBy(F.desc("n"), F.asc("word"))
+    order = [F.col(first_seen_by)] if first_seen_by else []
+    words = assigned.select("cluster_label", *order,
+                            F.posexplode(F.split(F.trim(F.col(text)), r"\s+")).alias("_p", "word"))
+    first = F.min(F.struct(*order, F.col("_p"))) if first_seen_by else F.lit(None)
+    counts = words.where(F.length("word") > 0).groupBy("cluster_label", "word").agg(
+        F.count(F.lit(1)).alias("n"), first.alias("_first"))
+    tie = [F.asc("_first")] if first_seen_by else []
+    w = Window.partitionBy("cluster_label").orderBy(F.desc("n"), *tie, F.asc("word"))
     top = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.groupBy("cluster_label").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]),

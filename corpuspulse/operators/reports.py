@@ -85,8 +85,13 @@ def topic_by_day(scores: DataFrame, grain: str = "day") -> DataFrame:
     """A10: mean score per (day, topic); undated rows are left out.
 
     Output ``(day date, topic, value)``; ``grain`` other than ``day`` uses
-    ``date_trunc`` and returns a timestamp column instead.
+    ``date_trunc`` and returns a timestamp column instead; ``grain='raw'``
+    groups by the raw date text ``date_raw`` (time of day and ``-`` kept, the
+    literal rule).
     """
+    if grain == "raw":
+        return scores.groupBy(F.col("date_raw").alias("day"), "topic").agg(
+            F.avg(nan_to_null("score")).alias("value"))
     ts = F.col("event_ts")
     key = F.to_date(ts) if grain == "day" else F.date_trunc(grain, ts)
     return (scores.where(ts.isNotNull()).groupBy(key.alias("day"), "topic")

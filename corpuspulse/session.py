@@ -39,18 +39,25 @@ def get_spark(app: str = "corpuspulse", master: str | None = None,
     return builder.getOrCreate()
 
 
+_LOCAL_SCRATCH: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder must be shared storage configured by the operator;
-    we only invent a scratch folder when the setting is absent (local tests).
+    On a cluster the folder must be shared storage configured by the operator
+    (it is a core setting, fixed when the application starts); without it we
+    refuse to run there.  Only in local mode (tests) a scratch folder is made.
     """
+    global _LOCAL_SCRATCH
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="corpuspulse-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this application")
+        if _LOCAL_SCRATCH is None:
+            _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="corpuspulse-ckpt-")
+        path = _LOCAL_SCRATCH
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path

@@ -12,8 +12,8 @@ def spark():
     from corpuspulse.session import get_spark
     s = get_spark("corpuspulse-tests", master="local[*]", shuffle_partitions=8)
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="corpuspulse-test-ckpt-"))
+    from corpuspulse.session import checkpoint_dir
+    checkpoint_dir(s)
     yield s
     s.stop()
 

@@ -475,3 +475,16 @@ def test_drop_shouting_and_row_ids(spark):
     assert FL.drop_shouting(df).count() == 2
     u = R.union_all(df, df, id_col="row_id")
     assert u.select("row_id").distinct().count() == 6
+
+
+def test_cluster_keywords_first_seen(spark):
+    df = spark.createDataFrame([(0, 1, "z y"), (0, 2, "y z x")], "cluster_label int, pos int, headline string")
+    got = C.cluster_keywords(df, first_seen_by="pos").first().top_words
+    assert got == "z y x"   # z and y tie (2 each): z seen first
+
+
+def test_topic_by_day_raw(spark):
+    df = spark.createDataFrame([("2023-09-07 10:00:00", "t", 1.0), ("-", "t", -1.0), ("-", "t", 0.0)],
+                               "date_raw string, topic string, score double")
+    got = {r.day: r.value for r in R.topic_by_day(df, grain="raw").collect()}
+    assert got == {"2023-09-07 10:00:00": 1.0, "-": -0.5}
