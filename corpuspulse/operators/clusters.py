@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspulse.functions.util import let, let2
-from corpuspulse.session import spread
+from corpuspulse.session import broadcast_if_small, spread
 
 CENTROID_LITERAL_LIMIT = 2_000_000  # k * dim values shipped inside the plan
 
@@ -192,7 +192,7 @@ def project_2d(vecs: DataFrame, id_col: str = "vec_id", vec: str = "embedding")
 
 def attach_cluster_name(assigned: DataFrame, names: DataFrame) -> DataFrame:
     """Left join to the (k-row) cluster-name table."""
-    return assigned.join(F.broadcast(names.select("cluster_label", "name")), "cluster_label", "left")
+    return assigned.join(broadcast_if_small(names.select("cluster_label", "name")), "cluster_label", "left")
 
 
 def cluster_sizes(named: DataFrame) -> DataFrame:
@@ -259,6 +259,6 @@ def reassign_by_cluster(scores: DataFrame, named: DataFrame, cluster_topic: Data
     unscored = no_topic_scored(whole, scores, id_col)
     mapping = cluster_topic.select(F.lower("name").alias("_name"), F.explode("topics").alias("topic"))
     target = (unscored.join(named.select(id_col, F.lower("name").alias("_name")), id_col)
-              .join(F.broadcast(mapping), "_name")
+              .join(broadcast_if_small(mapping), "_name")
               .select(id_col, *keys, "topic", F.col("_w").alias("score")))
     return scores.unionByName(target)

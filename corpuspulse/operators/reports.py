@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspulse.functions.scores import AGGREGATES, nan_to_null
+from corpuspulse.session import broadcast_if_small
 
 TOTAL = "total"
 TOTAL_ROW = "Total"
@@ -149,7 +150,7 @@ def union_all(*dfs: DataFrame, id_col: str | None = None) -> DataFrame:
 def canonical_topics(df: DataFrame, alias: DataFrame, col: str = "topic") -> DataFrame:
     """P10: rename raw topic names through ``alias(raw, topic)``; unmapped stay."""
     a = alias.select(F.col("raw").alias("_raw"), F.col("topic").alias("_canon"))
-    return (df.join(F.broadcast(a), F.col(col) == F.col("_raw"), "left")
+    return (df.join(broadcast_if_small(a), F.col(col) == F.col("_raw"), "left")
             .withColumn(col, F.coalesce("_canon", col)).drop("_raw", "_canon"))
 
 

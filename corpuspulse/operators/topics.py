@@ -76,6 +76,8 @@ def match_topics(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id",
         return staged.select(id_col, F.explode(first_of_topic(F.col("_all"))).alias("k")).select(
             id_col, "k.topic", "k.pos", "k.keyword")
     if strategy == "join":
+        if _bounded_count(keywords, broadcast_limit) > broadcast_limit:
+            raise ValueError(f"more than {broadcast_limit} phrases; use strategy='automaton'")
         pairs = t.join(F.broadcast(keywords), F.col("_h").contains(F.col("keyword")))
         return _first_hit(pairs.select(id_col, "topic", "pos", "keyword"), id_col)
     return _first_hit(_automaton_join(t, keywords, id_col), id_col)

@@ -80,3 +80,17 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_ROWS):
+    """Hint a broadcast only after a bounded count proves ``df`` has at most ``max_rows`` rows.
+
+    Larger inputs get no hint: the planner and AQE pick a shuffle join from
+    the measured sizes.  Meant for parameter and dimension tables.
+    """
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
