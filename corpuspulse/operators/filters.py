@@ -22,10 +22,16 @@ def in_date_range(df: DataFrame, start, end, col: str = "event_ts", end_of_day:
     start = _as_ts(start)
     end = _as_ts(end)
     c = F.col(col)
+    # Literals take the column's own type, so wall-clock (timestamp_ntz) columns
+    # compare without any session time-zone conversion.
+    typ = df.schema[col].dataType.simpleString()
+
+    def lit(v: _dt.datetime):
+        return F.lit(v.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(typ)
     if end_of_day:
         end_excl = (_dt.datetime.combine(end.date(), _dt.time()) + _dt.timedelta(days=1))
-        return df.where((c >= F.lit(start)) & (c < F.lit(end_excl)))
-    return df.where((c >= F.lit(start)) & (c <= F.lit(end)))
+        return df.where((c >= lit(start)) & (c < lit(end_excl)))
+    return df.where((c >= lit(start)) & (c <= lit(end)))
 
 
 def _as_ts(v):

@@ -24,18 +24,34 @@ from corpuspulse.functions.text import clean_en
 from corpuspulse.session import scratch_table_path
 
 
+def _is_wall_clock(df: DataFrame, col: str) -> bool:
+    return df.schema[col].dataType.simpleString() == "timestamp_ntz"
+
+
 def with_event_time(df: DataFrame, col: str = "event_ts") -> DataFrame:
-    """Watermarks need ``timestamp`` (not ``timestamp_ntz``); the session time zone is UTC."""
-    return df.withColumn(col, F.col(col).cast("timestamp"))
+    """Watermarks need ``timestamp`` (not ``timestamp_ntz``).
+
+    Wall-clock values are mapped to the instant whose UTC reading is that
+    wall clock, so daily windows (aligned to UTC days) are wall-clock days
+    whatever the session time zone.
+    """
+    if not _is_wall_clock(df, col):
+        return df
+    tz = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    return df.withColumn(col, F.from_utc_timestamp(F.col(col).cast("timestamp"), tz))
 
 
 def topic_by_day_stream(scores: DataFrame, watermark: str = "2 days") -> DataFrame:
     """Streaming A10: ``(day, topic, n, total, value)`` per daily window."""
+    wall = _is_wall_clock(scores, "event_ts")
     s = with_event_time(scores).where(F.col("event_ts").isNotNull()).withWatermark("event_ts", watermark)
     score = nan_to_null("score")
     g = s.groupBy(F.window("event_ts", "1 day"), "topic").agg(
         F.count(score).alias("n"), F.sum(score).alias("total"))
-    return g.select(F.to_date(F.col("window.start")).alias("day"), "topic", "n", "total",
+    start = F.col("window.start")
+    if wall:
+        start = F.to_utc_timestamp(start, s.sparkSession.conf.get("spark.sql.session.timeZone"))
+    return g.select(F.to_date(start).alias("day"), "topic", "n", "total",
                     (F.col("total") / F.col("n")).alias("value"))
 
 
