@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions.scores import label_score
 from corpuspulse.functions.text import clean_en, paragraphs, tokens
-from corpuspulse.functions.util import let
-from corpuspulse.operators.topics import prepare_keywords, topic_segments
+from corpuspulse.functions.util import let, let2
+from corpuspulse.operators.topics import prepare_keywords, segments_array, small_keywords, topic_segments
 from corpuspulse.session import spread
 
 # Fixed values of the VADER-style scorer.
@@ -133,11 +133,16 @@ def compound_label(c) -> tuple[Column, Column]:
     return label, F.abs(c)
 
 
-def _context(window: int) -> Column:
-    left = tokens(F.col("left"))
-    right = tokens(F.col("right"))
-    return F.array_join(F.concat(F.slice(left, F.greatest(F.size(left) - window + 1, F.lit(1)), window),
-                                 F.slice(right, 1, window)), " ")
+def _context(window: int, left: Column | None = None, right: Column | None = None) -> Column:
+    left = tokens(F.col("left") if left is None else left)
+    right = tokens(F.col("right") if right is None else right)
+    return let2(left, right, lambda lt, rt: F.array_join(
+        F.concat(F.slice(lt, F.greatest(F.size(lt) - window + 1, F.lit(1)), window), F.slice(rt, 1, window)), " "))
+
+
+def _triple_score(left: Column, right: Column, lex_map: Column, boosters, negators, window: int = 3) -> Column:
+    label, p = compound_label(compound_column(tokens(_context(window, left, right)), lex_map, boosters, negators))
+    return label_score(label, p)
 
 
 def target_sentiment(segments: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", window: int = 3,
@@ -209,6 +214,21 @@ def score_headlines(heads: DataFrame, keywords: DataFrame, lexicon: DataFrame, i
         src = batch_infer(src, ["_raw"], translate, "_en string").drop("_raw").withColumnRenamed("_en", "_raw")
     clean = src.select(id_col, *keys, clean_en(F.col("_raw"), stop_words, lemmas).alias("_txt"))
     kw = prepare_keywords(keywords, mode, stop_words, lemmas)
+    kw_rows = small_keywords(kw)
+    lex_map = lexicon_map(lexicon)
+    if kw_rows is not None and lex_map is not None:
+        # One pass: per text, the topic triples and the whole text are scored in one
+        # projection and exploded once (no union, one scan of the input).
+        def per_text(h: Column) -> Column:
+            triples = segments_array(h, kw_rows, mode)
+            topic_scores = F.transform(triples, lambda x: F.struct(
+                x["topic"].alias("topic"),
+                _triple_score(x["s"]["left"], x["s"]["right"], lex_map, boosters, negators).alias("score")))
+            whole = F.struct(F.lit("whole").alias("topic"),
+                             compound_column(tokens(h), lex_map, boosters, negators).alias("score"))
+            return F.concat(topic_scores, F.array(whole))
+        out = clean.select(id_col, *keys, F.explode(let(F.col("_txt"), per_text)).alias("_r"))
+        return out.select(id_col, *keys, "_r.topic", "_r.score")
     segs = topic_segments(clean, kw, id_col, "_txt", mode, keep=keys)
     topic_scores = target_sentiment(segs, lexicon, id_col, boosters=boosters, negators=negators, keep=keys)
     lex_map = lexicon_map(lexicon)

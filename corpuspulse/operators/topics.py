@@ -27,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuspulse.functions.text import clean_en
-from corpuspulse.functions.util import let
+from corpuspulse.functions.util import let, let2
 
 BROADCAST_LIMIT = 5_000
+SENTINEL = "\u0000"  # never produced by the text cleaners
 AUTOMATON_LIMIT = 2_000_000
 
 
@@ -201,20 +202,43 @@ def tag_segments(texts: DataFrame, keywords, id_col: str = "doc_id", text_col: s
     return _segment_cols(hits, id_col, mode, keep)
 
 
-def _segment_cols(j: DataFrame, id_col: str, mode: str, keep=()) -> DataFrame:
-    parts = F.split(F.col("_h"), _regex_quote(F.col("keyword")))
+def segment_struct(h: Column, kw: Column, mode: str = "fixed") -> Column:
+    """P8 for one (text, phrase): ``struct(left, target, right)``; a field is NULL when a
+    needed segment is missing.  ``h`` and ``kw`` should be cheap references."""
+    def body(segs):
+        seg0, seg1 = F.get(segs, 0), F.get(segs, 1)
+        starts, ends = F.startswith(h, kw), F.endswith(h, kw)
+        empty = F.lit("")
+        end_triple = (empty, seg0, kw) if mode == "compat" else (seg0, kw, empty)
+        left = F.when(starts, empty).when(ends, end_triple[0]).otherwise(seg0)
+        target = F.when(starts, kw).when(ends, end_triple[1]).otherwise(kw)
+        right = F.when(starts, seg0).when(ends, end_triple[2]).otherwise(seg1)
+        return F.struct(left.alias("left"), target.alias("target"), right.alias("right"))
+    # Literal split: replace every occurrence by a sentinel, then split on the
+    # (constant) sentinel - no per-row regex compilation.
+    parts = F.split(F.replace(h, kw, F.lit(SENTINEL)), SENTINEL)
     segs = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")),
                     lambda p: F.length(p) > 0)
-    seg0, seg1 = F.get(segs, 0), F.get(segs, 1)
-    kw = F.col("keyword")
-    starts, ends = F.startswith(F.col("_h"), kw), F.endswith(F.col("_h"), kw)
-    empty = F.lit("")
-    end_triple = (empty, seg0, kw) if mode == "compat" else (seg0, kw, empty)
-    left = F.when(starts, empty).when(ends, end_triple[0]).otherwise(seg0)
-    target = F.when(starts, kw).when(ends, end_triple[1]).otherwise(kw)
-    right = F.when(starts, seg0).when(ends, end_triple[2]).otherwise(seg1)
-    out = j.select(id_col, *keep, "topic", left.alias("left"), target.alias("target"), right.alias("right"))
-    return out.where(F.col("left").isNotNull() & F.col("target").isNotNull() & F.col("right").isNotNull())
+    return let(segs, body)
+
+
+def _complete(seg: Column) -> Column:
+    return seg["left"].isNotNull() & seg["target"].isNotNull() & seg["right"].isNotNull()
+
+
+def segments_array(h: Column, kw_rows, mode: str = "fixed") -> Column:
+    """J3 + P8 per text as an array of ``struct(topic, left, target, right)`` (complete ones only)."""
+    first = first_of_topic(all_hits(h, keyword_array(kw_rows)))
+    return let2(h, first, lambda hv, fs: F.filter(
+        F.transform(fs, lambda k: F.struct(k["topic"].alias("topic"),
+                                           segment_struct(hv, k["keyword"], mode).alias("s"))),
+        lambda x: _complete(x["s"])))
+
+
+def _segment_cols(j: DataFrame, id_col: str, mode: str, keep=()) -> DataFrame:
+    seg = segment_struct(F.col("_h"), F.col("keyword"), mode)
+    out = j.select(id_col, *keep, "topic", seg.alias("_s")).where(_complete(F.col("_s")))
+    return out.select(id_col, *keep, "topic", "_s.left", "_s.target", "_s.right")
 
 
 def topic_segments(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text",
