@@ -121,9 +121,9 @@ def q_text_after(spark, sf):
 
 @register("label_score", """
 SELECT doc_id,
-       CASE WHEN quality = 1 AND toxic = 0 THEN 0.5 + 0.1 * (doc_id % 5)
-            WHEN quality = 0 AND toxic = 0 THEN 0.0
-            ELSE -(0.5 + 0.1 * (doc_id % 5)) END AS score
+       round(CAST(CASE WHEN quality = 1 AND toxic = 0 THEN 0.5 + 0.1 * (doc_id % 5)
+                       WHEN quality = 0 AND toxic = 0 THEN 0.0
+                       ELSE -(0.5 + 0.1 * (doc_id % 5)) END AS DOUBLE), 6) AS score
 FROM labels""")
 def q_label_score(spark, sf):
     """Positive -> +p, neutral -> 0, anything else (negative, unknown) -> -p."""
