@@ -168,3 +168,29 @@ def q_target_mean(spark, sf):
     segs = TP.tag_segments(texts, TP.prepare_keywords(S.kw(spark)), "doc_id", "text", keep=("paper",))
     r = SC.target_sentiment(segs, S.lexicon(spark), "doc_id", keep=("paper",), **_KW_ARGS)
     return SC.target_mean(r, ("paper", "topic")).select("paper", "topic", (F.round("score", 6) + 0.0).alias("score"))
+
+
+def _clean_docs(spark, sf):
+    from corpuspulse.sources.tables import driver_table
+    d = driver_table(spark, sf, "documents")
+    return d.select("doc_id", F.col("source").alias("paper"), T.clean_en("text").alias("text"))
+
+
+@register("lexicon_compound_documents", with_(LEX) + f""",
+td AS (SELECT doc_id, {sql_clean_en('text')} AS h FROM documents),
+{sql_compound('cmp', 'td', ['doc_id'], 'h')}
+SELECT doc_id, round(compound, 6) + 0.0 AS compound FROM cmp""")
+def q_lexicon_compound_documents(spark, sf):
+    """M7 over whole documents (every token of every text)."""
+    r = SC.lexicon_compound(_clean_docs(spark, sf), S.lexicon(spark), "doc_id", "text", **_KW_ARGS)
+    return r.select("doc_id", (F.round("compound", 6) + 0.0).alias("compound"))
+
+
+@register("match_topics_documents", with_(KW) + f""",
+td AS (SELECT doc_id, {sql_clean_en('text')} AS h FROM documents),
+kwp AS (SELECT topic, pos, {sql_clean_en('keyword')} AS keyword FROM kw WHERE length({sql_clean_en('keyword')}) > 0)
+SELECT doc_id, topic, CAST(min(pos) AS INT) AS pos, arg_min(keyword, pos) AS keyword
+FROM td JOIN kwp ON contains(h, keyword) GROUP BY doc_id, topic""")
+def q_match_topics_documents(spark, sf):
+    """J3 over whole documents."""
+    return TP.match_topics(_clean_docs(spark, sf), TP.prepare_keywords(S.kw(spark)), "doc_id", "text")
