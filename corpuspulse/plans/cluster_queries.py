@@ -131,7 +131,7 @@ def q_project_2d(spark, sf):
 @register("embed_text")
 def q_embed_text(spark, sf):
     """M1: baseline hashed TF-IDF encoder over the documents (64 dims)."""
-    d = driver_table(spark, sf, "documents").select("doc_id", "text")
+    d = S.text_table(spark, sf, "documents").select("doc_id", "text")
     return C.embed_text(d, "text", 64)
 
 

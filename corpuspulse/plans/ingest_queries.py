@@ -148,7 +148,7 @@ FROM (SELECT doc_id,
       FROM documents) t""")
 def q_keywords_from_text(spark, sf):
     """comma/line separated phrase files -> ordered (topic, pos, keyword)."""
-    d = driver_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("topic"), "text")
+    d = S.text_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("topic"), "text")
     return keywords_from_text(d)
 
 

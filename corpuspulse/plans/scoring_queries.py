@@ -171,8 +171,7 @@ def q_target_mean(spark, sf):
 
 
 def _clean_docs(spark, sf):
-    from corpuspulse.sources.tables import driver_table
-    d = driver_table(spark, sf, "documents")
+    d = S.text_table(spark, sf, "documents")
     return d.select("doc_id", F.col("source").alias("paper"), T.clean_en("text").alias("text"))
 
 

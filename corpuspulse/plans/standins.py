@@ -12,9 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuspulse.session import spread
 from corpuspulse.sources.tables import driver_table
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text-heavy table, spread over the cores when it arrives in fewer splits
+    (CPU-bound per-row work; no shuffle is added for inputs with many splits)."""
+    return spread(driver_table(spark, sf_dir, name))
+
+
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long score table ``(obs_id, paper, topic, score, event_ts)`` from ``events``.
 
@@ -60,13 +67,13 @@ def actual_alias(spark: SparkSession) -> DataFrame:
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines ``(doc_id, paper, lang, headline)``: first line of each document."""
     d = driver_table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.col("source").alias("paper"), "lang",
-                    F.substring_index(F.col("text"), "\n", 1).alias("headline"))
+    return spread(d.select("doc_id", F.col("source").alias("paper"), "lang",
+                           F.substring_index(F.col("text"), "\n", 1).alias("headline")))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programme documents ``(doc_id, party, text)``."""
-    d = driver_table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return d.select("doc_id", F.col("source").alias("party"), "text")
 
 
@@ -112,7 +119,7 @@ def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return driver_table(spark, sf_dir, "pages")
+    return text_table(spark, sf_dir, "pages")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

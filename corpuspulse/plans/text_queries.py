@@ -54,7 +54,7 @@ SELECT doc_id, source AS paper FROM documents
 WHERE NOT (upper(text) = text AND lower(text) <> text)""")
 def q_drop_shouting(spark, sf):
     """P5: drop all-capitals texts (digits-only is not shouting)."""
-    d = driver_table(spark, sf, "documents")
+    d = S.text_table(spark, sf, "documents")
     return d.where(~T.is_shouting("text")).select("doc_id", F.col("source").alias("paper"))
 
 
@@ -91,7 +91,7 @@ kept AS (
 SELECT doc_id, CAST(generate_subscripts(ks, 1) - 1 AS INT) AS pos, unnest(ks) AS paragraph FROM kept""")
 def q_paragraphs(spark, sf):
     """Document -> ordered paragraphs."""
-    return T.paragraphs(driver_table(spark, sf, "documents"))
+    return T.paragraphs(S.text_table(spark, sf, "documents"))
 
 
 @register("compose_headline", with_(HEADS) + """
