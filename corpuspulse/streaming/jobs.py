@@ -107,3 +107,20 @@ def file_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
             .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+
+
+def headline_file_stream(spark: SparkSession, path: str, mode: str = "fixed") -> DataFrame:
+    """S1 + S2 on a stream: new ``*.txt`` headline files under ``path`` as they arrive.
+
+    Same line rule as the batch reader (split at the first separator, blank
+    lines skipped, paper from the file name, date parsed); the event time is
+    the parsed date.
+    """
+    from corpuspulse.functions.text import parse_event_time
+    from corpuspulse.sources.headlines import paper_from_file_name, split_line
+    raw = (spark.readStream.option("pathGlobFilter", "*.txt").format("text").load(path)
+           .select("value", F.col("_metadata.file_name").alias("_file")))
+    raw = raw.where(F.length(F.trim("value")) > 0)
+    date_raw, headline = split_line("value")
+    return raw.select(paper_from_file_name("_file", mode).alias("paper"), date_raw.alias("date_raw"),
+                      parse_event_time(date_raw).alias("event_ts"), headline.alias("headline"))

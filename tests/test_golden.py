@@ -488,3 +488,16 @@ def test_topic_by_day_raw(spark):
                                "date_raw string, topic string, score double")
     got = {r.day: r.value for r in R.topic_by_day(df, grain="raw").collect()}
     assert got == {"2023-09-07 10:00:00": 1.0, "-": -0.5}
+
+
+def test_headline_file_stream_dedup(spark, tmp_root):
+    from corpuspulse.streaming import jobs as J
+    d = os.path.join(tmp_root, "stream_in")
+    _write(d, "headlines_p_one.txt", "2023-09-07 10:00:00 - Same\n2023-09-07 11:00:00 - Other\n")
+    _write(d, "headlines_p_two.txt", "2023-09-07 10:30:00 - Same\n")
+    s = J.headline_file_stream(spark, d).where(F.col("headline").isNotNull())
+    sink = J.run_available_now(J.dedup_headlines_stream(s), "test-dedup", output_mode="append")
+    got = sorted(r.headline for r in spark.read.parquet(sink).collect())
+    assert got == ["Other", "Same"]
+    papers = {r.paper for r in spark.read.parquet(sink).collect()}
+    assert papers <= {"p one", "p two"}
