@@ -180,6 +180,16 @@ def infer_targets(segments: DataFrame, scorer: Callable, id_col: str = "doc_id")
     return lab.select(id_col, "topic", label_score("label", "prob").alias("score"))
 
 
+_MODELS: dict = {}
+
+
+def _worker_model(key: str, factory: Callable):
+    """One model per Python worker process (workers are reused across tasks)."""
+    if key not in _MODELS:
+        _MODELS[key] = factory()
+    return _MODELS[key]
+
+
 def batch_infer(df: DataFrame, cols, factory: Callable, schema: str) -> DataFrame:
     """M8: apply a caller's model to columns in Arrow batches.
 
@@ -189,10 +199,11 @@ def batch_infer(df: DataFrame, cols, factory: Callable, schema: str) -> DataFram
     """
     keep = df.columns
     out_schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields] + [schema])
+    key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
 
     def run(batches):
         import pandas as pd
-        model = factory()
+        model = _worker_model(key, factory)
         for pdf in batches:
             res = model(pdf[list(cols)]).reset_index(drop=True)
             yield pd.concat([pdf[keep].reset_index(drop=True), res], axis=1)

@@ -36,4 +36,4 @@ def q_stream_dedup_headlines(spark, sf):
                      (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("doc_id")))
                      .alias("event_ts"))
     sink = J.run_available_now(J.dedup_headlines_stream(heads), "dedup", output_mode="append")
-    return spark.read.parquet(sink).select("headline")
+    return spark.read.parquet(sink).select("headline")  # batch_id is the partition column

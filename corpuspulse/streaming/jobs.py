@@ -70,8 +70,10 @@ def run_available_now(df: DataFrame, name: str, output_mode: str = "update",
                       timeout_s: int = 600) -> str:
     """Run a streaming DataFrame over everything available; return the sink path.
 
-    Every micro-batch is appended to ``<sink>`` with its ``batch_id`` so that
-    update-mode rows can be resolved to their latest version later.
+    Every micro-batch is written to its own ``<sink>/batch_id=<n>`` folder
+    with overwrite, so a batch replayed after a failure replaces its earlier
+    attempt (exactly-once effect); update-mode rows are resolved to their
+    latest version later.
     """
     spark = df.sparkSession
     run = uuid.uuid4().hex
@@ -79,7 +81,7 @@ def run_available_now(df: DataFrame, name: str, output_mode: str = "update",
     ckpt = scratch_table_path(spark, f"stream-{name}-{run}/checkpoint")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     q = (df.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
          .foreachBatch(write).trigger(availableNow=True).start())
