@@ -158,16 +158,40 @@ def voting_by_paper(scores: DataFrame, party_scores: DataFrame, alias: DataFrame
 
     Output ``(paper, party, topic_votes, party_mentions, total_votes, pct)``;
     the share is taken within each paper; a paper whose total is 0 gets NULL.
-    A party appears for a paper when the paper has scored rows on one of the
-    party's topics or on its mention topic.
+    Every party of the position table appears for every paper with scored
+    rows (zero votes included), as in the per-paper prediction.
     """
     counts = sign_counts_by_paper(scores, total_label)
     j = counts.join(_party_topics(party_scores, alias), "topic", "inner")
-    out = _tally(j, ["paper", "party"]).drop("_has_position")
+    tallied = _tally(j, ["paper", "party"]).drop("_has_position")
+    # Dense paper x party grid without a cross join: pivot on the (bounded)
+    # party list - every paper row gets every party column - then unpivot.
+    parties = party_list(party_scores)
+    papers = counts.select("paper", F.lit(None).cast("string").alias("party"),
+                           F.lit(None).cast("long").alias("topic_votes"),
+                           F.lit(None).cast("long").alias("party_mentions")).distinct()
+    wide = (tallied.unionByName(papers).groupBy("paper")
+            .pivot("party", parties).agg(F.first(F.struct("topic_votes", "party_mentions"), ignorenulls=True)))
+    long = wide.select("paper", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("party"), F.col(f"`{p}`").alias("v")) for p in parties])).alias("_e"))
+    out = long.select("paper", F.col("_e.party").alias("party"),
+                      F.coalesce("_e.v.topic_votes", F.lit(0)).cast("long").alias("topic_votes"),
+                      F.coalesce("_e.v.party_mentions", F.lit(0)).cast("long").alias("party_mentions"))
     out = out.withColumn("total_votes", F.col("topic_votes") + F.col("party_mentions"))
     return out.withColumn("pct", share_pct("total_votes", by=("paper",), places=places))
 
 
+PARTY_LIMIT = 10_000
+
+
+def party_list(party_scores: DataFrame, limit: int = PARTY_LIMIT) -> list[str]:
+    """Distinct parties of the position table (a dimension; size checked)."""
+    rows = party_scores.select("party").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} parties")
+    return sorted(r[0] for r in rows if r[0] is not None)
+
+
 def outcome_matrix(pred_by_paper: DataFrame, papers: list[str], total_label: str = TOTAL,
                    value: str = "pct") -> DataFrame:
     """Predicted share per party, one column per paper plus ``total``.

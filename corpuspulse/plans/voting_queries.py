@@ -86,10 +86,13 @@ pmp AS (
   SELECT o.paper, a.party, CAST(count(*) FILTER (WHERE o.score > 0) AS BIGINT) AS party_mentions
   FROM obs2 o JOIN party_alias a ON o.topic = a.topic
   GROUP BY o.paper, a.party),
+grid AS (SELECT pp.paper, pa.party FROM (SELECT DISTINCT paper FROM obs2) pp
+         CROSS JOIN (SELECT DISTINCT party FROM prog) pa),
 byp AS (
-  SELECT coalesce(t.paper, m.paper) AS paper, coalesce(t.party, m.party) AS party,
+  SELECT g.paper, g.party,
          coalesce(t.topic_votes, 0) AS topic_votes, coalesce(m.party_mentions, 0) AS party_mentions
-  FROM tvp t FULL OUTER JOIN pmp m ON t.paper = m.paper AND t.party = m.party),
+  FROM grid g LEFT JOIN tvp t ON t.paper = g.paper AND t.party = g.party
+  LEFT JOIN pmp m ON m.paper = g.paper AND m.party = g.party),
 predp AS (
   SELECT paper, party, topic_votes, party_mentions, topic_votes + party_mentions AS total_votes,
          round(CAST(topic_votes + party_mentions AS DOUBLE) * 100.0

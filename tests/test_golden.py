@@ -501,3 +501,12 @@ def test_headline_file_stream_dedup(spark, tmp_root):
     assert got == ["Other", "Same"]
     papers = {r.paper for r in spark.read.parquet(sink).collect()}
     assert papers <= {"p one", "p two"}
+
+
+def test_voting_by_paper_dense(spark):
+    scores = spark.createDataFrame([("p1", "a", 1.0), ("p2", "b", 1.0)], "paper string, topic string, score double")
+    parties = spark.createDataFrame([("A", "a", 1.0), ("B", "b", 1.0)], "party string, topic string, score double")
+    got = {(r.paper, r.party): (r.total_votes, r.pct) for r in V.voting_by_paper(scores, parties).collect()}
+    assert got[("p1", "B")] == (0, 0.0) and got[("p2", "A")] == (0, 0.0)
+    assert got[("p1", "A")] == (1, 100.0) and got[("total", "A")] == (1, 50.0)
+    assert len(got) == 6
