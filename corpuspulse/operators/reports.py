@@ -22,11 +22,6 @@ TOPIC_ONLY = "total (topic only)"
 WHOLE = "whole"
 
 
-def _label(col: str, label: str) -> Column:
-    """Margin label from ``grouping()`` so a real NULL key stays NULL."""
-    return F.when(F.grouping(col) == 1, F.lit(label)).otherwise(F.col(col)).alias(col)
-
-
 def paper_counts(df: DataFrame, total_label: str = TOTAL_ROW) -> DataFrame:
     """A1: rows per paper plus a total row (``ROLLUP(paper)``)."""
     return df.rollup("paper").agg(F.count(F.lit(1)).alias("n"), F.grouping("paper").alias("_g")) \

@@ -48,10 +48,6 @@ def _bounded_count(df: DataFrame, limit: int) -> int:
     return df.limit(limit + 1).count()
 
 
-def _regex_quote(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-
-
 def _first_hit(pairs: DataFrame, id_col: str) -> DataFrame:
     return pairs.groupBy(id_col, "topic").agg(
         F.min("pos").alias("pos"), F.min_by("keyword", "pos").alias("keyword"))

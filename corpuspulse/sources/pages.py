@@ -21,7 +21,6 @@ dates, constants.  Selectors: ``tag``, ``.class``, ``tag.class``,
 from __future__ import annotations
 
 import dataclasses
-import html as _html
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -308,7 +307,3 @@ def extract_tag_text(pages: DataFrame, record: str = "article", field: str = "h1
     found = F.regexp_extract_all(F.col("html"), F.lit(pat), 1)
     return pages.select("page_id", F.posexplode(found).alias("pos", "headline")).select(
         "page_id", "pos", F.trim(unescape_html("headline")).alias("headline"))
-
-
-def _py_unescape(s: str) -> str:
-    return _html.unescape(s)
