@@ -190,6 +190,19 @@ def top_k_per_group(df: DataFrame, by, order, k: int = 5) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_k_words(counts: DataFrame, k: int = 5, by=("cluster_label",), count: str = "n",
+                word: str = "word") -> DataFrame:
+    """The ``k`` most frequent words per group from ``(by.., word, count)`` rows,
+    ties by the word; a partial top-k runs before the shuffle."""
+    return top_k_per_group(counts, list(by), [F.desc(count), F.asc(word)], k)
+
+
+def share_of_total(df: DataFrame, x: str, by=(), out: str = "pct", places: int | None = 2) -> DataFrame:
+    """``x`` as a percentage of its total within ``by`` (on aggregated rows)."""
+    from corpuspulse.functions.scores import share_pct
+    return df.withColumn(out, share_pct(x, by=tuple(by), places=places))
+
+
 def carry_forward(df: DataFrame, col: str, by, order, out: str | None = None) -> DataFrame:
     """Last non-NULL value of ``col`` so far within ``by`` (NULL when none yet)."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

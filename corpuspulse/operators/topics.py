@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions.text import clean_en
 from corpuspulse.functions.util import let, let2
+from corpuspulse.session import broadcast_if_small
 
 BROADCAST_LIMIT = 5_000
 SENTINEL = "\u0000"  # never produced by the text cleaners
@@ -126,7 +127,9 @@ def _ngram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
         grams_of(tv, n) for n in range(1, max_n + 1)])))).alias("_g")).select(
         id_col, F.explode("_g").alias("keyword"))
     grams = grams.where(F.col("keyword").isNotNull())
-    return grams.join(kw.drop("_n"), "keyword").select(id_col, "topic", "pos", "keyword")
+    # The phrase table is small in practice; broadcast it (behind a bounded
+    # count) so the n-grams, the large side, are never shuffled.
+    return grams.join(broadcast_if_small(kw.drop("_n")), "keyword").select(id_col, "topic", "pos", "keyword")
 
 
 def _automaton_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:

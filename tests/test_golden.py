@@ -510,3 +510,12 @@ def test_voting_by_paper_dense(spark):
     assert got[("p1", "B")] == (0, 0.0) and got[("p2", "A")] == (0, 0.0)
     assert got[("p1", "A")] == (1, 100.0) and got[("total", "A")] == (1, 50.0)
     assert len(got) == 6
+
+
+def test_top_k_words_and_share(spark):
+    counts = spark.createDataFrame([(0, "a", 3), (0, "b", 3), (0, "c", 1), (1, "x", 2)],
+                                   "cluster_label int, word string, n long")
+    got = sorted((r.cluster_label, r.word, r.rank) for r in R.top_k_words(counts, 2).collect())
+    assert got == [(0, "a", 1), (0, "b", 2), (1, "x", 1)]
+    sh = {r.word: r.pct for r in R.share_of_total(counts, "n", by=["cluster_label"]).collect()}
+    assert sh["a"] == 42.86 and sh["x"] == 100.0
