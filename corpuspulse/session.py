@@ -70,16 +70,21 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df, min_partitions: int | None = None):
-    """Round-robin repartition only when ``df`` arrives in fewer partitions than cores.
+    """Round-robin repartition only when ``df`` arrives in fewer files (or partitions) than cores.
 
     CPU-heavy per-row text work (explode, regex, lexicon scoring) on an input
     read as a handful of splits would leave most cores idle.  Large inputs
     already have many splits, so no shuffle is added for them.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    want = min_partitions or cores
+    files = df.inputFiles()
+    # Split count alone misleads: a file with one row group is cut into several
+    # byte ranges of which only one holds rows.  Few files -> spread.
+    if (len(files) >= want) if files else (df.rdd.getNumPartitions() >= want):
         return df
-    return df.repartition(target)
+    # A few partitions per core even out rows of very different cost (texts of 1 to 20,000 words).
+    return df.repartition(min_partitions or 3 * cores)
 
 
 BROADCAST_ROWS = 1_000_000
