@@ -83,8 +83,10 @@ def spread(df, min_partitions: int | None = None):
     # byte ranges of which only one holds rows.  Few files -> spread.
     if (len(files) >= want) if files else (df.rdd.getNumPartitions() >= want):
         return df
-    # A few partitions per core even out rows of very different cost (texts of 1 to 20,000 words).
-    return df.repartition(min_partitions or 3 * cores)
+    # Two partitions per core (``corpuspulse.spread.factor``) even out rows of very
+    # different cost (texts of 1 to 20,000 words).
+    factor = int(df.sparkSession.conf.get("corpuspulse.spread.factor", "2"))
+    return df.repartition(min_partitions or factor * cores)
 
 
 BROADCAST_ROWS = 1_000_000
