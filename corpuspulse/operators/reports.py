@@ -45,9 +45,20 @@ def _agg_fn(agg) -> Callable[[Column], Column]:
     return AGGREGATES[agg] if isinstance(agg, str) else agg
 
 
+TOPIC_LIMIT = 10_000
+
+
+def topic_list(df: DataFrame, limit: int = TOPIC_LIMIT) -> list[str]:
+    """Distinct topics (a taxonomy-sized dimension; size checked)."""
+    rows = df.select("topic").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} topics")
+    return sorted(r[0] for r in rows if r[0] is not None)
+
+
 def paper_topic_report(scores: DataFrame, agg="avg", margin: str | None = None,
                        total_label: str = TOTAL, topic_only_label: str = TOPIC_ONLY,
-                       exclude=(WHOLE,)) -> DataFrame:
+                       exclude=(WHOLE,), dense: bool = True) -> DataFrame:
     """``agg(score)`` per paper x topic with margins, long form.
 
     Output ``(paper, topic, value double)``:
@@ -66,6 +77,16 @@ def paper_topic_report(scores: DataFrame, agg="avg", margin: str | None = None,
         margin = "sum" if agg in ("count_pos", "count_neg") else "mean"
     m = F.sum if margin == "sum" else F.avg
     base = scores.groupBy("paper", "topic").agg(fn(nan_to_null("score")).cast("double").alias("value"))
+    if dense:
+        # Every paper x topic cell, as in a paper-by-topic table: counts of an
+        # absent pair are 0, means NULL.  Pivot the aggregated rows on the
+        # (bounded) topic list and unpivot - no cross join.
+        topics = topic_list(base)
+        zero = F.lit(0.0) if agg in ("count_pos", "count_neg") else F.lit(None).cast("double")
+        wide = base.groupBy("paper").pivot("topic", topics).agg(F.first("value"))
+        base = wide.select("paper", F.explode(F.array(*[
+            F.struct(F.lit(t).alias("topic"), F.coalesce(F.col(f"`{t}`"), zero).alias("value"))
+            for t in topics])).alias("_c")).select("paper", "_c.topic", "_c.value")
     # Second level on the aggregated (paper x topic) rows only.
     rows = base.unionByName(
         base.groupBy("topic").agg(m("value").alias("value")).withColumn("paper", F.lit(total_label)))

@@ -519,3 +519,13 @@ def test_top_k_words_and_share(spark):
     assert got == [(0, "a", 1), (0, "b", 2), (1, "x", 1)]
     sh = {r.word: r.pct for r in R.share_of_total(counts, "n", by=["cluster_label"]).collect()}
     assert sh["a"] == 42.86 and sh["x"] == 100.0
+
+
+def test_report_dense_cells(spark):
+    rows = [("p1", "a", 1.0), ("p2", "b", -1.0)]
+    cnt = {(r.paper, r.topic): r.value for r in R.paper_topic_report(_scores(spark, rows), "count_pos").collect()}
+    assert cnt[("p2", "a")] == 0.0 and cnt[("p1", "b")] == 0.0
+    avg = {(r.paper, r.topic): r.value for r in R.paper_topic_report(_scores(spark, rows), "avg").collect()}
+    assert avg[("p2", "a")] is None and avg[("total", "a")] == 1.0
+    sparse = R.paper_topic_report(_scores(spark, rows), "count_pos", dense=False).collect()
+    assert ("p2", "a") not in {(r.paper, r.topic) for r in sparse}
