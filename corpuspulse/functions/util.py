@@ -22,3 +22,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def let2(a: Column, b: Column, body: Callable[[Column, Column], Column]) -> Column:
     """``let`` for two values."""
     return let(F.struct(a.alias("a"), b.alias("b")), lambda s: body(s["a"], s["b"]))
+
+
+def json_literal(value, ddl_type: str) -> Column:
+    """A (small, bounded) Python value as one typed literal: ``from_json`` of a JSON string.
+
+    Catalyst constant-folds it into a single literal, so a lexicon or a
+    centroid table costs one driver call instead of one per element.
+    """
+    import json
+    return F.from_json(F.lit(json.dumps(value, allow_nan=True)), ddl_type)

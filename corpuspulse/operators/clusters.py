@@ -19,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuspulse.functions.util import let, let2
+from corpuspulse.functions.util import json_literal, let, let2
 from corpuspulse.session import broadcast_if_small, spread
 
 CENTROID_LITERAL_LIMIT = 2_000_000  # k * dim values shipped inside the plan
@@ -56,8 +56,9 @@ def _centroid_literal(centroids: DataFrame) -> Column:
     if size > CENTROID_LITERAL_LIMIT:
         raise ValueError("centroid table too large to embed in the plan")
     rows = sorted(rows, key=lambda r: r[0])
-    return F.array(*[F.struct(F.lit(r[0]).alias("label"),
-                              F.array(*[F.lit(float(x)) for x in r[1]]).alias("c")) for r in rows])
+    label_type = centroids.schema["cluster_label"].dataType.simpleString()
+    return json_literal([{"label": r[0], "c": [float(x) for x in r[1]]} for r in rows],
+                        f"array<struct<label:{label_type},c:array<double>>>")
 
 
 def sqdist(a: Column, b: Column) -> Column:
@@ -101,9 +102,10 @@ def silhouette(vecs: DataFrame, label: str = "cluster_label", vec: str = "embedd
     cl = stats.collect()
     if sum(len(r["mu"]) for r in cl) > CENTROID_LITERAL_LIMIT:
         raise ValueError("too many clusters for the in-plan silhouette")
-    arr = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.array(*[F.lit(float(v)) for v in r["mu"]]).alias("mu"),
-                             F.lit(float(r["_mnn"])).alias("mnn"), F.lit(int(r["_n"])).alias("n"))
-                    for r in sorted(cl, key=lambda r: r["label"])])
+    label_type = x.schema["_l"].dataType.simpleString()
+    arr = json_literal([{"label": r["label"], "mu": [float(v) for v in r["mu"]], "mnn": float(r["_mnn"]),
+                         "n": int(r["_n"])} for r in sorted(cl, key=lambda r: r["label"])],
+                       f"array<struct<label:{label_type},mu:array<double>,mnn:double,n:bigint>>")
 
     def mean_d(xv, nn, c):
         dot = F.aggregate(F.zip_with(xv, c["mu"], lambda a, b: a.cast("double") * b), F.lit(0.0),

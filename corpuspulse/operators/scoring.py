@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions.scores import label_score
 from corpuspulse.functions.text import clean_en, paragraphs, tokens
-from corpuspulse.functions.util import let, let2
+from corpuspulse.functions.util import json_literal, let, let2
 from corpuspulse.operators.topics import prepare_keywords, segments_array, small_keywords, topic_segments
 from corpuspulse.session import spread
 
@@ -49,13 +49,11 @@ def lexicon_map(lexicon: DataFrame, limit: int = LEXICON_MAP_LIMIT) -> Column |
     rows = lexicon.select("token", F.col("valence").cast("double")).limit(limit + 1).collect()
     if len(rows) > limit:
         return None
-    if not rows:
-        return F.create_map().cast("map<string,double>")
     merged = {}
     for tok, val in rows:
-        merged[tok] = val
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in merged]),
-                             F.array(*[F.lit(v).cast("double") for v in merged.values()]))
+        if tok is not None:
+            merged[tok] = val
+    return json_literal(merged, "map<string,double>")
 
 
 def _adjusted(v: Column, p1: Column, p2: Column, p3: Column, boosters, negators) -> Column:

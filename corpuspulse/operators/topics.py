@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuspulse.functions.text import clean_en
-from corpuspulse.functions.util import let, let2
+from corpuspulse.functions.util import json_literal, let, let2
 from corpuspulse.session import broadcast_if_small
 
 BROADCAST_LIMIT = 5_000
@@ -97,10 +97,9 @@ def keyword_array(keywords, limit: int = BROADCAST_LIMIT) -> Column:
     rows = small_keywords(keywords, limit) if isinstance(keywords, DataFrame) else keywords
     if rows is None:
         raise ValueError(f"more than {limit} phrases; use strategy='automaton'")
-    rows = sorted(rows)
-    return F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(p).cast("int").alias("pos"),
-                              F.lit(k).alias("keyword")) for t, p, k in rows]) if rows else \
-        F.array().cast("array<struct<topic:string,pos:int,keyword:string>>")
+    rows = sorted(rows, key=lambda r: (str(r[0]), r[1]))
+    return json_literal([{"topic": t, "pos": int(p), "keyword": k} for t, p, k in rows],
+                        "array<struct<topic:string,pos:int,keyword:string>>")
 
 
 def all_hits(h: Column, kw_array: Column) -> Column:
