@@ -5,8 +5,9 @@ profiles (A20-A22) and the cluster joins (J1, J2, J5).
 Vectors travel as ``array<float>`` columns; Spark ML stages get them through
 ``array_to_vector``.  Centroids are (k x dim) - bounded by the model, not by
 the data - so M3 embeds them in the plan and scores every row in its own
-task (no shuffle); a size check guards that bound (exact nearest-centroid
-search needs every centroid per row, so there is no pairwise fallback).
+task (no shuffle); a size check guards that bound.  Larger centroid tables
+use a broadcast numpy matrix in ``mapInPandas`` (still exact, still no shuffle
+and no pairs materialised).
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from corpuspulse.functions.util import json_literal, let, let2
 from corpuspulse.session import broadcast_if_small, spread
 
 CENTROID_LITERAL_LIMIT = 2_000_000  # k * dim values shipped inside the plan
+CENTROID_ROW_LIMIT = 100_000
+CENTROID_BROADCAST_ROWS = 1_000_000  # beyond the in-plan form: a broadcast numpy matrix
 
 
 def embed_text(df: DataFrame, col: str = "text", dim: int = 64, id_col: str = "doc_id",
@@ -50,8 +53,8 @@ def centroids_by_label(vecs: DataFrame, label: str = "label", vec: str = "embedd
     return g.select("cluster_label", vector_to_array("_m").alias("center"))
 
 
-def _centroid_literal(centroids: DataFrame) -> Column:
-    rows = centroids.select("cluster_label", "center").collect()
+def _centroid_literal(centroids: DataFrame, rows=None) -> Column:
+    rows = rows if rows is not None else centroids.select("cluster_label", "center").collect()
     size = sum(len(r[1]) for r in rows)
     if size > CENTROID_LITERAL_LIMIT:
         raise ValueError("centroid table too large to embed in the plan")
@@ -73,12 +76,46 @@ def assign_nearest(vecs: DataFrame, centroids: DataFrame, id_col: str = "vec_id"
 
     Output ``(id, cluster_label, sqdist)``; narrow (runs in the scan stage).
     """
-    cents = _centroid_literal(centroids)
+    rows = centroids.select("cluster_label", "center").limit(CENTROID_ROW_LIMIT + 1).collect()
+    if len(rows) > CENTROID_ROW_LIMIT or sum(len(r[1]) for r in rows) > CENTROID_LITERAL_LIMIT:
+        return _assign_nearest_numpy(vecs, centroids, id_col, vec)
+    cents = _centroid_literal(centroids, rows)
     best = let(F.col(vec), lambda v: F.array_min(
         F.transform(cents, lambda c: F.struct(sqdist(v, c["c"]).alias("d"), c["label"].alias("label")))))
     return vecs.select(id_col, best["label"].alias("cluster_label"), best["d"].alias("sqdist"))
 
 
+def _assign_nearest_numpy(vecs: DataFrame, centroids: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """M3 for centroid tables too large to embed in the plan: the (k x dim) matrix is
+    broadcast once (size checked) and each Arrow batch computes all distances with
+    numpy; ties go to the smaller label, as in the in-plan form."""
+    import numpy as np
+    n = centroids.limit(CENTROID_BROADCAST_ROWS + 1).count()
+    if n > CENTROID_BROADCAST_ROWS:
+        raise ValueError(f"more than {CENTROID_BROADCAST_ROWS} centroids")
+    rows = sorted(centroids.select("cluster_label", "center").collect(), key=lambda r: r[0])
+    labels = np.array([r[0] for r in rows])
+    mat = np.array([r[1] for r in rows], dtype=np.float64)
+    bc = vecs.sparkSession.sparkContext.broadcast((labels, mat))
+    id_type = vecs.schema[id_col].dataType.simpleString()
+    label_type = centroids.schema["cluster_label"].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+        lab, cm = bc.value
+        cn = (cm * cm).sum(axis=1)
+        for pdf in batches:
+            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()) if len(pdf) else \
+                np.zeros((0, cm.shape[1]))
+            d = (x * x).sum(axis=1)[:, None] - 2.0 * x @ cm.T + cn[None, :]
+            best = d.argmin(axis=1) if len(pdf) else np.zeros(0, dtype=int)
+            yield pd.DataFrame({id_col: pdf[id_col], "cluster_label": lab[best],
+                                "sqdist": np.maximum(d[np.arange(len(pdf)), best], 0.0) if len(pdf) else []})
+
+    return vecs.select(id_col, vec).mapInPandas(
+        run, f"{id_col} {id_type}, cluster_label {label_type}, sqdist double")
+
+
 def inertia(assigned: DataFrame) -> DataFrame:
     """M5 (own form): sum of squared distances to the assigned centroid, and row count."""
     return assigned.agg(F.sum("sqdist").alias("inertia"), F.count(F.lit(1)).alias("n"))

@@ -132,11 +132,36 @@ def _ngram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
 
 
 def _automaton_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
-    n = _bounded_count(keywords, AUTOMATON_LIMIT)
-    if n > AUTOMATON_LIMIT:
-        raise ValueError("keyword table too large for an automaton; use whole_word=True")
+    """Substring hits through Aho-Corasick automata, one per chunk of phrases.
+
+    A phrase table that fits one automaton (``AUTOMATON_LIMIT``) is one chunk;
+    a larger one is split by a hash of the phrase into chunks whose sizes are
+    checked with one small aggregate (the chunk count doubles until each
+    fits).  Hits of all chunks are unioned; the caller keeps the first per
+    topic.  Exact for any table size; each collect is bounded.
+    """
+    if _bounded_count(keywords, AUTOMATON_LIMIT) <= AUTOMATON_LIMIT:
+        return _automaton_chunk(t, keywords, id_col)
+    chunks = max(2, -(-keywords.count() // AUTOMATON_LIMIT) * 2)
+    while True:
+        tagged = keywords.withColumn("_chunk", F.pmod(F.xxhash64("keyword"), F.lit(chunks)))
+        biggest = tagged.groupBy("_chunk").count().agg(F.max("count")).first()[0]
+        if biggest <= AUTOMATON_LIMIT:
+            break
+        chunks *= 2
+    parts = [_automaton_chunk(t, tagged.where(F.col("_chunk") == c).drop("_chunk"), id_col)
+             for c in range(chunks)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _automaton_chunk(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
     spark = t.sparkSession
-    kw_rows = [tuple(r) for r in keywords.select("topic", "pos", "keyword").collect()]
+    kw_rows = [tuple(r) for r in keywords.select("topic", "pos", "keyword").limit(AUTOMATON_LIMIT + 1).collect()]
+    if len(kw_rows) > AUTOMATON_LIMIT:
+        raise ValueError("phrase chunk larger than one automaton")
     bc = spark.sparkContext.broadcast(kw_rows)
     id_type = t.schema[id_col].dataType.simpleString()
 
@@ -149,11 +174,12 @@ def _automaton_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame
             by_kw.setdefault(kw, []).append((topic, pos))
         for kw, entries in by_kw.items():
             auto.add_word(kw, (kw, entries))
-        auto.make_automaton()
+        if by_kw:
+            auto.make_automaton()
         for pdf in batches:
             out = {"id": [], "topic": [], "pos": [], "keyword": []}
             for rid, h in zip(pdf[id_col], pdf["_h"]):
-                if h is None:
+                if h is None or not by_kw:
                     continue
                 seen = set()
                 for _end, (kw, entries) in auto.iter(h):
@@ -165,7 +191,9 @@ def _automaton_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame
                         out["topic"].append(topic)
                         out["pos"].append(pos)
                         out["keyword"].append(kw)
-            yield pd.DataFrame(out).rename(columns={"id": id_col})
+            if out["id"]:
+                yield pd.DataFrame({id_col: out["id"], "topic": out["topic"],
+                                    "pos": pd.Series(out["pos"], dtype="int32"), "keyword": out["keyword"]})
 
     schema = f"{id_col} {id_type}, topic string, pos int, keyword string"
     return t.mapInPandas(run, schema)

@@ -529,3 +529,23 @@ def test_report_dense_cells(spark):
     assert avg[("p2", "a")] is None and avg[("total", "a")] == 1.0
     sparse = R.paper_topic_report(_scores(spark, rows), "count_pos", dense=False).collect()
     assert ("p2", "a") not in {(r.paper, r.topic) for r in sparse}
+
+
+def test_assign_nearest_numpy_matches_in_plan(spark):
+    vecs = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)],
+                                 "vec_id int, embedding array<float>")
+    cents = spark.createDataFrame([(2, [0.0, 0.0, 1.0]), (1, [4.0, 2.0, 1.0]), (3, [2.0, 1.0, 1.0])],
+                                  "cluster_label int, center array<double>")
+    a = {r.vec_id: (r.cluster_label, round(r.sqdist, 9)) for r in C.assign_nearest(vecs, cents).collect()}
+    b = {r.vec_id: (r.cluster_label, round(r.sqdist, 9)) for r in C._assign_nearest_numpy(
+        vecs, cents, "vec_id", "embedding").collect()}
+    assert a == b
+
+
+def test_automaton_chunks(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "tax rise and rent"), (2, "only rent")], "doc_id int, text string")
+    kw = _kw(spark, [("money", 0, "rent"), ("money", 1, "tax"), ("other", 0, "rise"), ("other", 1, "zzz")])
+    whole = sorted(map(tuple, TP.match_topics(texts, kw, strategy="automaton").collect()))
+    monkeypatch.setattr(TP, "AUTOMATON_LIMIT", 1)
+    chunked = sorted(map(tuple, TP.match_topics(texts, kw, strategy="automaton").collect()))
+    assert chunked == whole
