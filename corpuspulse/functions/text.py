@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuspulse.functions.util import json_literal
+
 # German month names in calendar order (1..12).
 GERMAN_MONTHS = ["Januar", "Februar", "März", "April", "Mai", "Juni",
                  "Juli", "August", "September", "Oktober", "November", "Dezember"]
@@ -94,7 +96,7 @@ def without(arr, stop_words, case_insensitive: bool = False) -> Column:
     ``stop_words`` is a Python list (a bounded parameter list, embedded as a
     literal array in the plan) or an array Column.
     """
-    stop = stop_words if isinstance(stop_words, Column) else F.array(*[F.lit(w) for w in stop_words])
+    stop = stop_words if isinstance(stop_words, Column) else json_literal(list(stop_words), "array<string>")
     if case_insensitive:
         return F.filter(arr, lambda t: ~F.array_contains(stop, F.lower(t)))
     return F.filter(arr, lambda t: ~F.array_contains(stop, t))
@@ -105,7 +107,7 @@ def lemma(arr, lemmas: dict[str, str] | Column | None) -> Column:
     if lemmas is None:
         return arr
     m = lemmas if isinstance(lemmas, Column) else (
-        F.create_map(*[F.lit(x) for kv in sorted(lemmas.items()) for x in kv]) if lemmas else None)
+        json_literal(dict(lemmas), "map<string,string>") if lemmas else None)
     if m is None:
         return arr
     return F.transform(arr, lambda t: F.coalesce(F.try_element_at(m, t), t))

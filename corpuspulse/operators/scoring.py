@@ -38,7 +38,7 @@ def _boost_map(boosters) -> Column | None:
     items = list(boosters)
     if not items:
         return None
-    return F.create_map(*[F.lit(x) for kv in items for x in kv])
+    return json_literal({k: float(v) for k, v in items}, "map<string,double>")
 
 
 def lexicon_map(lexicon: DataFrame, limit: int = LEXICON_MAP_LIMIT) -> Column | None:
@@ -66,7 +66,7 @@ def _adjusted(v: Column, p1: Column, p2: Column, p3: Column, boosters, negators)
             adj = adj + b * F.signum(v) * F.lit(BOOST_DECAY[j])
         v = adj
     if negators:
-        neg = F.array(*[F.lit(w) for w in negators])
+        neg = json_literal(list(negators), "array<string>")
         negated = (F.array_contains(neg, F.coalesce(p1, F.lit(""))) | F.array_contains(neg, F.coalesce(p2, F.lit("")))
                    | F.array_contains(neg, F.coalesce(p3, F.lit(""))))
         v = F.when(negated, v * F.lit(NEGATION_SCALAR)).otherwise(v)

@@ -229,10 +229,11 @@ def extract_page(rule: Rule, url: str, doc: str):
     zipped = _select(elems, rule.date_zip) if rule.date_zip else None
     page_date = _date_text(rule, _value(elems, rule.date, -1, url) if rule.date and rule.date_scope == "page"
                            and not rule.date.startswith(("const:", "url:")) else None)
+    prev_all = _select(elems, rule.prev) if rule.prev else []
     out = []
     for pos, r in enumerate(recs):
         if rule.prev:
-            cands = [j for j in _select(elems, rule.prev) if j < r and not (
+            cands = [j for j in prev_all if j < r and not (
                 rule.prev_skip_class and rule.prev_skip_class in elems[j]["attrs"].get("class", "").split())]
             head = _text(elems, cands[-rule.prev_nth], " ") if len(cands) >= rule.prev_nth else None
         else:
