@@ -70,3 +70,14 @@ def read_written_headlines(spark: SparkSession, path: str) -> DataFrame:
     date_raw, headline = split_line("value")
     return raw.select("paper", date_raw.alias("date_raw"), parse_event_time(date_raw).alias("event_ts"),
                       headline.alias("headline"))
+
+
+def with_source(df: DataFrame, file_col: str = "_file", mode: str = "fixed", out: str = "paper") -> DataFrame:
+    """S2 on a frame that carries the file name (e.g. ``_metadata.file_name``)."""
+    return df.withColumn(out, paper_from_file_name(file_col, mode))
+
+
+def union_sources(*dfs: DataFrame, id_col: str | None = "headline_id") -> DataFrame:
+    """S3: per-source frames appended by column name, with new row ids."""
+    from corpuspulse.operators.reports import union_all
+    return union_all(*dfs, id_col=id_col)

@@ -549,3 +549,19 @@ def test_automaton_chunks(spark, monkeypatch):
     monkeypatch.setattr(TP, "AUTOMATON_LIMIT", 1)
     chunked = sorted(map(tuple, TP.match_topics(texts, kw, strategy="automaton").collect()))
     assert chunked == whole
+
+
+def test_with_source_and_union_sources(spark):
+    a = spark.createDataFrame([("headlines_x_y.txt", "h1")], "_file string, headline string")
+    b = spark.createDataFrame([("h2", "-")], "headline string, date_raw string")
+    u = H.union_sources(H.with_source(a).drop("_file"), b)
+    rows = {r.headline: r for r in u.collect()}
+    assert rows["h1"].paper == "x y" and rows["h2"].paper is None and rows["h2"].date_raw == "-"
+    assert len({r.headline_id for r in rows.values()}) == 2
+
+
+def test_mae_order_independent(spark):
+    pred = spark.createDataFrame([("A", 10.0), ("B", 90.0)], "party string, pct double")
+    actual1 = spark.createDataFrame([("A", 20.0), ("B", 80.0)], "party string, pct double")
+    actual2 = spark.createDataFrame([("B", 80.0), ("A", 20.0)], "party string, pct double")
+    assert V.prediction_mae(pred, actual1).first().mae == V.prediction_mae(pred.orderBy(F.desc("party")), actual2).first().mae == 10.0
