@@ -211,7 +211,8 @@ def batch_infer(df: DataFrame, cols, factory: Callable, schema: str) -> DataFram
 
 def score_headlines(heads: DataFrame, keywords: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
                     text_col: str = "headline", keys=("paper",), stop_words=(), lemmas=None,
-                    translate: Callable | None = None, boosters=(), negators=(), mode: str = "fixed") -> DataFrame:
+                    translate: Callable | None = None, boosters=(), negators=(), mode: str = "fixed",
+                    one_pass: bool = True) -> DataFrame:
     """Long scores ``(id, *keys, topic, score)`` including ``topic='whole'``.
 
     Steps: optional translation hook (M8) -> English cleaner (P3) -> topic
@@ -225,7 +226,7 @@ def score_headlines(heads: DataFrame, keywords: DataFrame, lexicon: DataFrame, i
     kw = prepare_keywords(keywords, mode, stop_words, lemmas)
     kw_rows = small_keywords(kw)
     lex_map = lexicon_map(lexicon)
-    if kw_rows is not None and lex_map is not None:
+    if one_pass and kw_rows is not None and lex_map is not None:
         # One pass: per text, the topic triples and the whole text are scored in one
         # projection and exploded once (no union, one scan of the input).
         def per_text(h: Column) -> Column:
