@@ -54,7 +54,10 @@ def centroids_by_label(vecs: DataFrame, label: str = "label", vec: str = "embedd
 
 
 def _centroid_literal(centroids: DataFrame, rows=None) -> Column:
-    rows = rows if rows is not None else centroids.select("cluster_label", "center").collect()
+    if rows is None:
+        rows = centroids.select("cluster_label", "center").limit(CENTROID_ROW_LIMIT + 1).collect()
+        if len(rows) > CENTROID_ROW_LIMIT:
+            raise ValueError("centroid table too large to embed in the plan")
     size = sum(len(r[1]) for r in rows)
     if size > CENTROID_LITERAL_LIMIT:
         raise ValueError("centroid table too large to embed in the plan")
@@ -136,7 +139,9 @@ def silhouette(vecs: DataFrame, label: str = "cluster_label", vec: str = "embedd
     stats = x.groupBy("_l").agg(Summarizer.mean(array_to_vector("_x")).alias("_mu"),
                                 F.avg("_nn").alias("_mnn"), F.count(F.lit(1)).alias("_n"))
     stats = stats.select(F.col("_l").alias("label"), vector_to_array("_mu").alias("mu"), "_mnn", "_n")
-    cl = stats.collect()
+    cl = stats.limit(CENTROID_ROW_LIMIT + 1).collect()
+    if len(cl) > CENTROID_ROW_LIMIT:
+        raise ValueError(f"more than {CENTROID_ROW_LIMIT} clusters")
     if sum(len(r["mu"]) for r in cl) > CENTROID_LITERAL_LIMIT:
         raise ValueError("too many clusters for the in-plan silhouette")
     label_type = x.schema["_l"].dataType.simpleString()
