@@ -116,11 +116,12 @@ def _party_topics(party_scores: DataFrame, alias: DataFrame | None) -> DataFrame
     """
     ps = party_scores.select("party", "topic", nan_to_null("score").alias("p_score"),
                              F.lit(False).alias("_mention"))
-    parties = ps.select("party").distinct()
     if alias is None:
-        men = parties.select("party", F.col("party").alias("topic"))
+        men = ps.select("party").distinct().select("party", F.col("party").alias("topic"))
     else:
-        men = alias.select("party", "topic").join(parties, "party", "left_semi")
+        # Mention rows of parties without positions are dropped later (``_has_position``
+        # overall, the party list of the pivot per paper) - no extra pass here.
+        men = alias.select("party", "topic")
     men = men.select("party", "topic", F.lit(None).cast("double").alias("p_score"), F.lit(True).alias("_mention"))
     return ps.unionByName(men)
 
@@ -162,15 +163,13 @@ def voting_by_paper(scores: DataFrame, party_scores: DataFrame, alias: DataFrame
     rows (zero votes included), as in the per-paper prediction.
     """
     counts = sign_counts_by_paper(scores, total_label)
-    j = counts.join(_party_topics(party_scores, alias), "topic", "inner")
+    # Left join: a paper whose topics meet no party still forms a (paper, NULL) group.
+    j = counts.join(_party_topics(party_scores, alias), "topic", "left")
     tallied = _tally(j, ["paper", "party"]).drop("_has_position")
     # Dense paper x party grid without a cross join: pivot on the (bounded)
     # party list - every paper row gets every party column - then unpivot.
     parties = party_list(party_scores)
-    papers = counts.select("paper", F.lit(None).cast("string").alias("party"),
-                           F.lit(None).cast("long").alias("topic_votes"),
-                           F.lit(None).cast("long").alias("party_mentions")).distinct()
-    wide = (tallied.unionByName(papers).groupBy("paper")
+    wide = (tallied.groupBy("paper")
             .pivot("party", parties).agg(F.first(F.struct("topic_votes", "party_mentions"), ignorenulls=True)))
     long = wide.select("paper", F.explode(F.array(*[
         F.struct(F.lit(p).alias("party"), F.col(f"`{p}`").alias("v")) for p in parties])).alias("_e"))

@@ -565,3 +565,14 @@ def test_mae_order_independent(spark):
     actual1 = spark.createDataFrame([("A", 20.0), ("B", 80.0)], "party string, pct double")
     actual2 = spark.createDataFrame([("B", 80.0), ("A", 20.0)], "party string, pct double")
     assert V.prediction_mae(pred, actual1).first().mae == V.prediction_mae(pred.orderBy(F.desc("party")), actual2).first().mae == 10.0
+
+
+def test_voting_alias_only_party_and_unmatched_paper(spark):
+    scores = spark.createDataFrame([("p1", "a", 1.0), ("p2", "zz", 1.0)], "paper string, topic string, score double")
+    parties = spark.createDataFrame([("A", "a", 1.0)], "party string, topic string, score double")
+    alias = spark.createDataFrame([("A", "a"), ("Z", "zz")], "party string, topic string")
+    pred = {r.party: r for r in V.voting_prediction(scores, parties, alias).collect()}
+    assert set(pred) == {"A"} and pred["A"].topic_votes == 1 and pred["A"].party_mentions == 1
+    byp = {(r.paper, r.party): (r.total_votes, r.pct) for r in V.voting_by_paper(scores, parties, alias).collect()}
+    assert byp[("p2", "A")] == (0, None)          # paper meets no party topic: present, no share
+    assert all(p != "Z" for _, p in byp)
