@@ -154,9 +154,10 @@ def q_keywords_from_text(spark, sf):
 
 _H1_SQL = """
 SELECT page_id, CAST(0 AS INT) AS pos,
-       trim(replace(replace(replace(replace(replace(
+       trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
          regexp_extract(html, '<article[^>]*>\\s*<h1[^>]*>([^<]*)</h1>', 1),
-         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS headline
+         '&#(39|x27);?', '''', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'),
+         '&nbsp;?', chr(160), 'g'), '&amp;?', '&', 'g')) AS headline
 FROM pages"""
 
 

@@ -290,12 +290,17 @@ def extract_headlines(pages: DataFrame, rules, parse_dates: bool = True) -> Data
     return out.drop("_carry")
 
 
+# Common HTML entities as an HTML parser decodes them in text; these
+# legacy names also decode without the closing semicolon ("&amp" -> "&").
+HTML_ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("amp", "&")]
+
+
 def unescape_html(c) -> Column:
-    """The five XML entities plus numeric ones are the common case in titles."""
+    """Decode the common named entities (semicolon optional, as in HTML) and ``&#39;``."""
     c = F.col(c) if isinstance(c, str) else c
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-                    ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
+    c = F.regexp_replace(c, r"&#(?:39|x27);?", "'")
+    for name, ch in HTML_ENTITIES:
+        c = F.regexp_replace(c, f"&{name};?", ch)
     return c
 
 
