@@ -159,3 +159,24 @@ def paragraphs(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFra
                     & ~F.regexp_like(F.regexp_replace(stripped(p), " ", ""), F.lit(r"\A\d+\z")))
     cleaned = F.transform(kept, lambda p: F.regexp_replace(p, r"[\n-]", ""))
     return docs.select(*keep, F.posexplode(cleaned).alias("pos", "paragraph"))
+
+
+WORD_LIST_LIMIT = 1_000_000
+
+
+def word_list(table: DataFrame, col: str = "word", limit: int = WORD_LIST_LIMIT) -> list[str]:
+    """A stop-word table as a list for the cleaners (bounded read; order kept by value)."""
+    rows = table.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} words")
+    return sorted(r[0] for r in rows)
+
+
+def lemma_table(table: DataFrame, word: str = "word", lemma_col: str = "lemma",
+                limit: int = WORD_LIST_LIMIT) -> dict[str, str]:
+    """A (word, lemma) table as a mapping for ``lemma`` (bounded read; one lemma per word)."""
+    rows = (table.where(F.col(word).isNotNull()).groupBy(word).agg(F.min(lemma_col).alias("_l"))
+            .limit(limit + 1).collect())
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} lemma entries")
+    return {r[0]: r[1] for r in rows}

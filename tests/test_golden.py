@@ -576,3 +576,11 @@ def test_voting_alias_only_party_and_unmatched_paper(spark):
     byp = {(r.paper, r.party): (r.total_votes, r.pct) for r in V.voting_by_paper(scores, parties, alias).collect()}
     assert byp[("p2", "A")] == (0, None)          # paper meets no party topic: present, no share
     assert all(p != "Z" for _, p in byp)
+
+
+def test_stop_and_lemma_tables(spark):
+    stop = spark.createDataFrame([("the",), ("a",), ("the",)], "word string")
+    lem = spark.createDataFrame([("cars", "car"), ("ran", "run")], "word string, lemma string")
+    df = spark.createDataFrame([("The cars ran a race",)], "s string")
+    out = df.select(T.clean_en("s", T.word_list(stop), T.lemma_table(lem)).alias("c")).first().c
+    assert out == "car run race"
