@@ -306,12 +306,18 @@ def test_party_mentions_alias_and_compat(spark):
     assert fixed == {"CDU": 0, "Grüne": 1}
 
 
+# The election outcome in percent and the mention-count baseline of
+# the source study, as published (party, value), in their original order.
+ACTUAL_OUTCOME = [("CDU", 37.0), ("Grüne", 14.4), ("FW", 15.8), ("AfD", 14.6), ("SPD", 8.4), ("FDP", 3.0),
+                  ("Linke", 1.5)]
+MENTION_COUNTS = [("SPD", 458), ("CDU", 256), ("AfD", 236), ("Linke", 16), ("FW", 65), ("Grüne", 197),
+                  ("FDP", 150)]
+
+
 def test_mention_baseline_mae(spark):
-    """The literal mention-count baseline gives MAE 9.3138 when parties are aligned by name."""
-    counts = spark.createDataFrame([("SPD", 458), ("CDU", 256), ("AfD", 236), ("Linke", 16), ("FW", 65),
-                                    ("Grüne", 197), ("FDP", 150)], "party string, count long")
-    actual = spark.createDataFrame([("FDP", 3.0), ("CDU", 37.0), ("Linke", 1.5), ("Grüne", 14.4), ("FW", 15.8),
-                                    ("AfD", 14.6), ("SPD", 8.4)], "party string, pct double")
+    """The mention-count baseline gives MAE 9.3138 when parties are aligned by name."""
+    counts = spark.createDataFrame(MENTION_COUNTS, "party string, count long")
+    actual = spark.createDataFrame(ACTUAL_OUTCOME, "party string, pct double")
     r = V.mention_share(counts, actual).collect()
     assert len(r) == 7
     assert round(r[0].mae, 4) == 9.3138
