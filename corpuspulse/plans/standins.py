@@ -45,7 +45,9 @@ def prog(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.round(F.avg("value") - 49.63, 4).alias("score")))
 
 
-# Fixed parameter tables (inputs a caller supplies).
+# Fixed parameter tables (inputs a caller supplies).  ACTUAL reuses the published
+# election outcome percentages in their original order, assigned to the stand-in
+# parties q0..q6 (the last one under another name, reached through ACTUAL_ALIAS).
 PARTY_ALIAS = [("q0", "view"), ("q1", "click"), ("q2", "error")]
 ACTUAL = [("q0", 37.0), ("q1", 14.4), ("q2", 15.8), ("q3", 14.6), ("q4", 8.4), ("q5", 3.0), ("Q6", 1.5)]
 ACTUAL_ALIAS = [("q6", "Q6")]
