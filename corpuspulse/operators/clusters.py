@@ -194,35 +194,44 @@ def kmeans_cluster(vecs: DataFrame, k: int = 50, seed: int = 42, id_col: str = "
     return assigned, cents, cost
 
 
-def _sweep(vecs: DataFrame, ks, seed: int, id_col: str, vec: str, max_iter: int, measure):
-    """Fit k-means for every k on one persisted feature frame; ``measure(feats, k, cents, cost)``."""
+def _sweep(vecs: DataFrame, ks, seed: int, id_col: str, vec: str, max_iter: int, measure,
+           parallelism: int = 4):
+    """Fit k-means for every k on one persisted feature frame; ``measure(feats, cents, cost)``.
+
+    Fits run concurrently from ``parallelism`` driver threads (as Spark ML's
+    tuning does), so the many small iteration jobs of different k share the
+    cluster instead of queueing behind each other.
+    """
+    from concurrent.futures import ThreadPoolExecutor
     spark = vecs.sparkSession
     feats = _features(vecs, id_col, vec).persist()
+
+    def one(k):
+        _, cents, cost = _fit(feats, int(k), seed, id_col, max_iter)
+        return int(k), float(measure(feats, cents, cost))
     try:
-        rows = []
-        for k in ks:
-            _, cents, cost = _fit(feats, int(k), seed, id_col, max_iter)
-            rows.append((int(k), float(measure(feats, cents, cost))))
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            rows = list(pool.map(one, list(ks)))
     finally:
         feats.unpersist()
     return spark, rows
 
 
 def elbow_curve(vecs: DataFrame, ks, seed: int = 42, id_col: str = "vec_id", vec: str = "embedding",
-                max_iter: int = 20) -> DataFrame:
+                max_iter: int = 20, parallelism: int = 4) -> DataFrame:
     """M5: k-means training cost (inertia) for each k."""
-    spark, rows = _sweep(vecs, ks, seed, id_col, vec, max_iter, lambda f, c, cost: cost)
+    spark, rows = _sweep(vecs, ks, seed, id_col, vec, max_iter, lambda f, c, cost: cost, parallelism)
     return spark.createDataFrame(rows, "k int, inertia double")
 
 
 def silhouette_sweep(vecs: DataFrame, ks, seed: int = 42, id_col: str = "vec_id",
-                     vec: str = "embedding", max_iter: int = 20) -> DataFrame:
+                     vec: str = "embedding", max_iter: int = 20, parallelism: int = 4) -> DataFrame:
     """M4: mean (squared-Euclidean) silhouette of the k-means labelling for each k."""
     def measure(feats, cents, cost):
         labelled = assign_nearest(feats, cents, id_col, vec)
         return silhouette(labelled.join(feats.select(id_col, vec), id_col), "cluster_label", vec,
                           id_col).first()["silhouette"]
-    spark, rows = _sweep(vecs, ks, seed, id_col, vec, max_iter, measure)
+    spark, rows = _sweep(vecs, ks, seed, id_col, vec, max_iter, measure, parallelism)
     return spark.createDataFrame(rows, "k int, silhouette double")
 
 
