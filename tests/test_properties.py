@@ -110,3 +110,36 @@ def test_pca_and_embedding(spark):
     emb = C.embed_text(docs, dim=16).collect()
     assert all(len(r.embedding) == 16 for r in emb)
     assert all(abs(math.sqrt(sum(x * x for x in r.embedding)) - 1.0) < 1e-5 for r in emb)
+
+
+# ---------------------------------------------------------------- S1 o S6 round trip, M3 optimality
+
+_text = st.text(alphabet=st.sampled_from(list("abcXYZ äß-\"'.,:0123")), min_size=1, max_size=25)
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["p1", "p2"]), st.sampled_from(["2023-09-07", "-", "07. Oktober 2023"]),
+                          _text), min_size=1, max_size=12))
+def test_write_read_headlines_roundtrip(spark, tmp_root, data):
+    import uuid
+    from corpuspulse.sources import headlines as H
+    rows = [(p, d, h.strip()) for p, d, h in data if h.strip()]
+    if not rows:
+        return
+    src = spark.createDataFrame(rows, "paper string, date_raw string, headline string")
+    path = f"{tmp_root}/rt-{uuid.uuid4().hex}"
+    H.write_headlines(src, path, paper_col="paper")
+    back = H.read_written_headlines(spark, path).select("paper", "date_raw", "headline")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.floats(-5, 5, width=32), st.floats(-5, 5, width=32)), min_size=1, max_size=15))
+def test_assign_nearest_is_optimal(spark, pts):
+    vecs = spark.createDataFrame([(i, [x, y]) for i, (x, y) in enumerate(pts)], "vec_id int, embedding array<float>")
+    cents = [(0, [0.0, 0.0]), (1, [2.0, 2.0]), (2, [-3.0, 1.0])]
+    cdf = spark.createDataFrame(cents, "cluster_label int, center array<double>")
+    for r in C.assign_nearest(vecs, cdf).collect():
+        x = pts[r.vec_id]
+        d = {lab: sum((float(a) - b) ** 2 for a, b in zip(x, c)) for lab, c in cents}
+        assert d[r.cluster_label] <= min(d.values()) + 1e-9
