@@ -143,3 +143,14 @@ def test_assign_nearest_is_optimal(spark, pts):
         x = pts[r.vec_id]
         d = {lab: sum((float(a) - b) ** 2 for a, b in zip(x, c)) for lab, c in cents}
         assert d[r.cluster_label] <= min(d.values()) + 1e-9
+
+
+@settings(**SETTINGS)
+@given(rows)
+def test_pos_plus_neg_within_nonnull(spark, data):
+    scores = spark.createDataFrame(data, "paper string, topic string, score double")
+    pos = {(r.paper, r.topic): r.value for r in R.paper_topic_report(scores, "count_pos").collect()}
+    neg = {(r.paper, r.topic): r.value for r in R.paper_topic_report(scores, "count_neg").collect()}
+    nn = {(r.paper, r.topic): r.n for r in scores.groupBy("paper", "topic").agg(F.count("score").alias("n")).collect()}
+    for key, n in nn.items():
+        assert pos[key] + neg[key] <= n
