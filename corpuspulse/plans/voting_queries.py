@@ -35,7 +35,7 @@ def _pred(spark, sf):
 
 @register("voting_prediction", with_(OBS, PROG, PARTY_ALIAS, _TV, _PM, _PRED) + "SELECT * FROM pred")
 def q_voting_prediction(spark, sf):
-    """A15 flagship: vote shares from sign agreement + party mentions."""
+    """A15 + P14 + W3 (flagship): vote shares from sign agreement + party mentions."""
     return _pred(spark, sf)
 
 
