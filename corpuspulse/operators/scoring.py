@@ -197,7 +197,12 @@ def batch_infer(df: DataFrame, cols, factory: Callable, schema: str) -> DataFram
     """
     keep = df.columns
     out_schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields] + [schema])
-    key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
+    # Cache key: a digest of the pickled factory (code and captured values), so two
+    # different factories - e.g. lambdas over different model paths - never share a model.
+    import hashlib
+
+    from pyspark import cloudpickle
+    key = hashlib.sha1(cloudpickle.dumps(factory)).hexdigest()
 
     def run(batches):
         import pandas as pd

@@ -590,3 +590,36 @@ def test_stop_and_lemma_tables(spark):
     df = spark.createDataFrame([("The cars ran a race",)], "s string")
     out = df.select(T.clean_en("s", T.word_list(stop), T.lemma_table(lem)).alias("c")).first().c
     assert out == "car run race"
+
+
+def test_score_headlines_with_translation_hook(spark):
+    def _dictionary_translator():
+        """A deterministic stand-in for a caller's translation model (built once per worker).
+
+        Defined inside the test so that it is shipped to the workers by value."""
+        words = {"steuer": "tax", "gut": "good", "schlecht": "bad"}
+
+        def run(pdf):
+            import pandas as pd
+            col = pdf.columns[0]
+            return pd.DataFrame({"_en": pdf[col].map(lambda s: " ".join(words.get(w, w) for w in (s or "").split()))})
+        return run
+
+    heads = spark.createDataFrame([(1, "p", "gut steuer heute"), (2, "p", "schlecht")],
+                                  "doc_id int, paper string, headline string")
+    kw = _kw(spark, [("economy", 0, "tax")])
+    lex = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "token string, valence double")
+    out = {(r.doc_id, r.topic): r.score for r in SCO.score_headlines(
+        heads, kw, lex, translate=_dictionary_translator).collect()}
+    assert out[(1, "economy")] > 0          # "good tax today": positive context around "tax"
+    assert out[(2, "whole")] < 0 and (2, "economy") not in out
+
+
+def test_batch_infer_factories_do_not_collide(spark):
+    df = spark.createDataFrame([("a",), ("bb",)], "headline string")
+
+    def make(mult):
+        return lambda: (lambda pdf: __import__("pandas").DataFrame({"v": pdf["headline"].str.len() * mult}))
+    one = {r.headline: r.v for r in SCO.batch_infer(df, ["headline"], make(1), "v long").collect()}
+    ten = {r.headline: r.v for r in SCO.batch_infer(df, ["headline"], make(10), "v long").collect()}
+    assert one == {"a": 1, "bb": 2} and ten == {"a": 10, "bb": 20}
