@@ -46,14 +46,16 @@ def lexicon_map(lexicon: DataFrame, limit: int = LEXICON_MAP_LIMIT) -> Column |
 
     Read once with a bounded scan; ``None`` when larger (callers then join).
     """
-    rows = lexicon.select("token", F.col("valence").cast("double")).limit(limit + 1).collect()
+    rows = _lexicon_rows(lexicon).limit(limit + 1).collect()
     if len(rows) > limit:
         return None
-    merged = {}
-    for tok, val in rows:
-        if tok is not None:
-            merged[tok] = val
-    return json_literal(merged, "map<string,double>")
+    return json_literal({tok: val for tok, val in rows}, "map<string,double>")
+
+
+def _lexicon_rows(lexicon: DataFrame) -> DataFrame:
+    """One valence per token (duplicates -> their mean), the same rule for both strategies."""
+    return (lexicon.where(F.col("token").isNotNull())
+            .groupBy("token").agg(F.avg(F.col("valence").cast("double")).alias("valence")))
 
 
 def _adjusted(v: Column, p1: Column, p2: Column, p3: Column, boosters, negators) -> Column:
@@ -114,8 +116,8 @@ def lexicon_compound(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id
         t.alias("token"), F.get(tv, i - 1).alias("p1"), F.get(tv, i - 2).alias("p2"),
         F.get(tv, i - 3).alias("p3"))))
     exploded = staged.select(F.col(id_col), F.explode(entries).alias("e")).select(id_col, "e.*")
-    n_lex = lexicon.limit(LEXICON_BROADCAST_LIMIT + 1).count()
-    lex = lexicon.select("token", F.col("valence").cast("double").alias("valence"))
+    lex = _lexicon_rows(lexicon)
+    n_lex = lex.limit(LEXICON_BROADCAST_LIMIT + 1).count()
     lex = F.broadcast(lex) if n_lex <= LEXICON_BROADCAST_LIMIT else lex
     hit = exploded.join(lex, "token")
     v = _adjusted(F.col("valence"), F.col("p1"), F.col("p2"), F.col("p3"), boosters, negators)

@@ -623,3 +623,11 @@ def test_batch_infer_factories_do_not_collide(spark):
     one = {r.headline: r.v for r in SCO.batch_infer(df, ["headline"], make(1), "v long").collect()}
     ten = {r.headline: r.v for r in SCO.batch_infer(df, ["headline"], make(10), "v long").collect()}
     assert one == {"a": 1, "bb": 2} and ten == {"a": 10, "bb": 20}
+
+
+def test_lexicon_duplicates_same_in_both_strategies(spark):
+    texts = spark.createDataFrame([(1, "good day")], "doc_id int, text string")
+    lex = spark.createDataFrame([("good", 1.0), ("good", 3.0)], "token string, valence double")
+    a = SCO.lexicon_compound(texts, lex, strategy="map").first().compound
+    b = SCO.lexicon_compound(texts, lex, strategy="join").first().compound
+    assert abs(a - b) < 1e-12 and abs(a - 2.0 / (4.0 + 15.0) ** 0.5) < 1e-12
