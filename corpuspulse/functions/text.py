@@ -75,7 +75,7 @@ def decode_obfuscated(c) -> Column:
 
 def text_after(c, marker: str = "vom") -> Column:
     """The text after ``marker`` only when the text has exactly two parts."""
-    parts = F.split(_c(c), marker)
+    parts = F.split(_c(c), "\\Q" + marker.replace("\\E", "\\E\\\\E\\Q") + "\\E")  # literal marker
     return F.when(F.size(parts) == 2, F.regexp_replace(F.element_at(parts, 2), r"^\s+|\s+$", ""))
 
 

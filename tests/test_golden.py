@@ -631,3 +631,10 @@ def test_lexicon_duplicates_same_in_both_strategies(spark):
     a = SCO.lexicon_compound(texts, lex, strategy="map").first().compound
     b = SCO.lexicon_compound(texts, lex, strategy="join").first().compound
     assert abs(a - b) < 1e-12 and abs(a - 2.0 / (4.0 + 15.0) ** 0.5) < 1e-12
+
+
+def test_text_after_literal_marker(spark):
+    df = spark.createDataFrame([("a (x) b",), ("a.b.c",)], "s string")
+    got = [r.x for r in df.select(T.text_after("s", "(x)").alias("x")).collect()]
+    assert got == ["b", None]
+    assert df.select(T.text_after("s", ".").alias("x")).collect()[1].x is None   # three parts
