@@ -180,7 +180,7 @@ def _value(elems, spec: str | None, rec: int, url: str):
             v = alt[len("const:"):]
         elif alt.startswith("url:"):
             m = re.search(alt[len("url:"):], url or "")
-            v = m.group(1) if m else None
+            v = (m.group(1) if m.groups() else m.group(0)) if m else None
         elif alt.startswith("@"):
             v = elems[rec]["attrs"].get(alt[1:]) if rec >= 0 else None
         else:
