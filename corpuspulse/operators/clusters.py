@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspulse.functions.util import json_literal, let, let2
-from corpuspulse.session import broadcast_if_small, spread
+from corpuspulse.session import broadcast_if_small, ship_package, spread
 
 CENTROID_LITERAL_LIMIT = 2_000_000  # k * dim values shipped inside the plan
 CENTROID_ROW_LIMIT = 100_000
@@ -115,6 +115,7 @@ def _assign_nearest_numpy(vecs: DataFrame, centroids: DataFrame, id_col: str, ve
             yield pd.DataFrame({id_col: pdf[id_col], "cluster_label": lab[best],
                                 "sqdist": np.maximum(d[np.arange(len(pdf)), best], 0.0) if len(pdf) else []})
 
+    ship_package(vecs.sparkSession)
     return vecs.select(id_col, vec).mapInPandas(
         run, f"{id_col} {id_type}, cluster_label {label_type}, sqdist double")
 

@@ -19,7 +19,7 @@ from corpuspulse.functions.scores import label_score
 from corpuspulse.functions.text import clean_en, paragraphs, tokens
 from corpuspulse.functions.util import json_literal, let, let2
 from corpuspulse.operators.topics import prepare_keywords, segments_array, small_keywords, topic_segments
-from corpuspulse.session import spread
+from corpuspulse.session import ship_package, spread
 
 # Fixed values of the VADER-style scorer.
 ALPHA = 15.0
@@ -213,6 +213,7 @@ def batch_infer(df: DataFrame, cols, factory: Callable, schema: str) -> DataFram
             res = model(pdf[list(cols)]).reset_index(drop=True)
             yield pd.concat([pdf[keep].reset_index(drop=True), res], axis=1)
 
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, out_schema)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions.text import clean_en
 from corpuspulse.functions.util import json_literal, let, let2
-from corpuspulse.session import broadcast_if_small
+from corpuspulse.session import broadcast_if_small, ship_package
 
 BROADCAST_LIMIT = 5_000
 SENTINEL = "\u0000"  # never produced by the text cleaners
@@ -196,6 +196,7 @@ def _automaton_chunk(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFram
                                     "pos": pd.Series(out["pos"], dtype="int32"), "keyword": out["keyword"]})
 
     schema = f"{id_col} {id_type}, topic string, pos int, keyword string"
+    ship_package(spark)
     return t.mapInPandas(run, schema)
 
 

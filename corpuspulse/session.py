@@ -101,3 +101,33 @@ def broadcast_if_small(df, max_rows: int = BROADCAST_ROWS):
     from pyspark.sql import functions as F
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpuspulse`` importable in the Python workers (once per application).
+
+    Operators that run Python tasks (page rules, caller models, automata,
+    numpy centroids) unpickle objects defined in this package.  This is the
+    ``--py-files`` mechanism: the package is zipped on the driver and
+    ``addPyFile`` distributes it; workers put it on their path per task.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="corpuspulse-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions.scores import compose
 from corpuspulse.functions.text import parse_event_time
-from corpuspulse.session import spread
+from corpuspulse.session import ship_package, spread
 
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "wbr"}
 
@@ -278,6 +278,7 @@ def extract_headlines(pages: DataFrame, rules, parse_dates: bool = True) -> Data
 
     schema = ("page_id long, url string, site string, pos int, headline string, topline string, "
               "section string, date_raw string, _carry boolean")
+    ship_package(pages.sparkSession)
     out = spread(pages.select("page_id", "url", "html")).mapInPandas(run, schema)
     out = out.withColumn("headline", compose("topline", "headline")).drop("topline")
     if parse_dates:
