@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from corpuspulse.llm.common import read, sha256
+from corpuspulse.llm.quality_rules import quality_rules
 from corpuspulse.llm.substring_dedup import dedup_windows
 
 QUERIES: dict[str, Callable] = {}
@@ -42,3 +43,9 @@ FROM w LEFT JOIN lost USING (doc_id)
 def op1_substring_dedup(spark, sf_dir):
     out = dedup_windows(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", sha256(F.col("kept_text")).alias("kept_sha256"))
+
+
+@register("op3_quality_rules")
+def op3_quality_rules(spark, sf_dir):
+    out = quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
