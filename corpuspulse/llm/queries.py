@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from corpuspulse.llm import bpe
 from corpuspulse.llm.common import read, sha256
 from corpuspulse.llm.quality_rules import quality_rules
 from corpuspulse.llm.substring_dedup import dedup_windows
@@ -49,3 +50,17 @@ def op1_substring_dedup(spark, sf_dir):
 def op3_quality_rules(spark, sf_dir):
     out = quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+def byte_bpe() -> str:
+    """The public byte-level BPE vocabulary the queries use (a path, never copied)."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op6_bpe")
+def op6_bpe(spark, sf_dir):
+    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe()), byte_bpe())
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                      sha256(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
+                      sha256(F.col("decoded")).alias("decoded_sha256"))
