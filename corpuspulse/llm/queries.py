@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuspulse.llm import bpe
 from corpuspulse.llm.common import read, sha256
+from corpuspulse.llm.packing import pack_documents
 from corpuspulse.llm.quality_rules import quality_rules
 from corpuspulse.llm.substring_dedup import dedup_windows
 
@@ -64,3 +65,8 @@ def op6_bpe(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                       sha256(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
                       sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
+@register("op10_best_fit_packing")
+def op10_best_fit_packing(spark, sf_dir):
+    return pack_documents(read(spark, sf_dir, "documents"), byte_bpe()).withColumnRenamed("id", "doc_id")
