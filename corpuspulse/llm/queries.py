@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from corpuspulse.llm import bpe
+from corpuspulse.llm.ann import nearest
 from corpuspulse.llm.common import read, sha256
 from corpuspulse.llm.packing import pack_documents
 from corpuspulse.llm.quality_rules import quality_rules
@@ -70,3 +71,9 @@ def op6_bpe(spark, sf_dir):
 @register("op10_best_fit_packing")
 def op10_best_fit_packing(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"), byte_bpe()).withColumnRenamed("id", "doc_id")
+
+
+@register("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings")
+    return nearest(v, v.where("vec_id % 20 = 0"))
