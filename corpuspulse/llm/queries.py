@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from corpuspulse.llm import bpe
+from corpuspulse.llm import bpe, licences
 from corpuspulse.llm.ann import nearest
 from corpuspulse.llm.common import read, sha256
 from corpuspulse.llm.packing import pack_documents
@@ -77,3 +77,41 @@ def op10_best_fit_packing(spark, sf_dir):
 def op7_nearest_neighbours(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
     return nearest(v, v.where("vec_id % 20 = 0"))
+
+
+def _licence_sql() -> str:
+    """The same by brute force: every line against every template, every word start against every phrase."""
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in licences.PHRASES)
+    templates = ", ".join(f"({k}, '{label}', {[w.decode() for w in licences.word_set(t)]})"
+                          for k, (label, t) in enumerate(licences.TEMPLATES))
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all({fold.format("coalesce(text, '')")}, '{licences.WORD}') AS ws,
+         string_split({fold.format("coalesce(text, '')")}, chr(10)) AS lines FROM documents),
+place AS (
+  SELECT w.doc_id, i - 1 AS pos, label
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) AS w, (VALUES {phrases}) AS p(phrase, label)
+  WHERE array_to_string(ws[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
+base AS (
+  SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS b, list_sort(list(DISTINCT label)) AS ls FROM place GROUP BY doc_id),
+block AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(line, '{licences.WORD}')) AS bs
+  FROM (SELECT doc_id, unnest(lines) AS line FROM w)),
+hit AS (
+  SELECT doc_id, label, len(list_intersect(bs, ts)) / len(ts) AS share
+  FROM block, (VALUES {templates}) AS t(k, label, ts)
+  WHERE len(list_intersect(bs, ts)) >= ceil({licences.THRESHOLD} * len(ts) - 1e-9)),
+found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(share) AS s FROM hit GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word,
+       coalesce(array_to_string(base.ls, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(found.ls, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(s, 0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+@register("op2_licence_scan", _licence_sql())
+def op2_licence_scan(spark, sf_dir):
+    out = licences.scan_licences(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
