@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from corpuspulse.llm import bpe, licences
+from corpuspulse.llm import bpe, licences, tool_calls
 from corpuspulse.llm.ann import nearest
 from corpuspulse.llm.common import read, sha256
 from corpuspulse.llm.packing import pack_documents
@@ -115,3 +115,26 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 def op2_licence_scan(spark, sf_dir):
     out = licences.scan_licences(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@register("op9_tool_calls", r"""
+WITH c AS (
+  SELECT conv_id, turn, text, 'c' || conv_id || '-' || turn AS call_id,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) AS words
+  FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+lev AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn - 2 * rn ORDER BY turn) - 1 AS level
+  FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS rn FROM c))
+SELECT c.conv_id, c.call_id, c.turn, level, r.turn IS NOT NULL AS linked,
+       array_to_string(list_filter([CASE WHEN c.text IS NULL THEN 'prompt missing' END,
+                                    CASE WHEN length(c.text) > 300 THEN 'prompt too long' END,
+                                    CASE WHEN words < 5 THEN 'words too small' END], lambda x: x IS NOT NULL), ',') AS errors,
+       sha256('{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || ',"words":' || words || '},"id":'
+              || to_json(call_id) || ',"name":"reply","result":' || coalesce(to_json(r.text), 'null') || '}') AS canonical_sha256
+FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 JOIN lev ON lev.conv_id = c.conv_id AND lev.turn = c.turn
+""")
+def op9_tool_calls(spark, sf_dir):
+    out = tool_calls.link_tool_calls(tool_calls.as_messages(read(spark, sf_dir, "conversations")), tool_calls.REPLY_SCHEMA)
+    return out.select(F.col("conv").cast("long").alias("conv_id"), "call_id", "turn", F.col("level").cast("long").alias("level"),
+                      "linked", "errors", sha256(F.col("canonical")).alias("canonical_sha256"))
