@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from corpuspulse.llm import bpe, licences, tool_calls
+from corpuspulse.llm import bpe, licences, tool_calls, toxicity
 from corpuspulse.llm.ann import nearest
 from corpuspulse.llm.common import read, sha256
 from corpuspulse.llm.packing import pack_documents
@@ -138,3 +138,11 @@ def op9_tool_calls(spark, sf_dir):
     out = tool_calls.link_tool_calls(tool_calls.as_messages(read(spark, sf_dir, "conversations")), tool_calls.REPLY_SCHEMA)
     return out.select(F.col("conv").cast("long").alias("conv_id"), "call_id", "turn", F.col("level").cast("long").alias("level"),
                       "linked", "errors", sha256(F.col("canonical")).alias("canonical_sha256"))
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.training_sample(docs, labels))
+    out = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return out.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
