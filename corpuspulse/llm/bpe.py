@@ -22,7 +22,7 @@ from corpuspulse.llm.common import prepare, with_rec
 
 # The published pre-tokenisation pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 NONE = np.int64(2**40)
 NO_RANK = 2**40
 
@@ -190,7 +190,7 @@ class Vocabulary:
         for t in texts:
             block.append(t)
             held += len(t)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 out += self._encode(block)
                 block, held = [], 0
         return out + (self._encode(block) if block else [])
@@ -217,8 +217,6 @@ class Vocabulary:
             fresh = {w for parts in cut for p in parts if not isinstance(p, str) for w in p}
         self.learn(sorted(fresh))
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.token.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -231,6 +229,17 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
+def token_bytes(path: str) -> list[bytes]:
+    """Bytes of every id (all that decoding needs)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    byte = byte_symbols()
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    by_id = {i: bytes(byte[c] for c in s) for s, i in spec["model"]["vocab"].items() if s not in added}
+    by_id |= {i: s.encode() for s, i in added.items()}
+    return [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+
+
 def _encode(path: str):
     def run(batches):
         import pyarrow as pa
@@ -247,11 +256,11 @@ def _encode(path: str):
 def _decode(path: str):
     def run(batches):
         import pyarrow as pa
-        v = vocabulary(path)
+        get = token_bytes(path).__getitem__
         for batch in batches:
             ids = batch.column("ids")
             flat, off = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            text = [v.decode(flat[a:b]) for a, b in zip(off[:-1], off[1:])]
+            text = [b"".join(map(get, flat[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "decoded"])
     return run
 
