@@ -25,7 +25,7 @@ from corpuspulse.llm.common import keyed, prepare, text_bytes, with_rec
 WINDOW_BASE = np.uint64(0xBF58476D1CE4E5B9)
 GRAM_BASE = np.uint64(0x94D049BB133111EB)
 HASH_BYTES = 7
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
 PIECE_BYTES = 1_000_000
 BUCKET_BYTES = 6_000_000
 PACKED = "bucket int, docs binary, runs binary, hashes binary, done binary"
