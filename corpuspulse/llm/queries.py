@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuspulse.llm import bpe, licences, tool_calls, toxicity
 from corpuspulse.llm.ann import nearest
 from corpuspulse.llm.common import read, sha256
+from corpuspulse.llm.near_dedup import near_components
 from corpuspulse.llm.packing import pack_documents
 from corpuspulse.llm.quality_rules import quality_rules
 from corpuspulse.llm.substring_dedup import dedup_windows
@@ -146,3 +147,8 @@ def op8_toxicity(spark, sf_dir):
     model = toxicity.fit(toxicity.training_sample(docs, labels))
     out = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
     return out.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+@register("op5_near_dedup")
+def op5_near_dedup(spark, sf_dir):
+    return near_components(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
