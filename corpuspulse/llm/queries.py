@@ -13,6 +13,7 @@ from corpuspulse.llm.near_dedup import near_components
 from corpuspulse.llm.packing import pack_documents
 from corpuspulse.llm.quality_rules import quality_rules
 from corpuspulse.llm.substring_dedup import dedup_windows
+from corpuspulse.llm.suffix_dedup import dedup_bytes
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -152,3 +153,10 @@ def op8_toxicity(spark, sf_dir):
 @register("op5_near_dedup")
 def op5_near_dedup(spark, sf_dir):
     return near_components(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register("op4_suffix_dedup")
+def op4_suffix_dedup(spark, sf_dir):
+    out = dedup_bytes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      sha256(F.col("kept")).alias("kept_sha256"))
