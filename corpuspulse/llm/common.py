@@ -58,3 +58,10 @@ def sha256(col: Column) -> Column:
 def with_rec(ddl: str, rows: DataFrame) -> T.StructType:
     """The schema ``ddl`` plus the ``rec`` column of ``rows``."""
     return T.StructType([*T._parse_datatype_string(ddl).fields, rows.schema["rec"]])
+
+
+def restored(out: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **changed: Column) -> DataFrame:
+    """Rows ``(id, text, rec)`` of an operator as the columns of ``docs`` again; ``changed`` replaces some."""
+    kinds = dict(docs.dtypes)
+    pick = {id_col: F.col("id"), text_col: F.col("text"), **changed}
+    return out.select(*[(pick[c] if c in pick else F.col("rec")[c]).cast(kinds[c]).alias(c) for c in docs.columns])

@@ -192,13 +192,13 @@ def _cut_words(batches):
             spans.append([{"s": int(a), "e": int(b)} for a, b in turn.reshape(-1, 2)])
         span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+            [batch.column("id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
              pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span), batch.column("rec")],
-            names=["id", "n_words", "n_removed", "kept_text", "spans", "rec"])
+            names=["id", "text", "n_words", "n_removed", "kept_text", "spans", "rec"])
 
 
 def dedup_windows(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_words, n_removed, kept_text, spans, rec)`` per row of ``docs``.
+    """``(id, text, n_words, n_removed, kept_text, spans, rec)`` per row of ``docs``.
 
     Words are runs of non-white-space (``[^\\x20\\x09-\\x0D]+``).  ``spans`` are the maximal removed word
     intervals ``[s, e)``, ``kept_text`` the kept words joined by one space, ``rec`` the further columns.
@@ -211,4 +211,4 @@ def dedup_windows(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_
     rows = keyed(docs, id_col, text_col, rec=True)
     joined = rows.join(found, ["key", "th"], "left").select("id", "text", "found", "rec")
     return joined.mapInArrow(_cut_words, with_rec(
-        "id long, n_words long, n_removed long, kept_text string, spans array<struct<s:int,e:int>>", joined))
+        "id long, text string, n_words long, n_removed long, kept_text string, spans array<struct<s:int,e:int>>", joined))
