@@ -93,13 +93,13 @@ def tokens(c, pattern: str = r"\s+") -> Column:
 def without(arr, stop_words, case_insensitive: bool = False) -> Column:
     """Drop stop words from a token array (duplicates of other words kept).
 
-    ``stop_words`` is a Python list (a bounded parameter list, embedded as a
-    literal array in the plan) or an array Column.
+    ``stop_words`` is a Python list (a parameter, a hashed set in the plan) or an array Column.
     """
-    stop = stop_words if isinstance(stop_words, Column) else json_literal(list(stop_words), "array<string>")
-    if case_insensitive:
-        return F.filter(arr, lambda t: ~F.array_contains(stop, F.lower(t)))
-    return F.filter(arr, lambda t: ~F.array_contains(stop, t))
+    low = F.lower if case_insensitive else (lambda t: t)
+    if isinstance(stop_words, Column):
+        return F.filter(arr, lambda t: ~F.array_contains(stop_words, low(t)))
+    words = list(stop_words)  # a literal set: hashed lookup per token
+    return F.filter(arr, lambda t: ~low(t).isin(words)) if words else arr
 
 
 def lemma(arr, lemmas: dict[str, str] | Column | None) -> Column:
@@ -142,13 +142,14 @@ def clean_de(c, stop_words=(), lemmas=None) -> Column:
     return F.when(is_shouting(c), F.lit(None).cast("string")).otherwise(out)
 
 
-def paragraphs(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
+def paragraphs(docs: DataFrame, text: str = "text", keep=("doc_id",), outer: bool = False) -> DataFrame:
     """Document -> (``*keep``, pos, paragraph).
 
     Split on blank lines, then on ``. ``, then on ``<digits> \\n`` (the number is
     digits only and so would be dropped anyway); drop blank and all-digit
     pieces; delete newlines and hyphens.  Positions are 0-based after
-    filtering.
+    filtering.  ``outer`` keeps a document without paragraphs as one row
+    with a NULL paragraph.
     """
     pieces = F.flatten(F.transform(
         F.split(F.col(text), "\n\n"),
@@ -158,7 +159,8 @@ def paragraphs(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFra
     kept = F.filter(pieces, lambda p: (F.length(stripped(p)) > 0)
                     & ~F.regexp_like(F.regexp_replace(stripped(p), " ", ""), F.lit(r"\A\d+\z")))
     cleaned = F.transform(kept, lambda p: F.regexp_replace(p, r"[\n-]", ""))
-    return docs.select(*keep, F.posexplode(cleaned).alias("pos", "paragraph"))
+    explode = F.posexplode_outer if outer else F.posexplode
+    return docs.select(*keep, explode(cleaned).alias("pos", "paragraph"))
 
 
 WORD_LIST_LIMIT = 1_000_000

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,11 @@ def json_literal(value, ddl_type: str) -> Column:
     """
     import json
     return F.from_json(F.lit(json.dumps(value, allow_nan=True)), ddl_type)
+
+
+def distinct_array(df: DataFrame, col: str) -> Column:
+    """The distinct values of a column as one array of ``struct(v)``, NULL included, as a scalar subquery.
+
+    Runs with the query that uses it (no job while the plan is built).  Meant for dimensions of aggregated rows.
+    """
+    return df.agg(F.sort_array(F.collect_set(F.struct(F.col(col).alias("v"))))).scalar()

@@ -17,17 +17,15 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions.scores import label_score
 from corpuspulse.functions.text import clean_en, paragraphs, tokens
-from corpuspulse.functions.util import json_literal, let, let2
+from corpuspulse.functions.util import distinct_array, json_literal, let, let2
 from corpuspulse.operators.topics import prepare_keywords, segments_array, small_keywords, topic_segments
-from corpuspulse.session import ship_package, spread
+from corpuspulse.session import broadcast_if_small, ship_package
 
 # Fixed values of the VADER-style scorer.
 ALPHA = 15.0
 NEGATION_SCALAR = -0.74
 BOOST_DECAY = [1.0, 0.95, 0.9]
 LABEL_THRESHOLD = 0.05
-LEXICON_BROADCAST_LIMIT = 1_000_000
-LEXICON_MAP_LIMIT = 100_000
 
 
 def _boost_map(boosters) -> Column | None:
@@ -41,19 +39,8 @@ def _boost_map(boosters) -> Column | None:
     return json_literal({k: float(v) for k, v in items}, "map<string,double>")
 
 
-def lexicon_map(lexicon: DataFrame, limit: int = LEXICON_MAP_LIMIT) -> Column | None:
-    """The lexicon as a literal ``map<string,double>`` when it has at most ``limit`` rows.
-
-    Read once with a bounded scan; ``None`` when larger (callers then join).
-    """
-    rows = _lexicon_rows(lexicon).limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return json_literal({tok: val for tok, val in rows}, "map<string,double>")
-
-
 def _lexicon_rows(lexicon: DataFrame) -> DataFrame:
-    """One valence per token (duplicates -> their mean), the same rule for both strategies."""
+    """One valence per token (duplicates -> their mean; a NULL token is left out)."""
     return (lexicon.where(F.col("token").isNotNull())
             .groupBy("token").agg(F.avg(F.col("valence").cast("double")).alias("valence")))
 
@@ -68,9 +55,9 @@ def _adjusted(v: Column, p1: Column, p2: Column, p3: Column, boosters, negators)
             adj = adj + b * F.signum(v) * F.lit(BOOST_DECAY[j])
         v = adj
     if negators:
-        neg = json_literal(list(negators), "array<string>")
-        negated = (F.array_contains(neg, F.coalesce(p1, F.lit(""))) | F.array_contains(neg, F.coalesce(p2, F.lit("")))
-                   | F.array_contains(neg, F.coalesce(p3, F.lit(""))))
+        words = list(negators)
+        negated = F.coalesce(p1.isin(words), F.lit(False)) | F.coalesce(p2.isin(words), F.lit(False)) \
+            | F.coalesce(p3.isin(words), F.lit(False))
         v = F.when(negated, v * F.lit(NEGATION_SCALAR)).otherwise(v)
     return v
 
@@ -80,49 +67,33 @@ def _normalise(s: Column) -> Column:
     return s / F.sqrt(s * s + F.lit(ALPHA))
 
 
-def compound_column(toks: Column, lex_map: Column, boosters=(), negators=()) -> Column:
-    """M7 as one expression over a *materialised* token-array column:
-    map lookup -> rules -> sum -> normalise (no shuffle).
+def _compound_rows(rows: DataFrame, text_col: str, lexicon: DataFrame, boosters, negators, keep, out: str) -> DataFrame:
+    """``(*keep, out)``: the compound of ``text_col`` for every row (repeated and NULL keys stay rows of their own).
 
-    ``toks`` must be a column reference (``F.col``), not an expression: it is
-    read inside the per-token lambda, where an expression would be
-    re-evaluated for every token.
+    Tokens are exploded with their three predecessors, met with the lexicon in a hash join (broadcast when its
+    measured bytes allow) and summed per row; the sum is combined in the scan's own tasks, so the shuffle carries
+    one row per text, whatever the lexicon's size.
     """
-    def score(tv: Column) -> Column:
-        vals = F.transform(tv, lambda t, i: F.coalesce(_adjusted(
-            F.try_element_at(lex_map, t), F.get(tv, i - 1), F.get(tv, i - 2), F.get(tv, i - 3),
-            boosters, negators), F.lit(0.0)))
-        return F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x)
-    return _normalise(let(toks, score))
+    staged = rows.select(*keep, F.monotonically_increasing_id().alias("_row"), tokens(F.col(text_col)).alias("_toks"))
+    entries = let(F.col("_toks"), lambda tv: F.transform(tv, lambda t, i: F.struct(
+        t.alias("token"), F.get(tv, i - 1).alias("p1"), F.get(tv, i - 2).alias("p2"),
+        F.get(tv, i - 3).alias("p3"))))
+    exploded = staged.select(*keep, "_row", F.explode_outer(entries).alias("e")).select(*keep, "_row", "e.*")
+    hit = exploded.join(broadcast_if_small(_lexicon_rows(lexicon)), "token", "left")
+    v = F.when(F.col("valence").isNotNull(),
+               _adjusted(F.col("valence"), F.col("p1"), F.col("p2"), F.col("p3"), boosters, negators))
+    return (hit.groupBy("_row", *keep).agg(F.sum(v).alias("_s"))
+            .select(*keep, _normalise(F.col("_s")).alias(out)))
 
 
 def lexicon_compound(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     boosters=(), negators=(), out: str = "compound", strategy: str | None = None) -> DataFrame:
-    """M7: whole-text polarity in [-1, 1] for every text (empty text -> 0).
-
-    ``lexicon(token, valence)`` is an input table; ``boosters`` a list of
-    ``(token, boost)``; ``negators`` a list of tokens.  Returns ``(id, out)``.
+                     boosters=(), negators=(), out: str = "compound") -> DataFrame:
+    """M7: whole-text polarity in [-1, 1] for every text (NULL or empty text -> 0).
 
-    ``strategy='map'`` (default when the lexicon has at most
-    ``LEXICON_MAP_LIMIT`` entries) evaluates everything inside the scan
-    stage; ``'join'`` explodes tokens, joins the lexicon (broadcast when its
-    bounded count allows) and sums per text with a partial aggregate.
+    ``lexicon(token, valence)`` is an input table of any size; ``boosters`` a list of
+    ``(token, boost)``; ``negators`` a list of tokens.  Returns ``(id, out)``, one row per input row.
     """
-    lex_map = lexicon_map(lexicon) if strategy in (None, "map") else None
-    staged = texts.select(id_col, tokens(F.col(text_col)).alias("_toks"))
-    if lex_map is not None:
-        return staged.select(id_col, compound_column(F.col("_toks"), lex_map, boosters, negators).alias(out))
-    entries = let(F.col("_toks"), lambda tv: F.transform(tv, lambda t, i: F.struct(
-        t.alias("token"), F.get(tv, i - 1).alias("p1"), F.get(tv, i - 2).alias("p2"),
-        F.get(tv, i - 3).alias("p3"))))
-    exploded = staged.select(F.col(id_col), F.explode(entries).alias("e")).select(id_col, "e.*")
-    lex = _lexicon_rows(lexicon)
-    n_lex = lex.limit(LEXICON_BROADCAST_LIMIT + 1).count()
-    lex = F.broadcast(lex) if n_lex <= LEXICON_BROADCAST_LIMIT else lex
-    hit = exploded.join(lex, "token")
-    v = _adjusted(F.col("valence"), F.col("p1"), F.col("p2"), F.col("p3"), boosters, negators)
-    sums = hit.groupBy(id_col).agg(F.sum(v).alias("_s"))
-    return texts.select(id_col).join(sums, id_col, "left").select(id_col, _normalise(F.col("_s")).alias(out))
+    return _compound_rows(texts, text_col, lexicon, boosters, negators, [id_col], out)
 
 
 def compound_label(c) -> tuple[Column, Column]:
@@ -140,13 +111,8 @@ def _context(window: int, left: Column | None = None, right: Column | None = Non
         F.concat(F.slice(lt, F.greatest(F.size(lt) - window + 1, F.lit(1)), window), F.slice(rt, 1, window)), " "))
 
 
-def _triple_score(left: Column, right: Column, lex_map: Column, boosters, negators, window: int = 3) -> Column:
-    label, p = compound_label(compound_column(tokens(_context(window, left, right)), lex_map, boosters, negators))
-    return label_score(label, p)
-
-
 def target_sentiment(segments: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", window: int = 3,
-                     boosters=(), negators=(), keep=(), strategy: str | None = None) -> DataFrame:
+                     boosters=(), negators=(), keep=()) -> DataFrame:
     """M9 (+P9, A13): score of each (left, target, right) triple.
 
     Default scorer: lexicon compound over the ``window`` tokens on each side
@@ -154,18 +120,10 @@ def target_sentiment(segments: DataFrame, lexicon: DataFrame, id_col: str = "doc
     triple per (text, topic), so the target mean (A13) is the score itself.
     Output ``(id, *keep, topic, score)``.
     """
-    ctx = _context(window)
-    lex_map = lexicon_map(lexicon) if strategy in (None, "map") else None
-    if lex_map is not None:
-        staged = segments.select(id_col, *keep, "topic", tokens(ctx).alias("_toks"))
-        label, p = compound_label(compound_column(F.col("_toks"), lex_map, boosters, negators))
-        return staged.select(id_col, *keep, "topic", label_score(label, p).alias("score"))
-    keyed = segments.select(F.concat_ws("\u0001", F.col(id_col).cast("string"), "topic").alias("_k"),
-                            id_col, *keep, "topic", ctx.alias("_ctx"))
-    comp = lexicon_compound(keyed.select("_k", "_ctx"), lexicon, "_k", "_ctx", boosters, negators, strategy="join")
-    label, p = compound_label("compound")
-    return (keyed.select("_k", id_col, *keep, "topic").join(comp, "_k")
-            .select(id_col, *keep, "topic", label_score(label, p).alias("score")))
+    cols = [id_col, *keep, "topic"]
+    comp = _compound_rows(segments.select(*cols, _context(window).alias("_ctx")), "_ctx", lexicon, boosters, negators, cols, "_c")
+    label, p = compound_label("_c")
+    return comp.select(*cols, label_score(label, p).alias("score"))
 
 
 def target_mean(label_scores: DataFrame, keys=("doc_id", "topic")) -> DataFrame:
@@ -217,70 +175,70 @@ def batch_infer(df: DataFrame, cols, factory: Callable, schema: str) -> DataFram
     return df.mapInPandas(run, out_schema)
 
 
+def _topic_texts(clean: DataFrame, kw: DataFrame, cols, mode: str, whole: bool) -> DataFrame:
+    """``(*cols, topic, _txt, _whole)``: the context of every topic hit, and (``whole``) the text itself.
+
+    One projection and one explode per text while the phrase list is small enough to travel in the plan; larger
+    lists come from the gram join.  Without ``whole`` a text without hits gives one row with a NULL topic.
+    """
+    kw_rows = small_keywords(kw)
+    entry = "array<struct<topic:string,_txt:string,_whole:boolean>>"
+    if kw_rows is not None:
+        def per_text(h: Column) -> Column:
+            hits = F.transform(segments_array(h, kw_rows, mode), lambda x: F.struct(
+                x["topic"].alias("topic"), _context(3, x["s"]["left"], x["s"]["right"]).alias("_txt"), F.lit(False).alias("_whole")))
+            return F.concat(hits, F.array(F.struct(F.lit("whole").alias("topic"), h.alias("_txt"), F.lit(True).alias("_whole")))) \
+                if whole else hits.cast(entry)
+        return clean.select(*cols, F.explode_outer(let(F.col("_txt"), per_text)).alias("_r")).select(*cols, "_r.*")
+    # Keyed by the row's content: a text row's hits come back to that row only, also for repeated or NULL ids.
+    t = clean.withColumn("_key", F.xxhash64(*cols, "_txt"))
+    segs = topic_segments(t.select("_key", "_txt").dropDuplicates(["_key"]), kw, "_key", "_txt", mode)
+    hits = t.select(*cols, "_key").join(segs, "_key", "inner" if whole else "left").select(
+        *cols, "topic", _context(3).alias("_txt"), F.lit(False).alias("_whole"))
+    return hits.unionByName(t.select(*cols, F.lit("whole").alias("topic"), "_txt", F.lit(True).alias("_whole"))) if whole else hits
+
+
+def _scored(rows: DataFrame, lexicon: DataFrame, boosters, negators, cols) -> DataFrame:
+    """``(*cols, topic, score)``: signed label score of a context, plain compound of a whole text."""
+    keep = [*cols, "topic", "_whole"]
+    comp = _compound_rows(rows, "_txt", lexicon, boosters, negators, keep, "_c")
+    label, p = compound_label("_c")
+    return comp.select(*cols, "topic", F.when(F.col("_whole"), F.col("_c")).otherwise(label_score(label, p)).alias("score"))
+
+
 def score_headlines(heads: DataFrame, keywords: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
                     text_col: str = "headline", keys=("paper",), stop_words=(), lemmas=None,
-                    translate: Callable | None = None, boosters=(), negators=(), mode: str = "fixed",
-                    one_pass: bool = True) -> DataFrame:
+                    translate: Callable | None = None, boosters=(), negators=(), mode: str = "fixed") -> DataFrame:
     """Long scores ``(id, *keys, topic, score)`` including ``topic='whole'``.
 
     Steps: optional translation hook (M8) -> English cleaner (P3) -> topic
     match (J3) -> segmentation (P8) -> targeted score (M9); ``whole`` is the
-    lexicon compound of the whole cleaned text (M7).
+    lexicon compound of the whole cleaned text (M7).  One scan, one explode
+    into scored texts, one lexicon join.
     """
-    src = spread(heads.select(id_col, *keys, F.col(text_col).alias("_raw")))
+    cols = [id_col, *keys]
+    src = heads.select(*cols, F.col(text_col).alias("_raw"))
     if translate is not None:
         src = batch_infer(src, ["_raw"], translate, "_en string").drop("_raw").withColumnRenamed("_en", "_raw")
-    clean = src.select(id_col, *keys, clean_en(F.col("_raw"), stop_words, lemmas).alias("_txt"))
-    kw = prepare_keywords(keywords, mode, stop_words, lemmas)
-    kw_rows = small_keywords(kw)
-    lex_map = lexicon_map(lexicon)
-    if one_pass and kw_rows is not None and lex_map is not None:
-        # One pass: per text, the topic triples and the whole text are scored in one
-        # projection and exploded once (no union, one scan of the input).
-        def per_text(h: Column) -> Column:
-            triples = segments_array(h, kw_rows, mode)
-            topic_scores = F.transform(triples, lambda x: F.struct(
-                x["topic"].alias("topic"),
-                _triple_score(x["s"]["left"], x["s"]["right"], lex_map, boosters, negators).alias("score")))
-            whole = F.struct(F.lit("whole").alias("topic"),
-                             compound_column(tokens(h), lex_map, boosters, negators).alias("score"))
-            return F.concat(topic_scores, F.array(whole))
-        out = clean.select(id_col, *keys, F.explode(let(F.col("_txt"), per_text)).alias("_r"))
-        return out.select(id_col, *keys, "_r.topic", "_r.score")
-    segs = topic_segments(clean, kw, id_col, "_txt", mode, keep=keys)
-    topic_scores = target_sentiment(segs, lexicon, id_col, boosters=boosters, negators=negators, keep=keys)
-    lex_map = lexicon_map(lexicon)
-    if lex_map is not None:
-        whole = clean.select(id_col, *keys, tokens(F.col("_txt")).alias("_toks")).select(
-            id_col, *keys, F.lit("whole").alias("topic"),
-            compound_column(F.col("_toks"), lex_map, boosters, negators).alias("score"))
-    else:
-        whole = (clean.select(id_col, *keys)
-                 .join(lexicon_compound(clean, lexicon, id_col, "_txt", boosters, negators, out="score"), id_col)
-                 .withColumn("topic", F.lit("whole")))
-    return topic_scores.unionByName(whole.select(id_col, *keys, "topic", "score"))
-
-
-def programme_scores(par_scores: DataFrame, parties: DataFrame, topics: list[str],
-                     party_col: str = "party") -> DataFrame:
+    clean = src.select(*cols, clean_en(F.col("_raw"), stop_words, lemmas).alias("_txt"))
+    rows = _topic_texts(clean, prepare_keywords(keywords, mode, stop_words, lemmas), cols, mode, whole=True)
+    return _scored(rows, lexicon, boosters, negators, cols)
+
+
+def programme_scores(par_scores: DataFrame, topics: DataFrame, party_col: str = "party") -> DataFrame:
     """Mean paragraph score per party x topic; topics without a hit -> 0.
 
-    ``topics`` is the (bounded) topic list of the taxonomy; the dense grid is
-    built by exploding it on the party rows, not by a join.
+    Parties are those of ``par_scores`` (a row with a NULL topic only names a party), topics those of the
+    taxonomy table ``topics(topic)``.  The dense grid lives on the aggregated rows: each party explodes the
+    topic array, no scored row is touched again.
     """
     means = par_scores.groupBy(party_col, "topic").agg(F.avg("score").alias("score"))
-    grid = parties.select(party_col).distinct().select(
-        party_col, F.explode(F.array(*[F.lit(t) for t in topics])).alias("topic"))
-    return (grid.join(means, [party_col, "topic"], "left")
-            .select(party_col, "topic", F.coalesce("score", F.lit(0.0)).alias("score")))
-
-
-def taxonomy_topics(keywords: DataFrame, limit: int = 10_000) -> list[str]:
-    """Topic names of a keyword taxonomy (a parameter table; size checked)."""
-    rows = keywords.select("topic").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} topics in the taxonomy")
-    return sorted(r[0] for r in rows)
+    grid = means.select(party_col).distinct().select(
+        party_col, F.explode(distinct_array(topics.where("topic is not null"), "topic")).alias("_t")).select(
+        party_col, F.col("_t.v").alias("topic"))
+    m = means.select(F.col(party_col).alias("_p"), F.col("topic").alias("_t"), F.col("score").alias("_s"))
+    return (grid.join(m, F.col(party_col).eqNullSafe(F.col("_p")) & (F.col("topic") == F.col("_t")), "left")
+            .select(party_col, "topic", F.coalesce("_s", F.lit(0.0)).alias("score")))
 
 
 def score_documents(docs: DataFrame, keywords: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
@@ -288,16 +246,12 @@ def score_documents(docs: DataFrame, keywords: DataFrame, lexicon: DataFrame, id
                     boosters=(), negators=(), mode: str = "fixed") -> DataFrame:
     """Programme documents -> paragraphs (P11) -> cleaned -> J3/P8 -> M9 -> A12.
 
-    Output ``party_score(party, topic, score)``.
+    Output ``party_score(party, topic, score)``; the documents are read once.
     """
-    par = paragraphs(spread(docs.select(id_col, party_col, "text")), "text", keep=(id_col, party_col)).select(
-        F.concat_ws(":", F.col(id_col).cast("string"), F.col("pos").cast("string")).alias("_pid"),
-        party_col, F.col("paragraph"))
+    par = paragraphs(docs.select(id_col, party_col, "text"), "text", keep=(party_col,), outer=True)
     if translate is not None:
         par = batch_infer(par, ["paragraph"], translate, "_en string").drop("paragraph") \
             .withColumnRenamed("_en", "paragraph")
-    clean = par.select("_pid", party_col, clean_en(F.col("paragraph"), stop_words, lemmas).alias("_txt"))
-    kw = prepare_keywords(keywords, mode, stop_words, lemmas)
-    segs = topic_segments(clean, kw, "_pid", "_txt", mode, keep=(party_col,))
-    scored = target_sentiment(segs, lexicon, "_pid", boosters=boosters, negators=negators, keep=(party_col,))
-    return programme_scores(scored, docs.select(party_col), taxonomy_topics(keywords), party_col)
+    clean = par.select(party_col, clean_en(F.col("paragraph"), stop_words, lemmas).alias("_txt"))
+    rows = _topic_texts(clean, prepare_keywords(keywords, mode, stop_words, lemmas), [party_col], mode, whole=False)
+    return programme_scores(_scored(rows, lexicon, boosters, negators, [party_col]), keywords, party_col)

@@ -4,21 +4,19 @@
 topic when one of the topic's phrases occurs in the lower-cased text; the
 phrase with the lowest ``pos`` wins.
 
-Physical strategy, chosen by the size of the keyword table (checked with a
-bounded count, never assumed):
-
-* up to ``broadcast_limit`` phrases (default ``strategy='array'``): the
-  phrase list is embedded once in the plan as an array of structs sorted by
-  (topic, pos); each text row filters it with ``contains`` and keeps the
-  first hit of each topic run - a narrow projection with no join and no
-  shuffle, so matching and segmentation stay in the scan stage;
-* ``strategy='join'``: broadcast nested-loop join with a ``contains``
-  predicate and a (id, topic) ``min_by`` aggregate (shuffles the hits);
-* above it: an Aho-Corasick automaton built once per Python worker from the
-  broadcast phrase list, run with ``mapInPandas`` (linear in the text
-  length, independent of the number of phrases);
+Physical strategy, chosen by the measured size of the keyword table, with the
+same rows either way:
+
+* small phrase lists (``strategy='array'``): the list is embedded once in the
+  plan as an array of structs sorted by (topic, pos); each text row filters it
+  with ``contains`` and keeps the first hit of each topic run - a narrow
+  projection with no join and no shuffle, so matching and segmentation stay in
+  the scan stage;
+* any number of phrases (``strategy='grams'``): the distinct character grams of
+  each text meet the leading gram of each phrase in an equi-join; the few
+  candidates are confirmed with ``contains`` on the text;
 * ``whole_word=True``: token n-grams of the text equi-joined with phrases
-  (a shuffle hash join, no size limit on either side).
+  (a hash join, no size limit on either side).
 """
 
 from __future__ import annotations
@@ -28,11 +26,11 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions.text import clean_en
 from corpuspulse.functions.util import json_literal, let, let2
-from corpuspulse.session import broadcast_if_small, ship_package
+from corpuspulse.session import broadcast_if_small
 
-BROADCAST_LIMIT = 5_000
+IN_PLAN_PHRASES = 5_000  # larger phrase lists are joined by grams
+GRAM = 4
 SENTINEL = "\u0000"  # never produced by the text cleaners
-AUTOMATON_LIMIT = 2_000_000
 
 
 def prepare_keywords(keywords: DataFrame, mode: str = "fixed", stop_words=(), lemmas=None) -> DataFrame:
@@ -45,10 +43,6 @@ def prepare_keywords(keywords: DataFrame, mode: str = "fixed", stop_words=(), le
             .where(F.col("keyword").isNotNull() & (F.length("keyword") > 0)))
 
 
-def _bounded_count(df: DataFrame, limit: int) -> int:
-    return df.limit(limit + 1).count()
-
-
 def _first_hit(pairs: DataFrame, id_col: str) -> DataFrame:
     return pairs.groupBy(id_col, "topic").agg(
         F.min("pos").alias("pos"), F.min_by("keyword", "pos").alias("keyword"))
@@ -56,48 +50,33 @@ def _first_hit(pairs: DataFrame, id_col: str) -> DataFrame:
 
 def match_topics(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  whole_word: bool = False, strategy: str | None = None,
-                 broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """``(id, topic, pos, keyword)`` - the first phrase of each topic found in each text.
+                 in_plan: int = IN_PLAN_PHRASES) -> DataFrame:
+    """``(id, topic, pos, keyword)`` - the first phrase of each topic found in each text row.
 
-    ``keywords`` should come from ``prepare_keywords``.  Only ``id`` and the
-    lower-cased text cross the join.
+    ``keywords`` should come from ``prepare_keywords``.  Rows with repeated or
+    NULL ids are matched one by one in both strategies.
     """
     t = texts.select(F.col(id_col), F.lower(F.col(text_col)).alias("_h"))
     if whole_word:
         return _first_hit(_ngram_join(t, keywords, id_col), id_col)
-    rows = None
-    if strategy in (None, "array"):
-        rows = small_keywords(keywords, broadcast_limit)
-        strategy = "array" if rows is not None else "automaton"
-    if strategy == "array":
-        staged = t.select(id_col, all_hits(F.col("_h"), keyword_array(rows)).alias("_all"))
-        return staged.select(id_col, F.explode(first_of_topic(F.col("_all"))).alias("k")).select(
-            id_col, "k.topic", "k.pos", "k.keyword")
-    if strategy == "join":
-        if _bounded_count(keywords, broadcast_limit) > broadcast_limit:
-            raise ValueError(f"more than {broadcast_limit} phrases; use strategy='automaton'")
-        pairs = t.join(F.broadcast(keywords), F.col("_h").contains(F.col("keyword")))
-        return _first_hit(pairs.select(id_col, "topic", "pos", "keyword"), id_col)
-    return _first_hit(_automaton_join(t, keywords, id_col), id_col)
-
-
-def small_keywords(keywords: DataFrame, limit: int = BROADCAST_LIMIT):
+    rows = small_keywords(keywords, in_plan) if strategy != "grams" else None
+    if rows is None:
+        return _gram_join(t, keywords, id_col)
+    staged = t.select(id_col, all_hits(F.col("_h"), keyword_array(rows)).alias("_all"))
+    return staged.select(id_col, F.explode(first_of_topic(F.col("_all"))).alias("k")).select(
+        id_col, "k.topic", "k.pos", "k.keyword")
+
+
+def small_keywords(keywords: DataFrame, limit: int = IN_PLAN_PHRASES):
     """The phrase rows when there are at most ``limit`` of them, else ``None`` (one bounded read)."""
     rows = keywords.select("topic", "pos", "keyword").limit(limit + 1).collect()
     return None if len(rows) > limit else [(r[0], r[1], r[2]) for r in rows]
 
 
-def keyword_array(keywords, limit: int = BROADCAST_LIMIT) -> Column:
-    """The phrase table as one literal ``array<struct<topic,pos,keyword>>`` sorted by (topic, pos).
-
-    ``keywords`` is a DataFrame (read once, bounded: more than ``limit`` rows
-    raises) or rows from ``small_keywords``; shipped inside the plan like a
-    broadcast.
-    """
-    rows = small_keywords(keywords, limit) if isinstance(keywords, DataFrame) else keywords
-    if rows is None:
-        raise ValueError(f"more than {limit} phrases; use strategy='automaton'")
-    rows = sorted(rows, key=lambda r: (str(r[0]), r[1]))
+def keyword_array(rows) -> Column:
+    """Phrase rows from ``small_keywords`` as one literal ``array<struct<topic,pos,keyword>>``
+    sorted by (topic, pos, keyword), shipped inside the plan like a broadcast."""
+    rows = sorted(rows, key=lambda r: (str(r[0]), r[1], r[2]))
     return json_literal([{"topic": t, "pos": int(p), "keyword": k} for t, p, k in rows],
                         "array<struct<topic:string,pos:int,keyword:string>>")
 
@@ -131,73 +110,23 @@ def _ngram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
     return grams.join(broadcast_if_small(kw.drop("_n")), "keyword").select(id_col, "topic", "pos", "keyword")
 
 
-def _automaton_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
-    """Substring hits through Aho-Corasick automata, one per chunk of phrases.
+def _gram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
+    """Substring hits by an equi-join on the leading ``GRAM`` characters of each phrase (fewer for shorter phrases).
 
-    A phrase table that fits one automaton (``AUTOMATON_LIMIT``) is one chunk;
-    a larger one is split by a hash of the phrase into chunks whose sizes are
-    checked with one small aggregate (the chunk count doubles until each
-    fits).  Hits of all chunks are unioned; the caller keeps the first per
-    topic.  Exact for any table size; each collect is bounded.
+    Texts are keyed by (id, text) content; only distinct grams are exploded, never the text with them, and the
+    text meets its candidates again by that key for the exact ``contains``.
     """
-    if _bounded_count(keywords, AUTOMATON_LIMIT) <= AUTOMATON_LIMIT:
-        return _automaton_chunk(t, keywords, id_col)
-    chunks = max(2, -(-keywords.count() // AUTOMATON_LIMIT) * 2)
-    while True:
-        tagged = keywords.withColumn("_chunk", F.pmod(F.xxhash64("keyword"), F.lit(chunks)))
-        biggest = tagged.groupBy("_chunk").count().agg(F.max("count")).first()[0]
-        if biggest <= AUTOMATON_LIMIT:
-            break
-        chunks *= 2
-    parts = [_automaton_chunk(t, tagged.where(F.col("_chunk") == c).drop("_chunk"), id_col)
-             for c in range(chunks)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _automaton_chunk(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
-    spark = t.sparkSession
-    kw_rows = [tuple(r) for r in keywords.select("topic", "pos", "keyword").limit(AUTOMATON_LIMIT + 1).collect()]
-    if len(kw_rows) > AUTOMATON_LIMIT:
-        raise ValueError("phrase chunk larger than one automaton")
-    bc = spark.sparkContext.broadcast(kw_rows)
-    id_type = t.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        import ahocorasick
-        import pandas as pd
-        auto = ahocorasick.Automaton()
-        by_kw: dict[str, list] = {}
-        for topic, pos, kw in bc.value:
-            by_kw.setdefault(kw, []).append((topic, pos))
-        for kw, entries in by_kw.items():
-            auto.add_word(kw, (kw, entries))
-        if by_kw:
-            auto.make_automaton()
-        for pdf in batches:
-            out = {"id": [], "topic": [], "pos": [], "keyword": []}
-            for rid, h in zip(pdf[id_col], pdf["_h"]):
-                if h is None or not by_kw:
-                    continue
-                seen = set()
-                for _end, (kw, entries) in auto.iter(h):
-                    if kw in seen:
-                        continue
-                    seen.add(kw)
-                    for topic, pos in entries:
-                        out["id"].append(rid)
-                        out["topic"].append(topic)
-                        out["pos"].append(pos)
-                        out["keyword"].append(kw)
-            if out["id"]:
-                yield pd.DataFrame({id_col: out["id"], "topic": out["topic"],
-                                    "pos": pd.Series(out["pos"], dtype="int32"), "keyword": out["keyword"]})
-
-    schema = f"{id_col} {id_type}, topic string, pos int, keyword string"
-    ship_package(spark)
-    return t.mapInPandas(run, schema)
+    kw = keywords.select("topic", "pos", "keyword").withColumn("_g", F.substring("keyword", 1, GRAM))
+    sizes = sorted(r[0] for r in kw.select(F.length("_g").alias("n")).distinct().collect())  # at most GRAM values
+    keyed = t.withColumn("_gk", F.xxhash64(F.col(id_col), "_h"))
+    grams_of = lambda h: F.array_distinct(F.flatten(F.array(*[
+        F.transform(F.when(F.length(h) >= n, F.sequence(F.lit(1), F.length(h) - n + 1)).otherwise(F.array().cast("array<int>")),
+                    lambda i: F.substr(h, i, F.lit(n))) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    grams = keyed.select("_gk", F.explode(let(F.col("_h"), grams_of)).alias("_g")).distinct()
+    candidates = grams.join(broadcast_if_small(kw), "_g").select("_gk", "topic", "pos", "keyword")
+    found = (keyed.select("_gk", "_h").dropDuplicates(["_gk"]).join(candidates, "_gk").where(F.contains("_h", F.col("keyword")))
+             .groupBy("_gk", "topic").agg(F.min(F.struct("pos", "keyword")).alias("b")))
+    return keyed.select(id_col, "_gk").join(found, "_gk").select(id_col, "topic", "b.pos", "b.keyword")
 
 
 def segment(texts: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -216,17 +145,22 @@ def segment(texts: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def tag_segments(texts: DataFrame, keywords, id_col: str = "doc_id", text_col: str = "text",
-                 mode: str = "fixed", keep=(), limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """J3 + P8 in one narrow projection: ``(id, *keep, topic, left, target, right)``.
+                 mode: str = "fixed", keep=(), in_plan: int = IN_PLAN_PHRASES) -> DataFrame:
+    """J3 + P8: ``(id, *keep, topic, left, target, right)`` for every text row.
 
-    Same rows as ``segment(texts, match_topics(texts, keywords))`` but without
-    the join back to the texts: each text row carries its own hits.
+    A phrase list that travels in the plan is matched and segmented in one
+    narrow projection; a larger one through the gram join, keyed by the row's
+    content, so both give the same rows for repeated and NULL ids.
     """
     t = texts.select(F.col(id_col), *keep, F.lower(F.col(text_col)).alias("_h"))
-    t = t.select(id_col, *keep, "_h", all_hits(F.col("_h"), keyword_array(keywords, limit)).alias("_all"))
-    hits = t.select(id_col, *keep, "_h", F.explode(first_of_topic(F.col("_all"))).alias("k"))
-    hits = hits.select(id_col, *keep, "_h", "k.topic", "k.pos", "k.keyword")
-    return _segment_cols(hits, id_col, mode, keep)
+    rows = small_keywords(keywords, in_plan)
+    if rows is not None:
+        t = t.select(id_col, *keep, "_h", all_hits(F.col("_h"), keyword_array(rows)).alias("_all"))
+        hits = t.select(id_col, *keep, "_h", F.explode(first_of_topic(F.col("_all"))).alias("k"))
+        return _segment_cols(hits.select(id_col, *keep, "_h", "k.topic", "k.pos", "k.keyword"), id_col, mode, keep)
+    t = t.withColumn("_k", F.xxhash64(F.col(id_col), *keep, "_h"))
+    hits = _gram_join(t.select("_k", "_h").dropDuplicates(["_k"]), keywords, "_k")
+    return _segment_cols(t.join(hits, "_k"), id_col, mode, keep)
 
 
 def segment_struct(h: Column, kw: Column, mode: str = "fixed") -> Column:
@@ -268,16 +202,7 @@ def _segment_cols(j: DataFrame, id_col: str, mode: str, keep=()) -> DataFrame:
     return out.select(id_col, *keep, "topic", "_s.left", "_s.target", "_s.right")
 
 
-def topic_segments(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   mode: str = "fixed", keep=(), limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """J3 + P8 with the strategy picked by taxonomy size: fused per-row form when the
-    phrase list is small enough to ship in the plan, else automaton match + join."""
-    rows = small_keywords(keywords, limit)
-    if rows is not None:
-        return tag_segments(texts, rows, id_col, text_col, mode, keep=keep, limit=limit)
-    hits = match_topics(texts, keywords, id_col, text_col, strategy="automaton")
-    j = texts.select(F.col(id_col), *keep, F.lower(F.col(text_col)).alias("_h")).join(hits, id_col)
-    return _segment_cols(j, id_col, mode, keep)
+topic_segments = tag_segments
 
 
 def mentions_topic(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id",

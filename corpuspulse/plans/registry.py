@@ -46,7 +46,7 @@ ACTUAL = """actual AS (
 actual_alias AS (SELECT * FROM (VALUES ('q6', 'Q6')) AS t(party, actual_party))"""
 
 HEADS = """heads AS (
-  SELECT doc_id, source AS paper, lang, split_part(text, chr(10), 1) AS headline FROM documents)"""
+  SELECT doc_id, source AS paper, lang, replace(text, chr(10), ' ') AS headline FROM documents)"""
 
 
 def with_(*ctes: str) -> str:

@@ -62,19 +62,33 @@ th AS (SELECT doc_id, {sql_clean_en('headline')} AS h FROM heads),
 {sql_compound('cmp', 'th', ['doc_id'], 'h')}
 SELECT doc_id, round(compound, 6) + 0.0 AS compound FROM cmp""")
 def q_lexicon_compound(spark, sf):
-    """M7: whole-text polarity with boosters and negators (lexicon as an in-plan map)."""
+    """M7: whole-text polarity with boosters and negators."""
     r = SC.lexicon_compound(_clean_heads(spark, sf), S.lexicon(spark), "doc_id", "text", **_KW_ARGS)
     return r.select("doc_id", (F.round("compound", 6) + 0.0).alias("compound"))
 
 
-@register("lexicon_compound_join", with_(HEADS, LEX) + f""",
+# A lexicon of realistic size, derived from the documents: the 7,500 most frequent cleaned words, signed by length.
+BIG_LEXICON = 7_500
+BIG_LEX = f"""wc AS (
+  SELECT token, count(*) AS n FROM (SELECT unnest({sql_tokens(sql_clean_en('text'))}) AS token FROM documents) GROUP BY token),
+lex AS (
+  SELECT token, CAST(((n % 9) - 4) / 2.0 AS DOUBLE) AS valence
+  FROM (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rk FROM wc) WHERE rk <= {BIG_LEXICON})"""
+
+
+def big_lexicon(spark, sf):
+    words = S.text_table(spark, sf, "documents").select(F.explode(T.tokens(T.clean_en("text"))).alias("token"))
+    top = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(BIG_LEXICON)
+    return top.select("token", (((F.col("n") % 9) - 4) / 2.0).alias("valence"))
+
+
+@register("lexicon_compound_join", with_(HEADS, BIG_LEX) + f""",
 th AS (SELECT doc_id, {sql_clean_en('headline')} AS h FROM heads),
 {sql_compound('cmp', 'th', ['doc_id'], 'h')}
 SELECT doc_id, round(compound, 6) + 0.0 AS compound FROM cmp""")
 def q_lexicon_compound_join(spark, sf):
-    """M7, large-lexicon strategy: token explode + lexicon join + partial sum per text."""
-    r = SC.lexicon_compound(_clean_heads(spark, sf), S.lexicon(spark), "doc_id", "text",
-                            strategy="join", **_KW_ARGS)
+    """M7 with a lexicon of 7,500 words (the same join as for a small one)."""
+    r = SC.lexicon_compound(_clean_heads(spark, sf), big_lexicon(spark, sf), "doc_id", "text", **_KW_ARGS)
     return r.select("doc_id", (F.round("compound", 6) + 0.0).alias("compound"))
 
 
@@ -100,10 +114,10 @@ def q_target_sentiment(spark, sf):
 @register("target_sentiment_join", _target_sql() + f"""
 SELECT doc_id, topic, round({_label_score_sql('compound')}, 6) + 0.0 AS score FROM tc""")
 def q_target_sentiment_join(spark, sf):
-    """M9 with the join strategy of the lexicon scorer."""
+    """M9 over segments from the gram join (a phrase list too large for the plan takes this way)."""
     texts = _clean_heads(spark, sf)
-    segs = TP.tag_segments(texts, TP.prepare_keywords(S.kw(spark)), "doc_id", "text")
-    r = SC.target_sentiment(segs, S.lexicon(spark), "doc_id", strategy="join", **_KW_ARGS)
+    segs = TP.tag_segments(texts, TP.prepare_keywords(S.kw(spark)), "doc_id", "text", in_plan=0)
+    r = SC.target_sentiment(segs, S.lexicon(spark), "doc_id", **_KW_ARGS)
     return r.select("doc_id", "topic", (F.round("score", 6) + 0.0).alias("score"))
 
 
@@ -185,6 +199,15 @@ def q_lexicon_compound_documents(spark, sf):
     return r.select("doc_id", (F.round("compound", 6) + 0.0).alias("compound"))
 
 
+@register("score_documents_big_lexicon", _score_documents_sql().replace(LEX, BIG_LEX) + """
+SELECT g.party, g.topic, round(coalesce(m.score, 0.0), 6) + 0.0 AS score
+FROM grid g LEFT JOIN means m ON m.party = g.party AND m.topic = g.topic""")
+def q_score_documents_big_lexicon(spark, sf):
+    """M11 + A12 with a lexicon of 7,500 words."""
+    r = SC.score_documents(S.docs(spark, sf), S.kw(spark), big_lexicon(spark, sf), **_KW_ARGS)
+    return r.select("party", "topic", (F.round("score", 6) + 0.0).alias("score"))
+
+
 @register("match_topics_documents", with_(KW) + f""",
 td AS (SELECT doc_id, {sql_clean_en('text')} AS h FROM documents),
 kwp AS (SELECT topic, pos, {sql_clean_en('keyword')} AS keyword FROM kw WHERE length({sql_clean_en('keyword')}) > 0)

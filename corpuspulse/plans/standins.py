@@ -9,7 +9,7 @@ inputs, as a caller would pass them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspulse.session import spread
@@ -67,10 +67,14 @@ def actual_alias(spark: SparkSession) -> DataFrame:
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headlines ``(doc_id, paper, lang, headline)``: first line of each document."""
-    d = driver_table(spark, sf_dir, "documents")
-    return spread(d.select("doc_id", F.col("source").alias("paper"), "lang",
-                           F.substring_index(F.col("text"), "\n", 1).alias("headline")))
+    """Headlines ``(doc_id, paper, lang, headline)``: the whole text of each document on one line."""
+    d = text_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("source").alias("paper"), "lang", one_line("text").alias("headline"))
+
+
+def one_line(col) -> Column:
+    """A text with its line breaks as blanks."""
+    return F.translate(F.col(col), "\n", " ")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:

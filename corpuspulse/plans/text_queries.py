@@ -169,14 +169,14 @@ def q_match_topics(spark, sf):
 
 @register("match_topics_join", _CLEAN_KW + "SELECT * FROM hits")
 def q_match_topics_join(spark, sf):
-    """J3, join strategy: broadcast nested-loop join + min_by per (text, topic)."""
-    return TP.match_topics(_clean_heads(spark, sf), _kw(spark), "doc_id", "text", strategy="join")
+    """J3, join strategy for any number of phrases: leading-gram equi-join, confirmed by ``contains``."""
+    return TP.match_topics(_clean_heads(spark, sf), _kw(spark), "doc_id", "text", strategy="grams")
 
 
 @register("match_topics_automaton", _CLEAN_KW + "SELECT * FROM hits")
 def q_match_topics_automaton(spark, sf):
-    """J3, large-taxonomy strategy: Aho-Corasick automaton per worker (same result)."""
-    return TP.match_topics(_clean_heads(spark, sf), _kw(spark), "doc_id", "text", strategy="automaton")
+    """J3 with the in-plan form switched off by its size argument (same rows, no automaton library)."""
+    return TP.match_topics(_clean_heads(spark, sf), _kw(spark), "doc_id", "text", in_plan=0)
 
 
 @register("match_topics_whole_word", with_(HEADS, KW) + f""",

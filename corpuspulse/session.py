@@ -69,38 +69,60 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin repartition only when ``df`` arrives in fewer files (or partitions) than cores.
+# At most this many bytes per core are ever moved by ``spread``.
+SPREAD_BYTES_PER_CORE = 16 << 20
 
-    CPU-heavy per-row text work (explode, regex, lexicon scoring) on an input
-    read as a handful of splits would leave most cores idle.  Large inputs
-    already have many splits, so no shuffle is added for them.
+
+def scan_bytes(df) -> int:
+    """The optimizer's size of ``df`` (file sizes for a scan); plans only, reads nothing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df):
+    """Deal a *small* scan over the cores; larger inputs keep their splits and get no shuffle.
+
+    A small Parquet table is often one row group, so one task would do all CPU-heavy text work.  Only inputs of
+    at most ``SPREAD_BYTES_PER_CORE`` per core are dealt out, so the moved volume has a fixed bound.  Used at
+    the scan only, never inside operators.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    want = min_partitions or cores
-    files = df.inputFiles()
-    # Split count alone misleads: a file with one row group is cut into several
-    # byte ranges of which only one holds rows.  Few files -> spread.
-    if (len(files) >= want) if files else (df.rdd.getNumPartitions() >= want):
+    if scan_bytes(df) > cores * SPREAD_BYTES_PER_CORE:
         return df
     # Two partitions per core (``corpuspulse.spread.factor``) even out rows of very
     # different cost (texts of 1 to 20,000 words).
-    factor = int(df.sparkSession.conf.get("corpuspulse.spread.factor", "2"))
-    return df.repartition(min_partitions or factor * cores)
+    return df.repartition(int(df.sparkSession.conf.get("corpuspulse.spread.factor", "2")) * cores)
+
+
+BROADCAST_BYTES = 32 << 20
+
+
+def table_bytes(df) -> int:
+    """Measured bytes of the rows of ``df``: one small aggregate over text and array lengths."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
 
+    def width(f):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+        if isinstance(f.dataType, T.ArrayType):
+            inner = (F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+                     if isinstance(f.dataType.elementType, T.StringType) else F.size(c).cast("long") * 16)
+            return F.coalesce(inner, F.lit(0)) + 16
+        return F.lit(16).cast("long")
 
-BROADCAST_ROWS = 1_000_000
+    total = sum((width(f) for f in df.schema.fields), F.lit(16).cast("long"))
+    return int(df.agg(F.sum(total)).first()[0] or 0)
 
 
-def broadcast_if_small(df, max_rows: int = BROADCAST_ROWS):
-    """Hint a broadcast only after a bounded count proves ``df`` has at most ``max_rows`` rows.
+def broadcast_if_small(df, max_bytes: int = BROADCAST_BYTES):
+    """Hint a broadcast only where the measured bytes of ``df`` are at most ``max_bytes``.
 
     Larger inputs get no hint: the planner and AQE pick a shuffle join from
     the measured sizes.  Meant for parameter and dimension tables.
     """
     from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if table_bytes(df) <= max_bytes else df
 
 
 _SHIPPED: set[str] = set()
