@@ -3,11 +3,10 @@ silhouette (M4), inertia / elbow (M5), 2-D projection (M6), cluster
 profiles (A20-A22) and the cluster joins (J1, J2, J5).
 
 Vectors travel as ``array<float>`` columns; Spark ML stages get them through
-``array_to_vector``.  Centroids are (k x dim) - bounded by the model, not by
-the data - so M3 embeds them in the plan and scores every row in its own
-task (no shuffle); a size check guards that bound.  Larger centroid tables
-use a broadcast numpy matrix in ``mapInPandas`` (still exact, still no shuffle
-and no pairs materialised).
+``array_to_vector``.  Centroid tables of any size are cut into blocks of at
+most ``CENTER_BLOCK`` values; each block is one vectorised pass over the Arrow
+batches in the scan's own tasks that keeps the best so far (no shuffle, no pair
+is materialised, one code path for every size).
 """
 
 from __future__ import annotations
@@ -17,15 +16,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuspulse.functions.util import json_literal, let, let2
-from corpuspulse.session import broadcast_if_small, ship_package, spread
+from corpuspulse.session import broadcast_if_small, ship_package
 
-CENTROID_LITERAL_LIMIT = 2_000_000  # k * dim values shipped inside the plan
-CENTROID_ROW_LIMIT = 100_000
-CENTROID_BROADCAST_ROWS = 1_000_000  # beyond the in-plan form: a broadcast numpy matrix
+CENTER_BLOCK = 2_000_000  # k * dim values that travel with one pass
+MAX_ITER = 300  # k-means iterations at most (the reference library's default)
 
 
 def embed_text(df: DataFrame, col: str = "text", dim: int = 64, id_col: str = "doc_id",
@@ -34,7 +31,7 @@ def embed_text(df: DataFrame, col: str = "text", dim: int = 64, id_col: str = "d
 
     A caller's sentence encoder plugs in through ``scoring.batch_infer`` instead.
     """
-    df = spread(df.select(id_col, col))
+    df = df.select(id_col, col)
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=col, outputCol="_tok", pattern=r"\W+", toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
@@ -53,71 +50,76 @@ def centroids_by_label(vecs: DataFrame, label: str = "label", vec: str = "embedd
     return g.select("cluster_label", vector_to_array("_m").alias("center"))
 
 
-def _centroid_literal(centroids: DataFrame, rows=None) -> Column:
-    if rows is None:
-        rows = centroids.select("cluster_label", "center").limit(CENTROID_ROW_LIMIT + 1).collect()
-        if len(rows) > CENTROID_ROW_LIMIT:
-            raise ValueError("centroid table too large to embed in the plan")
-    size = sum(len(r[1]) for r in rows)
-    if size > CENTROID_LITERAL_LIMIT:
-        raise ValueError("centroid table too large to embed in the plan")
-    rows = sorted(rows, key=lambda r: r[0])
-    label_type = centroids.schema["cluster_label"].dataType.simpleString()
-    return json_literal([{"label": r[0], "c": [float(x) for x in r[1]]} for r in rows],
-                        f"array<struct<label:{label_type},c:array<double>>>")
+def _center_blocks(rows: DataFrame, label: str, vec: str, more=()):
+    """The rows of a centre table, sorted by label, in blocks of bounded size (each read by its own bounded collect)."""
+    import numpy as np
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    blocks = max(1, -(-(n["n"] * max(1, n["d"] or 1)) // CENTER_BLOCK))
+    cols = rows.select(F.col(label).alias("l"), F.col(vec).cast("array<double>").alias("c"), *more).where("l is not null and c is not null")
+    for b in range(blocks):
+        part = cols.where(F.pmod(F.xxhash64("l"), F.lit(blocks)) == b) if blocks > 1 else cols
+        got = sorted(part.collect(), key=lambda r: r["l"])
+        if got:
+            yield [r["l"] for r in got], [np.asarray(r["c"], dtype=np.float64) for r in got], [tuple(r[2:]) for r in got]
+
+
+def _matrix(column, dim: int):
+    """Rows of an Arrow list column that are complete vectors of length ``dim``: their index and values."""
+    import numpy as np
+    rows = column.to_pylist()
+    ok = [i for i, v in enumerate(rows) if v is not None and len(v) == dim and None not in v]
+    return np.array(ok, dtype=np.int64), np.array([rows[i] for i in ok], dtype=np.float64).reshape(len(ok), dim)
 
 
-def sqdist(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two equal-length numeric arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)),
-                       F.lit(0.0), lambda acc, v: acc + v)
+def _distances(x, centers):
+    """Squared Euclidean distances by exact differences, a bounded piece of rows at a time."""
+    import numpy as np
+    out = np.empty((len(x), len(centers)))
+    step = max(1, 4_000_000 // max(1, centers.size))
+    for a in range(0, len(x), step):
+        out[a:a + step] = ((x[a:a + step, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+    return out
 
 
 def assign_nearest(vecs: DataFrame, centroids: DataFrame, id_col: str = "vec_id",
-                   vec: str = "embedding") -> DataFrame:
+                   vec: str = "embedding", keep=()) -> DataFrame:
     """M3: label of the nearest centroid (ties -> smaller label) and the squared distance.
 
-    Output ``(id, cluster_label, sqdist)``; narrow (runs in the scan stage).
+    Output ``(id, *keep, cluster_label, sqdist)``; narrow (runs in the scan stage).  A
+    vector that is NULL, holds NULLs or has another length than every centroid gets a
+    NULL label and distance.
     """
-    rows = centroids.select("cluster_label", "center").limit(CENTROID_ROW_LIMIT + 1).collect()
-    if len(rows) > CENTROID_ROW_LIMIT or sum(len(r[1]) for r in rows) > CENTROID_LITERAL_LIMIT:
-        return _assign_nearest_numpy(vecs, centroids, id_col, vec)
-    cents = _centroid_literal(centroids, rows)
-    best = let(F.col(vec), lambda v: F.array_min(
-        F.transform(cents, lambda c: F.struct(sqdist(v, c["c"]).alias("d"), c["label"].alias("label")))))
-    return vecs.select(id_col, best["label"].alias("cluster_label"), best["d"].alias("sqdist"))
-
-
-def _assign_nearest_numpy(vecs: DataFrame, centroids: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """M3 for centroid tables too large to embed in the plan: the (k x dim) matrix is
-    broadcast once (size checked) and each Arrow batch computes all distances with
-    numpy; ties go to the smaller label, as in the in-plan form."""
-    import numpy as np
-    n = centroids.limit(CENTROID_BROADCAST_ROWS + 1).count()
-    if n > CENTROID_BROADCAST_ROWS:
-        raise ValueError(f"more than {CENTROID_BROADCAST_ROWS} centroids")
-    rows = sorted(centroids.select("cluster_label", "center").collect(), key=lambda r: r[0])
-    labels = np.array([r[0] for r in rows])
-    mat = np.array([r[1] for r in rows], dtype=np.float64)
-    bc = vecs.sparkSession.sparkContext.broadcast((labels, mat))
-    id_type = vecs.schema[id_col].dataType.simpleString()
-    label_type = centroids.schema["cluster_label"].dataType.simpleString()
-
-    def run(batches):
-        import pandas as pd
-        lab, cm = bc.value
-        cn = (cm * cm).sum(axis=1)
-        for pdf in batches:
-            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()) if len(pdf) else \
-                np.zeros((0, cm.shape[1]))
-            d = (x * x).sum(axis=1)[:, None] - 2.0 * x @ cm.T + cn[None, :]
-            best = d.argmin(axis=1) if len(pdf) else np.zeros(0, dtype=int)
-            yield pd.DataFrame({id_col: pdf[id_col], "cluster_label": lab[best],
-                                "sqdist": np.maximum(d[np.arange(len(pdf)), best], 0.0) if len(pdf) else []})
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    fields = [vecs.schema[id_col], *[vecs.schema[c] for c in keep]]
+    label = centroids.schema["cluster_label"].dataType
+    state = T.StructType([*fields, T.StructField("_v", T.ArrayType(T.DoubleType())), T.StructField("cluster_label", label),
+                          T.StructField("sqdist", T.DoubleType())])
+    out = vecs.select(id_col, *keep, F.col(vec).cast("array<double>").alias("_v"), F.lit(None).cast(label).alias("cluster_label"),
+                      F.lit(None).cast("double").alias("sqdist"))
+
+    def one_pass(labels, centers):
+        def run(batches):
+            import numpy as np
+            for batch in batches:
+                best, near = batch.column("cluster_label").to_pylist(), batch.column("sqdist").to_pylist()
+                for dim in sorted({len(c) for c in centers}):
+                    index = [k for k, c in enumerate(centers) if len(c) == dim]
+                    at, x = _matrix(batch.column("_v"), dim)
+                    d = _distances(x, np.array([centers[k] for k in index]).reshape(len(index), dim))
+                    first = d.argmin(axis=1) if len(at) else []
+                    for row, i, k in zip(range(len(at)), at.tolist(), first):
+                        value, name = float(d[row, k]), labels[index[k]]
+                        if near[i] is None or value < near[i] or (value == near[i] and name < best[i]):
+                            near[i], best[i] = value, name
+                cols = [*batch.columns[:-2], pa.array(best, batch.schema.field("cluster_label").type), pa.array(near, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+        return run
 
     ship_package(vecs.sparkSession)
-    return vecs.select(id_col, vec).mapInPandas(
-        run, f"{id_col} {id_type}, cluster_label {label_type}, sqdist double")
+    for labels, centers, _ in _center_blocks(centroids, "cluster_label", "center"):
+        out = out.mapInArrow(one_pass(labels, centers), state)
+    return out.select(id_col, *keep, "cluster_label", "sqdist")
 
 
 def inertia(assigned: DataFrame) -> DataFrame:
@@ -130,40 +132,56 @@ def silhouette(vecs: DataFrame, label: str = "cluster_label", vec: str = "embedd
     """M4 (squared Euclidean, as Spark's ``ClusteringEvaluator``) in O(n * k) without pairs.
 
     For a point x and cluster C: mean ||x - y||^2 over y in C
-    = ||x||^2 - 2 x.mu_C + mean_C(||y||^2).  The own cluster excludes x
-    itself (factor n_C / (n_C - 1)); singleton clusters score 0.
-    Output one row ``(silhouette, n)``.
+    = ||x - mu_C||^2 + (mean_C ||y||^2 - ||mu_C||^2).  The own cluster excludes x
+    itself (factor n_C / (n_C - 1)).  A singleton cluster, a point whose two means
+    are both 0, and a labelling with one cluster score 0; rows with a NULL label or
+    vector are left out.  Output one row ``(silhouette, n)``.
     """
-    x = vecs.select(id_col, F.col(label).alias("_l"), F.col(vec).alias("_x"))
-    x = x.withColumn("_nn", F.aggregate(F.transform("_x", lambda v: v.cast("double") * v), F.lit(0.0),
-                                        lambda a, b: a + b))
-    stats = x.groupBy("_l").agg(Summarizer.mean(array_to_vector("_x")).alias("_mu"),
-                                F.avg("_nn").alias("_mnn"), F.count(F.lit(1)).alias("_n"))
-    stats = stats.select(F.col("_l").alias("label"), vector_to_array("_mu").alias("mu"), "_mnn", "_n")
-    cl = stats.limit(CENTROID_ROW_LIMIT + 1).collect()
-    if len(cl) > CENTROID_ROW_LIMIT:
-        raise ValueError(f"more than {CENTROID_ROW_LIMIT} clusters")
-    if sum(len(r["mu"]) for r in cl) > CENTROID_LITERAL_LIMIT:
-        raise ValueError("too many clusters for the in-plan silhouette")
-    label_type = x.schema["_l"].dataType.simpleString()
-    arr = json_literal([{"label": r["label"], "mu": [float(v) for v in r["mu"]], "mnn": float(r["_mnn"]),
-                         "n": int(r["_n"])} for r in sorted(cl, key=lambda r: r["label"])],
-                       f"array<struct<label:{label_type},mu:array<double>,mnn:double,n:bigint>>")
-
-    def mean_d(xv, nn, c):
-        dot = F.aggregate(F.zip_with(xv, c["mu"], lambda a, b: a.cast("double") * b), F.lit(0.0),
-                          lambda acc, v: acc + v)
-        return nn - F.lit(2.0) * dot + c["mnn"]
-
-    per = x.select(let2(F.col("_x"), F.col("_nn"), lambda xv, nn: F.transform(
-        arr, lambda c: F.struct(c["label"].alias("label"), c["n"].alias("n"), mean_d(xv, nn, c).alias("d"))))
-        .alias("_ds"), "_l")
-    own = let2(F.col("_ds"), F.col("_l"), lambda ds, lab: F.filter(ds, lambda s: s["label"] == lab)[0])
-    others = let2(F.col("_ds"), F.col("_l"), lambda ds, lab: F.filter(ds, lambda s: s["label"] != lab))
-    a = own["d"] * own["n"] / (own["n"] - 1)
-    b = F.array_min(F.transform(others, lambda s: s["d"]))
-    s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
-    return per.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    x = vecs.select(F.col(label).alias("_l"), F.col(vec).cast("array<double>").alias("_v")).where(
+        F.col("_l").isNotNull() & F.col("_v").isNotNull())
+    norm = F.aggregate(F.transform("_v", lambda v: v * v), F.lit(0.0), lambda p, q: p + q)
+    stats = x.groupBy("_l").agg(Summarizer.mean(array_to_vector("_v")).alias("_mu"), F.avg(norm).alias("_mnn"),
+                                F.count(F.lit(1)).alias("_n"))
+    mu = vector_to_array("_mu")
+    spread_of = F.col("_mnn") - F.aggregate(F.transform(mu, lambda v: v * v), F.lit(0.0), lambda p, q: p + q)
+    stats = stats.select(F.col("_l").alias("label"), mu.alias("mu"), spread_of.alias("var"), "_n").persist()
+    state = T.StructType([x.schema["_l"], x.schema["_v"], T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+    out = x.select("_l", "_v", F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+
+    def one_pass(labels, centers, more):
+        def run(batches):
+            import numpy as np
+            cm = np.array(centers)
+            extra = np.array([m[0] for m in more])
+            number = {name: k for k, name in enumerate(labels)}
+            for batch in batches:
+                own, other = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+                at, xs = _matrix(batch.column("_v"), cm.shape[1])
+                d = _distances(xs, cm) + extra[None, :]
+                mine = [number.get(batch.column("_l")[int(i)].as_py(), -1) for i in at]
+                for row, (i, k) in enumerate(zip(at.tolist(), mine)):
+                    if k >= 0:
+                        n = more[k][1]
+                        own[i] = float("nan") if n <= 1 else float(d[row, k]) * n / (n - 1)
+                        d[row, k] = np.inf
+                    low = float(d[row].min())
+                    if np.isfinite(low) and (other[i] is None or low < other[i]):
+                        other[i] = low
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.float64()), pa.array(other, pa.float64())],
+                                                 names=batch.schema.names)
+        return run
+
+    ship_package(vecs.sparkSession)
+    try:
+        for labels, centers, more in _center_blocks(stats, "label", "mu", ["var", "_n"]):
+            out = out.mapInArrow(one_pass(labels, centers, more), state)
+    finally:
+        stats.unpersist()
+    top = F.greatest("a", "b")
+    s = F.when(F.isnan("a") | F.col("b").isNull() | (top <= 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / top)
+    return out.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
 def _features(vecs: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -180,7 +198,7 @@ def _fit(feats: DataFrame, k: int, seed: int, id_col: str, max_iter: int):
 
 
 def kmeans_cluster(vecs: DataFrame, k: int = 50, seed: int = 42, id_col: str = "vec_id",
-                   vec: str = "embedding", max_iter: int = 20):
+                   vec: str = "embedding", max_iter: int = MAX_ITER):
     """M2: Spark ML k-means (k-means||).  Returns ``(assignments, centroids, cost)``.
 
     The feature frame is persisted while the iterations run and released
@@ -219,23 +237,31 @@ def _sweep(vecs: DataFrame, ks, seed: int, id_col: str, vec: str, max_iter: int,
 
 
 def elbow_curve(vecs: DataFrame, ks, seed: int = 42, id_col: str = "vec_id", vec: str = "embedding",
-                max_iter: int = 20, parallelism: int = 4) -> DataFrame:
+                max_iter: int = MAX_ITER, parallelism: int = 4) -> DataFrame:
     """M5: k-means training cost (inertia) for each k."""
     spark, rows = _sweep(vecs, ks, seed, id_col, vec, max_iter, lambda f, c, cost: cost, parallelism)
     return spark.createDataFrame(rows, "k int, inertia double")
 
 
 def silhouette_sweep(vecs: DataFrame, ks, seed: int = 42, id_col: str = "vec_id",
-                     vec: str = "embedding", max_iter: int = 20, parallelism: int = 4) -> DataFrame:
+                     vec: str = "embedding", max_iter: int = MAX_ITER, parallelism: int = 4) -> DataFrame:
     """M4: mean (squared-Euclidean) silhouette of the k-means labelling for each k."""
     def measure(feats, cents, cost):
-        labelled = assign_nearest(feats, cents, id_col, vec)
-        return silhouette(labelled.join(feats.select(id_col, vec), id_col), "cluster_label", vec,
-                          id_col).first()["silhouette"]
+        labelled = assign_nearest(feats, cents, id_col, vec, keep=(vec,))
+        return silhouette(labelled, "cluster_label", vec, id_col).first()["silhouette"]
     spark, rows = _sweep(vecs, ks, seed, id_col, vec, max_iter, measure, parallelism)
     return spark.createDataFrame(rows, "k int, silhouette double")
 
 
+def lloyd_steps(vecs: DataFrame, centroids: DataFrame, steps: int = 1, id_col: str = "vec_id",
+                vec: str = "embedding") -> DataFrame:
+    """M2 building block: centroids after ``steps`` Lloyd steps (assign, then mean) from given centroids."""
+    for _ in range(steps):
+        labelled = assign_nearest(vecs, centroids, id_col, vec, keep=(vec,)).where("cluster_label is not null")
+        centroids = centroids_by_label(labelled, "cluster_label", vec)
+    return centroids
+
+
 def project_2d(vecs: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """M6: 2-D coordinates per row (PCA; re-aim of the single-machine t-SNE)."""
     feats = vecs.select(id_col, array_to_vector(F.col(vec)).alias("features"))

@@ -105,21 +105,81 @@ def q_silhouette(spark, sf):
 
 @register("kmeans_cluster")
 def q_kmeans_cluster(spark, sf):
-    """M2: k-means (k=10, seed 42) labels per vector."""
-    assigned, _, _ = C.kmeans_cluster(_vecs(spark, sf), k=10, seed=42)
+    """M2: k-means (k=50, seed 42) labels per vector."""
+    assigned, _, _ = C.kmeans_cluster(_vecs(spark, sf), k=50, seed=42)
     return assigned
 
 
 @register("elbow_curve")
 def q_elbow_curve(spark, sf):
-    """M5: k-means cost for k = 2, 4, ..., 12."""
-    return C.elbow_curve(_vecs(spark, sf), range(2, 13, 2))
+    """M5: k-means cost for k = 10, 20, ..., 100."""
+    return C.elbow_curve(_vecs(spark, sf), range(10, 101, 10))
 
 
 @register("silhouette_sweep")
 def q_silhouette_sweep(spark, sf):
-    """M4: silhouette of k-means labellings for k = 5..12."""
-    return C.silhouette_sweep(_vecs(spark, sf), range(5, 13))
+    """M4: silhouette of k-means labellings for k = 10..59."""
+    return C.silhouette_sweep(_vecs(spark, sf), range(10, 60))
+
+
+@register("lloyd_step", with_(CENT, DIST) + """
+SELECT b.cluster_label, CAST(i AS INT) AS dim, round(avg(CAST(v.embedding[i] AS DOUBLE)), 6) AS value
+FROM best b JOIN embeddings v USING (vec_id), range(1, 65) AS r(i) GROUP BY 1, 2""")
+def q_lloyd_step(spark, sf):
+    """M2: one Lloyd step of k-means from given centroids, as (cluster, dimension, value) rows."""
+    c = C.lloyd_steps(_vecs(spark, sf), _centroids(spark, sf))
+    return c.select("cluster_label", F.posexplode("center").alias("p", "v")).select(
+        "cluster_label", (F.col("p") + 1).alias("dim"), F.round("v", 6).alias("value"))
+
+
+def _by_k(ks):
+    """Labellings ``vec_id % k`` for each k, with their own centres (SQL side of the sweeps)."""
+    return f"""ks AS (SELECT unnest({list(ks)}) AS k),
+lab AS (SELECT k, vec_id, vec_id % k AS l, embedding FROM embeddings, ks),
+mu AS (SELECT k, l, list(m ORDER BY i) AS c, any_value(n) AS n FROM (
+         SELECT k, l, i, avg(CAST(embedding[i] AS DOUBLE)) AS m, count(*) AS n
+         FROM (SELECT k, l, embedding, generate_subscripts(embedding, 1) AS i FROM lab) e GROUP BY k, l, i) t GROUP BY k, l)"""
+
+
+_SQ = "list_sum(list_transform(generate_series(1, len({a})), lambda i: (CAST({a}[i] AS DOUBLE) - {b}[i]) * (CAST({a}[i] AS DOUBLE) - {b}[i])))"
+
+
+@register("inertia_by_k", with_(_by_k(range(10, 101, 10))) + f"""
+SELECT CAST(lab.k AS INT) AS k, round(sum({_SQ.format(a='embedding', b='c')}), 4) AS inertia
+FROM lab JOIN mu ON mu.k = lab.k AND mu.l = lab.l GROUP BY lab.k""")
+def q_inertia_by_k(spark, sf):
+    """M5: inertia of a given labelling for every k of the elbow curve."""
+    out = None
+    for k in range(10, 101, 10):
+        v = _vecs(spark, sf).withColumn("l", F.col("vec_id") % k)
+        j = v.join(C.centroids_by_label(v, "l"), F.col("l") == F.col("cluster_label"))
+        d = F.aggregate(F.zip_with("embedding", "center", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)),
+                        F.lit(0.0), lambda p, q: p + q)
+        r = j.agg(F.lit(k).alias("k"), F.round(F.sum(d), 4).alias("inertia"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+SWEEP = (10, 20, 35, 59)
+
+
+@register("silhouette_by_k", with_(_by_k(SWEEP)) + f""",
+var AS (SELECT lab.k, lab.l, any_value(mu.c) AS c, any_value(mu.n) AS n, avg({_SQ.format(a='embedding', b='mu.c')}) AS v
+        FROM lab JOIN mu ON mu.k = lab.k AND mu.l = lab.l GROUP BY lab.k, lab.l),
+d AS (SELECT lab.k, lab.vec_id, lab.l AS own, var.l AS other, var.n, {_SQ.format(a='lab.embedding', b='var.c')} + var.v AS d
+      FROM lab JOIN var ON var.k = lab.k),
+p AS (SELECT k, vec_id, max(CASE WHEN other = own THEN d * n / (n - 1) END) AS a, min(CASE WHEN other <> own THEN d END) AS b
+      FROM d GROUP BY k, vec_id)
+SELECT CAST(k AS INT) AS k, round(avg(CASE WHEN greatest(a, b) <= 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+FROM p GROUP BY k""")
+def q_silhouette_by_k(spark, sf):
+    """M4: silhouette of a given labelling for several k of the sweep."""
+    out = None
+    for k in SWEEP:
+        v = _vecs(spark, sf).withColumn("cluster_label", F.col("vec_id") % k)
+        r = C.silhouette(v).select(F.lit(k).alias("k"), F.round("silhouette", 6).alias("silhouette"))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 @register("project_2d")
