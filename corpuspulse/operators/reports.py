@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspulse.functions.scores import AGGREGATES, nan_to_null
+from corpuspulse.functions.util import dense_cells, distinct_array
 from corpuspulse.session import broadcast_if_small
 
 TOTAL = "total"
@@ -45,17 +46,6 @@ def _agg_fn(agg) -> Callable[[Column], Column]:
     return AGGREGATES[agg] if isinstance(agg, str) else agg
 
 
-TOPIC_LIMIT = 10_000
-
-
-def topic_list(df: DataFrame, limit: int = TOPIC_LIMIT) -> list[str]:
-    """Distinct topics (a taxonomy-sized dimension; size checked)."""
-    rows = df.select("topic").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} topics")
-    return sorted(r[0] for r in rows if r[0] is not None)
-
-
 def paper_topic_report(scores: DataFrame, agg="avg", margin: str | None = None,
                        total_label: str = TOTAL, topic_only_label: str = TOPIC_ONLY,
                        exclude=(WHOLE,), dense: bool = True) -> DataFrame:
@@ -70,7 +60,8 @@ def paper_topic_report(scores: DataFrame, agg="avg", margin: str | None = None,
       same margin over topics, leaving out ``exclude`` (``whole``) by name.
 
     ``agg`` is a name from ``AGGREGATES`` or any ``Column -> Column``.
-    Default margin: ``sum`` for counts, ``mean`` otherwise.
+    Default margin: ``sum`` for counts, ``mean`` otherwise.  A NULL paper or
+    topic is a group of its own, with and without ``dense``.
     """
     fn = _agg_fn(agg)
     if margin is None:
@@ -79,20 +70,18 @@ def paper_topic_report(scores: DataFrame, agg="avg", margin: str | None = None,
     base = scores.groupBy("paper", "topic").agg(fn(nan_to_null("score")).cast("double").alias("value"))
     if dense:
         # Every paper x topic cell, as in a paper-by-topic table: counts of an
-        # absent pair are 0, means NULL.  Pivot the aggregated rows on the
-        # (bounded) topic list and unpivot - no cross join.
-        topics = topic_list(base)
+        # absent pair are 0, means NULL.  No job at build time, no limit on topics,
+        # one scan (the topic subquery reuses the aggregate), and NULL is a topic
+        # like any other.
         zero = F.lit(0.0) if agg in ("count_pos", "count_neg") else F.lit(None).cast("double")
-        wide = base.groupBy("paper").pivot("topic", topics).agg(F.first("value"))
-        base = wide.select("paper", F.explode(F.array(*[
-            F.struct(F.lit(t).alias("topic"), F.coalesce(F.col(f"`{t}`"), zero).alias("value"))
-            for t in topics])).alias("_c")).select("paper", "_c.topic", "_c.value")
+        base = dense_cells(base, "paper", "topic", distinct_array(base, "topic", shared="value"), {"value": zero})
     # Second level on the aggregated (paper x topic) rows only.
     rows = base.unionByName(
         base.groupBy("topic").agg(m("value").alias("value")).withColumn("paper", F.lit(total_label)))
     # Exclusion inside the aggregate (not a filter): every branch then shares the
     # same base subplan, so its shuffle is computed once and reused.
-    kept = F.when(~F.col("topic").isin(*exclude), F.col("value")) if exclude else F.col("value")
+    kept = (F.when(~F.coalesce(F.col("topic").isin(*exclude), F.lit(False)), F.col("value"))
+            if exclude else F.col("value"))
     topic_only = (rows.groupBy("paper").agg(m(kept).alias("value"))
                   .withColumn("topic", F.lit(topic_only_label)))
     return rows.unionByName(topic_only).select("paper", "topic", "value")
@@ -173,36 +162,29 @@ def canonical_topics(df: DataFrame, alias: DataFrame, col: str = "topic") -> Dat
 def dedup_first(df: DataFrame, key="headline", order=("paper", "date_raw")) -> DataFrame:
     """Keep the first row per key under a total order.
 
-    A window rank, not ``dropDuplicates``: the survivor must be deterministic.
-    The planner adds a partial ``WindowGroupLimit`` before the shuffle by
-    ``key`` (visible in ``explain``), so a key shared by a third of all rows
-    sends one row per map partition, not all of its rows.
-    ``dedup_first_salted`` is the explicit two-level form of the same idea.
+    A window rank, not ``dropDuplicates``: the survivor must be deterministic,
+    so all further columns break ties of ``order`` (rows equal in every column
+    are the same row).  The planner adds a partial ``WindowGroupLimit`` before
+    the shuffle by ``key`` (visible in ``explain``), so a key shared by a third
+    of all rows sends one row per map partition, not all of its rows.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    orderable = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    ties = [c for c in orderable if c not in keys and c not in order]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in (*order, *ties)])
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def dedup_first_salted(df: DataFrame, key="headline", order=("paper", "date_raw"),
                        salt_buckets: int = 64) -> DataFrame:
-    """W1 for skewed keys: two-level min over a total order.
+    """W1 in two ranked levels: first per (key, salt of the order columns), then per key.
 
-    Level 1 picks the minimum ordering struct per (key, salt) where the salt
-    is a hash of the order columns, so one hot key is spread across
-    ``salt_buckets`` tasks; level 2 takes the min over at most
-    ``salt_buckets`` partial winners per key.  Exact: min is associative.
+    Same rows as ``dedup_first``; the explicit form for engines or settings
+    without the partial group limit.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in keys]
-    # min(struct) orders NULLs first; rank NULLs last like dedup_first.
-    order_key = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))],
-                         *[F.col(c) for c in rest if c not in order])
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salt_buckets))
-    packed = df.select(*keys, salt.alias("_s"), order_key.alias("_o"), F.struct(*rest).alias("_r"))
-    lvl1 = packed.groupBy(*keys, "_s").agg(F.min(F.struct("_o", "_r")).alias("_m"))
-    lvl2 = lvl1.groupBy(*keys).agg(F.min("_m").alias("_m"))
-    return lvl2.select(*keys, *[F.col("_m._r").getField(c).alias(c) for c in rest]).select(*df.columns)
+    salted = df.withColumn("_s", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salt_buckets)))
+    return dedup_first(dedup_first(salted, [*keys, "_s"], order).drop("_s"), keys, order)
 
 
 def top_k_per_group(df: DataFrame, by, order, k: int = 5) -> DataFrame:

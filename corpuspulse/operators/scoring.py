@@ -234,8 +234,7 @@ def programme_scores(par_scores: DataFrame, topics: DataFrame, party_col: str =
     """
     means = par_scores.groupBy(party_col, "topic").agg(F.avg("score").alias("score"))
     grid = means.select(party_col).distinct().select(
-        party_col, F.explode(distinct_array(topics.where("topic is not null"), "topic")).alias("_t")).select(
-        party_col, F.col("_t.v").alias("topic"))
+        party_col, F.explode(distinct_array(topics.where("topic is not null"), "topic")).alias("topic"))
     m = means.select(F.col(party_col).alias("_p"), F.col("topic").alias("_t"), F.col("score").alias("_s"))
     return (grid.join(m, F.col(party_col).eqNullSafe(F.col("_p")) & (F.col("topic") == F.col("_t")), "left")
             .select(party_col, "topic", F.coalesce("_s", F.lit(0.0)).alias("score")))

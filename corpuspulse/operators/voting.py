@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspulse.functions.scores import nan_to_null, share_pct, sign_agree
+from corpuspulse.functions.util import dense_cells, distinct_array
 
 TOTAL = "total"
 
@@ -166,31 +167,20 @@ def voting_by_paper(scores: DataFrame, party_scores: DataFrame, alias: DataFrame
     # Left join: a paper whose topics meet no party still forms a (paper, NULL) group.
     j = counts.join(_party_topics(party_scores, alias), "topic", "left")
     tallied = _tally(j, ["paper", "party"]).drop("_has_position")
-    # Dense paper x party grid without a cross join: pivot on the (bounded)
-    # party list - every paper row gets every party column - then unpivot.
-    parties = party_list(party_scores)
-    wide = (tallied.groupBy("paper")
-            .pivot("party", parties).agg(F.first(F.struct("topic_votes", "party_mentions"), ignorenulls=True)))
-    long = wide.select("paper", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("party"), F.col(f"`{p}`").alias("v")) for p in parties])).alias("_e"))
-    out = long.select("paper", F.col("_e.party").alias("party"),
-                      F.coalesce("_e.v.topic_votes", F.lit(0)).cast("long").alias("topic_votes"),
-                      F.coalesce("_e.v.party_mentions", F.lit(0)).cast("long").alias("party_mentions"))
+    # Dense paper x party grid: each aggregated paper explodes the array of parties of the (small) position
+    # table - a scalar subquery, so nothing runs while the plan is built.
+    zero = F.lit(0).cast("long")
+    # (paper, NULL) only says that the paper exists; parties outside the position table are left out.
+    named = party_scores.select("party").distinct().select("party", F.lit(True).alias("_known"))
+    cells = tallied.join(named, "party", "left").select(
+        "paper", F.when(F.col("_known"), F.col("party")).alias("party"), F.when(F.col("_known"), F.col("topic_votes")).alias("topic_votes"),
+        F.when(F.col("_known"), F.col("party_mentions")).alias("party_mentions"))
+    out = dense_cells(cells, "paper", "party", distinct_array(party_scores, "party"),
+                      {"topic_votes": zero, "party_mentions": zero}).where("party is not null")
     out = out.withColumn("total_votes", F.col("topic_votes") + F.col("party_mentions"))
     return out.withColumn("pct", share_pct("total_votes", by=("paper",), places=places))
 
 
-PARTY_LIMIT = 10_000
-
-
-def party_list(party_scores: DataFrame, limit: int = PARTY_LIMIT) -> list[str]:
-    """Distinct parties of the position table (a dimension; size checked)."""
-    rows = party_scores.select("party").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} parties")
-    return sorted(r[0] for r in rows if r[0] is not None)
-
-
 def outcome_matrix(pred_by_paper: DataFrame, papers: list[str], total_label: str = TOTAL,
                    value: str = "pct") -> DataFrame:
     """Predicted share per party, one column per paper plus ``total``.

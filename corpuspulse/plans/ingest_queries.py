@@ -139,6 +139,18 @@ def q_repair_csv(spark, sf):
     return fixed
 
 
+@register("repair_csv_quarantine", with_(HEADS) + """
+SELECT doc_id AS row_id, '2024-01-01,no paper,' || doc_id AS date FROM heads WHERE doc_id % 3 = 0""")
+def q_repair_csv_quarantine(spark, sf):
+    """Collapsed rows without any known paper go to quarantine, unchanged."""
+    c = _collapsed(spark, sf)
+    broken = c.where("row_id % 3 = 0").withColumns({
+        "date": F.concat(F.lit("2024-01-01,no paper,"), F.col("row_id").cast("string")),
+        "headline": F.lit(None).cast("string")})
+    _fixed, quarantine = repair_csv(broken, S.heads(spark, sf).select("paper"))
+    return quarantine.select("row_id", "date")
+
+
 @register("keywords_from_text", """
 SELECT CAST(doc_id AS VARCHAR) AS topic, CAST(generate_subscripts(phs, 1) - 1 AS INT) AS pos, unnest(phs) AS keyword
 FROM (SELECT doc_id,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuspulse.plans.registry import HEADS, OBS, register, with_
+from corpuspulse.plans.standins import one_line
 from corpuspulse.streaming import jobs as J
 
 
@@ -22,18 +23,15 @@ def _obs_stream(spark, sf):
 SELECT CAST(event_ts AS DATE) AS day, topic, round(avg(score), 6) AS value
 FROM obs WHERE event_ts IS NOT NULL GROUP BY 1, 2""")
 def q_stream_topic_by_day(spark, sf):
-    """Streaming A10: watermarked daily windows per topic, update mode, latest version per key."""
-    sink = J.run_available_now(J.topic_by_day_stream(_obs_stream(spark, sf)), "topic-by-day")
-    r = J.latest_versions(spark, sink, ["day", "topic"], "day date, topic string, n long, total double, value double")
+    """Streaming A10: per-batch partial sums per day and topic, combined over all batches."""
+    r = J.topic_by_day_total(J.run_available_now(_obs_stream(spark, sf), "topic-by-day", J.topic_by_day_parts))
     return r.select("day", "topic", F.round("value", 6).alias("value"))
 
 
 @register("stream_dedup_headlines", with_(HEADS) + "SELECT DISTINCT headline FROM heads")
 def q_stream_dedup_headlines(spark, sf):
-    """Streaming W1: first arrival per headline within the watermark."""
+    """Streaming W1: first row per headline of each batch, then over all batches."""
     d = J.file_stream(spark, sf, "documents")
-    heads = d.select("doc_id", F.substring_index("text", "\n", 1).alias("headline"),
-                     (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("doc_id")))
-                     .alias("event_ts"))
-    sink = J.run_available_now(J.dedup_headlines_stream(heads), "dedup", output_mode="append")
-    return spark.read.parquet(sink).select("headline")  # batch_id is the partition column
+    heads = d.select("doc_id", F.col("source").alias("paper"), one_line("text").alias("headline"))
+    first = J.dedup_parts()
+    return first(J.run_available_now(heads, "dedup", first)).select("headline")

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def repair_csv(df: DataFrame, papers: DataFrame | list[str], key: str = "row_id",
-               extra=()) -> tuple[DataFrame, DataFrame]:
+def repair_csv(df: DataFrame, papers: DataFrame | list[str], extra=()) -> tuple[DataFrame, DataFrame]:
     """Split collapsed rows (``headline`` NULL) back into columns.
 
     The ``date`` text is split on ``,``; pieces 2.. are merged until a piece
@@ -16,18 +15,21 @@ def repair_csv(df: DataFrame, papers: DataFrame | list[str], key: str = "row_id"
     ``extra`` columns.  Returns ``(repaired, quarantine)``: rows where no
     paper piece exists (or with fewer than two pieces) go to quarantine.
 
-    The known-paper test is an equi-join of exploded pieces against the paper
-    list, so the paper list may be as large as the data requires.
+    Row-local: the known papers are one array (a scalar subquery over the
+    paper table), so no row is exploded, joined or keyed; rows with NULL or
+    repeated keys are repaired one by one.
     """
     if isinstance(papers, list):
-        spark = df.sparkSession
-        papers = spark.createDataFrame([(p,) for p in papers], "paper string")
-    known = papers.select(F.col("paper").alias("_piece")).where(F.col("_piece").isNotNull()).distinct()
+        known = F.array(*[F.lit(p) for p in papers]) if papers else F.array().cast("array<string>")
+    else:
+        known = papers.where("paper is not null").agg(F.collect_set("paper")).scalar()
+    parts = F.split(F.col("date"), ",")
     ok = df.where(F.col("headline").isNotNull())
-    bad = df.where(F.col("headline").isNull()).withColumn("_parts", F.split(F.col("date"), ","))
-    pieces = bad.select(key, F.posexplode("_parts").alias("_i", "_piece")).where(F.col("_i") >= 2)
-    hit = pieces.join(known, "_piece", "left_semi").groupBy(key).agg(F.min("_i").alias("_at"))
-    j = bad.join(hit, key, "left")
+    bad = df.where(F.col("headline").isNull()).withColumn("_parts", parts)
+    # The first piece from the third on that is a known paper (hashed intersection, order kept), and its place.
+    rest = F.slice("_parts", 3, F.greatest(F.size("_parts"), F.lit(1)))
+    hit = F.get(F.array_intersect(rest, known), F.lit(0))
+    j = bad.withColumn("_at", (F.array_position(rest, hit) + 1).cast("int"))
     merged = F.array_join(F.slice("_parts", 2, F.col("_at") - 1), ",")
     merged = F.regexp_replace(merged, '""', '"')
     merged = F.regexp_replace(merged, '^"|"$', "")

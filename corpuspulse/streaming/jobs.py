@@ -1,13 +1,9 @@
-"""Structured Streaming forms of the per-row and per-window operators.
+"""Structured Streaming forms of the per-row and per-window operators, exact for any arrival order.
 
-* ``topic_by_day_stream`` - A10 on a stream: event-time watermark, daily
-  tumbling window x topic, partial sums kept in the state store and evicted
-  once the watermark passes the window end.
-* ``dedup_headlines_stream`` - W1 on a stream: first arrival of each headline
-  kept, state bounded by the watermark (``dropDuplicatesWithinWatermark``).
-* ``run_available_now`` - process everything available, then stop; results
-  go through ``foreachBatch`` into a Parquet table stamped with the batch id,
-  so update-mode output can be replayed as "latest version per key".
+A micro-batch is reduced by the batch operator to partial rows (``n, total`` per day and topic; the first row per
+headline), which are written under the batch's id.  Reading the result combines the partial rows of all batches.
+Sums and minima do not depend on arrival order, so no event is ever too late, no state grows, and a replayed batch
+replaces its first attempt.
 
 Checkpoints and sinks live under the shared ``spark.checkpoint.dir``.
 """
@@ -15,50 +11,33 @@ Checkpoints and sinks live under the shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspulse.functions.scores import nan_to_null
 from corpuspulse.functions.text import clean_en
+from corpuspulse.operators.reports import dedup_first
 from corpuspulse.session import scratch_table_path
 
 
-def _is_wall_clock(df: DataFrame, col: str) -> bool:
-    return df.schema[col].dataType.simpleString() == "timestamp_ntz"
-
-
-def with_event_time(df: DataFrame, col: str = "event_ts") -> DataFrame:
-    """Watermarks need ``timestamp`` (not ``timestamp_ntz``).
-
-    Wall-clock values are mapped to the instant whose UTC reading is that
-    wall clock, so daily windows (aligned to UTC days) are wall-clock days
-    whatever the session time zone.
-    """
-    if not _is_wall_clock(df, col):
-        return df
-    tz = df.sparkSession.conf.get("spark.sql.session.timeZone")
-    return df.withColumn(col, F.from_utc_timestamp(F.col(col).cast("timestamp"), tz))
+def topic_by_day_parts(scores: DataFrame) -> DataFrame:
+    """Partial A10 of one batch: ``(day, topic, n, total)``."""
+    score = nan_to_null("score")
+    return (scores.where(F.col("event_ts").isNotNull()).groupBy(F.to_date("event_ts").alias("day"), "topic")
+            .agg(F.count(score).alias("n"), F.sum(score).alias("total")))
 
 
-def topic_by_day_stream(scores: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """Streaming A10: ``(day, topic, n, total, value)`` per daily window."""
-    wall = _is_wall_clock(scores, "event_ts")
-    s = with_event_time(scores).where(F.col("event_ts").isNotNull()).withWatermark("event_ts", watermark)
-    score = nan_to_null("score")
-    g = s.groupBy(F.window("event_ts", "1 day"), "topic").agg(
-        F.count(score).alias("n"), F.sum(score).alias("total"))
-    start = F.col("window.start")
-    if wall:
-        start = F.to_utc_timestamp(start, s.sparkSession.conf.get("spark.sql.session.timeZone"))
-    return g.select(F.to_date(start).alias("day"), "topic", "n", "total",
-                    (F.col("total") / F.col("n")).alias("value"))
+def topic_by_day_total(parts: DataFrame) -> DataFrame:
+    """A10 from the partial rows of all batches: ``(day, topic, value)``."""
+    g = parts.groupBy("day", "topic").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return g.select("day", "topic", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("value"))
 
 
-def dedup_headlines_stream(heads: DataFrame, watermark: str = "1 hour", key: str = "headline") -> DataFrame:
-    """Streaming W1: drop repeats of ``key`` seen within the watermark delay."""
-    s = with_event_time(heads).withWatermark("event_ts", watermark)
-    return s.dropDuplicatesWithinWatermark([key])
+def dedup_parts(order=("paper", "doc_id"), key: str = "headline") -> Callable[[DataFrame], DataFrame]:
+    """Partial W1: the first row per key of one batch (and, over all partial rows, of all batches)."""
+    return lambda rows: dedup_first(rows, key, order)
 
 
 def clean_stream(heads: DataFrame, stop_words=(), lemmas=None) -> DataFrame:
@@ -66,49 +45,39 @@ def clean_stream(heads: DataFrame, stop_words=(), lemmas=None) -> DataFrame:
     return heads.withColumn("headline_en", clean_en("headline", stop_words, lemmas))
 
 
-def run_available_now(df: DataFrame, name: str, output_mode: str = "update",
-                      timeout_s: int = 600) -> str:
-    """Run a streaming DataFrame over everything available; return the sink path.
+def run_available_now(stream: DataFrame, name: str, parts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Reduce everything available batch by batch with ``parts``; returns the partial rows of all batches.
 
-    Every micro-batch is written to its own ``<sink>/batch_id=<n>`` folder
-    with overwrite, so a batch replayed after a failure replaces its earlier
-    attempt (exactly-once effect); update-mode rows are resolved to their
-    latest version later.
+    Every micro-batch is written to its own ``<sink>/batch_id=<n>`` folder with overwrite, so a batch replayed
+    after a failure replaces its earlier attempt (exactly-once effect).  An empty source gives no rows; a failed
+    query raises.
     """
-    spark = df.sparkSession
+    spark = stream.sparkSession
     run = uuid.uuid4().hex
     sink = scratch_table_path(spark, f"stream-{name}-{run}/out")
     ckpt = scratch_table_path(spark, f"stream-{name}-{run}/checkpoint")
+    # The sink exists, with its schema, also when no batch arrives.
+    shape = parts(spark.createDataFrame([], stream.schema))
+    shape.write.mode("overwrite").parquet(f"{sink}/batch_id=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-
-    q = (df.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
-         .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return sink
-
-
-def latest_versions(spark: SparkSession, sink: str, keys, schema: str | None = None) -> DataFrame:
-    """Resolve an update-mode sink: the row of the highest ``batch_id`` per key."""
-    try:
-        df = spark.read.parquet(sink)
-    except Exception:  # noqa: BLE001 - empty stream: no file was written
-        return spark.createDataFrame([], schema) if schema else None
-    w = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "batch_id")
-
-
-def file_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A benchmark table as a streaming file source (schema taken from the batch table)."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+        parts(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    q = (stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(write)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(shape.schema).parquet(sink).select(*shape.columns)
+
+
+def file_stream(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 1) -> DataFrame:
+    """A table as a streaming file source: one Parquet file, or a folder of them."""
+    path = f"{sf_dir}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def headline_file_stream(spark: SparkSession, path: str, mode: str = "fixed") -> DataFrame:
