@@ -161,7 +161,7 @@ def _kw(spark, rows):
     return spark.createDataFrame(rows, "topic string, pos int, keyword string")
 
 
-@pytest.mark.parametrize("strategy", ["array", "join", "automaton"])
+@pytest.mark.parametrize("strategy", ["array", "grams"])
 def test_match_first_phrase_wins(spark, strategy):
     texts = spark.createDataFrame([(1, "tax rise and more tax"), (2, "only rent here")], "doc_id int, text string")
     kw = _kw(spark, [("money", 0, "rent"), ("money", 1, "tax"), ("other", 0, "zzz")])
@@ -272,9 +272,10 @@ def test_day_total_ignores_null(spark):
 # ---------------------------------------------------------------- A12
 
 def test_programme_scores_zero_fill(spark):
-    par = spark.createDataFrame([("A", "t1", 0.5), ("A", "t1", -0.1)], "party string, topic string, score double")
-    parties = spark.createDataFrame([("A",), ("B",)], "party string")
-    got = {(r.party, r.topic): round(r.score, 6) for r in SCO.programme_scores(par, parties, ["t1", "t2"]).collect()}
+    # B has no hit: a row without a topic only names the party.
+    par = spark.createDataFrame([("A", "t1", 0.5), ("A", "t1", -0.1), ("B", None, 0.0)], "party string, topic string, score double")
+    topics = spark.createDataFrame([("t1",), ("t2",), ("t2",)], "topic string")
+    got = {(r.party, r.topic): round(r.score, 6) for r in SCO.programme_scores(par, topics).collect()}
     assert got == {("A", "t1"): 0.2, ("A", "t2"): 0.0, ("B", "t1"): 0.0, ("B", "t2"): 0.0}
 
 
@@ -394,14 +395,29 @@ def test_lexicon_compound_bounds(spark):
     texts = spark.createDataFrame([(1, ""), (2, "good good good good good"), (3, "not good"), (4, "very good")],
                                   "doc_id int, text string")
     lex = spark.createDataFrame([("good", 1.9)], "token string, valence double")
-    for strategy in ("map", "join"):
-        got = {r.doc_id: r.compound for r in SCO.lexicon_compound(
-            texts, lex, boosters=[("very", 0.293)], negators=["not"], strategy=strategy).collect()}
-        assert got[1] == 0.0
-        assert all(-1.0 <= v <= 1.0 for v in got.values())
-        assert got[3] < 0 < got[4]
-        assert got[4] > SCO.lexicon_compound(texts.where("doc_id = 4").withColumn("text", F.lit("good")), lex)\
-            .first().compound
+    got = {r.doc_id: r.compound for r in SCO.lexicon_compound(
+        texts, lex, boosters=[("very", 0.293)], negators=["not"]).collect()}
+    assert got[1] == 0.0
+    assert all(-1.0 <= v <= 1.0 for v in got.values())
+    assert got[3] < 0 < got[4]
+    assert got[4] > SCO.lexicon_compound(texts.where("doc_id = 4").withColumn("text", F.lit("good")), lex)\
+        .first().compound
+
+
+def test_lexicon_rows_with_repeated_and_null_ids(spark):
+    texts = spark.createDataFrame([(1, "good"), (1, "bad"), (None, "good"), (2, None)], "doc_id int, text string")
+    lex = spark.createDataFrame([("good", 1.0), ("bad", -2.0), (None, 9.0)], "token string, valence double")
+    got = sorted((str(r.doc_id), round(r.compound, 4)) for r in SCO.lexicon_compound(texts, lex).collect())
+    assert got == [("1", -0.4588), ("1", 0.25), ("2", 0.0), ("None", 0.25)]
+
+
+def test_lexicon_join_is_the_same_without_broadcast(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"w{i} w{i + 1} not w{i + 2}") for i in range(30)], "doc_id int, text string")
+    lex = spark.createDataFrame([(f"w{i}", (i - 10) / 4) for i in range(25)], "token string, valence double")
+    rows = lambda: sorted((r.doc_id, round(r.compound, 9)) for r in SCO.lexicon_compound(texts, lex, negators=["not"]).collect())
+    small = rows()
+    monkeypatch.setattr(SCO, "broadcast_if_small", lambda df: df.hint("merge"))
+    assert rows() == small
 
 
 # ---------------------------------------------------------------- S8
@@ -502,11 +518,31 @@ def test_headline_file_stream_dedup(spark, tmp_root):
     _write(d, "headlines_p_one.txt", "2023-09-07 10:00:00 - Same\n2023-09-07 11:00:00 - Other\n")
     _write(d, "headlines_p_two.txt", "2023-09-07 10:30:00 - Same\n")
     s = J.headline_file_stream(spark, d).where(F.col("headline").isNotNull())
-    sink = J.run_available_now(J.dedup_headlines_stream(s), "test-dedup", output_mode="append")
-    got = sorted(r.headline for r in spark.read.parquet(sink).collect())
-    assert got == ["Other", "Same"]
-    papers = {r.paper for r in spark.read.parquet(sink).collect()}
-    assert papers <= {"p one", "p two"}
+    first = J.dedup_parts(order=("paper", "date_raw"))
+    rows = first(J.run_available_now(s, "test-dedup", first)).collect()
+    assert sorted((r.headline, r.paper) for r in rows) == [("Other", "p one"), ("Same", "p one")]
+
+
+@pytest.mark.parametrize("table", ["events", "documents"])
+def test_streams_equal_batch_on_a_folder_newest_first(spark, tmp_root, table):
+    import __spark_entry__ as E
+    d = os.path.join(tmp_root, f"folder_{table}")
+    df = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+    key = {"events": "ts", "documents": "doc_id"}[table]
+    for k, part in enumerate(df.orderBy(F.desc(key)).randomSplit([1.0] * 4, seed=3)):
+        part.coalesce(1).write.mode("append").parquet(f"{d}/{table}.parquet")
+    q, batch = {"events": ("stream_topic_by_day", "topic_by_day"), "documents": ("stream_dedup_headlines", "dedup_first")}[table]
+    got = E.queries()[q](spark, d)
+    rows = lambda x: sorted(map(str, x.select(*got.columns).collect()))
+    assert rows(got) == rows(E.queries()[batch](spark, d)) and got.count() > 0
+
+
+def test_stream_of_an_empty_source(spark, tmp_root):
+    from corpuspulse.streaming import jobs as J
+    d = os.path.join(tmp_root, "empty_stream")
+    spark.createDataFrame([], "paper string, headline string, doc_id long").coalesce(1).write.parquet(f"{d}/t.parquet")
+    first = J.dedup_parts()
+    assert first(J.run_available_now(J.file_stream(spark, d, "t"), "empty", first)).count() == 0
 
 
 def test_voting_by_paper_dense(spark):
@@ -537,24 +573,55 @@ def test_report_dense_cells(spark):
     assert ("p2", "a") not in {(r.paper, r.topic) for r in sparse}
 
 
-def test_assign_nearest_numpy_matches_in_plan(spark):
-    vecs = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)],
+def test_assign_nearest_in_blocks(spark, monkeypatch):
+    vecs = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)] + [(40, None), (41, [1.0])],
                                  "vec_id int, embedding array<float>")
-    cents = spark.createDataFrame([(2, [0.0, 0.0, 1.0]), (1, [4.0, 2.0, 1.0]), (3, [2.0, 1.0, 1.0])],
+    cents = spark.createDataFrame([(2, [0.0, 0.0, 1.0]), (1, [4.0, 2.0, 1.0]), (3, [2.0, 1.0, 1.0]), (4, [2.0, 1.0, 1.0])],
                                   "cluster_label int, center array<double>")
-    a = {r.vec_id: (r.cluster_label, round(r.sqdist, 9)) for r in C.assign_nearest(vecs, cents).collect()}
-    b = {r.vec_id: (r.cluster_label, round(r.sqdist, 9)) for r in C._assign_nearest_numpy(
-        vecs, cents, "vec_id", "embedding").collect()}
-    assert a == b
-
-
-def test_automaton_chunks(spark, monkeypatch):
-    texts = spark.createDataFrame([(1, "tax rise and rent"), (2, "only rent")], "doc_id int, text string")
-    kw = _kw(spark, [("money", 0, "rent"), ("money", 1, "tax"), ("other", 0, "rise"), ("other", 1, "zzz")])
-    whole = sorted(map(tuple, TP.match_topics(texts, kw, strategy="automaton").collect()))
-    monkeypatch.setattr(TP, "AUTOMATON_LIMIT", 1)
-    chunked = sorted(map(tuple, TP.match_topics(texts, kw, strategy="automaton").collect()))
-    assert chunked == whole
+    rows = lambda: {r.vec_id: (r.cluster_label, r.sqdist) for r in C.assign_nearest(vecs, cents).collect()}
+    one = rows()
+    monkeypatch.setattr(C, "CENTER_BLOCK", 3)
+    assert rows() == one
+    assert one[40] == one[41] == (None, None) and one[7] == (3, 0.0)  # tie with label 4
+
+
+def test_silhouette_of_identical_points(spark, monkeypatch):
+    v = spark.createDataFrame([(i, i % 2, [1.0, 2.0]) for i in range(6)], "vec_id int, cluster_label int, embedding array<double>")
+    assert C.silhouette(v).first().silhouette == 0.0
+    w = spark.createDataFrame([(i, i % 4, [float(i % 4), float(i % 7)]) for i in range(40)],
+                              "vec_id int, cluster_label int, embedding array<double>")
+    one = C.silhouette(w).first().silhouette
+    monkeypatch.setattr(C, "CENTER_BLOCK", 2)
+    assert abs(C.silhouette(w).first().silhouette - one) < 1e-12
+
+
+def test_gram_join_equals_in_plan_form(spark):
+    texts = spark.createDataFrame([(1, "tax rise and rent"), (1, "only rent"), (None, "a tax"), (3, None), (4, "")], "doc_id int, text string")
+    kw = _kw(spark, [("money", 0, "rent"), ("money", 1, "tax"), ("other", 0, "rise"), ("other", 1, "a"), ("more", 0, "e and r")])
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(TP.match_topics(texts, kw, in_plan=0)) == rows(TP.match_topics(texts, kw))
+    assert rows(TP.tag_segments(texts, kw, in_plan=0)) == rows(TP.tag_segments(texts, kw))
+
+
+def test_dense_reports_keep_null_groups(spark):
+    s = spark.createDataFrame([("p", "a", 1.0), ("p", None, 2.0), ("q", "a", 3.0)], "paper string, topic string, score double")
+    dense = {(r.paper, r.topic): r.value for r in R.paper_topic_report(s, "avg").collect()}
+    sparse = {(r.paper, r.topic): r.value for r in R.paper_topic_report(s, "avg", dense=False).collect()}
+    assert set(sparse) <= set(dense) and dense[("p", None)] == 2.0 and dense[("q", None)] is None
+    assert dense[("total", None)] == sparse[("total", None)] == 2.0
+
+
+def test_reports_scan_once_and_run_nothing_when_built(spark, tmp_root):
+    path = os.path.join(tmp_root, "scores_once")
+    spark.createDataFrame([("p", "a", 1.0), ("q", "b", -3.0)], "paper string, topic string, score double").write.parquet(path)
+    s = spark.read.parquet(path)
+    spark.sparkContext.setJobGroup("build", "build")
+    r = R.paper_topic_report(s, "avg")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    spark.sparkContext.setJobGroup("run", "run")
+    r.collect()
+    final = r._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
 
 
 def test_with_source_and_union_sources(spark):
@@ -625,12 +692,10 @@ def test_batch_infer_factories_do_not_collide(spark):
     assert one == {"a": 1, "bb": 2} and ten == {"a": 10, "bb": 20}
 
 
-def test_lexicon_duplicates_same_in_both_strategies(spark):
+def test_lexicon_duplicates_take_their_mean(spark):
     texts = spark.createDataFrame([(1, "good day")], "doc_id int, text string")
     lex = spark.createDataFrame([("good", 1.0), ("good", 3.0)], "token string, valence double")
-    a = SCO.lexicon_compound(texts, lex, strategy="map").first().compound
-    b = SCO.lexicon_compound(texts, lex, strategy="join").first().compound
-    assert abs(a - b) < 1e-12 and abs(a - 2.0 / (4.0 + 15.0) ** 0.5) < 1e-12
+    assert abs(SCO.lexicon_compound(texts, lex).first().compound - 2.0 / (4.0 + 15.0) ** 0.5) < 1e-12
 
 
 def test_text_after_literal_marker(spark):

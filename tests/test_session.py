@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpuspulse.functions.util import json_literal, let
-from corpuspulse.session import broadcast_if_small, checkpoint_dir, spread
+from corpuspulse.session import broadcast_if_small, checkpoint_dir, spread, table_bytes
 
 
 def _plan(df):
@@ -19,19 +19,20 @@ def test_spread_small_file_input(spark, tmp_root):
     assert sorted(r.id for r in out.collect()) == list(range(100))
 
 
-def test_spread_many_files_untouched(spark, tmp_root):
-    path = f"{tmp_root}/many_files"
-    n = spark.sparkContext.defaultParallelism
-    spark.range(1000).repartition(n).write.mode("overwrite").parquet(path)
+def test_spread_leaves_larger_inputs_alone(spark, tmp_root, monkeypatch):
+    path = f"{tmp_root}/larger"
+    spark.range(1000).write.mode("overwrite").parquet(path)
+    monkeypatch.setattr("corpuspulse.session.SPREAD_BYTES_PER_CORE", 10)
     df = spark.read.parquet(path)
     assert "Repartition" not in _plan(spread(df))
 
 
-def test_broadcast_if_small(spark):
-    small = spark.range(5)
-    big = spark.range(50)
-    assert "broadcast" in _plan(spark.range(3).join(broadcast_if_small(small, 10), "id")).lower()
-    assert "broadcast" not in _plan(spark.range(3).join(broadcast_if_small(big, 10), "id")).lower()
+def test_broadcast_goes_by_bytes_not_rows(spark):
+    few_wide = spark.createDataFrame([(1, "x" * 10_000)], "id long, s string")
+    many_narrow = spark.range(50)
+    assert table_bytes(few_wide) > 10_000 > table_bytes(many_narrow)
+    hinted = lambda df: "broadcast" in _plan(spark.range(3).join(broadcast_if_small(df, 5_000), "id")).lower()
+    assert hinted(many_narrow) and not hinted(few_wide)
 
 
 def test_json_literal_folds_and_let_binds(spark):
