@@ -139,16 +139,35 @@ def pack_items(items: DataFrame, capacity: int, islands: int = ISLANDS, epochs:
 
 
 _ENCODERS: dict[str, object] = {}
+_BY_RANK: dict[str, bool] = {}
 
 
-def _encoder(path: str):
-    """``text -> numpy ids`` equal to the tokenizers library, built from the same vocabulary file."""
+def ranks_suffice(path: str) -> bool:
+    """Whether merging by token rank equals the file's merge list.
+
+    That holds when every token is the result of its own bytes and ids follow the order of the merges, as in
+    trained vocabularies.  Checked once per application, on the driver.
+    """
+    if path not in _BY_RANK:
+        from corpuspulse.llm.bpe import Vocabulary
+        v = Vocabulary(path)
+        made = [m for _, m in v.pair.values()]
+        _BY_RANK[path] = len(v.own) == len(v.ids) and all(a < b for a, b in zip(made, made[1:]))
+    return _BY_RANK[path]
+
+
+def _encoder(path: str, by_rank: bool):
+    """``text -> ids`` equal to the tokenizers library, built from its vocabulary file."""
     if path not in _ENCODERS:
         import json
 
         import tiktoken
 
-        from corpuspulse.llm.bpe import PATTERN, byte_symbols
+        from corpuspulse.llm.bpe import PATTERN, byte_symbols, vocabulary
+        if not by_rank:
+            v = vocabulary(path)
+            _ENCODERS[path] = lambda t: np.frombuffer(v.encode_batch([t])[0], "<i4").tolist()
+            return _ENCODERS[path]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -160,10 +179,10 @@ def _encoder(path: str):
     return _ENCODERS[path]
 
 
-def _cut(path: str, size: int, end: int):
+def _cut(path: str, by_rank: bool, size: int, end: int):
     def run(batches):
         import pyarrow as pa
-        encode = _encoder(path)
+        encode = _encoder(path, by_rank)
         for batch in batches:
             rows = []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
@@ -191,7 +210,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = 1024, end: int = SEPA
     prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # Written once: the numbering below must not change when a task is run again.
-    pieces = cut(rows.mapInArrow(_cut(path, size, end), PIECES).withColumn("item", F.monotonically_increasing_id()))
+    pieces = cut(rows.mapInArrow(_cut(path, ranks_suffice(path), size, end), PIECES).withColumn("item", F.monotonically_increasing_id()))
     packed = pack_items(pieces.where(F.col("length") < size).select("item", "length"), size)
     # Packed sequences count up from 0 by (shard, bin); full pieces count down from -1.
     short = (pieces.where(F.col("length") < size).join(packed, "item")
