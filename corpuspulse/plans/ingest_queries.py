@@ -188,6 +188,72 @@ def q_extract_headlines(spark, sf):
     return extract_headlines(S.pages(spark, sf), rules).select("page_id", "pos", "headline")
 
 
+# Site rules as data, one per rule kind, shaped to what ``pages`` holds (a caller lists one rule per site).
+RULE_KINDS = {
+    "attribute_stride": dict(site="", record="nav li", headline="a", topline="a@href", date="const:-", stride=2, offset=1),
+    "url_date": dict(site="", record="article", headline="h1", date=r"url:/(\d+)"),
+    "section": dict(site="", record="html", headline="title", section="@lang", allowed=("en", "fr"), date="const:-"),
+    "fallback": dict(site=r"example\.(?:com|net)", record="article", headline="h2 || header || h1", date="const:-"),
+    "previous": dict(site="", record="article", headline="h1", prev="a", prev_nth=2, date="const:-"),
+}
+
+
+def _site_rule(spark, sf, kind):
+    from corpuspulse.sources.pages import Rule, extract_headlines
+    return extract_headlines(S.pages(spark, sf), [Rule(**RULE_KINDS[kind])], parse_dates=False)
+
+
+def _sql_text(expr: str) -> str:
+    """Trimmed text with the references decoded that the invented pages hold."""
+    for name, ch in (("#(39|x27)", "chr(39)"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("nbsp", "chr(160)"), ("amp", "'&'")):
+        expr = f"regexp_replace({expr}, '&{name};?', {ch}, 'g')"
+    return f"trim({expr})"
+
+
+@register("site_rule_attribute_stride", f"""
+SELECT page_id, CAST((i - 2) / 2 AS INT) AS pos, links[i][1] || ': ' || {_sql_text('links[i][2]')} AS headline
+FROM (SELECT page_id, list_zip(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1),
+                               regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2)) AS links FROM pages) p,
+     range(2, 1000, 2) AS r(i) WHERE i <= len(links)""")
+def q_site_rule_attribute_stride(spark, sf):
+    """Nested record selector, attribute value as topline, every second record."""
+    return _site_rule(spark, sf, "attribute_stride").select("page_id", "pos", "headline")
+
+
+@register("site_rule_url_date", f"""
+SELECT page_id, {_sql_text("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS headline,
+       nullif(regexp_extract(url, '/(\\d+)', 1), '') AS date_raw FROM pages""")
+def q_site_rule_url_date(spark, sf):
+    """The date comes from the page's address."""
+    return _site_rule(spark, sf, "url_date").select("page_id", "headline", "date_raw")
+
+
+@register("site_rule_section", f"""
+SELECT page_id, {_sql_text("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS headline,
+       regexp_extract(html, '<html lang="([^"]*)"', 1) AS section FROM pages
+WHERE regexp_extract(html, '<html lang="([^"]*)"', 1) IN ('en', 'fr')""")
+def q_site_rule_section(spark, sf):
+    """Only records of allowed sections."""
+    return _site_rule(spark, sf, "section").select("page_id", "headline", "section")
+
+
+@register("site_rule_fallback", f"""
+SELECT page_id, {_sql_text("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS headline FROM pages
+WHERE regexp_matches(url, 'example\\.(com|net)')""")
+def q_site_rule_fallback(spark, sf):
+    """First value of several selectors that is present, for pages of some sites only."""
+    return _site_rule(spark, sf, "fallback").select("page_id", "headline")
+
+
+@register("site_rule_previous", f"""
+SELECT page_id, {_sql_text('names[len(names) - 1]')} AS headline
+FROM (SELECT page_id, regexp_extract_all(split_part(html, '<article>', 1), '<a href="[^"]*">([^<]*)</a>', 1) AS names FROM pages) p
+WHERE len(names) >= 2""")
+def q_site_rule_previous(spark, sf):
+    """The headline is the second element before the record that matches a selector."""
+    return _site_rule(spark, sf, "previous").select("page_id", "headline")
+
+
 @register("carry_forward", """
 SELECT conv_id, turn, role,
        last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS)

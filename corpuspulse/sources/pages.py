@@ -3,8 +3,8 @@
 Two paths:
 
 * ``extract_tag_text`` - a single ``<record> <field>`` rule as JVM regular
-  expressions (``regexp_extract_all`` + ``explode``): no Python, whole-stage
-  codegen, for well-formed simple layouts;
+  expressions (``regexp_extract_all`` + ``explode``) for simple layouts; the
+  short captured texts are then cleaned (inner tags, entities) batch by batch;
 * ``extract_headlines`` - a rule table evaluated by ``mapInPandas`` over
   Arrow batches.  Each page is parsed once with the standard library's
   ``html.parser`` into a flat element list; a rule picks record elements and
@@ -23,12 +23,13 @@ from __future__ import annotations
 import dataclasses
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuspulse.functions.scores import compose
 from corpuspulse.functions.text import parse_event_time
-from corpuspulse.session import ship_package, spread
+from corpuspulse.session import ship_package
 
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "wbr"}
 
@@ -105,15 +106,13 @@ def _parse(doc: str):
 
 
 def _text(elems, i: int, sep: str = "") -> str:
-    out = []
-
-    def walk(j):
-        for part in elems[j]["parts"]:
-            if isinstance(part, int):
-                walk(part)
-            else:
-                out.append(part)
-    walk(i)
+    out, todo = [], [i]
+    while todo:  # depth first without recursion: pages may leave any number of tags open
+        part = todo.pop()
+        if isinstance(part, int):
+            todo.extend(reversed(elems[part]["parts"]))
+        else:
+            out.append(part)
     if sep:
         return sep.join(s.strip() for s in out if s.strip())
     return "".join(out).strip()
@@ -139,16 +138,14 @@ def _match_simple(e, sel: str) -> bool:
 
 
 def _descendants(elems, root: int):
-    out = []
-
-    def walk(j):
-        for part in elems[j]["parts"]:
-            if isinstance(part, int):
-                out.append(part)
-                walk(part)
     if root < 0:
         return [e["idx"] for e in elems]
-    walk(root)
+    out, todo = [], [root]
+    while todo:
+        j = todo.pop()
+        if j != root:
+            out.append(j)
+        todo.extend(part for part in reversed(elems[j]["parts"]) if isinstance(part, int))
     return out
 
 
@@ -279,10 +276,11 @@ def extract_headlines(pages: DataFrame, rules, parse_dates: bool = True) -> Data
     schema = ("page_id long, url string, site string, pos int, headline string, topline string, "
               "section string, date_raw string, _carry boolean")
     ship_package(pages.sparkSession)
-    out = spread(pages.select("page_id", "url", "html")).mapInPandas(run, schema)
+    out = pages.select("page_id", "url", "html").mapInPandas(run, schema)
     out = out.withColumn("headline", compose("topline", "headline")).drop("topline")
     if parse_dates:
         out = out.withColumn("event_ts", parse_event_time("date_raw"))
+    if parse_dates and any(r.carry_date for r in rules):
         # Records without a date reuse the last date on the page when the rule says so.
         w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
         carried = F.last("event_ts", ignorenulls=True).over(w)
@@ -291,26 +289,32 @@ def extract_headlines(pages: DataFrame, rules, parse_dates: bool = True) -> Data
     return out.drop("_carry")
 
 
-# Common HTML entities as an HTML parser decodes them in text; these
-# legacy names also decode without the closing semicolon ("&amp" -> "&").
-HTML_ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("amp", "&")]
-
-
-def unescape_html(c) -> Column:
-    """Decode the common named entities (semicolon optional, as in HTML) and ``&#39;``."""
-    c = F.col(c) if isinstance(c, str) else c
-    c = F.regexp_replace(c, r"&#(?:39|x27);?", "'")
-    for name, ch in HTML_ENTITIES:
-        c = F.regexp_replace(c, f"&{name};?", ch)
-    return c
+def inner_text(content: str | None) -> str | None:
+    """Text of a captured element: inner tags cut out, references decoded (all names, as HTML parsers do)."""
+    import html
+    if content is None:
+        return None
+    if "<" not in content and "&" not in content:
+        return content.strip()
+    parts = (html.unescape(x).strip() for x in re.split(r"<!--.*?-->|<[^>]*>", content, flags=re.S))
+    return " ".join(x for x in parts if x)
 
 
 def extract_tag_text(pages: DataFrame, record: str = "article", field: str = "h1") -> DataFrame:
     """S8, JVM path: text of every ``<field>`` directly opening a ``<record>`` element.
 
-    Output ``(page_id, pos, headline)``; entity references are decoded.
+    Output ``(page_id, pos, headline)``.  Tag names match in any case, inline markup inside the field is cut
+    out, and entity references are decoded.
     """
-    pat = rf"<{record}\b[^>]*>\s*<{field}\b[^>]*>([^<]*)</{field}>"
-    found = F.regexp_extract_all(F.col("html"), F.lit(pat), 1)
-    return pages.select("page_id", F.posexplode(found).alias("pos", "headline")).select(
-        "page_id", "pos", F.trim(unescape_html("headline")).alias("headline"))
+    pat = rf"(?is)<{record}\b[^>]*>\s*<{field}\b[^>]*>(.*?)</{field}\s*>"
+    found = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(pat), 1)).alias("pos", "_c"))
+    state = T.StructType([found.schema["page_id"], T.StructField("pos", T.IntegerType()), T.StructField("headline", T.StringType())])
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            text = pa.array([inner_text(c) for c in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], names=state.names)
+
+    ship_package(pages.sparkSession)
+    return found.mapInArrow(run, state)

@@ -703,3 +703,30 @@ def test_text_after_literal_marker(spark):
     got = [r.x for r in df.select(T.text_after("s", "(x)").alias("x")).collect()]
     assert got == ["b", None]
     assert df.select(T.text_after("s", ".").alias("x")).collect()[1].x is None   # three parts
+
+
+# ---------------------------------------------------------------- S8: markup of real pages
+
+def test_page_text_forms_agree(spark):
+    from corpuspulse.sources.pages import Rule, extract_headlines, extract_tag_text
+    page = ("<html><body><article><h1>Gr&uuml;ne f&#252;r M&auml;rz &ndash; x</h1></article>"
+            "<ARTICLE class=a>\n <H1 id=h>a <b>b</b><br>c&ampd</H1></ARTICLE><article><h1></h1></article></body></html>")
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", "")], "page_id long, url string, html string")
+    want = [(1, "Grüne für März – x"), (1, "a b c&d")]
+    jvm = sorted((r.page_id, r.headline) for r in extract_tag_text(pages).collect() if r.headline)
+    rule = Rule(site="", record="article", headline="h1", date="const:-")
+    parser = sorted((r.page_id, r.headline) for r in extract_headlines(pages, [rule]).collect() if r.headline)
+    assert jvm == want and parser == want
+
+
+def test_page_with_many_open_tags(spark):
+    from corpuspulse.sources.pages import Rule, extract_page
+    deep = "<ul>" + "<li>x" * 3000 + "<article><h1>found</h1>"
+    assert [r[1] for r in extract_page(Rule(site="", record="article", headline="h1"), "u", deep)] == ["found"]
+
+
+def test_carry_window_only_for_rules_that_carry(spark):
+    from corpuspulse.sources.pages import Rule, extract_headlines
+    pages = spark.createDataFrame([(1, "u", "<article><h1>a</h1></article>")], "page_id long, url string, html string")
+    plan = lambda carry: extract_headlines(pages, [Rule(site="", record="article", headline="h1", date="const:-", carry_date=carry)])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan(True) and "Window" not in plan(False)
