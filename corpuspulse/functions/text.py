@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuspulse.functions.util import json_literal
+from corpuspulse.functions.util import json_literal, let
 
 # German month names in calendar order (1..12).
 GERMAN_MONTHS = ["Januar", "Februar", "März", "April", "Mai", "Juni",
@@ -46,26 +46,27 @@ def parse_event_time(c) -> Column:
     * ``dd.MM.yyyy``, optional ``Aktualisiert am `` prefix, optional `` - ...`` tail;
     * anything else (``-``, unknown month, corrupt year) -> NULL.
     """
-    s = F.trim(_c(c))
-    iso = F.regexp_extract(s, r"^(\d{4})-(\d{2})-(\d{2})(?: (\d{2}):(\d{2}):(\d{2}))?$", 0)
-    iso_ts = F.when(F.length(iso) > 0, _ts(
-        F.regexp_extract(s, r"^(\d{4})", 1), F.regexp_extract(s, r"^\d{4}-(\d{2})", 1).cast("int"),
-        F.regexp_extract(s, r"^\d{4}-\d{2}-(\d{2})", 1),
-        F.nullif(F.regexp_extract(s, r" (\d{2}):", 1), F.lit("")),
-        F.nullif(F.regexp_extract(s, r" \d{2}:(\d{2}):", 1), F.lit("")),
-        F.nullif(F.regexp_extract(s, r" \d{2}:\d{2}:(\d{2})$", 1), F.lit(""))))
-    de_re = r"(\d{1,2})\. (\p{L}+) (\d{4})(?:, (\d{1,2})[.:](\d{2}) Uhr)?"
-    de_match = F.regexp_extract(s, de_re, 0)
-    month = F.element_at(_month_map(), F.regexp_extract(s, de_re, 2))
-    de_ts = F.when((F.length(de_match) > 0) & month.isNotNull(), _ts(
-        F.regexp_extract(s, de_re, 3), month, F.regexp_extract(s, de_re, 1),
-        F.nullif(F.regexp_extract(s, de_re, 4), F.lit("")),
-        F.nullif(F.regexp_extract(s, de_re, 5), F.lit(""))))
-    num_re = r"^(?:Aktualisiert am )?(\d{2})\.(\d{2})\.(\d{4})(?: - .*)?$"
-    num_ts = F.when(F.length(F.regexp_extract(s, num_re, 0)) > 0, _ts(
-        F.regexp_extract(s, num_re, 3), F.regexp_extract(s, num_re, 2).cast("int"),
-        F.regexp_extract(s, num_re, 1)))
-    return F.coalesce(iso_ts, de_ts, num_ts).cast("timestamp_ntz")
+    def parts(x: Column, pattern: str) -> Column:
+        """All groups of the pattern by one replace of the whole text, '' where it does not match."""
+        groups = pattern.count("(") - pattern.count("(?")
+        whole = F.regexp_replace(x, f"^(?:{pattern})$", "\u0001".join(f"${i}" for i in range(1, groups + 1)))
+        return F.split(whole, "\u0001")
+
+    def build(x: Column) -> Column:
+        # One cheap test picks the spelling; only that spelling's pattern then runs, once.
+        iso = r"(\d{4})-(\d{2})-(\d{2})(?: (\d{2}):(\d{2}):(\d{2}))?"
+        named = r"(?s:.*?)(\d{1,2})\. (\p{L}+) (\d{4})(?:, (\d{1,2})[.:](\d{2}) Uhr)?(?s:.*)"
+        number = r"(?:Aktualisiert am )?(\d{2})\.(\d{2})\.(\d{4})(?: - .*)?"
+        part = lambda p, i: F.nullif(F.get(p, i), F.lit(""))
+        iso_ts = let(parts(x, iso), lambda p: F.when(F.size(p) == 6, _ts(
+            part(p, 0), part(p, 1).cast("int"), part(p, 2), part(p, 3), part(p, 4), part(p, 5))))
+        named_ts = let(parts(x, named), lambda p: F.when((F.size(p) == 5) & F.element_at(_month_map(), F.get(p, 1)).isNotNull(), _ts(
+            part(p, 2), F.element_at(_month_map(), F.get(p, 1)), part(p, 0), part(p, 3), part(p, 4))))
+        number_ts = let(parts(x, number), lambda p: F.when(F.size(p) == 3, _ts(part(p, 2), part(p, 1).cast("int"), part(p, 0))))
+        return (F.when(F.substring(x, 5, 1) == "-", iso_ts)
+                .when(x.contains(". "), F.coalesce(named_ts, number_ts)).otherwise(number_ts))
+
+    return let(F.trim(_c(c)), build).cast("timestamp_ntz")
 
 
 def decode_obfuscated(c) -> Column:

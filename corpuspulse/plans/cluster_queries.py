@@ -295,3 +295,55 @@ SELECT cluster_label, doc_id, headline, CAST(member_rank AS INT) AS member_rank
 def q_cluster_members_top(spark, sf):
     """A21 with a per-cluster limit (the limit is the feature: a preview of each cluster)."""
     return C.cluster_members(_assigned(spark, sf), limit=3)
+
+
+NB_TOPICS = ["article", "conj", "pron", "whole"]
+NB_ALIAS = [("article", "articles"), ("conj", "conjunctions")]
+
+
+@register("analysis_pipeline", _CLEAN_KW + f""",
+{NAMES_SQL}, {CT_SQL},
+hd AS (SELECT doc_id, paper, headline, '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS date FROM (
+         SELECT *, row_number() OVER (PARTITION BY headline ORDER BY paper, doc_id) AS rn FROM heads) t WHERE rn = 1),
+sc AS (SELECT h.headline, h.paper, h.date,
+              CASE x.topic WHEN 'article' THEN 'articles' WHEN 'conj' THEN 'conjunctions' ELSE x.topic END AS topic,
+              (h.doc_id % 7 - 3) / 4.0 AS score
+       FROM hd h JOIN hits x USING (doc_id)
+       UNION ALL SELECT headline, paper, date, 'whole' AS topic, (doc_id % 11) / 10.0 - 0.5 AS score FROM hd),
+cl AS (SELECT h.headline, h.paper, h.date, e.label AS cluster_label FROM hd h JOIN embeddings e ON e.vec_id = h.doc_id),
+jn AS (SELECT sc.*, cl.cluster_label FROM sc JOIN cl USING (date, headline, paper)),
+un AS (SELECT * FROM jn WHERE topic = 'whole' AND headline NOT IN (SELECT headline FROM jn WHERE topic <> 'whole')),
+al AS (SELECT paper, topic, score FROM jn
+       UNION ALL SELECT un.paper, ct.topic, un.score FROM un JOIN names ON names.cluster_label = un.cluster_label
+                 JOIN ct ON ct.name = lower(names.name)),
+base AS (SELECT paper, topic, avg(score) AS value FROM al GROUP BY 1, 2),
+grid AS (SELECT p.paper, t.topic, b.value FROM (SELECT DISTINCT paper FROM base) p CROSS JOIN (SELECT DISTINCT topic FROM base) t
+         LEFT JOIN base b ON b.paper = p.paper AND b.topic = t.topic),
+rows_ AS (SELECT * FROM grid UNION ALL SELECT 'total', topic, avg(value) FROM grid GROUP BY topic)
+SELECT paper, topic, round(value, 6) + 0.0 AS value FROM rows_
+UNION ALL SELECT paper, 'total (topic only)', round(avg(value) FILTER (WHERE topic <> 'whole'), 6) + 0.0 FROM rows_ GROUP BY paper""")
+def q_analysis_pipeline(spark, sf):
+    """The analysis as one job: wide score CSV -> P13 -> P10 -> J1 on (date, headline, paper) -> J5 -> A9."""
+    import uuid
+
+    from corpuspulse.operators import reports as R
+    from corpuspulse.session import scratch_table_path
+    from corpuspulse.sources.tables import read_table, write_table
+    key = ["date", "headline", "paper"]
+    h = R.dedup_first(S.heads(spark, sf).select("doc_id", "paper", "headline"), "headline", ("paper", "doc_id"))
+    h = h.withColumn("date", F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")))
+    hits = TP.match_topics(h.select(*key, "doc_id", T.clean_en("headline").alias("text")), TP.prepare_keywords(S.kw(spark)), "doc_id", "text")
+    topic = h.join(hits.select("doc_id", "topic"), "doc_id").withColumn("score", (F.col("doc_id") % 7 - 3) / 4.0)
+    whole = h.withColumn("topic", F.lit("whole")).withColumn("score", (F.col("doc_id") % 11) / 10.0 - 0.5)
+    wide = R.widen(topic.unionByName(whole), key, NB_TOPICS)
+    path = scratch_table_path(spark, f"wide-{uuid.uuid4().hex}")
+    write_table(wide, path, fmt="csv")
+    wide = read_table(spark, path, fmt="csv", schema=", ".join(f"`{c}` {t}" for c, t in wide.dtypes))
+    scores = R.canonical_topics(R.melt(wide, key).where("score is not null"), spark.createDataFrame(NB_ALIAS, "raw string, topic string"))
+    e = _vecs(spark, sf).select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster_label"))
+    clusters = h.join(e, "doc_id").select(*key, "cluster_label")
+    joined = C.join_scores_clusters(scores, clusters, key)
+    named = C.attach_cluster_name(clusters, _names(spark)).where("name is not null").select("headline", "name")
+    ct = spark.createDataFrame(CLUSTER_TOPIC, "name string, topics array<string>")
+    full = C.reassign_by_cluster(joined.select("headline", "paper", "topic", "score"), named, ct, "headline", ("paper",))
+    return R.paper_topic_report(full, "avg").select("paper", "topic", (F.round("value", 6) + 0.0).alias("value"))
