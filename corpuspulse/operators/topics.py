@@ -110,6 +110,10 @@ def _ngram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
     return grams.join(broadcast_if_small(kw.drop("_n")), "keyword").select(id_col, "topic", "pos", "keyword")
 
 
+def _piece(ch: Column, n: int):
+    return lambda i: F.concat(*[F.get(ch, i + j) for j in range(n)])
+
+
 def _gram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
     """Substring hits by an equi-join on the leading ``GRAM`` characters of each phrase (fewer for shorter phrases).
 
@@ -119,10 +123,14 @@ def _gram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
     kw = keywords.select("topic", "pos", "keyword").withColumn("_g", F.substring("keyword", 1, GRAM))
     sizes = sorted(r[0] for r in kw.select(F.length("_g").alias("n")).distinct().collect())  # at most GRAM values
     keyed = t.withColumn("_gk", F.xxhash64(F.col(id_col), "_h"))
-    grams_of = lambda h: F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.when(F.length(h) >= n, F.sequence(F.lit(1), F.length(h) - n + 1)).otherwise(F.array().cast("array<int>")),
-                    lambda i: F.substr(h, i, F.lit(n))) for n in sizes]))) if sizes else F.array().cast("array<string>")
-    grams = keyed.select("_gk", F.explode(let(F.col("_h"), grams_of)).alias("_g")).distinct()
+
+    def grams_of(ch: Column) -> Column:
+        """All ``n``-character pieces, from the array of characters (constant work per piece)."""
+        every = [F.transform(F.when(F.size(ch) >= n, F.sequence(F.lit(0), F.size(ch) - n)).otherwise(F.array().cast("array<int>")),
+                             _piece(ch, n)) for n in sizes]
+        return F.array_distinct(F.flatten(F.array(*every))) if every else F.array().cast("array<string>")
+
+    grams = keyed.select("_gk", F.explode(let(F.split("_h", ""), grams_of)).alias("_g")).distinct()
     candidates = grams.join(broadcast_if_small(kw), "_g").select("_gk", "topic", "pos", "keyword")
     found = (keyed.select("_gk", "_h").dropDuplicates(["_gk"]).join(candidates, "_gk").where(F.contains("_h", F.col("keyword")))
              .groupBy("_gk", "topic").agg(F.min(F.struct("pos", "keyword")).alias("b")))
