@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from corpuspulse.llm.common import cut
 
 
-def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """One star step over ``(a, b)`` edges seen from ``a``: neighbours are linked to the least of the star."""
-    least = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    joined = edges.join(least, "a")
-    kept = joined.where("b > a") if larger_only else joined
-    return kept.select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the undirected edges ``(a long, b long)``.
 
@@ -24,18 +16,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     with very many neighbours is one small row on the minimum's side, so its edges can be split (skew join).
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    total = None
-    while True:
+    total = edges.count()
+    while total:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _to_least(both, larger_only=True).where("a <> b").distinct()
-        # Small star: each node and its smaller neighbours point to the least of them (edges hold a > b here).
+        # Large star: every larger neighbour points to the least node of the star.
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        # Small star: each node and its smaller neighbours point to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == total:
+        edges = cut(large.join(least, "a").select(F.explode(F.array(
+            F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+            .select("e.*").where("a <> b").distinct())
+        # Stars with their least node in the middle: every node has one edge, and no middle has one.
+        tied = edges.groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "x")
+        loose = edges.join(tied, edges["b"] == tied["x"], "left_semi").limit(1).count() + tied.where("n > 1").limit(1).count()
+        if not loose:
             break
-        total = tuple(now)
     return (edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))

@@ -8,9 +8,9 @@
    depth).  What is still larger at full depth is split into parts by its order.
 3. Within a region, rows lie sorted by signature, so neighbours share the longest prefixes: every class is
    compared with the ``REACH`` before it, on full shingle sets, unless both are known to be connected.
-4. Trees are worked through in ``ROUNDS``; after each, connected components join what was found, and only
-   regions that still hold different components are looked at again.  So a group of thousands of near copies
-   is read a few times, not compared pair by pair.
+4. A share of the regions is looked at first.  Connected components join what was found, and of the other
+   regions only those that still hold different components are looked at.  So a group of thousands of near
+   copies is read a few times, not compared pair by pair.
 
 Two sets of similarity s share a region of a tree with probability s**START; at s = 0.8 all 20 trees miss a pair
 with probability 3e-5.
@@ -29,8 +29,9 @@ from corpuspulse.llm.common import cut, keyed, prepare
 from corpuspulse.llm.components import connected_components
 
 TREES, START, DEPTH = 20, 4, 8
-ROUNDS = ((0, 2), (2, 8), (8, 20))
+FIRST = 3  # of TREES shares of the regions are looked at first
 REGION = 64
+PART = 4096
 REACH = 4
 PIECE_BYTES = 1_000_000
 SHINGLE_BASE = np.uint64(0xD1B54A32D192ED03)
@@ -139,23 +140,25 @@ def _confirm(size: int, percent: int):
 
 
 def regions(rows: DataFrame) -> DataFrame:
-    """Give each ``(p, q, r, key, th, comp)`` its region, at the smallest depth where it is small enough."""
-    step = lambda c, bits: F.shiftright(F.col(c), bits)
-    cols, found = [F.col("p")], rows
-    mixed = lambda w: (F.min("comp").over(w) != F.max("comp").over(w))
-    found = found.withColumn("region", F.col("p"))
-    parts = [step("q", 32), F.col("q"), F.struct("q", step("r", 32).alias("x")), F.struct("q", "r")]
-    done = None
-    # Only regions holding different components matter; counting is a combined aggregate, so hot ones are small.
-    stats = found.groupBy("region").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    found = found.join(stats.where("c1 <> c2").select("region", "size"), "region")
-    for depth, part in enumerate(parts):
-        small = found.where(F.col("size") <= REGION)
-        done = small if done is None else done.unionByName(small)
-        large = found.where(F.col("size") > REGION).drop("size").withColumn("region", F.xxhash64(F.lit(depth), F.col("p"), part))
-        stats = large.groupBy("region").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-        found = large.join(stats.where("c1 <> c2").select("region", "size"), "region")
-    return done.unionByName(found)
+    """Give tree rows ``(p, q, r, key, th)`` their region, at the smallest depth where it holds few classes.
+
+    Rows that share no region are left out.  Counting is a combined aggregate, so a hot region is one small row
+    there; only rows of large regions are counted again, at all deeper prefixes in one pass.
+    """
+    stats = rows.groupBy("p").agg(F.count("*").alias("size"), F.min("key").alias("k1"), F.max("key").alias("k2"))
+    found = cut(rows.join(stats.where("k1 <> k2").select("p", "size"), "p"))
+    small = found.where(F.col("size") <= REGION).select(F.col("p").alias("region"), "p", "q", "r", "key", "th")
+    large = found.where(F.col("size") > REGION).drop("size")
+    step = lambda c: F.shiftright(F.col(c), 32)
+    deeper = [F.xxhash64("p", step("q")), F.xxhash64("p", "q"), F.xxhash64("p", "q", step("r")), F.xxhash64("p", "q", "r")]
+    keys = large.select("p", "q", "r", "key", "th", F.posexplode(F.array(*deeper)).alias("depth", "region"))
+    sizes = keys.groupBy("depth", "region").agg(F.count("*").alias("size"))
+    last = len(deeper) - 1
+    best = (keys.join(sizes, ["depth", "region"]).where((F.col("size") <= REGION) | (F.col("depth") == last))
+            .groupBy("p", "q", "r", "key", "th").agg(F.min(F.struct("depth", "region", "size")).alias("b")))
+    # What is still large at full depth is divided into parts of bounded size; nothing else is.
+    part = F.when(F.col("b.size") > REGION, F.pmod(F.xxhash64("key"), F.ceil(F.col("b.size") / PART))).otherwise(0)
+    return small.unionByName(best.select(F.xxhash64("b.region", part).alias("region"), "p", "q", "r", "key", "th"))
 
 
 def near_components(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
@@ -170,55 +173,49 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     prepare(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     signed = cut(rows.where("id is not null").select("key", "th", "text").mapInArrow(_sign(size), SIGNED))
+    # Classes of equal sets: the smallest id stands for all from here on.
     classes = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("key", "th")).alias("rep"))
-    reps = (signed.join(classes, ["f1", "f2", "n"]).where("key = rep.key and th = rep.th")
-            .dropDuplicates(["key", "th"]).select("key", "th", "trees"))
-    # Rows with one id are one node, whatever their texts: classes of one document are linked through it.
-    same = signed.where("n > 0").join(classes, ["f1", "f2", "n"]).select(F.col("key").alias("a"), F.col("rep.key").alias("b")).where("a <> b")
-    edges = cut(same.distinct())
-    comps = cut(connected_components(edges)) if not edges.isEmpty() else None
-
-    def tree_rows(first, last):
-        # A component's smallest id stands for all its members; a class that is alone is its own component.
-        r = reps.withColumn("t", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))).select(
-            F.get("trees", 3 * F.col("t")).alias("p"), F.get("trees", 3 * F.col("t") + 1).alias("q"),
-            F.get("trees", 3 * F.col("t") + 2).alias("r"), "key", "th")
+    nodes = cut(signed.join(classes, ["f1", "f2", "n"]).select(
+        "key", "th", F.col("rep.key").alias("node"),
+        F.when((F.col("key") == F.col("rep.key")) & (F.col("th") == F.col("rep.th")), F.col("trees")).alias("trees")))
+    # Rows with one id are one node whatever their texts: their classes are linked through it.
+    links = (nodes.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b").select("a", "b"))
+    tree = nodes.where("trees is not null").dropDuplicates(["key", "th"]).withColumn(
+        "t", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    item = lambda k: F.get("trees", 3 * F.col("t") + k)
+    placed = cut(regions(tree.select(item(0).alias("p"), item(1).alias("q"), item(2).alias("r"), "key", "th"))
+                 .withColumn("round", F.when(F.pmod(F.xxhash64("region"), F.lit(TREES)) < FIRST, 0).otherwise(1)))
+    # Only texts of classes that share a region are read again.
+    texts = cut(rows.where("id is not null").select("key", "th", "text")
+                .join(placed.select("key", "th").distinct(), ["key", "th"]).dropDuplicates(["key", "th"]))
+    comps = None
+    for step in (0, 1):
+        work = placed.where(F.col("round") == step)
         if comps is None:
-            return r.withColumn("comp", F.col("key"))
-        return (r.join(comps.withColumnRenamed("node", "key"), "key", "left")
-                .withColumn("comp", F.coalesce("component", "key")).drop("component"))
-
-    # Texts of classes that share any region with another class: the only ones read again.
-    shared = tree_rows(0, TREES).select("p", "key", "th", "comp")
-    mixed = shared.groupBy("p").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("p")
-    wanted = shared.join(mixed, "p").select("key", "th").distinct()
-    texts = cut(rows.where("id is not null").select("key", "th", "text").join(wanted, ["key", "th"]).dropDuplicates(["key", "th"]))
-    for first, last in ROUNDS:
-        placed = regions(tree_rows(first, last))
-        # Ordered parts of what is still large at full depth; nothing else is divided.
-        placed = placed.withColumn("part", F.when(F.col("size") > REGION, F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / 4096))).otherwise(0))
-        work = (placed.join(texts, ["key", "th"]).select(F.xxhash64("region", "part").alias("region"), "p", "q", "r", "key", "comp", "text")
-                .repartition("region").sortWithinPartitions("region", "p", "q", "r", "key"))
-        links = cut(work.select("region", "comp", "text").mapInArrow(_confirm(size, percent), "a long, b long").distinct())
-        if links.isEmpty():
-            continue
-        known = links if comps is None else links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        comps = cut(connected_components(known))
-    return _result(docs, rows, signed, comps, id_col, text_col, rec)
-
-
-def _result(docs, rows, signed, comps, id_col, text_col, rec):
-    out = signed.select("key", F.col("n").cast("long").alias("n_shingles"), "th")
-    if comps is not None:
-        out = out.join(comps.withColumnRenamed("node", "key"), "key", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    out = out.withColumn("component_id", F.coalesce("component", "key")).drop("component")
-    out = out.withColumn("kept", F.col("component_id") == F.col("key"))
+            work = work.withColumn("comp", F.col("key"))
+        else:  # regions whose classes are all connected by now need no further look
+            work = work.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
+            mixed = work.groupBy("region").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("region")
+            work = work.join(mixed, "region")
+        ordered = (work.join(texts, ["key", "th"]).select("region", "p", "q", "r", "key", "comp", "text")
+                   .repartition("region").sortWithinPartitions("region", "p", "q", "r", "key"))
+        found = ordered.select("region", "comp", "text").mapInArrow(_confirm(size, percent), "a long, b long")
+        links = links.unionByName(found) if comps is None else found.unionByName(
+            comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        comps = connected_components(links)
+    return _result(docs, rows, signed, nodes, comps, id_col, text_col, rec)
+
+
+def _result(docs, rows, signed, nodes, comps, id_col, text_col, rec):
+    own = nodes.select("key", "th", "node").dropDuplicates(["key", "th"])
+    out = (signed.select("key", "th", F.col("n").cast("long").alias("n_shingles")).join(own, ["key", "th"], "left")
+           .withColumn("node", F.coalesce("node", "key")).join(comps, "node", "left")
+           .withColumn("component_id", F.coalesce("component", "node")))
+    out = out.select("key", "th", "n_shingles", "component_id", (F.col("component_id") == F.col("key")).alias("kept"))
     if not rec:
-        nulls = (rows.where("id is null").select("key", "th", "text")
-                 .select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("n_shingles"),
-                         F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+        nulls = rows.where("id is null").select(
+            F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("n_shingles"),
+            F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
         return out.select(F.col("key").alias("id"), "n_shingles", "component_id", "kept").unionByName(nulls)
     full = keyed(docs, id_col, text_col, rec=True)
     got = out.dropDuplicates(["key", "th"])
