@@ -3,9 +3,8 @@
 Messages carry JSON: ``{"tool_calls": [{"id", "name", "arguments": {..}, "after": [ids]}]}`` makes calls,
 ``{"tool_call_id", "content"}`` is a result; any other text is an ordinary message.  Calls and results meet in a
 hash join by (conversation, call id), so a conversation with very many turns spreads over all tasks.  Order is a
-level per call (longest chain of ``after`` links): each round settles the calls whose last open link was settled
-in the round before, so the number of rounds is the longest chain, not the number of calls.  All steps are
-DataFrame functions; JSON is read and written as Spark variants, whose object keys are sorted.
+level per call (longest chain of ``after`` links), found by pointer doubling where calls name one dependency each,
+and in rounds of settled calls elsewhere.  All steps are DataFrame functions; JSON is read and written as Spark variants, whose object keys are sorted.
 """
 
 from __future__ import annotations
@@ -57,26 +56,55 @@ def argument_errors(name: Column, args: Column, schemas: dict) -> Column:
     return F.array_join(F.filter(found, lambda x: x.isNotNull()), ",")
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """``(conv, call_id, level)``: 0 without known dependencies, else one more than the highest of them.
-
-    Calls on a cycle, or behind one, are missing from the result.
-    """
-    nodes = calls.select("conv", "call_id")
-    links = (calls.select("conv", "call_id", F.explode(F.array_distinct("after")).alias("dep"))
-             .join(nodes.withColumnRenamed("call_id", "dep"), ["conv", "dep"], "left_semi"))
+def _levels_by_doubling(links: DataFrame) -> DataFrame:
+    """Levels of calls with one dependency each: jump to ever farther ancestors, doubling the distance per round."""
+    jump = cut(links.select("conv", "call_id", "dep", F.lit(1).cast("long").alias("level")))
+    done, left = None, jump.count()
+    while left:
+        far = jump.select("conv", F.col("call_id").alias("dep"), F.col("dep").alias("_far"), F.col("level").alias("_more"))
+        jump = cut(jump.join(far, ["conv", "dep"], "left").select(
+            "conv", "call_id", F.col("_far").alias("dep"), (F.col("level") + F.coalesce("_more", F.lit(0))).alias("level")))
+        settled, jump_open = jump.where("dep is null"), jump.where("dep is not null").count()
+        done = settled.select("conv", "call_id", "level")
+        if jump_open == left:  # nothing reached a first call: the rest is on cycles, or behind them
+            break
+        left = jump_open
+    return done if done is not None else links.select("conv", "call_id", F.lit(1).cast("long").alias("level")).limit(0)
+
+
+def _levels_by_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Levels in general: each round settles the calls whose last open dependency was settled before."""
     open_ = cut(links)
     frontier = cut(nodes.join(open_.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti"))
-    done, level = frontier.withColumn("level", F.lit(0)), 0
+    done, level = frontier.withColumn("level", F.lit(0).cast("long")), 0
     while not frontier.isEmpty():
         left = cut(open_.join(frontier.withColumnRenamed("call_id", "dep"), ["conv", "dep"], "left_anti"))
         frontier = cut(open_.select("conv", "call_id").distinct().join(
             left.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti"))
         open_, level = left, level + 1
-        done = done.unionByName(frontier.withColumn("level", F.lit(level)))
+        done = cut(done.unionByName(frontier.withColumn("level", F.lit(level).cast("long"))))
     return done
 
 
+def levels(calls: DataFrame) -> DataFrame:
+    """``(conv, call_id, level)``: 0 without known dependencies, else one more than the highest of them.
+
+    Calls on a cycle, or behind one, are missing from the result.  Conversations whose calls name one dependency
+    each need about log2(longest chain) rounds; those with several per call one round per level.
+    """
+    nodes = calls.select("conv", "call_id")
+    links = cut(calls.select("conv", "call_id", F.explode(F.array_distinct("after")).alias("dep"))
+                .join(nodes.withColumnRenamed("call_id", "dep"), ["conv", "dep"], "left_semi"))
+    several = cut(links.groupBy("conv", "call_id").count().where("count > 1").select("conv").distinct())
+    single = links.join(several, "conv", "left_anti")
+    first = (nodes.join(several, "conv", "left_anti").join(links.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
+             .withColumn("level", F.lit(0).cast("long")))
+    out = first.unionByName(_levels_by_doubling(single))
+    if several.isEmpty():
+        return out
+    return out.unionByName(_levels_by_rounds(nodes.join(several, "conv", "left_semi"), links.join(several, "conv", "left_semi")))
+
+
 def link_tool_calls(messages: DataFrame, schemas: dict, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """``(conv, call_id, turn, pos, name, level, linked, errors, canonical)``, one row per distinct call id.
 
@@ -90,13 +118,13 @@ def link_tool_calls(messages: DataFrame, schemas: dict, conv: str = "conv_id", t
     first = lambda df, *order: (df.withColumn("_n", F.row_number().over(
         Window.partitionBy("conv", "call_id").orderBy(*order))).where("_n = 1").drop("_n"))
     calls = first(calls, "turn", "pos", F.to_json("args"))
-    results = first(results, "turn", "content").select("conv", "call_id", F.col("turn").alias("result_turn"), "content")
+    results = first(results, "turn", "content").select("conv", "call_id", F.lit(True).alias("_has"), "content")
     ordered = levels(calls.select("conv", "call_id", "after"))
     linked = (calls.join(results.hint("shuffle_hash"), ["conv", "call_id"], "left")
               .join(ordered.hint("shuffle_hash"), ["conv", "call_id"], "left"))
     body = F.to_json(F.struct(F.col("args").alias("arguments"), F.col("call_id").alias("id"), F.col("name"),
                               F.col("content").alias("result")), {"ignoreNullFields": "false"})
-    return linked.select("conv", "call_id", "turn", "pos", "name", "level", F.col("result_turn").isNotNull().alias("linked"),
+    return linked.select("conv", "call_id", "turn", "pos", "name", "level", F.col("_has").isNotNull().alias("linked"),
                          argument_errors(F.col("name"), F.col("args"), schemas).alias("errors"), body.alias("canonical"))
 
 
