@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuspulse.llm import rolling as R
 from corpuspulse.llm.common import prepare, with_rec
 
 ORDER = 4
@@ -36,7 +37,7 @@ LANDMARKS = 48
 MAX_TOXIC = 1_500
 MAX_CLEAN = 3_000
 MAX_BYTES = 20_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 SINGLES = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w(?!\w)){3,}")
 
@@ -182,6 +183,17 @@ class Model:
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Per text: decision of the worst sentence, and (log) counts of suspicious words and of words."""
+        out, a = np.zeros((len(texts), 3)), 0
+        while a < len(texts):  # a bounded amount of text at a time
+            b, held = a, 0
+            while b < len(texts) and (b == a or held + len(texts[b]) <= 1_000_000):
+                held += len(texts[b])
+                b += 1
+            out[a:b] = self._evidence(texts[a:b])
+            a = b
+        return out
+
+    def _evidence(self, texts: list[str]) -> np.ndarray:
         low = [t.lower() for t in texts]
         words = [t.split() for t in low]
         sets = [set(w) for w in words]
@@ -208,35 +220,66 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(z, -40, 40)))).tolist()
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS) -> list[str]:
+def _part_hashes(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+    """Hash, start and end of every candidate part (4 to 8 letters, and words up to 12) in the joined ``^word`` strings."""
+    marked = ["^" + "".join(filter(str.isalnum, w)) for w in words]
+    text = "\0".join(w for w in marked if len(w) > ORDER) + "\0"
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    gap = np.concatenate([[0], np.cumsum(code == 0)])
+    pre = R.prefix(R.mix(code.astype(np.uint64) + np.uint64(1)), R.BASE)
+    start, end = [], []
+    for n in (4, 5, 6, 7, 8):
+        s = np.arange(max(0, len(code) - n + 1))
+        s = s[gap[s + n] == gap[s]]
+        start.append(s)
+        end.append(s + n)
+    stop = np.flatnonzero(code == 0)
+    first = np.concatenate([[0], stop[:-1] + 1])
+    whole = (stop - first > 8) & (stop - first <= 12)
+    start, end = np.concatenate([*start, first[whole]]), np.concatenate([*end, stop[whole]])
+    return R.mix(R.spans(pre, start, end, R.BASE) + (end - start).astype(np.uint64)), start, end, text
+
+
+def choose_landmarks(toxic: list, clean: list, most: int = LANDMARKS) -> list[str]:
     """Greedy cover: strings (words and 4- to 8-letter parts) that mark many toxic and hardly any clean documents."""
-    def parts(words):
-        out = set()
-        for w in words:
-            w = "^" + "".join(filter(str.isalnum, w))
-            if len(w) > ORDER:
-                if len(w) <= 12:
-                    out.add(w)
-                for n in (4, 5, 6, 7, 8):
-                    out.update(w[i:i + n] for i in range(len(w) - n + 1))
-        return out
-
-    where: dict[str, list[int]] = {}
-    for d, words in enumerate(toxic):
-        for p in parts(words):
-            where.setdefault(p, []).append(d)
     least = max(3, len(toxic) // 300)
-    where = {p: ds for p, ds in where.items() if len(ds) >= least}
-    against = dict.fromkeys(where, 0)
-    for words in clean:
-        for p in parts(words) & against.keys():
-            against[p] += 1
-    scale = len(toxic) / max(1, len(clean))
-    pool = sorted(((len(ds) - 4 * scale * against[p], len(p), p) for p, ds in where.items()), reverse=True)
-    pool = [p for gain, _, p in pool if gain >= 0.7 * len(where[p])][:5_000]
+    seen = [np.unique(_part_hashes(w)[0]) for w in toxic]
+    if not seen:
+        return []
+    hashes, count = np.unique(np.concatenate(seen), return_counts=True)
+    hashes, count = hashes[count >= least], count[count >= least]
+    if not len(hashes):
+        return []
+
+    def places(h):
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        return at[hashes[at] == h]
+
+    against = np.zeros(len(hashes))
+    for w in clean:
+        against[np.unique(places(_part_hashes(w)[0]))] += 1
+    gain = count - 4 * len(toxic) / max(1, len(clean)) * against
+    good = np.flatnonzero(gain >= 0.7 * count)
+    good = good[np.lexsort((hashes[good], -gain[good]))][:5_000]
+    hashes = np.sort(hashes[good])
+    found = [places(h) for h in seen]
+    doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    flat = np.concatenate(found) if found else np.zeros(0, int)
+    order = np.argsort(flat, kind="stable")
+    edge = np.searchsorted(flat[order], np.arange(len(hashes) + 1))
+    names: dict[int, str] = {}
+    for w in toxic:
+        h, start, end, text = _part_hashes(w)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        for i in np.flatnonzero(hashes[at] == h).tolist():
+            if int(at[i]) not in names:
+                names[int(at[i])] = text[start[i]:end[i]]
+        if len(names) == len(hashes):
+            break
+    index = {names[k]: doc[order[edge[k]:edge[k + 1]]] for k in range(len(hashes)) if k in names}
     marks: list[str] = []
     covered = np.zeros(len(toxic), np.int32)
-    index = {p: np.array(where[p]) for p in pool}
+    pool = sorted(index)
     while pool and len(marks) < most:
         gains = [(float((0.6 ** covered[index[p]]).sum()), len(p), p) for p in pool]
         top = max(gains)[0]
@@ -267,9 +310,9 @@ def train_svm(x: np.ndarray, y: np.ndarray, reg: float = 1.0, rounds: int = 30)
 
 def fit(samples: list[tuple[str, int]]) -> Model:
     """Fit landmarks, SVM and calibration on ``(text, label)`` pairs."""
-    sents = [(sentence_words(t), y) for t, y in samples]
-    words = [({w for s in ss for w in s}, y) for ss, y in sents]
-    marks = choose_landmarks([w for w, y in words if y], [w for w, y in words if not y])
+    pool: dict[str, str] = {}  # one object per distinct word
+    words = [tuple({pool.setdefault(w, w) for s in sentence_words(t) for w in s}) for t, _ in samples]
+    marks = choose_landmarks([w for w, (_, y) in zip(words, samples) if y], [w for w, (_, y) in zip(words, samples) if not y])
     model = Model(marks, np.zeros(len(marks)), -1.0)
     if not marks:
         return model
@@ -280,10 +323,11 @@ def fit(samples: list[tuple[str, int]]) -> Model:
     gram /= np.sqrt(np.outer(np.diag(gram), np.diag(gram)))
     val, vec = np.linalg.eigh(gram)
     nystroem = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-3))) @ vec.T
-    model.learn(set().union(*(w for w, _ in words)))
+    del words
+    model.learn(set(pool))
     bags = []
-    for ss, y in sents:
-        got = {tuple(sorted(model.vector(s).items())) for s in ss}
+    for text, y in samples:
+        got = {tuple(sorted(model.vector(s).items())) for s in sentence_words(text)}
         x = np.zeros((len(got) or 1, m))
         for r, g in enumerate(sorted(got)):
             for k, v in g:
@@ -335,15 +379,7 @@ def _score(model: Model):
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            out, block, held = [], [], 0
-            for t in texts:
-                block.append(t)
-                held += len(t)
-                if held > 2_000_000:
-                    out += model.scores(block)
-                    block, held = [], 0
-            out += model.scores(block) if block else []
+            out = model.scores([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(out, pa.float64()), batch.column("rec")],
                                              names=["id", "text", "score", "rec"])
     return run
