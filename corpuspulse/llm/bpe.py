@@ -162,8 +162,6 @@ class Vocabulary:
 
     def learn(self, fresh: list[str]) -> None:
         """Encode new words into the cache: propose, verify all adjacent pairs together, merge the failing ones."""
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache.clear()
         raw = [w.encode() for w in fresh]
         got = [self.propose(w) for w in raw]
         count = np.fromiter(map(len, got), np.int64, len(got))
@@ -206,14 +204,15 @@ class Vocabulary:
             if len(fresh) > room and len(texts) > 1:  # keep the cache bounded: fewer texts at a time
                 half = len(texts) // 2
                 return self._encode(texts[:half]) + self._encode(texts[half:])
-            self.cache_misses(fresh, cut)
+            self._fill(fresh, cut)
         get = self.cache.__getitem__
         return [b"".join([np.array([self.special[p]], "<i4").tobytes() if isinstance(p, str) else b"".join(map(get, p))
                           for p in parts]) for parts in cut]
 
-    def cache_misses(self, fresh: set[str], cut) -> None:
+    def _fill(self, fresh: set[str], cut) -> None:
+        """Learn ``fresh``; where the cache would grow too large, start it anew with the words of these texts."""
         if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache.clear()  # everything these texts need is then learnt anew
+            self.cache.clear()
             fresh = {w for parts in cut for p in parts if not isinstance(p, str) for w in p}
         self.learn(sorted(fresh))
 

@@ -28,7 +28,8 @@ def signals_of(text):
 
 
 def test_quality_signals_and_verdicts(spark):
-    rows = texts(11) + [(300, "a b c a b c a b c x"), (301, "l\nl\n \nl "), (302, "#$ | <x> *"), (303, "a a a a")]
+    rows = texts(11) + [(300, "a b c a b c a b c x"), (301, "l\nl\n \nl "), (302, "#$ | <x> *"), (303, "a a a a"),
+                          (304, " ".join(f"x{i % 40} y{i % 40}" for i in range(200)))]
     rows += [(400 + i, f"good words number {i} " * 20) for i in range(5)]
     labels = spark.createDataFrame([(400, 1, 0), (401, 1, 0), (0, 0, 0), (None, 1, 0), (402, None, None)], "doc_id long, quality int, toxic int")
     out = quality_rules.quality_rules(frame(spark, rows), labels, rec=True).collect()
@@ -46,7 +47,8 @@ def test_likelihood_ratio_by_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
     got = {r.id: r.llr for r in quality_rules.quality_rules(docs, labels, buckets=64).collect()}
-    grams = {r.doc_id: r.g for r in docs.select("doc_id", quality_rules.hashed_grams(F.col("text"), 64).alias("g")).collect()}
+    grams = {r.doc_id: r.g for r in docs.select("doc_id", F.transform(
+        quality_rules.gram_hashes(F.col("text")), lambda h: quality_rules.bucket(h, 64)).alias("g")).collect()}
     tokens = {i: re.findall(quality_rules.TOKEN, t) for i, t in rows}
     assert all(len(grams[i]) == 2 * len(tokens[i]) - 1 for i in grams)
     raw, good = Counter(), Counter()
