@@ -54,15 +54,19 @@ def q_parse_event_time(spark, sf):
 
 
 def _roundtrip(spark, sf):
-    """Write first-line headlines as dated text files per paper, read them back."""
+    """Write headlines as dated text files per paper (two date spellings, or none), read them back."""
     path = scratch_table_path(spark, f"headline-files-{uuid.uuid4().hex}")
-    h = S.heads(spark, sf).withColumn("date_raw", F.lit("-"))
+    day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
+    h = S.heads(spark, sf).withColumn("date_raw", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("2024-01-"), day))
+                                      .when(F.col("doc_id") % 3 == 1, F.concat(day, F.lit(". Januar 2024"))).otherwise("-"))
     H.write_headlines(h, path, paper_col="paper")
     return H.read_written_headlines(spark, path)
 
 
 @register("headline_files_roundtrip", with_(HEADS) + """
-SELECT paper, '-' AS date_raw, CAST(NULL AS TIMESTAMP) AS event_ts, headline FROM heads""")
+SELECT paper, CASE doc_id % 3 WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%d') || '. Januar 2024' ELSE '-' END AS date_raw,
+       CASE WHEN doc_id % 3 < 2 THEN CAST(d AS TIMESTAMP) END AS event_ts, headline
+FROM (SELECT *, DATE '2024-01-01' + CAST(doc_id % 28 AS INT) AS d FROM heads)""")
 def q_headline_files_roundtrip(spark, sf):
     """S6 then S1: ``date - headline`` text files partitioned by paper, read back."""
     return _roundtrip(spark, sf)

@@ -159,6 +159,14 @@ def q_in_date_range(spark, sf):
         F.count(F.lit(1)).alias("n_whole_day"))
 
 
+@register("in_date_range_midnight", with_(OBS) + """
+SELECT obs_id, event_ts FROM obs
+WHERE event_ts >= TIMESTAMP '2024-01-03 00:00:00' AND event_ts <= TIMESTAMP '2024-01-10 00:00:00'""")
+def q_in_date_range_midnight(spark, sf):
+    """F1 with its default end rule: up to midnight at the start of the last day."""
+    return FL.in_date_range(S.obs(spark, sf), "2024-01-03", "2024-01-10").select("obs_id", "event_ts")
+
+
 @register("drop_incomplete", with_(OBS) + """
 SELECT paper, CAST(count(*) AS BIGINT) AS n FROM obs
 WHERE obs_id IS NOT NULL AND paper IS NOT NULL AND topic IS NOT NULL AND score IS NOT NULL AND event_ts IS NOT NULL
