@@ -26,6 +26,7 @@ BUCKETS = 10_000
 MAX_TRUSTED = 20_000
 THRESHOLD = -0.3
 SCALE = 1_000_000
+FEW = 12
 
 
 def words(text: Column) -> Column:
@@ -41,12 +42,22 @@ def _covered(starts: Column, size: int) -> Column:
 
 def _repeat_words(ws: Column, size: int = 3) -> Column:
     """Words in windows of ``size`` words that occur at least twice in the text (first one included)."""
-    def starts(h: Column) -> Column:
+    def few(h: Column, repeated: Column) -> Column:
+        """Starts of windows whose hash is one of a few repeated ones."""
+        return F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(repeated, x), i)), lambda i: i.isNotNull())
+
+    def many(h: Column) -> Column:
         tagged = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return let(tagged, lambda s: F.sort_array(F.transform(
             F.filter(s, lambda e, k: F.coalesce(e["h"] == F.get(s, k - 1)["h"], F.lit(False))
                      | F.coalesce(e["h"] == F.get(s, k + 1)["h"], F.lit(False))), lambda e: e["i"])))
 
+    def starts(h: Column) -> Column:
+        # Most texts repeat a handful of windows at most: a look at each window is then cheaper than sorting them.
+        repeated = let(F.sort_array(h), lambda o: F.array_distinct(F.filter(
+            o, lambda x, i: F.coalesce(x == F.get(o, i + 1), F.lit(False)))))
+        return let(repeated, lambda r: F.when(F.size(r) <= FEW, few(h, r)).otherwise(many(h)))
+
     grams = F.when(F.size(ws) > size, F.transform(
         F.sequence(F.lit(0), F.size(ws) - size), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(size)]))
     ).otherwise(F.array().cast("array<bigint>"))
@@ -66,14 +77,17 @@ def signals(text: Column) -> list[Column]:
             counted["r"].cast("long").alias("n_repeat_words")]
 
 
-def hashed_grams(text: Column, buckets: int = BUCKETS) -> Column:
-    """Bucket numbers of the token uni- and bigrams of a text."""
+def gram_hashes(text: Column) -> Column:
+    """Hashes of the token uni- and bigrams of a text."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     unigrams = F.transform(tokens, lambda t: F.xxhash64(t))
-    return let(unigrams, lambda u: F.transform(
-        F.concat(u, F.zip_with(F.slice(u, 1, F.greatest(F.size(u) - 1, F.lit(0))),
-                               F.slice(u, 2, F.greatest(F.size(u) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))),
-        lambda h: F.pmod(h, F.lit(buckets)).cast("int")))
+    return let(unigrams, lambda u: F.concat(u, F.when(F.size(u) > 1, F.zip_with(
+        F.slice(u, 1, F.size(u) - 1), F.slice(u, 2, F.size(u) - 1), lambda a, b: F.xxhash64(a, b)))
+        .otherwise(F.array().cast("array<bigint>"))))
+
+
+def bucket(h: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality",
@@ -88,8 +102,8 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     """``SCALE * (log p_target - log p_raw)`` per bucket; counts cover every document."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     marked = d.join(F.broadcast(trusted), d["id"] == trusted["tid"], "left")
-    counts = (marked.select(F.col("tid").isNotNull().cast("long").alias("t"), F.explode(hashed_grams(F.col("text"), buckets)).alias("b"))
-              .groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target")))
+    counts = (marked.select(F.col("tid").isNotNull().cast("long").alias("t"), F.explode(gram_hashes(F.col("text"))).alias("h"))
+              .groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.sum("t").alias("target")))
     raw, target = [0] * buckets, [0] * buckets
     for r in counts.collect():  # at most ``buckets`` rows
         raw[r["b"]], target[r["b"]] = r["raw"], r["target"]
@@ -115,8 +129,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     more = [c for c in docs.columns if c not in (id_col, text_col)]
     carried = [text.alias("text"), (F.struct(*[F.col(f"`{c}`") for c in more]) if more
                                     else F.struct(F.lit(None).cast("int").alias("none"))).alias("rec")] if rec else []
-    total = let(hashed_grams(text, buckets), lambda g: F.when(F.size(g) > 0, F.aggregate(
-        g, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b).cast("long")) / F.size(g)).otherwise(F.lit(0.0)))
+    total = let(gram_hashes(text), lambda g: F.when(F.size(g) > 0, F.aggregate(
+        g, F.lit(0).cast("long"), lambda a, h: a + F.get(table, bucket(h, buckets)).cast("long")) / F.size(g)).otherwise(F.lit(0.0)))
     out = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *signals(text),
                       (total / SCALE).alias("llr"), *carried)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
