@@ -11,7 +11,8 @@ To run it over a cluster, the collection is cut so that equal windows always mee
 1. Every window of ``size`` bytes belongs to its minimizer (smallest hash of its ``GRAM``-byte parts).  Runs of
    windows with one minimizer form a string of run + size - 1 bytes.  Only hashes and places of runs are kept.
 2. A minimizer met once (and not twice inside its own string) cannot repeat: counted in Spark, dropped here.
-3. Remaining strings are cut out of the texts.  Equal strings are settled where they meet: inside a task's flush
+3. Remaining strings are cut out of the texts.  Of one minimizer's strings, only those are compared that share a
+   stretch around it with another one, as two strings with a common window must.  Equal strings are settled where they meet: inside a task's flush
    at once (a passage found in a third of all documents sends one row per flush), and again per bucket.
    A minimizer with very many strings is divided by its windows' minimizers under further hash orders.
 4. Buckets follow the bytes to compare; the transform is built per block of about ``BLOCK_BYTES``.
@@ -32,11 +33,10 @@ from corpuspulse.llm import rolling as R
 from corpuspulse.llm.common import cut, keyed, prepare, with_rec
 
 GRAM = 32
-MAX_RUN = 400
 PIECE_BYTES = 1_000_000
 FLUSH_BYTES = 4_000_000
 BUCKET_BYTES = 3_000_000
-BLOCK_BYTES = 250_000
+BLOCK_BYTES = 130_000
 HOT = 2_000
 U = np.uint64
 ORDERS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 32, dtype=np.uint64) * U(2) + U(1)
@@ -47,44 +47,45 @@ def _grams(data: np.ndarray, gram: int) -> np.ndarray:
     return R.mix(R.spans(R.prefix(R.BYTE_CODE[data], R.BASE), at, at + gram, R.BASE))
 
 
-def _least(g: np.ndarray, width: int, last: bool) -> np.ndarray:
-    """Place of the first (or last) smallest value in every window of ``width`` values."""
+def _least(g: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window of ``width`` values the smallest (without its low bits), and its first place."""
     bits = max(1, int(len(g)).bit_length())
-    at = np.arange(len(g), dtype=U)
     low = (U(1) << U(bits)) - U(1)
-    packed = ((g >> U(bits)) << U(bits)) | ((low - at) if last else at)
-    got = R.sliding_min(packed, width) & low
-    return ((low - got) if last else got).astype(np.int64)
+    got = R.sliding_min((g & ~low) | np.arange(len(g), dtype=U), width)
+    return got & ~low, (got & low).view(np.int64)
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray, size: int, gram: int = GRAM):
-    """Runs of windows with one minimizer: text number, first window, length, hash, and whether it occurs twice."""
+    """Runs of windows with one minimizer: text number, first window, length, hash, and place in the string."""
     if len(data) < size:
         return None
     g = _grams(data, gram)
-    bits = max(1, int(len(g)).bit_length())
     width = size - gram + 1
-    first = _least(g, width, False)
-    n = np.diff(offsets)
-    row = np.repeat(np.arange(len(n)), n)[:len(first)]
-    start = np.arange(len(first)) - offsets[row]
-    ok = start + size <= n[row]
-    value = (g >> U(bits))[first]
-    new = ok.copy()
-    new[1:] &= (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    at = np.flatnonzero(ok)
-    if not len(at):
+    value, first = _least(g, width)
+    ok = np.zeros(len(first), bool)  # windows that lie within one text
+    new = np.zeros(len(first), bool)
+    new[1:] = value[1:] != value[:-1]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if b - a >= size:
+            ok[a:b - size + 1] = True
+            new[a] = True
+    begin = np.flatnonzero(new & ok)
+    if not len(begin):
         return None
-    run = np.cumsum(new)[at]
-    begin = at[np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))]
-    length = np.diff(np.append(np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])), len(at)))
-    if (length > MAX_RUN).any():  # long runs of periodic text are cut into several strings
-        parts = -(-length // MAX_RUN)
+    # A run ends at the next one, or where its text has no further window.
+    row = np.searchsorted(offsets, begin, side="right") - 1
+    length = np.minimum(np.append(begin[1:], len(first)), offsets[row + 1] - size + 1) - begin
+    most = max(width, 100)  # one minimizer serves at most ``width`` windows, so longer runs are periodic text: cut
+    if (length > most).any():
+        parts = -(-length // most)
         extra = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = np.repeat(begin, parts) + extra * MAX_RUN
-        length = np.minimum(np.repeat(length, parts) - extra * MAX_RUN, MAX_RUN)
-    final = _least(g, width, True)[begin + length - 1]
-    return row[begin], start[begin], length, g[first[begin]], first[begin] != final
+        begin, row = np.repeat(begin, parts) + extra * most, np.repeat(row, parts)
+        length = np.minimum(np.repeat(length, parts) - extra * most, most)
+    # Place of the minimizer in its string; -1 where the windows of the string differ in it (equal windows of one
+    # string would, as their minimizers lie as far apart as they do).
+    final = first[begin + length - 1]
+    place = np.where(first[begin] == final, final - begin, -1)
+    return row, begin - offsets[row], length, g[first[begin]], place
 
 
 def _map_runs(size: int):
@@ -96,12 +97,14 @@ def _map_runs(size: int):
             for a, b in R.pieces(offsets, PIECE_BYTES):
                 off = offsets[a:b + 1] - offsets[a]
                 got = window_runs(data[offsets[a]:offsets[b]], off, size, min(GRAM, size))
-                row, s, n, h, twice = got if got is not None else (np.zeros(0, np.int64),) * 5
+                row, s, n, h, place = got if got is not None else (np.zeros(0, np.int64),) * 5
                 ends = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
                 pick = lambda x, t: pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(t)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[a:b]), pa.array(th[a:b]), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))),
-                     pick(s, np.int32), pick(np.where(twice, -n, n), np.int32)], names=["key", "th", "h", "s", "n"])
+                     # start, length and place of a run in one number
+                     pick((s.astype(np.int64) << 24) | (n.astype(np.int64) << 12) | (place.astype(np.int64) + 1), np.int64)],
+                    names=["key", "th", "h", "x"])
     return run
 
 
@@ -120,22 +123,22 @@ def _strings(size: int, buckets: int):
     def run(batches):
         """Cut out the candidate strings; settle the ones that occur again in the same flush."""
         import pyarrow as pa
-        schema = pa.schema([("bucket", pa.int32()), ("m", pa.int64()), ("text", pa.binary()), ("weight", pa.int32()),
-                            ("key", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("done", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("m", pa.int64()), ("text", pa.binary()), ("mid", pa.int32()),
+                            ("weight", pa.int32()), ("key", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("done", pa.binary())])
         held: dict[tuple[int, bytes], list] = {}
         volume = 0
 
         def flush():
             rows, done = [], []
-            for (m, raw), places in held.items():
+            for (m, raw), (mid, places) in held.items():
                 only = places[0] if len(places) == 1 else None
                 if only is None:
                     done += [(k, t, at, at + len(raw)) for k, t, at in places]
                 k, t, at = only or (None, None, None)
-                rows.append((m % buckets, m, raw, min(2, len(places)), k, t, at, None))
+                rows.append((m % buckets, m, raw, mid, min(2, len(places)), k, t, at, None))
             if done:
                 blob = zlib.compress(np.array(done, np.int64).T.tobytes(), 1)
-                rows.append((abs(done[0][1]) % buckets, None, None, None, None, None, None, blob))
+                rows.append((abs(done[0][1]) % buckets, *[None] * 7, blob))
             for a in range(0, len(rows), 5_000):
                 c = list(zip(*rows[a:a + 5_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(c, schema)], schema=schema)
@@ -144,13 +147,13 @@ def _strings(size: int, buckets: int):
             for key, th, text, found in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "text", "found"))):
                 raw = text.encode()
                 for x in found:
-                    s, n, m = x["s"], x["n"], x["h"]
+                    s, n, mid, m = x["x"] >> 24, (x["x"] >> 12) & 4095, (x["x"] & 4095) - 1, x["h"]
                     piece = raw[s:s + n + size - 1]
                     cuts = [(0, n, m)] if not x["level"] else _divide(
                         np.frombuffer(piece, np.uint8), size, min(GRAM, size), x["level"])
                     for a, b, tag in cuts:
                         at = (m ^ tag) if x["level"] else m
-                        held.setdefault((at, piece[a:b + size - 1]), []).append((key, th, s + a))
+                        held.setdefault((at, piece[a:b + size - 1]), (mid - a if mid >= 0 else -1, []))[1].append((key, th, s + a))
                         volume += b - a + size + 200
                     if volume > FLUSH_BYTES:
                         yield from flush()
@@ -174,25 +177,31 @@ def transform(strings: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray,
     last = np.cumsum(lengths) - 1
     kind = np.uint8 if size < 255 else np.uint16
     bwt, lcp = np.zeros(m, np.uint8), np.zeros(m + 1, kind)  # the empty suffixes, in string order
+    order = np.zeros(0, np.int32)  # places of all known symbols, by symbol and place
+    first = np.zeros(len(used) + 2, np.int64)  # where each symbol's places begin in ``order``
     place, active = np.arange(m), np.arange(m)
     for j in range(int(lengths.max())):
         going = lengths[active] > j
         active, place = active[going], place[going]
         c = flat[last[active] - j]
+        by = np.lexsort((place, c))
+        place, active, c = place[by], active[by], c[by]
         bwt[place] = c  # the symbol before each newest suffix is known now
-        order = np.argsort(bwt, kind="stable")
-        n = len(bwt)
-        back = np.empty(n, np.int32)
-        back[order] = np.arange(n, dtype=np.int32)
-        rank = back[place]
-        target = rank - (n - np.count_nonzero(bwt)) + m  # string starts sort first; the m empty suffixes stay in front
-        by = np.argsort(target)
-        target, rank, place, active, c = target[by], rank[by], place[by], active[by], c[by]
+        edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]]))
+        at = np.empty(len(c), np.int64)
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            k = int(c[x])
+            at[x:y] = first[k] + np.searchsorted(order[first[k]:first[k + 1]], place[x:y])
+        order = np.insert(order, at, place)
+        first[1:] += np.cumsum(np.bincount(c, minlength=len(first) - 1))[:len(first) - 1]
+        rank = at + np.arange(len(c))  # symbols sort the lengthened suffixes: this is their order
+        target = rank + m  # the m empty suffixes stay in front
         # Neighbours in the new symbol's range: previous and next place that holds the same symbol.
+        n = len(bwt)
         prev = order[np.maximum(rank - 1, 0)]
         has_prev = (rank > 0) & (bwt[prev] == c)
-        nxt = order[np.minimum(rank + 1, n - 1)]
-        has_next = (rank < n - 1) & (bwt[nxt] == c)
+        nxt = order[np.minimum(rank + 1, len(order) - 1)]
+        has_next = (rank < len(order) - 1) & (bwt[nxt] == c)
         above, below = np.zeros(len(c), kind), np.zeros(len(c), kind)
         for got, ok, lo, hi in ((above, has_prev, prev, place), (below, has_next, place, nxt)):
             if ok.any():
@@ -200,6 +209,7 @@ def transform(strings: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray,
                 pair[::2], pair[1::2] = lo[ok] + 1, hi[ok] + 1
                 low = np.minimum.reduceat(lcp, pair)[::2]
                 got[ok] = np.minimum(low, size - 1) + 1
+        at_old = target - np.arange(len(c))  # where the new suffixes go, in places before the insertion
         keep = np.ones(n + len(c), bool)
         keep[target] = False
         new_bwt, new_lcp = np.zeros(n + len(c), np.uint8), np.zeros(n + len(c) + 1, kind)
@@ -208,10 +218,11 @@ def transform(strings: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray,
         follow = has_next & np.append(target[1:] != target[:-1] + 1, True)  # the next one is not new itself
         new_lcp[target[follow] + 1] = below[follow]
         new_lcp[target] = above
+        gaps = np.diff(at_old, prepend=0, append=n)
+        order += np.repeat(np.arange(len(c) + 1, dtype=np.int32), gaps)[order]  # places after the insertion
         bwt, lcp, place = new_bwt, new_lcp, target
-    order = np.argsort(bwt, kind="stable")
-    move = np.empty(len(bwt), np.int64)
-    move[order] = np.arange(len(bwt)) - int((bwt == 0).sum()) + m
+    move = np.zeros(len(bwt), np.int64)
+    move[order] = np.arange(len(order)) + m
     return bwt, lcp, move
 
 
@@ -231,42 +242,80 @@ def repeated_starts(strings: list[bytes], size: int) -> list[np.ndarray]:
     return [np.array(x[::-1], np.int64) for x in out]
 
 
+def _related(group: dict[bytes, list], size: int, gram: int, step: int = 24) -> dict[bytes, list[tuple[int, int]]]:
+    """Ranges of windows in which a string may share a window with another one of its group (none is missed).
+
+    A window holds the minimizer and ``size - gram`` further bytes, some left of it and some right.  Rounding the
+    left part down to a multiple of ``step`` leaves a stretch around the minimizer that both strings must share.
+    """
+    if any(x[0] < 0 for x in group.values()):
+        # A minimizer that stands twice in a string has no one place to compare at.
+        return {raw: [(0, len(raw) - size + 1)] for raw in group}
+    spare = size - gram
+    seen: dict[tuple[int, bytes], bytes] = {}
+    shared: dict[bytes, set[int]] = {}
+    for raw, x in group.items():
+        for left in range(0, spare + 1, step):
+            right = max(0, spare - left - step + 1)
+            a, b = x[0] - left, x[0] + gram + right
+            if a >= 0 and b <= len(raw):
+                other = seen.setdefault((left, raw[a:b]), raw)
+                if other is not raw:
+                    shared.setdefault(raw, set()).add(left)
+                    shared.setdefault(other, set()).add(left)
+    out = {}
+    for raw, lefts in shared.items():
+        ranges: list[tuple[int, int]] = []
+        for left in sorted(lefts, reverse=True):
+            a = max(0, group[raw][0] - left - step + 1)
+            b = min(len(raw) - size, group[raw][0] - left) + 1
+            if a < b:
+                if ranges and ranges[-1][1] >= a:
+                    ranges[-1] = (ranges[-1][0], b)
+                else:
+                    ranges.append((a, b))
+        if ranges:
+            out[raw] = ranges
+    return out
+
+
 def _compare(size: int):
     def run(table):
         """One bucket: which windows of its strings occur twice, as byte spans of their documents."""
         import pyarrow as pa
         groups: dict[int, dict[bytes, list]] = {}
         out = []
-        for m, text, weight, key, th, at, done in zip(*(table.column(c).to_pylist() for c in ("m", "text", "weight", "key", "th", "at", "done"))):
+        for m, text, mid, weight, key, th, at, done in zip(*(table.column(c).to_pylist() for c in ("m", "text", "mid", "weight", "key", "th", "at", "done"))):
             if done is not None:
                 out.append(np.frombuffer(zlib.decompress(done), np.int64).reshape(4, -1))
                 continue
-            got = groups.setdefault(m, {}).setdefault(text, [0, []])
-            got[0] += weight
+            got = groups.setdefault(m, {}).setdefault(text, [mid, 0, []])
+            got[1] += weight
             if key is not None:
-                got[1].append((key, th, at))
+                got[2].append((key, th, at))
         block, held, spans = [], 0, []
 
-        def whole(raw, places):
-            spans.extend((k, t, at, at + len(raw)) for k, t, at in places)
-
         def solve():
             for (raw, places), starts in zip(block, repeated_starts([raw for raw, _ in block], size)):
-                if len(starts):
+                if len(starts) and places:
                     new = np.flatnonzero(np.concatenate([[True], np.diff(starts) > size, [True]]))
                     for a, b in zip(new[:-1], new[1:]):
                         spans.extend((k, t, at + int(starts[a]), at + int(starts[b - 1]) + size) for k, t, at in places)
 
         for group in groups.values():
-            if len(group) == 1 and next(iter(group.values()))[0] >= 2:
-                whole(*next((raw, x[1]) for raw, x in group.items()))
-                continue
-            for raw, (weight, places) in group.items():
+            # A string met twice is repeated as a whole; it stays in the comparison for the sake of the others.
+            for raw, (_, weight, places) in group.items():
                 if weight >= 2:
-                    whole(raw, places)
-                    places = []
-                block.append((raw, places))
-                held += len(raw)
+                    spans.extend((k, t, at, at + len(raw)) for k, t, at in places)
+            if all(x[1] >= 2 for x in group.values()):
+                continue
+            near = _related(group, size, min(GRAM, size))
+            if any(group[raw][1] < 2 for raw in near):
+                for raw, ranges in near.items():
+                    places = group[raw][2] if group[raw][1] < 2 else []
+                    for a, b in ranges:
+                        block.append((raw[a:b + size - 1], [(k, t, at + a) for k, t, at in places]))
+                        held += b - a + size
             if held >= BLOCK_BYTES:
                 solve()
                 block.clear()
@@ -318,17 +367,21 @@ def dedup_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_c
     prepare(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     runs = cut(rows.where(F.octet_length("text") >= size).select("key", "th", "text").mapInArrow(
-        _map_runs(size), "key long, th long, h array<bigint>, s array<int>, n array<int>"))
-    flat = runs.select("key", "th", F.explode(F.arrays_zip("h", "s", "n")).alias("x")).select(
-        "key", "th", F.col("x.h").alias("h"), F.col("x.s").alias("s"), F.col("x.n").alias("n"))
-    often = (flat.groupBy("h").agg(F.sum(F.when(F.col("n") < 0, 2).otherwise(1)).alias("c")).where("c > 1")
+        _map_runs(size), "key long, th long, h array<bigint>, x array<bigint>"))
+    flat = runs.select("key", "th", F.explode(F.arrays_zip("h", "x")).alias("r")).select(
+        "key", "th", F.col("r.h").alias("h"), F.col("r.x").alias("x"))
+    # A minimizer that stands twice in one string (place 0 in the packed number) may repeat on its own.
+    often = (flat.groupBy("h").agg(F.sum(F.when(F.col("x") % 4096 == 0, 2).otherwise(1)).alias("c")).where("c > 1")
              .select("h", F.greatest(F.lit(0), F.ceil(F.log2(F.col("c") / HOT))).cast("int").alias("level")))
-    found = cut(flat.join(often, "h").groupBy("key", "th").agg(F.collect_list(F.struct("s", F.abs("n").alias("n"), "h", "level")).alias("found")))
-    volume = found.agg(F.sum(F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["n"] + size))).first()[0] or 0
+    found = cut(flat.join(often, "h").groupBy("key", "th").agg(F.collect_list(F.struct("x", "h", "level")).alias("found")))
+    length = lambda x: F.shiftright(x["x"], 12).bitwiseAND(F.lit(4095).cast("long"))
+    volume = found.agg(F.sum(F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + length(x) + size))).first()[0] or 0
     buckets = max(8, -(-int(volume) // BUCKET_BYTES))
     texts = keyed(docs, id_col, text_col, rec=True)
-    strings = (texts.join(found, ["key", "th"]).select("key", "th", "text", "found")
-               .mapInArrow(_strings(size, buckets), "bucket int, m long, text binary, weight int, key long, th long, at int, done binary"))
+    # All columns of ``texts`` pass here, so that its shuffle is the one the last join uses again.
+    strings = (texts.join(found, ["key", "th"]).select("key", "th", "text", "found", "id", "rec")
+               .mapInArrow(_strings(size, buckets), "bucket int, m long, text binary, mid int, weight int, key long, th long, "
+                                                    "at int, done binary"))
     spans = strings.groupBy("bucket").applyInArrow(_compare(size), "key long, th long, s long, e long")
     gone = spans.groupBy("key", "th").agg(F.collect_set(F.struct("s", "e")).alias("found"))
     joined = texts.join(gone, ["key", "th"], "left").select("id", "text", "found", "rec")
