@@ -4,13 +4,16 @@
    ``TREES`` signatures of ``DEPTH`` minima each.  Documents with equal sets form one class (map-side combined
    minimum, so a text copied a million times is one row from here on).
 2. Each tree is a sorted order of the class signatures.  A region is a run that shares its first ``START``
-   minima; where it holds more than ``REGION`` classes it is divided at the next minimum, and so on (adaptive
-   depth).  What is still larger at full depth is split into parts by its order.
-3. Within a region, rows lie sorted by signature, so neighbours share the longest prefixes: every class is
-   compared with the ``REACH`` before it, on full shingle sets, unless both are known to be connected.
+   minima.  Up to ``REGION`` classes, all its pairs are compared on full shingle sets, unless both are known to
+   be connected.
+3. A larger region is divided at the next minima (adaptive depth; what is still larger at full depth by a hash of
+   the id), and there a class is compared with the ``REACH`` before it in signature order.  This only finds most
+   links of large groups cheaply; step 5 completes it.
 4. A share of the regions is looked at first.  Connected components join what was found, and of the other
    regions only those that still hold different components are looked at.  So a group of thousands of near
    copies is read a few times, not compared pair by pair.
+5. Classes of large regions that still hold different components go through an exact set join (``_large_links``):
+   shingles ordered with the frequent ones last, prefix, length and position filters, verification.
 
 Two sets of similarity s share a region of a tree with probability s**START; at s = 0.8 all 20 trees miss a pair
 with probability 3e-5.
@@ -18,8 +21,6 @@ with probability 3e-5.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ FIRST = 3  # of TREES shares of the regions are looked at first
 REGION = 64
 PART = 4096
 REACH = 4
+FREQUENT = 200_000  # shingles with a known place at the end of the order of the set join
+POSTING = 2_000  # rows of one shingle that are joined in one group
 PIECE_BYTES = 1_000_000
 SHINGLE_BASE = np.uint64(0xD1B54A32D192ED03)
 _RNG = np.random.Generator(np.random.PCG64(5))
@@ -98,11 +101,24 @@ def _sign(size: int):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted shingle sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(size: int, percent: int):
     def run(batches):
-        """Rows arrive sorted by (region, signature): compare each with its nearest predecessors in the order."""
+        """Rows arrive sorted by (region, signature): compare each with all before it in its region.
+
+        In a part of a large region, only with its nearest predecessors in the order.
+        """
         import pyarrow as pa
-        at, near, parent = None, deque(maxlen=REACH), {}
+        at, near, parent = None, [], {}
 
         def root(x):
             while parent.get(x, x) != x:
@@ -113,6 +129,7 @@ def _confirm(size: int, percent: int):
         for batch in batches:
             data, offsets = R.buffers(batch.column("text"))
             region = batch.column("region").to_pylist()
+            large = batch.column("large").to_pylist()
             comp = batch.column("comp").to_pylist()
             out_a, out_b = [], []
             for a, b in R.pieces(offsets, PIECE_BYTES):
@@ -121,20 +138,17 @@ def _confirm(size: int, percent: int):
                 for k in range(a, b):
                     if region[k] != at:
                         at, parent = region[k], {}
-                        near.clear()
-                    mine, n = g[ends[k - a] - counts[k - a]:ends[k - a]], int(counts[k - a])
-                    held = None
-                    for c2, n2, set2 in near:
-                        if root(comp[k]) == root(c2) or 100 * min(n, n2) < percent * max(n, n2):
-                            continue
-                        held = held if held is not None else set(mine.tolist())
-                        both = len(held & set2)
-                        if 100 * both >= percent * (n + n2 - both):
+                        near = []
+                    mine = g[ends[k - a] - counts[k - a]:ends[k - a]].copy()
+                    for c2, other in near[-REACH:] if large[k] else near:
+                        if root(comp[k]) != root(c2) and _linked(mine, other, percent):
                             out_a.append(comp[k])
                             out_b.append(c2)
                             x, y = sorted((root(comp[k]), root(c2)))
                             parent[y] = x
-                    near.append((comp[k], n, held if held is not None else set(mine.tolist())))
+                    near.append((comp[k], mine))
+                    if large[k]:
+                        near = near[-REACH:]
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
     return run
 
@@ -142,12 +156,12 @@ def _confirm(size: int, percent: int):
 def regions(rows: DataFrame) -> DataFrame:
     """Give tree rows ``(p, q, r, key, th)`` their region, at the smallest depth where it holds few classes.
 
-    Rows that share no region are left out.  Counting is a combined aggregate, so a hot region is one small row
+    ``large`` marks rows whose whole region (the run of equal ``p``) holds more than ``REGION`` classes.  Rows that share no region are left out.  Counting is a combined aggregate, so a hot region is one small row
     there; only rows of large regions are counted again, at all deeper prefixes in one pass.
     """
     stats = rows.groupBy("p").agg(F.count("*").alias("size"), F.min("key").alias("k1"), F.max("key").alias("k2"))
     found = cut(rows.join(stats.where("k1 <> k2").select("p", "size"), "p"))
-    small = found.where(F.col("size") <= REGION).select(F.col("p").alias("region"), "p", "q", "r", "key", "th")
+    small = found.where(F.col("size") <= REGION).select(F.col("p").alias("region"), "p", "q", "r", "key", "th", F.lit(False).alias("large"))
     large = found.where(F.col("size") > REGION).drop("size")
     step = lambda c: F.shiftright(F.col(c), 32)
     deeper = [F.xxhash64("p", step("q")), F.xxhash64("p", "q"), F.xxhash64("p", "q", step("r")), F.xxhash64("p", "q", "r")]
@@ -158,7 +172,108 @@ def regions(rows: DataFrame) -> DataFrame:
             .groupBy("p", "q", "r", "key", "th").agg(F.min(F.struct("depth", "region", "size")).alias("b")))
     # What is still large at full depth is divided into parts of bounded size; nothing else is.
     part = F.when(F.col("b.size") > REGION, F.pmod(F.xxhash64("key"), F.ceil(F.col("b.size") / PART))).otherwise(0)
-    return small.unionByName(best.select(F.xxhash64("b.region", part).alias("region"), "p", "q", "r", "key", "th"))
+    return small.unionByName(best.select(F.xxhash64("b.region", part).alias("region"), "p", "q", "r", "key", "th",
+                                             F.lit(True).alias("large")))
+
+
+def _shingles(size: int):
+    """Shingles and how many texts of a piece hold each."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            data, offsets = R.buffers(batch.column("text"))
+            for a, b in R.pieces(offsets, PIECE_BYTES):
+                g, _ = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size)
+                g, held = np.unique(g, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(held)], names=["g", "held"])
+    return run
+
+
+def _prefixes(size: int, percent: int, frequent: np.ndarray, place: np.ndarray):
+    """The first shingles of each text in the join's order, with their position.
+
+    The order is (place among the frequent shingles, 0 for all others; hash).
+    """
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            data, offsets = R.buffers(batch.column("text"))
+            key, th, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "th", "comp"))
+            for a, b in R.pieces(offsets, PIECE_BYTES):
+                g, counts = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size)
+                row = np.repeat(np.arange(b - a), counts)
+                g = g.view(np.int64)
+                at = np.zeros(len(g), np.int64)
+                if len(frequent):
+                    near = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
+                    at = np.where(frequent[near] == g, place[near], 0)
+                order = np.lexsort((g, at, row))
+                g, row = g[order], row[order]
+                pos = np.arange(len(g)) - np.repeat(np.cumsum(counts) - counts, counts)
+                ok = pos <= (counts - -(-percent * counts // 100))[row]
+                g, row, pos = g[ok], row[ok], pos[ok]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g), pa.array(key[a:b][row]), pa.array(th[a:b][row]), pa.array(comp[a:b][row]),
+                     pa.array(counts[row].astype(np.int32)), pa.array(pos.astype(np.int32))],
+                    names=["g", "key", "th", "comp", "n", "pos"])
+    return run
+
+
+def _verify(size: int, percent: int):
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            sides = [R.buffers(batch.column(c)) for c in ("text", "text2")]
+            ca, cb = (batch.column(c).to_pylist() for c in ("comp", "comp2"))
+            out, done = [], set()
+            for k in range(len(ca)):
+                if (ca[k], cb[k]) in done:
+                    continue
+                x, y = (shingle_sets(d[o[k]:o[k + 1]], o[k:k + 2] - o[k], size)[0] for d, o in sides)
+                if _linked(x, y, percent):
+                    done.add((ca[k], cb[k]))
+                    out.append((ca[k], cb[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()),
+                                              pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+    return run
+
+
+def _large_links(placed: DataFrame, comps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Every link between different components inside the large regions (None: there are no such regions).
+
+    A set of n shingles that shares at least c of them with another one shares one of its first n - c + 1 in any
+    common order, and at the first shared one enough are left in both.  The order needs no exact frequencies: the
+    ``FREQUENT`` most frequent shingles go last, so that boilerplate rarely is in a prefix.  A shingle of many rows
+    is salted: one side is divided, the other one repeated.
+    """
+    rows = (placed.where("large").select("p", "key", "th").join(comps.withColumnRenamed("node", "key"), "key", "left")
+            .select("p", "key", "th", F.coalesce("component", "key").alias("comp")))
+    mixed = rows.groupBy("p").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("p")
+    work = cut(rows.join(mixed, "p").select("key", "th", "comp").distinct())
+    if work.isEmpty():
+        return None
+    held = texts.join(work, ["key", "th"])
+    top = (held.select("text").mapInArrow(_shingles(size), "g long, held long").groupBy("g").agg(F.sum("held").alias("held"))
+           .where("held > 1").orderBy(F.desc("held"), "g").limit(FREQUENT).toArrow())
+    g = top.column("g").to_numpy()
+    order = np.argsort(g)
+    place = len(g) - order  # the most frequent one last
+    posts = cut(held.select("key", "th", "comp", "text").mapInArrow(
+        _prefixes(size, percent, g[order], place), "g long, key long, th long, comp long, n int, pos int"))
+    hot = (posts.groupBy("g").agg(F.count("*").alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+           .where("c1 <> c2").select("g", F.ceil(F.col("m") / POSTING).cast("int").alias("salts")))
+    posts = posts.join(hot, "g")
+    left = posts.withColumn("salt", F.pmod(F.xxhash64("key", "th"), F.col("salts")).cast("int")).drop("salts")
+    right = posts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    right = right.select("g", "salt", *[F.col(c).alias(c + "2") for c in ("key", "th", "comp", "n", "pos")])
+    rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    pairs = (left.join(right, ["g", "salt"])
+             .where((F.col("comp") < F.col("comp2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+                    & ((100 + percent) * rest.cast("long") >= percent * (F.col("n").cast("long") + F.col("n2"))))
+             .select("key", "th", "comp", "key2", "th2", "comp2").distinct())
+    other = texts.select(F.col("key").alias("key2"), F.col("th").alias("th2"), F.col("text").alias("text2"))
+    return (pairs.join(texts, ["key", "th"]).join(other, ["key2", "th2"]).select("comp", "comp2", "text", "text2")
+            .mapInArrow(_verify(size, percent), "a long, b long"))
 
 
 def near_components(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
@@ -197,12 +312,15 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
             work = work.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
             mixed = work.groupBy("region").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("region")
             work = work.join(mixed, "region")
-        ordered = (work.join(texts, ["key", "th"]).select("region", "p", "q", "r", "key", "comp", "text")
+        ordered = (work.join(texts, ["key", "th"]).select("region", "large", "p", "q", "r", "key", "comp", "text")
                    .repartition("region").sortWithinPartitions("region", "p", "q", "r", "key"))
-        found = ordered.select("region", "comp", "text").mapInArrow(_confirm(size, percent), "a long, b long")
+        found = ordered.select("region", "large", "comp", "text").mapInArrow(_confirm(size, percent), "a long, b long")
         links = links.unionByName(found) if comps is None else found.unionByName(
             comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
         comps = connected_components(links)
+    more = _large_links(placed, comps, texts, size, percent)
+    if more is not None:
+        comps = connected_components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return _result(docs, rows, signed, nodes, comps, id_col, text_col, rec)
 
 

@@ -140,6 +140,29 @@ def test_near_components_group_of_near_copies(spark):
     assert rows_of(got, "id", "n_shingles", "component_id", "kept") == expect_components(rows, 4, 80)
 
 
+def test_near_components_with_shared_boilerplate(spark):
+    """Every two documents are almost linked (0.797) by their shared text; a few pairs just are (0.815)."""
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(300):
+        pair = i % 150
+        shared = [f"p{pair}x{j}" for j in range(5)] if pair % 3 == 0 else []
+        rows.append((i, " ".join(base + shared + [f"u{i}x{j}" for j in range(51 - len(shared))])))
+    got = near_dedup.near_components(frame(spark, rows), size=1)
+    assert rows_of(got, "id", "n_shingles", "component_id", "kept") == expect_components(rows, 1, 80)
+
+
+@pytest.mark.parametrize("posting", [2000, 3])
+def test_large_regions_are_joined_exactly(spark, monkeypatch, posting):
+    """Nothing but the join of large regions finds links when their order is not looked at."""
+    monkeypatch.setattr(near_dedup, "POSTING", posting)
+    monkeypatch.setattr(near_dedup, "REGION", 1)
+    monkeypatch.setattr(near_dedup, "REACH", 1)
+    rows = texts(3)
+    got = near_dedup.near_components(frame(spark, rows))
+    assert rows_of(got, "id", "n_shingles", "component_id", "kept") == expect_components(rows, 4, 80)
+
+
 def test_near_components_empty_table(spark):
     assert near_dedup.near_components(frame(spark, [])).count() == 0
 
