@@ -5,9 +5,9 @@ one over trusted documents (target).  A document's score is the mean of ``log p_
 n-grams.  A document is kept unless a counting rule fails or its score is below ``threshold``.
 
 Everything is DataFrame functions; no Python runs on the executors.  Counting is one scan with map-side partial
-sums (at most ``buckets`` rows leave each task), scoring is one projection per row without any shuffle.  The
-trusted side is bounded: the ``max_trusted`` trusted ids with the smallest hash, so its broadcast has a fixed
-size.  Weights are integers (1e-6 steps), hence a score does not depend on summation order.
+sums (at most ``buckets`` rows leave each task), scoring is one projection per row without any shuffle.  All
+trusted ids count: they meet the documents in an ordinary join, whose form the planner picks by their size.
+Weights are integers (1e-6 steps), hence a score does not depend on summation order.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ WHITE = r"[\x20\x09-\x0D]+"
 TOKEN = r"\w+|[^\w\s]+"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 10_000
-MAX_TRUSTED = 20_000
 THRESHOLD = -0.3
 SCALE = 1_000_000
 FEW = 12
@@ -90,18 +89,20 @@ def bucket(h: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(h, F.lit(buckets)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality",
-                max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """At most ``max_trusted`` distinct ids labelled as good (the ones with the smallest hash)."""
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """All distinct ids labelled as good."""
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("tid")).where("tid is not null")
-    return good.distinct().orderBy(F.xxhash64("tid"), "tid").limit(max_trusted)
+    return good.distinct()
 
 
 def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 buckets: int = BUCKETS, smooth: float = 1.0) -> list[int]:
     """``SCALE * (log p_target - log p_raw)`` per bucket; counts cover every document."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marked = d.join(F.broadcast(trusted), d["id"] == trusted["tid"], "left")
+    # A NULL id is never trusted; its rows are dealt by their text, so a join by shuffle does not gather them.
+    none = F.col("id").isNull()
+    d = d.select(none.alias("none"), F.when(none, F.xxhash64("text")).otherwise(F.col("id")).alias("id"), "text")
+    marked = d.join(trusted.withColumn("real", F.lit(False)), (F.col("id") == F.col("tid")) & (F.col("none") == F.col("real")), "left")
     counts = (marked.select(F.col("tid").isNotNull().cast("long").alias("t"), F.explode(gram_hashes(F.col("text"))).alias("h"))
               .groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.sum("t").alias("target")))
     raw, target = [0] * buckets, [0] * buckets
@@ -115,15 +116,14 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  buckets: int = BUCKETS, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED,
-                  rec: bool = False) -> DataFrame:
+                  buckets: int = BUCKETS, threshold: float = THRESHOLD, rec: bool = False) -> DataFrame:
     """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept[, text, rec])``.
 
     One row per row of ``docs`` (repeated ids included; a NULL id is never trusted).  A NULL or empty text has
     no words, fails the counting rules and gets ``llr`` 0.  Without any trusted document every ``llr`` is 0,
     so only the counting rules decide.  An empty table gives an empty result.
     """
-    weights = fit_weights(docs, trusted_ids(labels, max_trusted=max_trusted), id_col, text_col, buckets)
+    weights = fit_weights(docs, trusted_ids(labels), id_col, text_col, buckets)
     table = json_literal(weights, "array<int>")
     text = F.col(f"`{text_col}`").cast("string")
     more = [c for c in docs.columns if c not in (id_col, text_col)]

@@ -62,6 +62,27 @@ def test_likelihood_ratio_by_brute_force(spark):
         assert abs(got[i] - want) < 1e-5
 
 
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_every_trusted_document_counts(spark, limit):
+    """Above 20,000 trusted documents too, by a shuffled and by a broadcast join, NULL ids apart."""
+    docs = spark.range(30_000).selectExpr("id as doc_id", "'red' as text").unionByName(
+        spark.range(10).selectExpr("cast(null as long) as doc_id", "'green' as text"))
+    labels = spark.range(25_000).selectExpr("id as doc_id", "1 as quality")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        weights = quality_rules.fit_weights(docs, quality_rules.trusted_ids(labels), buckets=2, smooth=1.0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    of = {r.text: r.b for r in docs.select("text", quality_rules.bucket(quality_rules.gram_hashes(F.col("text"))[0], 2).alias("b")).distinct().collect()}
+    raw, good = [0, 0], [0, 0]
+    raw[of["red"]] += 30_000
+    raw[of["green"]] += 10
+    good[of["red"]] += 25_000
+    want = [round(1e6 * (np.log((g + 1) / 25_002) - np.log((r + 1) / 30_012))) for r, g in zip(raw, good)]
+    assert weights == want
+
+
 def test_licences_by_brute_force(spark):
     rows = texts(12) + [(500, "Released under the\nMIT License! Under the MIT license"), (501, "x cc-by-nc CC BY NC cc by nc"), (502, "cc by ncx"),
                         (503, "Licence: redistribution, and use in source and binary forms; with modification are permitted"),
