@@ -7,7 +7,9 @@ A window repeated inside the flush is settled there (pre-aggregation: only the o
 smallest id travel on), so a passage found in a third of all documents sends one record per flush, not one
 per document.  The rest is shipped as packed arrays, bucketed by the smallest 3-word hash inside the window
 (its minimizer): neighbouring windows share a bucket, so positions and answers are runs, not single rows.
-The number of buckets follows the bytes of the input, hence a bucket's size does not grow with it.
+The number of buckets follows the bytes of the input.  Windows are counted per bucket first, and a bucket that a
+frequent minimizer makes large is divided by the window hash (equal windows still meet), so no group grows with
+the input.
 Equality is that of a 56-bit window hash together with the independent bucket hash.
 """
 
@@ -28,6 +30,7 @@ HASH_BYTES = 7
 FLUSH_WORDS = 1_000_000
 PIECE_BYTES = 1_000_000
 BUCKET_BYTES = 6_000_000
+BUCKET_WINDOWS = 2_000_000
 PACKED = "bucket int, docs binary, runs binary, hashes binary, done binary"
 
 
@@ -58,8 +61,8 @@ def _windows(hashes: np.ndarray, counts: np.ndarray, size: int, gram: int):
     return h, least, row, start - left[row]
 
 
-def _pack(keys, ths, parts, buckets: int, size: int):
-    """One flush: settle repeats inside it, pack the rest by bucket; yields rows of ``PACKED``."""
+def _settle(keys, ths, parts, buckets: int, size: int):
+    """One flush: settle repeats inside it; hash, bucket, document and position of the rest, and what was settled."""
     h = np.concatenate([p[0] for p in parts])
     bucket = ((np.concatenate([p[1] for p in parts]) >> np.uint64(11)) % np.uint64(buckets)).astype(np.int32)
     doc = np.concatenate([p[2] for p in parts]).astype(np.int32)
@@ -79,6 +82,20 @@ def _pack(keys, ths, parts, buckets: int, size: int):
                                        p[r[1:] - 1].astype(np.int64) + size]).tobytes(), 1)
         keep = ~drop
         h, bucket, doc, pos = h[keep], bucket[keep], doc[keep], pos[keep]
+    return keys, ths, h, bucket, doc, pos, done
+
+
+def _sizes(keys, ths, parts, buckets: int, size: int):
+    """Bucket and number of windows that a flush sends to it."""
+    bucket, n = np.unique(_settle(keys, ths, parts, buckets, size)[3], return_counts=True)
+    yield from zip(bucket.tolist(), n.tolist())
+
+
+def _pack(keys, ths, parts, divide: np.ndarray, size: int):
+    """One flush, packed by bucket; yields rows of ``PACKED``.  Bucket b is divided into ``divide[b]`` ones."""
+    keys, ths, h, bucket, doc, pos, done = _settle(keys, ths, parts, len(divide), size)
+    first = np.cumsum(divide) - divide
+    bucket = first[bucket] + ((h >> np.uint64(8)) % divide[bucket].astype(np.uint64)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, h, doc, pos = bucket[order], h[order], doc[order], pos[order]
     edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
@@ -91,16 +108,22 @@ def _pack(keys, ths, parts, buckets: int, size: int):
         yield (int(bucket[a]), zlib.compress(np.stack([keys[d], ths[d]]).tobytes(), 1),
                zlib.compress(runs.tobytes(), 1), raw, None)
     if done:
-        yield int(abs(int(ths[0])) % buckets), None, None, None, done
+        yield int(abs(int(ths[0])) % divide.sum()), None, None, None, done
 
 
-def _map(size: int, gram: int, buckets: int):
+def _map(size: int, gram: int, buckets: int, divide: np.ndarray | None = None):
+    """Packed flushes, or without ``divide`` only the number of windows per bucket."""
     def run(batches):
         import pyarrow as pa
-        schema = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("docs", "runs", "hashes", "done")])
+        schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())] if divide is None else
+                           [("bucket", pa.int32())] + [(c, pa.binary()) for c in ("docs", "runs", "hashes", "done")])
 
         def flush():
-            for row in _pack(keys, ths, parts, buckets, size):
+            if divide is None:
+                got = list(_sizes(keys, ths, parts, buckets, size))
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in got], schema=schema)
+                return
+            for row in _pack(keys, ths, parts, divide, size):
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema=schema)
 
         keys, ths, parts, held = [], [], [], 0
@@ -161,13 +184,22 @@ def _reduce(size: int):
     return run
 
 
+def packed_windows(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """All windows as rows of ``PACKED``, about ``BUCKET_WINDOWS`` to a bucket at most."""
+    buckets = max(8, -(-text_bytes(docs, text_col) // BUCKET_BYTES))
+    rows = keyed(docs, id_col, text_col).where(F.col("text").isNotNull()).select("key", "th", "text")
+    divide = np.ones(buckets, np.int64)
+    hot = (rows.mapInArrow(_map(size, min(3, size), buckets), "bucket int, n long").groupBy("bucket")
+           .agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_WINDOWS))
+    for r in hot.collect():  # at most ``buckets`` rows
+        divide[r["bucket"]] = -(-r["n"] // BUCKET_WINDOWS)
+    return rows.mapInArrow(_map(size, min(3, size), buckets, divide), PACKED)
+
+
 def repeated_spans(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Word spans ``(key, th, s, e)`` covered by windows that also start in a document with a smaller id."""
     prepare(docs.sparkSession)
-    buckets = max(8, -(-text_bytes(docs, text_col) // BUCKET_BYTES))
-    rows = keyed(docs, id_col, text_col).where(F.col("text").isNotNull())
-    packed = rows.select("key", "th", "text").mapInArrow(_map(size, min(3, size), buckets), PACKED)
-    return packed.groupBy("bucket").applyInArrow(_reduce(size), "key long, th long, s int, e int")
+    return packed_windows(docs, size, id_col, text_col).groupBy("bucket").applyInArrow(_reduce(size), "key long, th long, s int, e int")
 
 
 def _cut_words(batches):

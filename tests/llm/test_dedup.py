@@ -42,6 +42,20 @@ def test_word_windows(spark, monkeypatch, flush):
     assert got.first().rec.id == 7 and got.first().rec.bucket == 9
 
 
+def test_word_windows_around_a_frequent_phrase(spark, monkeypatch):
+    """One minimizer in every document: its bucket is divided, the result stays."""
+    monkeypatch.setattr(substring_dedup, "FLUSH_WORDS", 500)
+    monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", 200)
+    rows = [(i, " ".join(f"w{i}x{j} home about contact" for j in range(20))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " tail") for i in range(0, 60, 7)]
+    docs = frame(spark, rows).repartition(3)
+    bounded = (substring_dedup.packed_windows(docs, 13, "doc_id", "text").groupBy("bucket")
+               .agg((F.sum(F.length("hashes")) / substring_dedup.HASH_BYTES).alias("n")))
+    assert bounded.agg(F.max("n")).first()[0] <= 2 * 200
+    got = substring_dedup.dedup_windows(docs)
+    assert rows_of(got, "id", "n_words", "n_removed", "kept_text") == expect_windows(rows, 13)
+
+
 def test_word_windows_empty_table(spark):
     assert substring_dedup.dedup_windows(frame(spark, [])).count() == 0
 
