@@ -198,15 +198,15 @@ class Model:
         words = [t.split() for t in low]
         sets = [set(w) for w in words]
         spelled = [SINGLES.findall(t) for t in low]
-        self.learn(set().union(*sets, *({"".join(filter(str.isalnum, m)) for m in x} for x in spelled)))
+        # All words of the batch are learnt in one call: the cache is never cleared between its texts.
+        parts = [sentence_words(t) if x else None for t, x in zip(low, spelled)]
+        self.learn(set().union(*sets, *({"".join(filter(str.isalnum, m)) for m in x} for x in spelled),
+                               *({u for s in sents for u in s} for sents in parts if sents)))
         out, known = np.zeros((len(texts), 3)), self.known.keys()
         for k, (t, w, x) in enumerate(zip(low, words, spelled)):
             f, n = self.bias, 0
             if x or not known.isdisjoint(sets[k]):
-                sents = sentence_words(t)
-                if x:
-                    self.learn({u for s in sents for u in s})
-                for s in sents:
+                for s in parts[k] if x else sentence_words(t):
                     vec = self.vector(s)
                     if vec:
                         f = max(f, self.decision(vec))

@@ -148,6 +148,15 @@ def test_toxicity_on_held_out_and_gapped_words(spark):
     assert model.scores([plain])[0] < 0.5
 
 
+def test_full_cache_does_not_change_scores(monkeypatch):
+    texts = ["a bumbletwit here. c l. o d p o l e", "c l\no d p o l e there", "so bumbletwit again"]
+    model = lambda: toxicity.Model(["^bumblet", "odpole"], np.array([3.0, 3.0]), -1.0, np.ones(3))
+    want = model().scores(texts)
+    for most in range(1, 20):
+        monkeypatch.setattr(toxicity, "CACHE_WORDS", most)
+        assert model().scores(texts) == want
+
+
 def test_toxicity_awkward_rows(spark):
     model = toxicity.fit([(t, y) for _, t, y in toxic_samples(100)])
     rows = texts(7)
