@@ -61,12 +61,14 @@ def search_block(vid, x, qid, queries, k: int, epsilon: float):
         r = (q @ turn.T).astype(np.float32)
         size = np.linalg.norm(q, axis=1).astype(np.float32)
         upper = np.hstack([r, size[:, None]]) @ upper_table.T  # estimate plus its error bound
+        upper[~np.isfinite(upper)] = np.inf  # no bound in single precision: reranked
         lo, hi = np.searchsorted(vid[by_id], ids), np.searchsorted(vid[by_id], ids, side="right")
         for i in np.flatnonzero(hi > lo).tolist():
             upper[i, by_id[lo[i]:hi[i]]] = -np.inf  # never its own neighbour
         # The k-th best lower bound of any part of the block is a valid bar for all of it.
         part = min(len(vid), max(4 * k, 1024))
         low = upper[:, :part] - 2 * size[:, None] * spread[None, :part]
+        low[~np.isfinite(low)] = -np.inf
         need = min(k, part)
         bar = np.partition(low, part - need, axis=1)[:, part - need]
         row, col = np.nonzero(upper >= bar[:, None])
@@ -74,9 +76,10 @@ def search_block(vid, x, qid, queries, k: int, epsilon: float):
         for i in range(len(q)):
             cand = col[edge[i]:edge[i + 1]]
             up = upper[i, cand]
-            cand, up = cand[np.isfinite(up)], up[np.isfinite(up)]
+            cand, up = cand[up > -np.inf], up[up > -np.inf]
             if len(cand) > k:
                 lower = up - 2 * size[i] * spread[cand]
+                lower[~np.isfinite(lower)] = -np.inf
                 cand = cand[up >= np.partition(lower, len(cand) - k)[len(cand) - k]]
             score = (x[cand] * q[i]).sum(axis=1)
             best = np.lexsort((vid[cand], -score))[:k]

@@ -161,6 +161,21 @@ def test_neighbours(spark, monkeypatch):
     assert ann.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [1e25, 1e100])
+def test_neighbours_beyond_single_precision(large):
+    """Finite vectors whose bound overflows stay candidates."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 16))
+    x[::3] *= large
+    q = x[:30]
+    with np.errstate(all="ignore"):
+        got = ann.search_block(np.arange(300), x, np.arange(30), q, 20, ann.EPSILON)
+    for i in range(30):
+        score = (x * q[i]).sum(axis=1)
+        want = sorted((v for v in range(300) if v != i), key=lambda v: (-score[v], v))[:20]
+        assert got[1][got[0] == i].tolist() == want
+
+
 def test_neighbour_recall_on_the_embeddings(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
     p = v.toPandas()
