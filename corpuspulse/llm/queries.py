@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuspulse.llm import bpe, licences, tool_calls, toxicity
 from corpuspulse.llm.ann import nearest
 from corpuspulse.llm.common import read, sha256
+from corpuspulse.llm.mixing import mix_sources
 from corpuspulse.llm.near_dedup import near_components
 from corpuspulse.llm.packing import pack_documents
 from corpuspulse.llm.quality_rules import quality_rules
@@ -160,3 +161,41 @@ def op4_suffix_dedup(spark, sf_dir):
     out = dedup_bytes(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                       sha256(F.col("kept")).alias("kept_sha256"))
+
+
+@register("op12_source_mix", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s AS (
+  SELECT source, source_size, 3 * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS sid,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+lim AS (  -- rounds of sharing: what is above a limit is shared again among the others
+  SELECT [CAST(0 AS BIGINT)] AS capped, 0 AS n
+  UNION ALL
+  SELECT over_, n + 1 FROM (
+    SELECT n, (SELECT list(s.sid) FROM s WHERE list_contains(capped, s.sid) OR
+        s.cap < s.weight * ((SELECT sum(source_size) FROM s) - (SELECT coalesce(sum(cap), 0) FROM s WHERE list_contains(capped, s.sid)))
+                / (SELECT sum(weight) FROM s WHERE NOT list_contains(capped, s.sid))) AS over_, capped
+    FROM lim) WHERE len(over_) > len(list_filter(capped, lambda x: x > 0))),
+fin AS (SELECT capped FROM lim ORDER BY n DESC LIMIT 1),
+lam AS (
+  SELECT CAST((SELECT sum(source_size) FROM s) - coalesce(sum(cap) FILTER (WHERE list_contains(capped, sid)), 0) AS DOUBLE)
+         / sum(weight) FILTER (WHERE NOT list_contains(capped, sid)) AS share FROM s, fin),
+t AS (SELECT s.*, CASE WHEN list_contains(capped, sid) THEN CAST(cap AS DOUBLE) ELSE weight * share END AS target FROM s, fin, lam),
+r AS (
+  SELECT d.doc_id, d.size, d.h, t.sid, t.source_size, t.target,
+         CAST(sum(size) OVER (PARTITION BY sid ORDER BY h, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto,
+         row_number() OVER () AS row_
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT row_, size, (p * source_size + upto) / target AS finish, sid, h, upto
+      FROM r, (VALUES (0), (1), (2)) AS v(p) WHERE size > 0 AND target > 0),
+o AS (SELECT row_, size, sum(size) OVER (ORDER BY finish, sid, h, upto ROWS UNBOUNDED PRECEDING) AS words FROM q),
+k AS (SELECT row_, CAST(sum(size) AS BIGINT) AS taken FROM o WHERE words <= (SELECT sum(source_size) FROM s) GROUP BY row_)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM r LEFT JOIN k USING (row_)
+""")
+def op12_source_mix(spark, sf_dir):
+    out = mix_sources(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
