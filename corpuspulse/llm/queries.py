@@ -15,6 +15,7 @@ from corpuspulse.llm.packing import pack_documents
 from corpuspulse.llm.quality_rules import quality_rules
 from corpuspulse.llm.substring_dedup import dedup_windows
 from corpuspulse.llm.suffix_dedup import dedup_bytes
+from corpuspulse.llm.whitening import whiten
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -199,3 +200,8 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM r LEF
 def op12_source_mix(spark, sf_dir):
     out = mix_sources(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@register("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    return whiten(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
