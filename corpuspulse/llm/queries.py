@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuspulse.llm import bpe, licences, tool_calls, toxicity
 from corpuspulse.llm.ann import nearest
 from corpuspulse.llm.common import read, sha256
+from corpuspulse.llm.conversations import as_rows, damaged, repair_conversations
 from corpuspulse.llm.mixing import mix_sources
 from corpuspulse.llm.near_dedup import near_components
 from corpuspulse.llm.packing import pack_documents
@@ -205,3 +206,9 @@ def op12_source_mix(spark, sf_dir):
 @register("op13_whitening")
 def op13_whitening(spark, sf_dir):
     return whiten(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@register("op11_conversation_repair")
+def op11_conversation_repair(spark, sf_dir):
+    rows = as_rows(read(spark, sf_dir, "conversations"))
+    return repair_conversations(damaged(rows), rows).withColumnRenamed("conv", "conv_id")
