@@ -331,10 +331,10 @@ def _stream(batches):
 def repaired_messages(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``(conv, place, role, text)``: the messages of every repaired conversation, ``place`` from 0."""
     plain = as_rows(rows, conv, turn, role, text)
-    return _messages(plain, *plan_repairs(plain))
+    return replayed(plain, *plan_repairs(plain))
 
 
-def _messages(rows: DataFrame, reports: DataFrame, laid: DataFrame) -> DataFrame:
+def replayed(rows: DataFrame, reports: DataFrame, laid: DataFrame) -> DataFrame:
     kind = dict(rows.dtypes)["conv"]
 
     def run(batches):

@@ -143,7 +143,8 @@ def _polished(a, v, w, scale):
     near = np.abs(gap) <= 1e-8 * scale
     e = np.where(near, r / 2, (s + w[None, :] * r) / np.where(near, 1.0, gap))
     np.fill_diagonal(e, np.diag(r) / 2)
-    return v + v @ e, w
+    v = v + v @ e
+    return v @ (3 * np.eye(len(w)) - v.T @ v) / 2, w   # narrow gaps leave the basis a little off square
 
 
 # ---- the passes over the rows -------------------------------------------------------------------------------------
