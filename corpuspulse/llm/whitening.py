@@ -163,10 +163,22 @@ def _flat(column) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.empty((0, 0), dtype=values.dtype)
 
 
-def _added(tasks: DataFrame) -> dict[int, np.ndarray]:
-    """Rows ``(i, v array)`` of all tasks summed by ``i`` and place; at most dimension x dimension numbers return."""
-    cells = tasks.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    rows = cells.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("c")).select("i", F.col("c")["v"].alias("v")).collect()
+def _added(tasks: DataFrame, kind: str) -> dict[int, np.ndarray]:
+    """Rows ``(i, v array)`` of all tasks summed by ``i``: rows of one ``i`` meet in a task, which keeps their sum only.
+
+    At most a row per dimension returns to the driver.
+    """
+    def run(batches):
+        import pyarrow as pa
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, v in zip(batch.column("i").to_numpy(), batch.column("v")):
+                v = v.values.to_numpy()
+                total[int(i)] = total[int(i)] + v if int(i) in total else v.copy()
+        if total:
+            yield pa.RecordBatch.from_pydict({"i": list(total), "v": [v.tolist() for v in total.values()]}, pa.schema(
+                [("i", pa.int32()), ("v", pa.list_(pa.int64() if kind == "long" else pa.float64()))]))
+    rows = tasks.repartition("i").mapInArrow(run, f"i int, v array<{kind}>").collect()
     return {r["i"]: np.array(r["v"]) for r in rows}
 
 
@@ -181,7 +193,7 @@ def exact_sums(fit: DataFrame) -> tuple[int, np.ndarray]:
                 n, total = n + len(x), x.sum(axis=0) if total is None else total + x.sum(axis=0)
         if n:
             yield pa.RecordBatch.from_pydict({"i": [0, 1], "v": [[n], total.tolist()]}, pa.schema([("i", pa.int32()), ("v", pa.list_(pa.int64()))]))
-    got = _added(fit.mapInArrow(run, "i int, v array<long>"))
+    got = _added(fit.mapInArrow(run, "i int, v array<long>"), "long")
     return (int(got[0][0]), got[1]) if got else (0, np.zeros(0, dtype=np.int64))
 
 
@@ -200,7 +212,7 @@ def covariance(fit: DataFrame, mean: np.ndarray, n: int, turn: np.ndarray | None
         if total is not None:
             yield pa.RecordBatch.from_pydict({"i": list(range(len(total))), "v": total.tolist()},
                                              pa.schema([("i", pa.int32()), ("v", pa.list_(pa.float64()))]))
-    got = _added(fit.mapInArrow(run, "i int, v array<double>"))
+    got = _added(fit.mapInArrow(run, "i int, v array<double>"), "double")
     return np.array([got[i] for i in sorted(got)]) / max(n, 1)
 
 
