@@ -19,6 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuspulse.operators.vectors import complete, usual_width
 from corpuspulse.session import broadcast_if_small, ship_package
 
 CENTER_BLOCK = 2_000_000  # k * dim values that travel with one pass
@@ -263,11 +264,21 @@ def lloyd_steps(vecs: DataFrame, centroids: DataFrame, steps: int = 1, id_col: s
 
 
 def project_2d(vecs: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """M6: 2-D coordinates per row (PCA; re-aim of the single-machine t-SNE)."""
-    feats = vecs.select(id_col, array_to_vector(F.col(vec)).alias("features"))
-    model = PCA(k=2, inputCol="features", outputCol="_p").fit(feats)
+    """M6, linear form: 2-D coordinates per row by PCA (``projection.project_neighbours`` keeps neighbourhoods).
+
+    Vectors that are NULL, incomplete or of another than the usual length get NULL coordinates; no vectors, no rows fitted.
+    """
+    dim = usual_width(vecs, vec)
+    v = F.col(vec).cast("array<double>")
+    rows = vecs.select(id_col, F.when(complete(v, dim), v).alias("_v"))
+    fitted = rows.where("_v is not null").select(id_col, array_to_vector("_v").alias("features"))
+    none = F.lit(None).cast("double")
+    if dim < 2 or fitted.isEmpty():
+        return rows.select(id_col, none.alias("x"), none.alias("y"))
+    model = PCA(k=2, inputCol="features", outputCol="_p").fit(fitted)
     p = vector_to_array(F.col("_p"))
-    return model.transform(feats).select(id_col, p[0].alias("x"), p[1].alias("y"))
+    return model.transform(fitted).select(id_col, p[0].alias("x"), p[1].alias("y")).unionByName(
+        rows.where("_v is null").select(id_col, none.alias("x"), none.alias("y")))
 
 
 def attach_cluster_name(assigned: DataFrame, names: DataFrame) -> DataFrame:
