@@ -12,13 +12,14 @@ is materialised, one code path for every size).
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuspulse.operators.kmeans import blocks, kmeans_sweep, lloyd, seeds, squared, training_rows
+from corpuspulse.operators.silhouettes import sweep_silhouettes
 from corpuspulse.operators.vectors import complete, usual_width
 from corpuspulse.session import broadcast_if_small, ship_package
 
@@ -28,20 +29,19 @@ MAX_ITER = 300  # k-means iterations at most (the reference library's default)
 
 def embed_text(df: DataFrame, col: str = "text", dim: int = 64, id_col: str = "doc_id",
                out: str = "embedding") -> DataFrame:
-    """M1 baseline encoder: tokens -> hashed term frequencies (``dim`` buckets) -> IDF -> L2 norm.
+    """M1 baseline encoder: tokens -> hashed term frequencies (``dim`` buckets) -> IDF -> L2 norm; NULL gives NULL.
 
-    A caller's sentence encoder plugs in through ``scoring.batch_infer`` instead.
+    ``embedding.embed_learned`` learns from the corpus; a caller's sentence encoder plugs in through ``scoring.batch_infer``.
     """
-    df = df.select(id_col, col)
+    missing = df.where(F.col(col).isNull()).select(id_col, F.lit(None).cast("array<float>").alias(out))
+    df = df.where(F.col(col).isNotNull()).select(id_col, col)
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=col, outputCol="_tok", pattern=r"\W+", toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
     ])
-    model = pipe.fit(df.select(id_col, col))
-    return model.transform(df.select(id_col, col)).select(
-        id_col, vector_to_array("_vec", "float32").alias(out))
+    return pipe.fit(df).transform(df).select(id_col, vector_to_array("_vec", "float32").alias(out)).unionByName(missing)
 
 
 def centroids_by_label(vecs: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -65,21 +65,32 @@ def _center_blocks(rows: DataFrame, label: str, vec: str, more=()):
 
 
 def _matrix(column, dim: int):
-    """Rows of an Arrow list column that are complete vectors of length ``dim``: their index and values."""
+    """Rows of an Arrow list column that are vectors of length ``dim``: their index and values, read from its buffer."""
     import numpy as np
-    rows = column.to_pylist()
-    ok = [i for i, v in enumerate(rows) if v is not None and len(v) == dim and None not in v]
-    return np.array(ok, dtype=np.int64), np.array([rows[i] for i in ok], dtype=np.float64).reshape(len(ok), dim)
+    at = column.offsets.to_numpy()
+    ok = np.flatnonzero((np.diff(at) == dim) & column.is_valid().to_numpy(zero_copy_only=False))
+    return ok, column.values.to_numpy()[at[:-1][ok][:, None] + np.arange(dim)]
 
 
-def _distances(x, centers):
-    """Squared Euclidean distances by exact differences, a bounded piece of rows at a time."""
+def _nearest(x, centers):
+    """First nearest centre of every row and its squared distance, measured by differences.
+
+    A matrix product finds the candidates; rows with several within its error are decided by differences.
+    """
     import numpy as np
-    out = np.empty((len(x), len(centers)))
-    step = max(1, 4_000_000 // max(1, centers.size))
-    for a in range(0, len(x), step):
-        out[a:a + step] = ((x[a:a + step, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
-    return out
+    size = (centers * centers).sum(axis=1)
+    label, value = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
+    for s in blocks(x, len(centers)):
+        part = x[s]
+        d = squared(part, centers, size)
+        low = d.min(axis=1)
+        close = d <= (low + 1e-12 * (size.max() + (part * part).sum(axis=1)))[:, None]
+        best = close.argmax(axis=1)
+        for r in np.flatnonzero(close.sum(axis=1) > 1):
+            some = np.flatnonzero(close[r])
+            best[r] = some[((part[r] - centers[some]) ** 2).sum(axis=1).argmin()]
+        label[s], value[s] = best, ((part - centers[best]) ** 2).sum(axis=1)
+    return label, value
 
 
 def assign_nearest(vecs: DataFrame, centroids: DataFrame, id_col: str = "vec_id",
@@ -87,8 +98,8 @@ def assign_nearest(vecs: DataFrame, centroids: DataFrame, id_col: str = "vec_id"
     """M3: label of the nearest centroid (ties -> smaller label) and the squared distance.
 
     Output ``(id, *keep, cluster_label, sqdist)``; narrow (runs in the scan stage).  A
-    vector that is NULL, holds NULLs or has another length than every centroid gets a
-    NULL label and distance.
+    vector that is NULL, holds NULL or non-finite entries or has another length than every
+    centroid gets a NULL label and distance.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -96,25 +107,37 @@ def assign_nearest(vecs: DataFrame, centroids: DataFrame, id_col: str = "vec_id"
     label = centroids.schema["cluster_label"].dataType
     state = T.StructType([*fields, T.StructField("_v", T.ArrayType(T.DoubleType())), T.StructField("cluster_label", label),
                           T.StructField("sqdist", T.DoubleType())])
-    out = vecs.select(id_col, *keep, F.col(vec).cast("array<double>").alias("_v"), F.lit(None).cast(label).alias("cluster_label"),
+    v = F.col(vec).cast("array<double>")
+    out = vecs.select(id_col, *keep, F.when(complete(v), v).alias("_v"), F.lit(None).cast(label).alias("cluster_label"),
                       F.lit(None).cast("double").alias("sqdist"))
 
     def one_pass(labels, centers):
+        groups = {}
+        for k, c in enumerate(centers):
+            groups.setdefault(len(c), []).append(k)
+
         def run(batches):
             import numpy as np
+            import pyarrow.compute as pc
             for batch in batches:
-                best, near = batch.column("cluster_label").to_pylist(), batch.column("sqdist").to_pylist()
-                for dim in sorted({len(c) for c in centers}):
-                    index = [k for k, c in enumerate(centers) if len(c) == dim]
+                best, near = batch.column("cluster_label"), batch.column("sqdist")
+                names = pa.array(labels, best.type)
+                for dim, index in sorted(groups.items()):
                     at, x = _matrix(batch.column("_v"), dim)
-                    d = _distances(x, np.array([centers[k] for k in index]).reshape(len(index), dim))
-                    first = d.argmin(axis=1) if len(at) else []
-                    for row, i, k in zip(range(len(at)), at.tolist(), first):
-                        value, name = float(d[row, k]), labels[index[k]]
-                        if near[i] is None or value < near[i] or (value == near[i] and name < best[i]):
-                            near[i], best[i] = value, name
-                cols = [*batch.columns[:-2], pa.array(best, batch.schema.field("cluster_label").type), pa.array(near, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+                    if not len(at):
+                        continue
+                    pick, value = _nearest(x, np.array([centers[k] for k in index]))
+                    new = np.full(batch.num_rows, np.inf)
+                    new[at] = value
+                    to = np.zeros(batch.num_rows, dtype=np.int64)
+                    to[at] = np.array(index)[pick]
+                    old = near.fill_null(np.inf).to_numpy(zero_copy_only=False)
+                    won = new < old
+                    for r in np.flatnonzero((new == old) & np.isfinite(new)):  # the same distance in an earlier block
+                        won[r] = labels[to[r]] < best[int(r)].as_py()
+                    best = pc.if_else(pa.array(won), names.take(pa.array(to)), best)
+                    near = pc.if_else(pa.array(won), pa.array(new), near)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], best, near], names=batch.schema.names)
         return run
 
     ship_package(vecs.sparkSession)
@@ -141,7 +164,7 @@ def silhouette(vecs: DataFrame, label: str = "cluster_label", vec: str = "embedd
     import pyarrow as pa
     from pyspark.sql import types as T
     x = vecs.select(F.col(label).alias("_l"), F.col(vec).cast("array<double>").alias("_v")).where(
-        F.col("_l").isNotNull() & F.col("_v").isNotNull())
+        F.col("_l").isNotNull() & complete(F.col("_v")))
     norm = F.aggregate(F.transform("_v", lambda v: v * v), F.lit(0.0), lambda p, q: p + q)
     stats = x.groupBy("_l").agg(Summarizer.mean(array_to_vector("_v")).alias("_mu"), F.avg(norm).alias("_mnn"),
                                 F.count(F.lit(1)).alias("_n"))
@@ -154,24 +177,30 @@ def silhouette(vecs: DataFrame, label: str = "cluster_label", vec: str = "embedd
     def one_pass(labels, centers, more):
         def run(batches):
             import numpy as np
+            import pyarrow.compute as pc
             cm = np.array(centers)
-            extra = np.array([m[0] for m in more])
+            size = (cm * cm).sum(axis=1)
+            extra, counts = np.array([m[0] for m in more]), np.array([m[1] for m in more], dtype=float)
             number = {name: k for k, name in enumerate(labels)}
             for batch in batches:
-                own, other = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+                own, other = batch.column("a"), batch.column("b")
                 at, xs = _matrix(batch.column("_v"), cm.shape[1])
-                d = _distances(xs, cm) + extra[None, :]
-                mine = [number.get(batch.column("_l")[int(i)].as_py(), -1) for i in at]
-                for row, (i, k) in enumerate(zip(at.tolist(), mine)):
-                    if k >= 0:
-                        n = more[k][1]
-                        own[i] = float("nan") if n <= 1 else float(d[row, k]) * n / (n - 1)
-                        d[row, k] = np.inf
-                    low = float(d[row].min())
-                    if np.isfinite(low) and (other[i] is None or low < other[i]):
-                        other[i] = low
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.float64()), pa.array(other, pa.float64())],
-                                                 names=batch.schema.names)
+                names = batch.column("_l").dictionary_encode()
+                of = np.array([number.get(x, -1) for x in names.dictionary.to_pylist()] or [-1])
+                mine = of[names.indices.to_numpy(zero_copy_only=False).astype(np.int64)][at] if len(at) else at
+                a, b = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.inf)
+                here = np.zeros(batch.num_rows, dtype=bool)
+                for s in blocks(xs, len(cm)):
+                    d = squared(xs[s], cm, size) + extra[None, :]
+                    rows = np.flatnonzero(mine[s] >= 0)
+                    k = mine[s][rows]
+                    a[at[s][rows]] = np.where(counts[k] > 1, d[rows, k] * counts[k] / np.maximum(counts[k] - 1, 1), np.nan)
+                    here[at[s][rows]] = True
+                    d[rows, k] = np.inf
+                    b[at[s]] = d.min(axis=1)
+                b = np.fmin(b, other.fill_null(np.inf).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pc.if_else(pa.array(here), pa.array(a), own),
+                                                  pa.array(b, mask=~np.isfinite(b))], names=batch.schema.names)
         return run
 
     ship_package(vecs.sparkSession)
@@ -185,73 +214,43 @@ def silhouette(vecs: DataFrame, label: str = "cluster_label", vec: str = "embedd
     return out.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
-def _features(vecs: DataFrame, id_col: str, vec: str) -> DataFrame:
-    return vecs.select(id_col, F.col(vec), array_to_vector(F.col(vec)).alias("features"))
-
-
-def _fit(feats: DataFrame, k: int, seed: int, id_col: str, max_iter: int):
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cluster_label").fit(feats)
-    cents = feats.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "cluster_label int, center array<double>")
-    return model, cents, float(model.summary.trainingCost)
+def _center_table(spark, centers) -> DataFrame:
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cluster_label int, center array<double>")
 
 
 def kmeans_cluster(vecs: DataFrame, k: int = 50, seed: int = 42, id_col: str = "vec_id",
                    vec: str = "embedding", max_iter: int = MAX_ITER):
-    """M2: Spark ML k-means (k-means||).  Returns ``(assignments, centroids, cost)``.
-
-    The feature frame is persisted while the iterations run and released
-    after; assignments are the nearest-centroid labels (M3, narrow).
-    """
-    feats = _features(vecs, id_col, vec).persist()
-    try:
-        _, cents, cost = _fit(feats, k, seed, id_col, max_iter)
-    finally:
-        feats.unpersist()
-    assigned = assign_nearest(vecs, cents, id_col, vec).select(id_col, "cluster_label")
-    return assigned, cents, cost
+    """M2: k-means (``kmeans``).  Returns ``(assignments, centroids, cost)``.
 
-
-def _sweep(vecs: DataFrame, ks, seed: int, id_col: str, vec: str, max_iter: int, measure,
-           parallelism: int = 4):
-    """Fit k-means for every k on one persisted feature frame; ``measure(feats, cents, cost)``.
-
-    Fits run concurrently from ``parallelism`` driver threads (as Spark ML's
-    tuning does), so the many small iteration jobs of different k share the
-    cluster instead of queueing behind each other.
+    Assignments are the nearest-centroid labels (M3, narrow); a NULL or incomplete vector gets a NULL label.
     """
-    from concurrent.futures import ThreadPoolExecutor
-    spark = vecs.sparkSession
-    feats = _features(vecs, id_col, vec).persist()
-
-    def one(k):
-        _, cents, cost = _fit(feats, int(k), seed, id_col, max_iter)
-        return int(k), float(measure(feats, cents, cost))
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            rows = list(pool.map(one, list(ks)))
-    finally:
-        feats.unpersist()
-    return spark, rows
+    fit = kmeans_sweep(vecs, [k], seed, vec, max_iter)
+    cents = _center_table(vecs.sparkSession, fit.centers.get(k, []))
+    return assign_nearest(vecs, cents, id_col, vec).select(id_col, "cluster_label"), cents, fit.cost.get(k, 0.0)
 
 
 def elbow_curve(vecs: DataFrame, ks, seed: int = 42, id_col: str = "vec_id", vec: str = "embedding",
-                max_iter: int = MAX_ITER, parallelism: int = 4) -> DataFrame:
-    """M5: k-means training cost (inertia) for each k."""
-    spark, rows = _sweep(vecs, ks, seed, id_col, vec, max_iter, lambda f, c, cost: cost, parallelism)
-    return spark.createDataFrame(rows, "k int, inertia double")
+                max_iter: int = MAX_ITER) -> DataFrame:
+    """M5: k-means cost (inertia) for each k; one scan per iteration serves every k."""
+    fit = kmeans_sweep(vecs, ks, seed, vec, max_iter)
+    return vecs.sparkSession.createDataFrame([(int(k), float(c)) for k, c in sorted(fit.cost.items())], "k int, inertia double")
 
 
 def silhouette_sweep(vecs: DataFrame, ks, seed: int = 42, id_col: str = "vec_id",
-                     vec: str = "embedding", max_iter: int = MAX_ITER, parallelism: int = 4) -> DataFrame:
-    """M4: mean (squared-Euclidean) silhouette of the k-means labelling for each k."""
-    def measure(feats, cents, cost):
-        labelled = assign_nearest(feats, cents, id_col, vec, keep=(vec,))
-        return silhouette(labelled, "cluster_label", vec, id_col).first()["silhouette"]
-    spark, rows = _sweep(vecs, ks, seed, id_col, vec, max_iter, measure, parallelism)
-    return spark.createDataFrame(rows, "k int, silhouette double")
+                     vec: str = "embedding", max_iter: int = MAX_ITER) -> DataFrame:
+    """M4: ``(k, silhouette, low, high)``: the mean Euclidean silhouette of the k-means labelling for each k, with bounds.
+
+    ``silhouettes`` says how the bounds come about.  Fit and measure read the vectors once for all k, in every scan.
+    """
+    ship_package(vecs.sparkSession)
+    rows = training_rows(vecs, vec).persist()
+    try:
+        fit = lloyd(rows, seeds(rows, ks, seed), max_iter)
+        found = sweep_silhouettes(rows, fit.centers)
+    finally:
+        rows.unpersist()
+    return vecs.sparkSession.createDataFrame([(int(k), float(mid), float(low), float(high)) for k, (low, mid, high) in sorted(found.items())],
+                                             "k int, silhouette double, low double, high double")
 
 
 def lloyd_steps(vecs: DataFrame, centroids: DataFrame, steps: int = 1, id_col: str = "vec_id",

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions import text as T
 from corpuspulse.operators import clusters as C
+from corpuspulse.operators import kmeans as KM
 from corpuspulse.operators import scoring as SC
+from corpuspulse.operators import silhouettes as SI
 from corpuspulse.operators import topics as TP
 from corpuspulse.plans import standins as S
 from corpuspulse.plans.registry import HEADS, OBS, register, with_
@@ -118,7 +120,7 @@ def q_elbow_curve(spark, sf):
 
 @register("silhouette_sweep")
 def q_silhouette_sweep(spark, sf):
-    """M4: silhouette of k-means labellings for k = 10..59."""
+    """M4: Euclidean silhouette, with bounds, of k-means labellings for k = 10..59."""
     return C.silhouette_sweep(_vecs(spark, sf), range(10, 60))
 
 
@@ -132,6 +134,52 @@ def q_lloyd_step(spark, sf):
         "cluster_label", (F.col("p") + 1).alias("dim"), F.round("v", 6).alias("value"))
 
 
+STEP_KS, STEPS = tuple(range(10, 101, 10)), 3
+
+
+@register("lloyd_sweep", f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings),
+ks AS (SELECT unnest({list(STEP_KS)}) AS k),
+run AS (
+  SELECT 0 AS step, k, r AS c, v AS centre FROM ks JOIN v ON r < k
+  UNION ALL
+  SELECT step + 1, k, c, CAST(list(m ORDER BY i) AS DOUBLE[64]) FROM (
+    SELECT step, k, c, i, avg(v[i]) AS m FROM (
+      SELECT run.step, run.k, arg_min(run.c, array_distance(v.v, run.centre)) AS c, any_value(v.v) AS v
+      FROM run, v WHERE run.step < {STEPS} GROUP BY run.step, run.k, v.vec_id) AS near, range(1, 65) AS d(i)
+    GROUP BY step, k, c, i) AS mean GROUP BY step, k, c),
+last AS (
+  SELECT run.k, v.vec_id, arg_min(run.c, array_distance(v.v, run.centre)) AS c, min(array_distance(v.v, run.centre)) AS d
+  FROM run, v WHERE run.step = {STEPS} GROUP BY run.k, v.vec_id),
+size AS (SELECT k, c, count(*) AS n, sum(d * d) AS s FROM last GROUP BY k, c)
+SELECT CAST(k AS INT) AS k, round(sum(s), 4) AS inertia, max(n) AS largest, min(n) AS smallest, count(*) AS clusters FROM size GROUP BY k""")
+def q_lloyd_sweep(spark, sf):
+    """M2/M5: three Lloyd steps for every k of the elbow curve in shared scans, started at the first k vectors."""
+    import numpy as np
+    v = _vecs(spark, sf)
+    first = np.array([r["embedding"] for r in v.orderBy("vec_id").limit(max(STEP_KS)).collect()], dtype=float)
+    out = KM.lloyd(KM.training_rows(v).persist(), {k: first[:k] for k in STEP_KS}, STEPS, tol=-1.0)
+    rows = [(k, round(out.cost[k], 4), int(n.max()), int(n[n > 0].min()), int((n > 0).sum())) for k, n in out.sizes.items()]
+    return spark.createDataFrame(rows, "k int, inertia double, largest long, smallest long, clusters long")
+
+
+@register("silhouette_euclidean", """
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings),
+z AS (SELECT a.vec_id, a.label AS own, b.label AS other, array_distance(a.v, b.v) ** 2 AS z FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+m AS (SELECT vec_id, own, other, avg(z) AS m, greatest(avg(z * z) - avg(z) ** 2, 0) AS s2 FROM z GROUP BY 1, 2, 3),
+d AS (SELECT vec_id, own, other, sqrt(m) * greatest(1 - s2 / (2 * m * m), 0) AS lo, sqrt(m) * (1 - least(s2 / (m * m), 4) / 8) AS mid, sqrt(m) AS hi FROM m),
+p AS (
+  SELECT vec_id, max(lo) FILTER (WHERE own = other) AS al, max(mid) FILTER (WHERE own = other) AS am, max(hi) FILTER (WHERE own = other) AS ah,
+         min(lo) FILTER (WHERE own <> other) AS bl, min(mid) FILTER (WHERE own <> other) AS bm, min(hi) FILTER (WHERE own <> other) AS bh
+  FROM d GROUP BY vec_id)
+SELECT vec_id, round(coalesce((bl - ah) / greatest(bl, ah), 0), 6) + 0.0 AS low, round(coalesce((bm - am) / greatest(bm, am), 0), 6) + 0.0 AS silhouette,
+       round(coalesce((bh - al) / greatest(bh, al), 0), 6) + 0.0 AS high FROM p""")
+def q_silhouette_euclidean(spark, sf):
+    """M4: every vector's Euclidean silhouette under the given labels: guaranteed bounds and the estimate."""
+    out = SI.silhouette_points(_vecs(spark, sf), "label")
+    return out.select("vec_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("low", "silhouette", "high")])
+
+
 def _by_k(ks):
     """Labellings ``vec_id % k`` for each k, with their own centres (SQL side of the sweeps)."""
     return f"""ks AS (SELECT unnest({list(ks)}) AS k),
