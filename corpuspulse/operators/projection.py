@@ -203,6 +203,7 @@ def layout_2d(coords: DataFrame, graph: DataFrame, rounds: int = ROUNDS, early:
     goes to the shared folder, so a lost executor costs one round.
     """
     import numpy as np
+    ship_package(coords.sparkSession)
     edges = _cut(_edges(graph))
     total = edges.count()
     scale = coords.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("x").alias("x"), F.stddev_pop("y").alias("y")).first()

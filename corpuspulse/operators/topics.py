@@ -12,9 +12,9 @@ same rows either way:
   with ``contains`` and keeps the first hit of each topic run - a narrow
   projection with no join and no shuffle, so matching and segmentation stay in
   the scan stage;
-* any number of phrases (``strategy='grams'``): the distinct character grams of
-  each text meet the leading gram of each phrase in an equi-join; the few
-  candidates are confirmed with ``contains`` on the text;
+* any number of phrases (``strategy='grams'``): each phrase is keyed by its
+  rarest gram; texts are scanned with a bit filter over these keys, and only the
+  surroundings of hits meet the phrases in an equi-join (``gram_index``);
 * ``whole_word=True``: token n-grams of the text equi-joined with phrases
   (a hash join, no size limit on either side).
 """
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions.text import clean_en
 from corpuspulse.functions.util import json_literal, let, let2
+from corpuspulse.operators.gram_index import phrase_hits
 from corpuspulse.session import broadcast_if_small
 
 IN_PLAN_PHRASES = 5_000  # larger phrase lists are joined by grams
-GRAM = 4
 SENTINEL = "\u0000"  # never produced by the text cleaners
 
 
@@ -61,7 +61,7 @@ def match_topics(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id",
         return _first_hit(_ngram_join(t, keywords, id_col), id_col)
     rows = small_keywords(keywords, in_plan) if strategy != "grams" else None
     if rows is None:
-        return _gram_join(t, keywords, id_col)
+        return phrase_hits(t, keywords, "_h", [id_col])
     staged = t.select(id_col, all_hits(F.col("_h"), keyword_array(rows)).alias("_all"))
     return staged.select(id_col, F.explode(first_of_topic(F.col("_all"))).alias("k")).select(
         id_col, "k.topic", "k.pos", "k.keyword")
@@ -110,33 +110,6 @@ def _ngram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
     return grams.join(broadcast_if_small(kw.drop("_n")), "keyword").select(id_col, "topic", "pos", "keyword")
 
 
-def _piece(ch: Column, n: int):
-    return lambda i: F.concat(*[F.get(ch, i + j) for j in range(n)])
-
-
-def _gram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
-    """Substring hits by an equi-join on the leading ``GRAM`` characters of each phrase (fewer for shorter phrases).
-
-    Texts are keyed by (id, text) content; only distinct grams are exploded, never the text with them, and the
-    text meets its candidates again by that key for the exact ``contains``.
-    """
-    kw = keywords.select("topic", "pos", "keyword").withColumn("_g", F.substring("keyword", 1, GRAM))
-    sizes = sorted(r[0] for r in kw.select(F.length("_g").alias("n")).distinct().collect())  # at most GRAM values
-    keyed = t.withColumn("_gk", F.xxhash64(F.col(id_col), "_h"))
-
-    def grams_of(ch: Column) -> Column:
-        """All ``n``-character pieces, from the array of characters (constant work per piece)."""
-        every = [F.transform(F.when(F.size(ch) >= n, F.sequence(F.lit(0), F.size(ch) - n)).otherwise(F.array().cast("array<int>")),
-                             _piece(ch, n)) for n in sizes]
-        return F.array_distinct(F.flatten(F.array(*every))) if every else F.array().cast("array<string>")
-
-    grams = keyed.select("_gk", F.explode(let(F.split("_h", ""), grams_of)).alias("_g")).distinct()
-    candidates = grams.join(broadcast_if_small(kw), "_g").select("_gk", "topic", "pos", "keyword")
-    found = (keyed.select("_gk", "_h").dropDuplicates(["_gk"]).join(candidates, "_gk").where(F.contains("_h", F.col("keyword")))
-             .groupBy("_gk", "topic").agg(F.min(F.struct("pos", "keyword")).alias("b")))
-    return keyed.select(id_col, "_gk").join(found, "_gk").select(id_col, "topic", "b.pos", "b.keyword")
-
-
 def segment(texts: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             mode: str = "fixed") -> DataFrame:
     """``(id, topic, left, target, right)`` around the first occurrence of the winning phrase.
@@ -167,7 +140,7 @@ def tag_segments(texts: DataFrame, keywords, id_col: str = "doc_id", text_col: s
         hits = t.select(id_col, *keep, "_h", F.explode(first_of_topic(F.col("_all"))).alias("k"))
         return _segment_cols(hits.select(id_col, *keep, "_h", "k.topic", "k.pos", "k.keyword"), id_col, mode, keep)
     t = t.withColumn("_k", F.xxhash64(F.col(id_col), *keep, "_h"))
-    hits = _gram_join(t.select("_k", "_h").dropDuplicates(["_k"]), keywords, "_k")
+    hits = phrase_hits(t, keywords, "_h", ["_k"]).distinct()
     return _segment_cols(t.join(hits, "_k"), id_col, mode, keep)
 
 

@@ -169,14 +169,36 @@ def q_match_topics(spark, sf):
 
 @register("match_topics_join", _CLEAN_KW + "SELECT * FROM hits")
 def q_match_topics_join(spark, sf):
-    """J3, join strategy for any number of phrases: leading-gram equi-join, confirmed by ``contains``."""
+    """J3, join strategy for any number of phrases: found through the rarest gram, confirmed by ``contains``."""
     return TP.match_topics(_clean_heads(spark, sf), _kw(spark), "doc_id", "text", strategy="grams")
 
 
-@register("match_topics_automaton", _CLEAN_KW + "SELECT * FROM hits")
-def q_match_topics_automaton(spark, sf):
-    """J3 with the in-plan form switched off by its size argument (same rows, no automaton library)."""
-    return TP.match_topics(_clean_heads(spark, sf), _kw(spark), "doc_id", "text", in_plan=0)
+def _many_phrases(spark, sf):
+    """A taxonomy of thousands of phrases: every word pair that opens a line of some document, topic by length."""
+    d = S.docs(spark, sf).select(F.explode(F.split("text", "\n")).alias("line"))
+    two = F.regexp_extract(F.lower("line"), r"^([a-z]+ [a-z]+)", 1)
+    return d.select(two.alias("keyword")).where("keyword <> ''").distinct().select(
+        F.concat(F.lit("t"), (F.length("keyword") % 5).cast("string")).alias("topic"), F.length("keyword").cast("int").alias("pos"), "keyword")
+
+
+@register("match_topics_many_phrases", r"""
+WITH kw AS (
+  SELECT 't' || CAST(length(keyword) % 5 AS VARCHAR) AS topic, CAST(length(keyword) AS INT) AS pos, keyword FROM (
+    SELECT DISTINCT regexp_extract(lower(line), '^([a-z]+ [a-z]+)', 1) AS keyword
+    FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE keyword <> ''),
+h AS (SELECT doc_id, lower(text) AS h FROM documents)
+SELECT doc_id, topic, count(*) AS phrases, min(pos) AS pos FROM (
+  SELECT doc_id, topic, pos FROM h JOIN kw ON contains(h, keyword)) GROUP BY doc_id, topic""")
+def q_match_topics_many(spark, sf):
+    """J3 with a taxonomy that grows with the data: phrases found through their rarest gram; all hits are counted."""
+    from corpuspulse.operators import gram_index as G
+    kw = _many_phrases(spark, sf).persist()
+    texts = S.docs(spark, sf).select("doc_id", F.lower("text").alias("h"))
+    # Every phrase is a topic of its own here, so each hit is returned.
+    each = kw.select(F.col("keyword").alias("topic"), "pos", "keyword")
+    hits = G.phrase_hits(texts, each, "h", ["doc_id"])
+    topic = F.concat(F.lit("t"), (F.length("keyword") % 5).cast("string"))
+    return hits.groupBy("doc_id", topic.alias("topic")).agg(F.count(F.lit(1)).alias("phrases"), F.min("pos").alias("pos"))
 
 
 @register("match_topics_whole_word", with_(HEADS, KW) + f""",

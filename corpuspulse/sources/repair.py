@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuspulse.functions.util import let, let2
+
 
 def repair_csv(df: DataFrame, papers: DataFrame | list[str], extra=()) -> tuple[DataFrame, DataFrame]:
     """Split collapsed rows (``headline`` NULL) back into columns.
@@ -23,20 +25,30 @@ def repair_csv(df: DataFrame, papers: DataFrame | list[str], extra=()) -> tuple[
         known = F.array(*[F.lit(p) for p in papers]) if papers else F.array().cast("array<string>")
     else:
         known = papers.where("paper is not null").agg(F.collect_set("paper")).scalar()
+    # The first piece from the third on that is a known paper (hashed intersection, order kept): one column, because a
+    # subquery may not stand inside a higher-order function.
+    broken = F.col("headline").isNull()
     parts = F.split(F.col("date"), ",")
-    ok = df.where(F.col("headline").isNotNull())
-    bad = df.where(F.col("headline").isNull()).withColumn("_parts", parts)
-    # The first piece from the third on that is a known paper (hashed intersection, order kept), and its place.
-    rest = F.slice("_parts", 3, F.greatest(F.size("_parts"), F.lit(1)))
-    hit = F.get(F.array_intersect(rest, known), F.lit(0))
-    j = bad.withColumn("_at", (F.array_position(rest, hit) + 1).cast("int"))
-    merged = F.array_join(F.slice("_parts", 2, F.col("_at") - 1), ",")
-    merged = F.regexp_replace(merged, '""', '"')
-    merged = F.regexp_replace(merged, '^"|"$', "")
-    fixed = j.where(F.col("_at").isNotNull()).select(
-        *[c for c in df.columns if c not in ("date", "headline", "paper", *extra)],
-        F.element_at("_parts", 1).alias("date"), merged.alias("headline"),
-        F.element_at("_parts", F.col("_at") + 1).alias("paper"),
-        *[F.try_element_at("_parts", F.col("_at") + 2 + i).alias(c) for i, c in enumerate(extra)])
-    quarantine = j.where(F.col("_at").isNull()).select(*df.columns)
-    return ok.unionByName(fixed.select(*df.columns)), quarantine
+    tail = lambda p: F.slice(p, 3, F.greatest(F.size(p), F.lit(1)))
+    hit = F.get(F.array_intersect(tail(parts), known), F.lit(0))
+
+    def fields(p, paper):
+        """The row's new fields, all from one split; NULL where no piece is a paper."""
+        def at(i):
+            merged = F.regexp_replace(F.replace(F.array_join(F.slice(p, 2, i - 1), ","), F.lit('""'), F.lit('"')), '^"|"$', "")
+            return F.when(paper.isNotNull(), F.struct(F.element_at(p, 1).alias("date"), merged.alias("headline"), paper.alias("paper"),
+                                                      *[F.try_element_at(p, i + 2 + k).alias(f"extra{k}") for k in range(len(extra))]))
+        return let(F.coalesce(F.array_position(tail(p), paper).cast("int"), F.lit(1)) + 1, at)
+
+    # One row-local pass: good rows keep their fields, broken ones get new ones (NULL: quarantine).  Rows are chosen by
+    # exploding nothing or one struct: a filter on it would be evaluated once more, down at the scan.
+    j = df.withColumn("_hit", F.when(broken, hit))
+    kinds = dict(df.dtypes)
+    new = {"date": "date", "headline": "headline", "paper": "paper", **{c: f"extra{k}" for k, c in enumerate(extra)}}
+    made = let2(parts, F.col("_hit"), fields)
+    row = F.when(broken, let(made, lambda m: F.when(m.isNotNull(), F.struct(*[m[f].cast(kinds[c]).alias(c) for c, f in new.items()])))).otherwise(
+        F.struct(*[F.col(c).alias(c) for c in new]))
+    repaired = j.select(*[c for c in df.columns if c not in new], F.explode(F.array_compact(F.array(row))).alias("_row"))
+    lost = F.explode(F.when(broken & hit.isNull(), F.array(F.lit(0)))).alias("_lost")
+    return (repaired.select(*[F.col("_row")[c].alias(c) if c in new else F.col(c) for c in df.columns]),
+            df.select("*", lost).drop("_lost"))
