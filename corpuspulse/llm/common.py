@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +24,32 @@ def prepare(spark: SparkSession) -> None:
     checkpoint_dir(spark)
 
 
+PLAN_TEXT = "spark.sql.maxPlanStringLength"
+
+
+@contextmanager
+def short_plans(spark: SparkSession, limit: int = 20_000):
+    """Inside, a job's plan is described by at most ``limit`` characters.
+
+    The driver keeps the description of every recent job, and again of each of its adaptive re-plans; loops of wide
+    plans fill its memory with them otherwise.
+    """
+    before = spark.conf.get(PLAN_TEXT, None)
+    spark.conf.set(PLAN_TEXT, str(limit))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PLAN_TEXT)
+        else:
+            spark.conf.set(PLAN_TEXT, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared folder named by ``spark.checkpoint.dir`` (never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with short_plans(df.sparkSession):
+        return df.checkpoint()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, rec: bool = False) -> DataFrame:
