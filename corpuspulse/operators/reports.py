@@ -171,8 +171,9 @@ def dedup_first(df: DataFrame, key="headline", order=("paper", "date_raw")) -> D
     keys = [key] if isinstance(key, str) else list(key)
     orderable = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     ties = [c for c in orderable if c not in keys and c not in order]
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in (*order, *ties)])
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    w = Window.partitionBy("_kh", *keys).orderBy(*[F.col(c).asc_nulls_last() for c in (*order, *ties)])
+    hashed = df.withColumn("_kh", F.xxhash64(*[F.col(c) for c in keys]))
+    return hashed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_kh")
 
 
 def dedup_first_salted(df: DataFrame, key="headline", order=("paper", "date_raw"),
@@ -204,9 +205,3 @@ def share_of_total(df: DataFrame, x: str, by=(), out: str = "pct", places: int |
     """``x`` as a percentage of its total within ``by`` (on aggregated rows)."""
     from corpuspulse.functions.scores import share_pct
     return df.withColumn(out, share_pct(x, by=tuple(by), places=places))
-
-
-def carry_forward(df: DataFrame, col: str, by, order, out: str | None = None) -> DataFrame:
-    """Last non-NULL value of ``col`` so far within ``by`` (NULL when none yet)."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out or col, F.last(col, ignorenulls=True).over(w))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions.text import GERMAN_MONTHS, decode_obfuscated, parse_event_time
 from corpuspulse.operators import reports as R
+from corpuspulse.operators import scans as SCN
 from corpuspulse.plans import standins as S
 from corpuspulse.plans.registry import HEADS, register, with_
 from corpuspulse.plans.registry import OBS as OBS_SQL
@@ -267,7 +268,26 @@ def q_carry_forward(spark, sf):
     """Last non-NULL value so far within a group (NULL before the first one)."""
     t = S.turns(spark, sf).select("conv_id", "turn", "role",
                                   F.when(F.col("role") == "user", F.col("turn")).alias("last_user_turn"))
-    return R.carry_forward(t, "last_user_turn", ["conv_id"], ["turn"])
+    return SCN.carry_forward(t, "last_user_turn", ["conv_id"], ["turn"])
+
+
+@register("carry_forward_one_group", """
+SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS)
+         OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_error
+FROM events""")
+def q_carry_forward_one_group(spark, sf):
+    """W4 where one group holds all rows: the last error event so far, over all events in time order."""
+    e = driver_table(spark, sf, "events").select("event_id", "ts", F.when(F.col("event_type") == "error", F.col("event_id")).alias("last_error"))
+    return SCN.carry_forward(e, "last_error", [], ["ts", "event_id"]).select("event_id", "last_error")
+
+
+@register("running_sum", """
+SELECT event_id, CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running
+FROM events""")
+def q_running_sum(spark, sf):
+    """W4's scan as a sum: running total per event type, few groups over all rows."""
+    e = driver_table(spark, sf, "events").select("event_id", "event_type", "ts", F.col("user_id").cast("long").alias("user_id"))
+    return SCN.running_sum(e, "user_id", ["event_type"], ["ts", "event_id"]).select("event_id", "running")
 
 
 @register("csv_roundtrip", with_(OBS_SQL) + """

@@ -164,9 +164,9 @@ j AS (
 SELECT party, count, round(pct, 6) AS pct, actual_pct, round(avg(abs(pct - actual_pct)) OVER (), 6) AS mae FROM j""")
 def q_mention_share(spark, sf):
     """Share of raw mention counts per party and its MAE against the outcome."""
-    o = S.obs(spark, sf).where(F.col("score").isNotNull())
-    counts = (S.party_alias(spark).join(o, "topic", "left")
-              .groupBy("party").agg(F.count("obs_id").alias("count")))
+    by_topic = S.obs(spark, sf).where(F.col("score").isNotNull()).groupBy("topic").agg(F.count("obs_id").alias("n"))
+    counts = (S.party_alias(spark).join(by_topic, "topic", "left")
+              .groupBy("party").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count")))
     r = V.mention_share(counts, S.actual(spark), S.actual_alias(spark))
     return r.select("party", "count", F.round("pct", 6).alias("pct"), "actual_pct",
                     F.round("mae", 6).alias("mae"))

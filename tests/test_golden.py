@@ -11,6 +11,7 @@ from corpuspulse.functions import text as T
 from corpuspulse.operators import clusters as C
 from corpuspulse.operators import filters as FL
 from corpuspulse.operators import reports as R
+from corpuspulse.operators import scans as SCN
 from corpuspulse.operators import scoring as SCO
 from corpuspulse.operators import topics as TP
 from corpuspulse.operators import voting as V
@@ -350,7 +351,7 @@ def test_cluster_keywords_ties(spark):
 
 def test_carry_forward(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, 5), (1, 3, None), (2, 1, None)], "p int, i int, v int")
-    got = {(r.p, r.i): r.v for r in R.carry_forward(df, "v", ["p"], ["i"]).collect()}
+    got = {(r.p, r.i): r.v for r in SCN.carry_forward(df, "v", ["p"], ["i"]).collect()}
     assert got == {(1, 1): None, (1, 2): 5, (1, 3): 5, (2, 1): None}
 
 
