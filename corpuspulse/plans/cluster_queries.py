@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuspulse.functions import text as T
 from corpuspulse.operators import clusters as C
+from corpuspulse.operators import content_join as CJ
 from corpuspulse.operators import kmeans as KM
 from corpuspulse.operators import scoring as SC
 from corpuspulse.operators import silhouettes as SI
@@ -306,6 +307,17 @@ def q_join_scores_clusters(spark, sf):
     return C.join_scores_clusters(s, a, ["obs_id"])
 
 
+@register("join_on_content", with_(HEADS) + """
+SELECT h.doc_id, h.paper, d.doc_id AS other_id, d.lang AS other_lang FROM heads h JOIN heads d ON d.headline = h.headline AND d.paper = h.paper""")
+def q_join_on_content(spark, sf):
+    """J1 on texts: headlines and papers joined by their content through kept, bucketed tables."""
+    h = S.heads(spark, sf)
+    on = ["headline", "paper"]
+    left = CJ.keep_bucketed(h.select("doc_id", *on), on, buckets=8)
+    right = CJ.keep_bucketed(h.select(F.col("doc_id").alias("other_id"), F.col("lang").alias("other_lang"), *on), on, buckets=8)
+    return CJ.join_on_content(left, right, on).select("doc_id", "paper", "other_id", "other_lang")
+
+
 def _stand_scores(spark, sf):
     """Topic rows from the keyword match (score 0.5) plus a ``whole`` row per headline."""
     texts = S.heads(spark, sf).select("doc_id", T.clean_en("headline").alias("text"))
