@@ -150,7 +150,8 @@ def op8_toxicity(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.fit(toxicity.training_sample(docs, labels))
     out = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
-    return out.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    fold = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False))  # a NULL id is in no fold
+    return out.select(F.col("id").alias("doc_id"), fold.alias("held_out"), "score", "predicted")
 
 
 @register("op5_near_dedup")
