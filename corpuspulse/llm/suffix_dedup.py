@@ -302,6 +302,7 @@ def _compare(size: int):
                     for a, b in zip(new[:-1], new[1:]):
                         spans.extend((k, t, at + int(starts[a]), at + int(starts[b - 1]) + size) for k, t, at in places)
 
+        todo = []
         for group in groups.values():
             # A string met twice is repeated as a whole; it stays in the comparison for the sake of the others.
             for raw, (_, weight, places) in group.items():
@@ -311,11 +312,16 @@ def _compare(size: int):
                 continue
             near = _related(group, size, min(GRAM, size))
             if any(group[raw][1] < 2 for raw in near):
+                parts = []
                 for raw, ranges in near.items():
                     places = group[raw][2] if group[raw][1] < 2 else []
-                    for a, b in ranges:
-                        block.append((raw[a:b + size - 1], [(k, t, at + a) for k, t, at in places]))
-                        held += b - a + size
+                    parts += [(raw[a:b + size - 1], [(k, t, at + a) for k, t, at in places]) for a, b in ranges]
+                todo.append((max(len(raw) for raw, _ in parts), len(todo), parts))
+        # A round of the transform rewrites its whole block and a block has as many rounds as its longest string:
+        # groups of like length share blocks.
+        for _, _, parts in sorted(todo):
+            block += parts
+            held += sum(len(raw) + 1 for raw, _ in parts)
             if held >= BLOCK_BYTES:
                 solve()
                 block.clear()
