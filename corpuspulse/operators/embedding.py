@@ -1,7 +1,7 @@
 """M1, a text encoder that learns from the corpus: co-occurrence counts, positive mutual information, randomised SVD.
 
-Counting is one scan: every token looks at the next ``window`` tokens, pairs of vocabulary words are summed map-side, and
-what is shuffled is distinct pairs.  The matrix of positive pointwise mutual information has a sparse row per vocabulary
+Counting is one scan: every token looks at the next ``window`` tokens, pairs of vocabulary words are summed in the tasks
+(numpy over Arrow batches), and what is shuffled is distinct pairs, each in one order.  The matrix of positive pointwise mutual information has a sparse row per vocabulary
 word; a product with a thin matrix is one narrow pass over these rows with the thin matrix as a parameter.  Its size
 (``MAX_WORDS`` times the vector length) is fixed by parameters, never by the corpus, and so is all that the driver holds.
 A text's vector is the mean of its words' vectors weighted by ``a / (a + share of the word)``, free of the direction that
@@ -23,6 +23,7 @@ MAX_WORDS = 50_000
 WINDOW = 4
 RARE = 1e-3
 TOKENS_AT_ONCE = 65_536   # tokens that a task turns into vectors at a time
+PAIRS_HELD = 1 << 22      # pairs that a task gathers before it sums them, and sums that it holds before it hands them on
 
 
 def word_tokens(text: Column) -> Column:
@@ -46,19 +47,73 @@ def _hashed(text: Column) -> Column:
 def cooccurrence(df: DataFrame, words: DataFrame, col: str = "text", window: int = WINDOW) -> DataFrame:
     """``(i, j, n)``: how often vocabulary words ``i`` and ``j`` stand at most ``window`` tokens apart, in both orders.
 
-    Words outside the vocabulary keep their places.  Tokens meet the vocabulary (at most ``MAX_WORDS`` rows, broadcast)
-    by a 64-bit hash.
+    Words outside the vocabulary keep their places.  Tokens meet the vocabulary (at most ``MAX_WORDS`` rows, sent with the
+    tasks) by a 64-bit hash.  A task counts pairs without their order and hands on each once for every ``PAIRS_HELD`` it has
+    met; the shuffle sums them, and the two orders are made from the sums.
     """
-    of = words.select(F.xxhash64("word").alias("h"), "idx")
-    left = F.broadcast(of.select(F.col("h").alias("a"), F.col("idx").alias("i")))
-    right = F.broadcast(of.select(F.col("h").alias("b"), F.col("idx").alias("j")))
-    from corpuspulse.functions.util import let
-    tokens = F.coalesce(_hashed(F.col(col)), F.array().cast("array<bigint>"))
-    near = let(tokens, lambda h: F.transform(h, lambda t, p: F.struct(t.alias("a"), F.slice(h, p + 2, window).alias("next"))))
-    met = df.select(F.explode(near).alias("w")).select("w.*").join(left, "a").select("i", F.explode("next").alias("b")).join(right, "b")
-    one_way = met.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
-    both = one_way.unionByName(one_way.select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
-    return both.groupBy("i", "j").agg(F.sum("n").alias("n"))
+    import numpy as np
+    ship_package(df.sparkSession)
+    got = sorted(words.select(F.xxhash64("word").alias("h"), "idx").collect(), key=lambda r: r["h"])
+    hashes, idx = np.array([r["h"] for r in got], dtype=np.int64), np.array([r["idx"] for r in got], dtype=np.int64)
+    size = int(idx.max()) + 1 if len(idx) else 1
+
+    def summed(codes, n):
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        return codes[first], np.add.reduceat(n, first)
+
+    def near(batch):
+        """Codes of the pairs of a batch, in parts."""
+        column = batch.column("tokens")
+        flat, lengths = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+        row = np.repeat(np.arange(batch.num_rows), lengths)
+        for a in range(0, len(flat), TOKENS_AT_ONCE):
+            h, r = flat[a:a + TOKENS_AT_ONCE + window], row[a:a + TOKENS_AT_ONCE + window]
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            at = np.where(hashes[at] == h, idx[at], -1)
+            for o in range(1, window + 1):
+                m = min(TOKENS_AT_ONCE, len(h) - o)
+                if m > 0:
+                    x, y = at[:m], at[o:m + o]
+                    ok = (x >= 0) & (y >= 0) & (r[:m] == r[o:m + o])
+                    x, y = x[ok], y[ok]
+                    yield np.minimum(x, y) * size + np.maximum(x, y)
+
+    def run(batches):
+        import pyarrow as pa
+        if not len(hashes):
+            return
+        kept, fresh, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+
+        def merged():
+            codes, n = np.unique(np.concatenate(fresh), return_counts=True)
+            return summed(np.concatenate([kept[0], codes]), np.concatenate([kept[1], n])) if len(kept[0]) else (codes, n)
+
+        def out():
+            for a in range(0, len(kept[0]), TOKENS_AT_ONCE):
+                codes, n = kept[0][a:a + TOKENS_AT_ONCE], kept[1][a:a + TOKENS_AT_ONCE]
+                yield pa.RecordBatch.from_arrays([pa.array(codes // size, pa.int32()), pa.array(codes % size, pa.int32()), pa.array(n, pa.int64())],
+                                                 names=["i", "j", "n"])
+        for batch in batches:
+            for codes in near(batch):
+                fresh.append(codes)
+                waiting += len(codes)
+                if waiting >= PAIRS_HELD:
+                    kept, fresh, waiting = merged(), [], 0
+                    if len(kept[0]) >= PAIRS_HELD:
+                        yield from out()
+                        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if waiting:
+            kept = merged()
+        yield from out()
+
+    tokens = df.select(_hashed(F.col(col)).alias("tokens")).where("tokens is not null")
+    pairs = tokens.mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    cell = lambda i, j, n: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), n.alias("n"))
+    n = F.col("n")
+    return pairs.select(F.inline(F.when(F.col("i") == F.col("j"), F.array(cell("i", "j", n * 2)))
+                                 .otherwise(F.array(cell("i", "j", n), cell("j", "i", n)))))
 
 
 def ppmi(counts: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def q_word_cooccurrence(spark, sf):
 @register("word_ppmi", f"WITH {PPMI}\nSELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(v, 6) AS v FROM cells WHERE v > 0 AND round(v, 6) > 0")
 def q_word_ppmi(spark, sf):
     """M1: positive pointwise mutual information of vocabulary words (cells that do not round to 0)."""
-    out = E.ppmi(E.cooccurrence(_docs(spark, sf), _words(spark, sf)))
+    out = E.ppmi(E.cooccurrence(_docs(spark, sf), _words(spark, sf)).persist())
     return out.select("i", "j", F.round("v", 6).alias("v")).where("v > 0")
 
 
@@ -66,7 +66,7 @@ FROM cells JOIN words ON words.idx = i WHERE v > 0 GROUP BY word""")
 def q_ppmi_product(spark, sf):
     """M1: the distributed product of the randomised SVD, here with a fixed thin matrix."""
     words = _words(spark, sf)
-    rows = E.sparse_rows(E.ppmi(E.cooccurrence(_docs(spark, sf), words)))
+    rows = E.sparse_rows(E.ppmi(E.cooccurrence(_docs(spark, sf), words).persist()))
     out = E.times(rows, _pattern(words.count())).join(words.select(F.col("idx").alias("i"), "word"), "i")
     return out.select("word", *[(F.round(F.col("y")[k], 4) + 0.0).alias(f"y{k + 1}") for k in range(2)])
 

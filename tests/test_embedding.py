@@ -127,3 +127,18 @@ def test_neighbours_beat_hashed_buckets(spark):
     learned, hashed = share(E.encode(lines, model)), share(C.embed_text(lines, "text", 64))
     print(f"same language: learned {learned:.3f}, hashed {hashed:.3f}")
     assert learned > hashed + 0.02
+
+
+def test_counting_hands_on_sums_of_pairs_and_not_the_pairs(spark, monkeypatch):
+    words, _n, pairs = counted(TEXTS, 4)
+    df = docs(spark)
+    got = E.cooccurrence(df, E.vocabulary(df))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan  # pairs are met and summed in numpy, none is a row before
+    assert {(r.i, r.j): r.n for r in got.collect()} == dict(pairs)
+    monkeypatch.setattr(E, "TOKENS_AT_ONCE", 5)
+    monkeypatch.setattr(E, "PAIRS_HELD", 3)
+    few = [r for r in TEXTS if r[0] != 9]
+    df = docs(spark, few)
+    assert {(r.i, r.j): r.n for r in E.cooccurrence(df, E.vocabulary(df)).collect()} == dict(counted(few, 4)[2])
+    assert E.cooccurrence(df, E.vocabulary(df).limit(0)).collect() == []
