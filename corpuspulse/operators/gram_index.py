@@ -1,9 +1,9 @@
 """J3 for any number of phrases: every phrase is found through its rarest gram.
 
-A gram is four bytes (a shorter phrase is its own gram).  How often grams occur is guessed from the openings of a few
-texts, which decides nothing but speed.  Each phrase is keyed by its rarest gram.  The texts are read once: a bit filter
-over the keys drops nearly every place, the sorted keys the rest, and for each place that stays only the bytes around it,
-as far as the key's phrases reach, leave the row.  These snippets meet the phrases in an equi-join on the gram and are
+A gram is seven bytes, as many as a number holds beside its length (a shorter phrase is its own gram).  How often grams
+occur is guessed from the openings of a few texts, which decides nothing but speed.  Each phrase is keyed by its rarest
+gram.  The texts are read once: a bit filter over the keys drops nearly every place, the sorted keys the rest, and for
+each place that stays only the bytes around it, as far as the key's phrases reach, leave the row.  These snippets meet the phrases in an equi-join on the gram and are
 confirmed there, so neither texts nor all their grams are exploded or shuffled.
 """
 
@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from corpuspulse.session import broadcast_if_small, ship_package
 
-GRAM = 4
+GRAM = 7
 SAMPLE, OPENING = 100, 4_000   # texts, and characters of each, that the rarity of grams is guessed from
 COUNTERS = 16             # bits of the rarity table
 MAX_KEYS = 1 << 20        # keys that travel with the scan in full; beyond that the bit filter alone decides
-CHUNK = 1 << 22           # bytes looked at together
+CHUNK = 1 << 18           # bytes looked at together; their hits are handed on before the next ones are looked for
 
 
 def _codes(data, n: int):
@@ -128,7 +128,6 @@ def snippets(texts: DataFrame, col: str, keep, found, sizes) -> DataFrame:
         for batch in batches:
             data, starts, ends = _bytes_of(batch.column("b"))
             base, end = (int(starts[0]), int(ends[-1])) if len(starts) else (0, 0)
-            rows, codes, parts = [], [], []
             for n in sizes:
                 for at, code, left, right in hits(data[base:end], n):
                     at = at + base
@@ -145,14 +144,11 @@ def snippets(texts: DataFrame, col: str, keep, found, sizes) -> DataFrame:
                     low, high = np.maximum(at - left, starts[row]), np.minimum(at + right, ends[row])
                     view = memoryview(data)
                     pieces = {(r, c, bytes(view[a:b])) for r, c, a, b in zip(row.tolist(), code.tolist(), low.tolist(), high.tolist())}
-                    for r, c, piece in pieces:
-                        rows.append(r)
-                        codes.append(c)
-                        parts.append(piece)
-            if rows:
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("_row", *keep)], pa.array(codes, pa.int64()), pa.array(parts, pa.binary())],
-                                                 names=["_row", *keep, "code", "snippet"])
+                    if pieces:
+                        rows, codes, parts = zip(*pieces)
+                        take = pa.array(rows)
+                        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("_row", *keep)], pa.array(codes, pa.int64()), pa.array(parts, pa.binary())],
+                                                         names=["_row", *keep, "code", "snippet"])
     kinds = dict(texts.dtypes)
     ddl = ", ".join(["_row long", *[f"`{c}` {kinds[c]}" for c in keep], "code long, snippet binary"])
     rows = texts.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(col).cast("binary").alias("b"))

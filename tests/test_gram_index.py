@@ -53,3 +53,14 @@ def test_texts_are_not_shuffled(spark):
     out = G.phrase_hits(t, kw, "text", ["doc_id"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 11 and plan.count("MapInArrow") >= 1 and "Generate explode" not in plan
+
+
+def test_common_short_grams_hand_on_no_places(spark):
+    """Every four bytes of the phrase are common in the text, seven are not: no place leaves the row."""
+    text = " ".join(f"{g}{i:04d}" for i in range(200) for g in ("abcd", "bcde", "cdef", "defg", "efgh"))
+    t = spark.createDataFrame([(1, text), (2, "an abcdefgh")], "doc_id long, text string")
+    kw = spark.createDataFrame([("n", 0, "abcdefgh")], "topic string, pos int, keyword string")
+    keyed = G.keyed_phrases(kw, G._rarity(t, "text", [G.GRAM]))
+    assert G.snippets(t, "text", ["doc_id"], G._filter_of(keyed), [G.GRAM]).count() == 1
+    assert [tuple(r) for r in G.phrase_hits(t, kw, "text", ["doc_id"]).collect()] == [(2, "n", 0, "abcdefgh")]
+    assert G.CHUNK <= 1 << 18  # hits are handed on after so many bytes, so a task holds no more of them
