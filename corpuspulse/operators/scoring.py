@@ -1,10 +1,10 @@
 """Scoring: lexicon polarity (M7), targeted scores (M9), pipelines (M10, M11),
 programme means (A12, A13) and the caller-model hook (M8).
 
-The lexicon scorer is a relational job: tokens are exploded with their three
-preceding tokens (array functions, no shuffle), joined to the lexicon table,
-adjusted for boosters and negators, and summed per text with a partial
-aggregate.  ``compound = s / sqrt(s^2 + alpha)`` is the published VADER
+The lexicon scorer is one narrow pass: the hashes of a text's tokens meet the
+lexicon inside the task (numpy over Arrow batches), hits are adjusted for
+boosters and negators and summed per text.  A lexicon too large to travel with
+the tasks is joined to the exploded tokens instead.  ``compound = s / sqrt(s^2 + alpha)`` is the published VADER
 normalisation; booster and negation scalars are its published constants.
 """
 
@@ -26,6 +26,7 @@ ALPHA = 15.0
 NEGATION_SCALAR = -0.74
 BOOST_DECAY = [1.0, 0.95, 0.9]
 LABEL_THRESHOLD = 0.05
+SHIPPED_TOKENS = 500_000   # lexicon tokens that travel to the tasks; more are joined
 
 
 def _boost_map(boosters) -> Column | None:
@@ -70,16 +71,71 @@ def _normalise(s: Column) -> Column:
 def _compound_rows(rows: DataFrame, text_col: str, lexicon: DataFrame, boosters, negators, keep, out: str) -> DataFrame:
     """``(*keep, out)``: the compound of ``text_col`` for every row (repeated and NULL keys stay rows of their own).
 
-    Tokens are exploded with their three predecessors, met with the lexicon in a hash join (broadcast when its
-    measured bytes allow) and summed per row; the sum is combined in the scan's own tasks, so the shuffle carries
-    one row per text, whatever the lexicon's size.
+    A lexicon of at most ``SHIPPED_TOKENS`` tokens travels with the tasks: each row's token hashes meet it there, so a row
+    gives its own sum and nothing is exploded or shuffled.  A larger one is met in a join.
     """
+    if isinstance(boosters, DataFrame):
+        raise TypeError("boosters: pass a list of (token, boost) pairs")
+    lex = _lexicon_rows(lexicon)
+    table = lex.where("valence is not null").select(F.xxhash64("token").alias("h"), "valence").limit(SHIPPED_TOKENS + 1).toArrow()
+    if table.num_rows > SHIPPED_TOKENS:
+        return _joined_compound(rows, text_col, lex, boosters, negators, keep, out)
+    ship_package(rows.sparkSession)
+    table = table.sort_by("h")
+    hashes, valence = table.column("h").to_numpy(), table.column("valence").to_numpy()
+    given = rows.sparkSession.createDataFrame([(k, float(b)) for k, b in dict(boosters or ()).items()], "t string, b double")
+    boosts = {r["h"]: r["b"] for r in given.select(F.xxhash64("t").alias("h"), "b").collect()} if boosters else {}
+    nots = rows.sparkSession.createDataFrame([(k,) for k in negators or ()], "t string")
+    negating = sorted(r["h"] for r in nots.select(F.xxhash64("t").alias("h")).collect()) if negators else []
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        boosting = np.array(sorted(boosts), dtype=np.int64)
+        amount = np.array([boosts[h] for h in sorted(boosts)], dtype=float)
+        negator = np.array(negating, dtype=np.int64)
+
+        def found(keys, h):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            return at, keys[at] == h
+
+        for batch in batches:
+            column = batch.column("_toks")
+            h, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().fill_null(0).to_numpy())
+            s = np.zeros(batch.num_rows)
+            if len(h) and len(hashes):
+                at, known = found(hashes, h)
+                hit = np.flatnonzero(known)
+                v = valence[at[hit]]
+                row = np.searchsorted(ends, hit, side="right")
+                place = hit - np.append(0, ends)[row]
+                sign, negated = np.sign(v), np.zeros(len(hit), dtype=bool)
+                for j, decay in enumerate(BOOST_DECAY):
+                    here = place > j
+                    before = h[np.maximum(hit - j - 1, 0)]
+                    if len(boosting):
+                        b, ok = found(boosting, before)
+                        v = v + np.where(here & ok, amount[b], 0.0) * sign * decay
+                    if len(negator):
+                        negated |= here & found(negator, before)[1]
+                s = np.bincount(row, np.where(negated, v * NEGATION_SCALAR, v), minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(s)], names=[*keep, "_s"])
+
+    kinds = dict(rows.dtypes)
+    hashed = F.transform(tokens(F.col(text_col)), lambda t: F.xxhash64(t))
+    sums = rows.select(*keep, hashed.alias("_toks")).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "_s double"]))
+    return sums.select(*keep, _normalise(F.col("_s")).alias(out))
+
+
+def _joined_compound(rows: DataFrame, text_col: str, lex: DataFrame, boosters, negators, keep, out: str) -> DataFrame:
+    """The same for a lexicon of any size: tokens are exploded with their three predecessors, met with it in a hash join
+    and summed per row; the shuffle carries one row per text where the lexicon's measured bytes allow a broadcast."""
     staged = rows.select(*keep, F.monotonically_increasing_id().alias("_row"), tokens(F.col(text_col)).alias("_toks"))
     entries = let(F.col("_toks"), lambda tv: F.transform(tv, lambda t, i: F.struct(
         t.alias("token"), F.get(tv, i - 1).alias("p1"), F.get(tv, i - 2).alias("p2"),
         F.get(tv, i - 3).alias("p3"))))
     exploded = staged.select(*keep, "_row", F.explode_outer(entries).alias("e")).select(*keep, "_row", "e.*")
-    hit = exploded.join(broadcast_if_small(_lexicon_rows(lexicon)), "token", "left")
+    hit = exploded.join(broadcast_if_small(lex), "token", "left")
     v = F.when(F.col("valence").isNotNull(),
                _adjusted(F.col("valence"), F.col("p1"), F.col("p2"), F.col("p3"), boosters, negators))
     return (hit.groupBy("_row", *keep).agg(F.sum(v).alias("_s"))

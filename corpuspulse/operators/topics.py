@@ -101,8 +101,13 @@ def _ngram_join(t: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
                   .otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(tv, i, n), " "))
 
-    grams = t.select(id_col, let(toks, lambda tv: F.array_distinct(F.flatten(F.array(*[
-        grams_of(tv, n) for n in range(1, max_n + 1)])))).alias("_g")).select(
+    # Phrases that travel in the plan sift the n-grams inside the row, so only hits are exploded.
+    rows = small_keywords(keywords)
+    some = sorted({r[2] for r in rows if r[2] is not None}) if rows is not None else None
+    sizes = range(1, max_n + 1) if rows is None else sorted({len(k.split(" ")) for k in some})
+    sifted = (lambda g: g) if rows is None else (lambda g: F.filter(g, lambda x: x.isin(some)))
+    parts = lambda tv: [sifted(tv if n == 1 else grams_of(tv, n)) for n in sizes] or [F.array().cast("array<string>")]
+    grams = t.select(id_col, let(toks, lambda tv: F.array_distinct(F.flatten(F.array(*parts(tv))))).alias("_g")).select(
         id_col, F.explode("_g").alias("keyword"))
     grams = grams.where(F.col("keyword").isNotNull())
     # The phrase table is small in practice; broadcast it (behind a bounded

@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspulse.session import spread
+from corpuspulse.session import in_parts
 from corpuspulse.sources.tables import driver_table
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text-heavy table, spread over the cores when it arrives in fewer splits
-    (CPU-bound per-row work; no shuffle is added for inputs with many splits)."""
-    return spread(driver_table(spark, sf_dir, name))
+    """A text-heavy table, dealt over the cores, or into parts of bounded size when it is large
+    (CPU-bound per-row work)."""
+    return in_parts(driver_table(spark, sf_dir, name))
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:

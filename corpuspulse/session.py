@@ -94,6 +94,20 @@ def spread(df):
     return df.repartition(int(df.sparkSession.conf.get("corpuspulse.spread.factor", "2")) * cores)
 
 
+PART_BYTES = 32 << 20
+
+
+def in_parts(df):
+    """``spread``, and a larger scan dealt into parts of ``PART_BYTES``, so that no task of CPU-heavy text work grows with it.
+
+    The splits of a large table are whole row groups of up to 128 MB; here each row moves once, whatever the table's size.
+    """
+    size = scan_bytes(df)
+    if size <= df.sparkSession.sparkContext.defaultParallelism * SPREAD_BYTES_PER_CORE:
+        return spread(df)
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
+
+
 BROADCAST_BYTES = 32 << 20
 
 

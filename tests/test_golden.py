@@ -731,3 +731,33 @@ def test_carry_window_only_for_rules_that_carry(spark):
     pages = spark.createDataFrame([(1, "u", "<article><h1>a</h1></article>")], "page_id long, url string, html string")
     plan = lambda carry: extract_headlines(pages, [Rule(site="", record="article", headline="h1", date="const:-", carry_date=carry)])._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan(True) and "Window" not in plan(False)
+
+
+def test_shipped_lexicon_explodes_nothing_and_equals_the_join(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 13}" if j % 3 else ("very", "not", "so")[(i + j) % 3] for j in range(i % 9 + 1))) for i in range(60)]
+                                  + [(1, None), (None, ""), (None, "w1 not  w2\tvery w3")], "doc_id int, text string").repartition(3)
+    lex = spark.createDataFrame([(f"w{i}", (i - 6) / 4) for i in range(12)] + [("w12", None), ("w3", 2.0), (None, 1.0)], "token string, valence double")
+    out = lambda: SCO.lexicon_compound(texts, lex, boosters=[("very", 0.293), ("so", -0.2)], negators=["not"])
+    rows = lambda df: sorted((str(r.doc_id), round(r.compound, 9)) for r in df.collect())
+    plan = out()._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "hashpartitioning" not in plan
+    small = rows(out())
+    monkeypatch.setattr(SCO, "SHIPPED_TOKENS", 3)
+    assert rows(out()) == small and len(small) == 63
+
+
+def test_whole_word_phrases_sift_inside_the_row(spark):
+    texts = spark.createDataFrame([(1, "the red car is in the car park"), (2, "redcar"), (3, None), (1, "RED car")], "doc_id int, text string")
+    kw = spark.createDataFrame([("a", 0, "red car"), ("a", 1, "car"), ("b", 0, "the"), ("c", 0, "car park is")], "topic string, pos int, keyword string")
+    out = TP.match_topics(texts, kw, whole_word=True)
+    assert "filter(" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, "a", 0, "red car"), (1, "b", 0, "the")]
+
+
+def test_large_text_tables_come_in_parts(spark, tmp_root, monkeypatch):
+    from corpuspulse.plans import standins as S
+    spark.range(1000).selectExpr("id AS doc_id", "'x' AS text").coalesce(1).write.mode("overwrite").parquet(f"{tmp_root}/parts/documents.parquet")
+    monkeypatch.setattr("corpuspulse.session.SPREAD_BYTES_PER_CORE", 10)
+    monkeypatch.setattr("corpuspulse.session.PART_BYTES", 100)
+    df = S.text_table(spark, f"{tmp_root}/parts", "documents")
+    assert df.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism and df.count() == 1000
