@@ -6,7 +6,8 @@ n-grams.  A document is kept unless a counting rule fails or its score is below
 
 Everything is DataFrame functions; no Python runs on the executors.  Counting is one scan with map-side partial
 sums (at most ``buckets`` rows leave each task), scoring is one projection per row without any shuffle.  All
-trusted ids count: they meet the documents in an ordinary join, whose form the planner picks by their size.
+trusted ids count: they meet the documents in a sort-merge join at any size, so each text moves once, never more,
+and no list of ids has to fit into a broadcast.
 Weights are integers (1e-6 steps), hence a score does not depend on summation order.
 """
 
@@ -102,7 +103,7 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     # A NULL id is never trusted; its rows are dealt by their text, so a join by shuffle does not gather them.
     none = F.col("id").isNull()
     d = d.select(none.alias("none"), F.when(none, F.xxhash64("text")).otherwise(F.col("id")).alias("id"), "text")
-    marked = d.join(trusted.withColumn("real", F.lit(False)), (F.col("id") == F.col("tid")) & (F.col("none") == F.col("real")), "left")
+    marked = d.join(trusted.withColumn("real", F.lit(False)).hint("merge"), (F.col("id") == F.col("tid")) & (F.col("none") == F.col("real")), "left")
     counts = (marked.select(F.col("tid").isNotNull().cast("long").alias("t"), F.explode(gram_hashes(F.col("text"))).alias("h"))
               .groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.sum("t").alias("target")))
     raw, target = [0] * buckets, [0] * buckets
