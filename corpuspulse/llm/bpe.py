@@ -23,6 +23,7 @@ from corpuspulse.llm.common import prepare, with_rec
 # The published pre-tokenisation pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 500_000
+CHECKED_PAIRS = 250_000   # pair checks that a worker keeps; vectorised, hence cheap to repeat
 NONE = np.int64(2**40)
 NO_RANK = 2**40
 
@@ -174,7 +175,7 @@ class Vocabulary:
             new = np.flatnonzero(known < 0)
             if len(new):
                 known[new] = self.crosses(key[new] // self.size, key[new] % self.size)
-                if len(self.checked) > 2_000_000:
+                if len(self.checked) > CHECKED_PAIRS:
                     self.checked.clear()
                 self.checked.update(zip(key[new].tolist(), known[new].tolist()))
             for i in np.unique(word[inner][known[back] == 1]).tolist():
