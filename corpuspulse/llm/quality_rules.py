@@ -96,14 +96,19 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "q
     return good.distinct()
 
 
-def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                buckets: int = BUCKETS, smooth: float = 1.0) -> list[int]:
-    """``SCALE * (log p_target - log p_raw)`` per bucket; counts cover every document."""
+def mark_trusted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` with its text, and in ``tid`` its id where that is trusted."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # A NULL id is never trusted; its rows are dealt by their text, so a join by shuffle does not gather them.
     none = F.col("id").isNull()
     d = d.select(none.alias("none"), F.when(none, F.xxhash64("text")).otherwise(F.col("id")).alias("id"), "text")
-    marked = d.join(trusted.withColumn("real", F.lit(False)).hint("merge"), (F.col("id") == F.col("tid")) & (F.col("none") == F.col("real")), "left")
+    return d.join(trusted.withColumn("real", F.lit(False)).hint("merge"), (F.col("id") == F.col("tid")) & (F.col("none") == F.col("real")), "left")
+
+
+def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                buckets: int = BUCKETS, smooth: float = 1.0) -> list[int]:
+    """``SCALE * (log p_target - log p_raw)`` per bucket; counts cover every document."""
+    marked = mark_trusted(docs, trusted, id_col, text_col)
     counts = (marked.select(F.col("tid").isNotNull().cast("long").alias("t"), F.explode(gram_hashes(F.col("text"))).alias("h"))
               .groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.sum("t").alias("target")))
     raw, target = [0] * buckets, [0] * buckets

@@ -238,3 +238,14 @@ def test_registry():
     names = entry.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == []
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_small_lists_of_trusted_ids_are_not_broadcast(spark):
+    """The form of the join, and so what it moves, does not change with the number of trusted ids."""
+    from corpuspulse.llm import quality_rules as Q
+    docs = spark.createDataFrame([(1, "a b"), (2, "c"), (2, "d"), (None, "e"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1), (3, 1), (1, 0), (None, 1), (2, 1)], "doc_id long, quality int")
+    out = Q.mark_trusted(docs, Q.trusted_ids(labels))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((str(r.text), str(r.tid)) for r in out.collect()) == [("None", "3"), ("a b", "None"), ("c", "2"), ("d", "2"), ("e", "None")]

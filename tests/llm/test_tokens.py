@@ -169,3 +169,13 @@ def test_toxicity_awkward_rows(spark):
     nothing = toxicity.fit([("some clean text", 0)])
     assert nothing.scores(["bumbletwit", ""]) == [nothing.scores([""])[0]] * 2
     assert toxicity.fit([]).scores(["x"])[0] < 0.5
+
+
+def test_pair_checks_of_a_worker_are_bounded(tiny_vocabulary, monkeypatch):
+    want = bpe.Vocabulary(tiny_vocabulary).encode_batch(some_texts())
+    monkeypatch.setattr(bpe, "CHECKED_PAIRS", 1)
+    v = bpe.Vocabulary(tiny_vocabulary)
+    got = []
+    for t in some_texts():
+        got += v.encode_batch([t])
+    assert got == want
