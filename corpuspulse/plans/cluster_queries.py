@@ -390,7 +390,7 @@ def q_analysis_pipeline(spark, sf):
     from corpuspulse.session import scratch_table_path
     from corpuspulse.sources.tables import read_table, write_table
     key = ["date", "headline", "paper"]
-    h = R.dedup_first(S.heads(spark, sf).select("doc_id", "paper", "headline"), "headline", ("paper", "doc_id"))
+    h = R.dedup_first(S.heads(spark, sf, parts=False).select("doc_id", "paper", "headline"), "headline", ("paper", "doc_id"))
     h = h.withColumn("date", F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")))
     hits = TP.match_topics(h.select(*key, "doc_id", T.clean_en("headline").alias("text")), TP.prepare_keywords(S.kw(spark)), "doc_id", "text")
     topic = h.join(hits.select("doc_id", "topic"), "doc_id").withColumn("score", (F.col("doc_id") % 7 - 3) / 4.0)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspulse.session import in_parts
+from corpuspulse.session import in_parts, spread
 from corpuspulse.sources.tables import driver_table
 
 
@@ -66,9 +66,12 @@ def actual_alias(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ACTUAL_ALIAS, "party string, actual_party string")
 
 
-def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headlines ``(doc_id, paper, lang, headline)``: the whole text of each document on one line."""
-    d = text_table(spark, sf_dir, "documents")
+def heads(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
+    """Headlines ``(doc_id, paper, lang, headline)``: the whole text of each document on one line.
+
+    Without ``parts`` a large table keeps its splits, for jobs that shuffle the headlines anyway.
+    """
+    d = text_table(spark, sf_dir, "documents") if parts else spread(driver_table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.col("source").alias("paper"), "lang", one_line("text").alias("headline"))
 
 
