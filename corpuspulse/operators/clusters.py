@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuspulse.operators.kmeans import blocks, kmeans_sweep, lloyd, seeds, squared, training_rows
 from corpuspulse.operators.silhouettes import sweep_silhouettes
-from corpuspulse.operators.vectors import complete, usual_width
+from corpuspulse.operators.vectors import complete, packed, usual_width
 from corpuspulse.session import broadcast_if_small, ship_package
 
 CENTER_BLOCK = 2_000_000  # k * dim values that travel with one pass
@@ -244,10 +244,12 @@ def silhouette_sweep(vecs: DataFrame, ks, seed: int = 42, id_col: str = "vec_id"
     """
     ship_package(vecs.sparkSession)
     rows = training_rows(vecs, vec).persist()
+    scanned = packed(rows).persist()
     try:
-        fit = lloyd(rows, seeds(rows, ks, seed), max_iter)
-        found = sweep_silhouettes(rows, fit.centers)
+        fit = lloyd(scanned, seeds(rows, ks, seed), max_iter)
+        found = sweep_silhouettes(scanned, fit.centers)
     finally:
+        scanned.unpersist()
         rows.unpersist()
     return vecs.sparkSession.createDataFrame([(int(k), float(mid), float(low), float(high)) for k, (low, mid, high) in sorted(found.items())],
                                              "k int, silhouette double, low double, high double")

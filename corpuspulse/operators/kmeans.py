@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuspulse.operators.vectors import complete_vectors, matrix, partial_sums, usual_width
+from corpuspulse.operators.vectors import complete_vectors, dealt, matrices, matrix, packed, partial_sums, usual_shape
 from corpuspulse.session import ship_package
 
 BLOCK = 2_000_000      # distances held at a time
@@ -53,18 +53,22 @@ def assign_and_sum(rows: DataFrame, centers: dict) -> dict:
         raise ValueError(f"{all_.size} numbers of centres; at most {MAX_CENTERS} travel with a scan")
     start = np.append(0, np.cumsum([len(centers[k]) for k in ks]))
     size, dim = (all_ * all_).sum(axis=1), all_.shape[1]
+    twice = np.ascontiguousarray(-2 * all_.T)
+    small = np.int16 if max(len(c) for c in centers.values()) < 2 ** 15 else np.int64   # short numbers sort in one pass
 
     def work(batches):
         total = np.zeros((len(all_), dim + 2))
-        for batch in batches:
-            x_all = matrix(batch.column("v"))
+        for x_all in matrices(batches):
             for s in blocks(x_all, len(all_)):
                 x = x_all[s]
-                d = squared(x, all_, size)
+                # Squared distances but for the rows' own lengths, which only the nearest ones need.
+                d = x @ twice
+                d += size
+                own = (x * x).sum(axis=1)
                 for a, b in zip(start, start[1:]):
                     near = d[:, a:b].argmin(axis=1)
-                    cost = np.take_along_axis(d[:, a:b], near[:, None], 1)[:, 0]
-                    order = np.argsort(near, kind="stable")
+                    cost = np.maximum(np.take_along_axis(d[:, a:b], near[:, None], 1)[:, 0] + own, 0)
+                    order = np.argsort(near.astype(small), kind="stable")
                     first = np.flatnonzero(np.append(True, np.diff(near[order]) > 0))
                     at = a + near[order][first]
                     total[at, 0] += np.diff(np.append(first, len(x)))
@@ -112,8 +116,7 @@ def _drawn(rows: DataFrame, centers, share: float | None, seed: int):
     if share is None:
         def work(batches):
             total = 0.0
-            for batch in batches:
-                x = matrix(batch.column("v"))
+            for x in matrices(batches):
                 total += sum(float(squared(x[s], centers, size).min(axis=1).sum()) for s in blocks(x, len(centers)))
             return {0: np.array([total])}
         return partial_sums(rows, work, 1)[0][0]
@@ -172,8 +175,9 @@ def _chosen(points, weight, k: int, rng, rounds: int = 10):
 
 
 def training_rows(vecs: DataFrame, vec: str = "embedding") -> DataFrame:
-    """The complete vectors ``(v)`` that a fit reads; NULL and incomplete ones take no part."""
-    return complete_vectors(vecs, vec, usual_width(vecs, vec))
+    """The complete vectors ``(v)`` that a fit reads, dealt over the cores; NULL and incomplete ones take no part."""
+    dim, n = usual_shape(vecs, vec)
+    return dealt(complete_vectors(vecs, vec, dim), dim, n)
 
 
 def kmeans_sweep(vecs: DataFrame, ks, seed: int = 42, vec: str = "embedding", max_iter: int = 300, tol: float = 1e-4) -> Sweep:
@@ -183,7 +187,9 @@ def kmeans_sweep(vecs: DataFrame, ks, seed: int = 42, vec: str = "embedding", ma
     """
     ship_package(vecs.sparkSession)
     rows = training_rows(vecs, vec).persist()
+    scanned = packed(rows).persist()
     try:
-        return lloyd(rows, seeds(rows, ks, seed), max_iter, tol)
+        return lloyd(scanned, seeds(rows, ks, seed), max_iter, tol)
     finally:
+        scanned.unpersist()
         rows.unpersist()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuspulse.operators.kmeans import blocks, squared
-from corpuspulse.operators.vectors import complete_vectors, matrix, partial_sums, usual_width
+from corpuspulse.operators.vectors import complete_vectors, matrices, matrix, partial_sums, usual_width
 from corpuspulse.session import ship_package
 
 
@@ -167,7 +167,7 @@ def silhouette_euclidean(vecs: DataFrame, label: str = "cluster_label", vec: str
 
 
 def sweep_silhouettes(rows: DataFrame, centers: dict) -> dict:
-    """``{k: (low, estimate, high)}`` of the nearest-centre labellings of ``rows(v)`` for all k in the same three scans."""
+    """``{k: (low, estimate, high)}`` of the nearest-centre labellings of ``rows(v)``, packed or not, for all k in the same three scans."""
     import numpy as np
     ks = sorted(k for k in centers if len(centers[k]))
     if not ks:
@@ -183,13 +183,11 @@ def sweep_silhouettes(rows: DataFrame, centers: dict) -> dict:
     def sums(work_of, width):
         def work(batches):
             out = np.zeros((total, width))
-            for batch in batches:
-                x = matrix(batch.column("v"))
-                if len(x):
-                    for k in ks:
-                        at = labels(x, k)
-                        for c in np.unique(at):
-                            out[start[k] + c] += work_of(x[at == c], start[k] + c)
+            for x in matrices(batches):
+                for k in ks:
+                    at = labels(x, k)
+                    for c in np.unique(at):
+                        out[start[k] + c] += work_of(x[at == c], start[k] + c)
             return {int(c): out[c] for c in np.flatnonzero(out.any(axis=1))}
         return partial_sums(rows, work, width)
 
@@ -208,9 +206,8 @@ def sweep_silhouettes(rows: DataFrame, centers: dict) -> dict:
 
     def means(batches):
         out = {k: np.zeros(4) for k in ks}
-        for batch in batches:
-            x = matrix(batch.column("v"))
-            for k in ks if len(x) else []:
+        for x in matrices(batches):
+            for k in ks:
                 own, a = labels(x, k), start[k]
                 part = slice(a, a + len(sizes[k]))
                 for s in blocks(x, 4 * len(sizes[k]) + dim):

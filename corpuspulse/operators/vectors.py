@@ -14,11 +14,21 @@ def complete(vec: Column, dim: int | None = None) -> Column:
     return fit if dim is None else fit & (F.size(vec) == dim)
 
 
-def usual_width(vecs: DataFrame, vec: str) -> int:
-    """The most frequent length of the complete vectors (ties: the longer); 0 without any."""
+PACK_BYTES = 4 << 20     # numbers of a packed block
+DEAL_BYTES = 1 << 20     # a core gets at least this much of a small table
+PART_BYTES = 32 << 20    # a part of a large table
+
+
+def usual_shape(vecs: DataFrame, vec: str) -> tuple[int, int]:
+    """The most frequent length of the complete vectors (ties: the longer), and how many have it; zeros without any."""
     v = F.col(vec).cast("array<double>")
     row = vecs.select(F.when(complete(v), F.size(v)).alias("d")).where("d is not null").groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).first()
-    return row["d"] if row else 0
+    return (row["d"], row["count"]) if row else (0, 0)
+
+
+def usual_width(vecs: DataFrame, vec: str) -> int:
+    """The most frequent length of the complete vectors (ties: the longer); 0 without any."""
+    return usual_shape(vecs, vec)[0]
 
 
 def complete_vectors(vecs: DataFrame, vec: str, dim: int, *keep: str) -> DataFrame:
@@ -35,6 +45,44 @@ def matrix(column):
     return values.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def dealt(rows: DataFrame, dim: int, n: int) -> DataFrame:
+    """``n`` vectors of ``dim`` entries dealt evenly over the cores, or into parts of ``PART_BYTES`` where that makes more parts.
+
+    A table of vectors is often one row group, or a few, so that a scan would keep one core busy.
+    """
+    size = 8 * dim * n
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(cores, -(-size // DEAL_BYTES)), -(-size // PART_BYTES)))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``(n, b)``: the vectors ``v`` in blocks of ``n`` rows, the numbers of a block as one binary value.
+
+    Tasks that scan the vectors many times get a block as it is; an array column is written anew, number by number, for every scan.
+    """
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            x = matrix(batch.column("v"))
+            step = max(1, PACK_BYTES // max(1, 8 * x.shape[1]))
+            for a in range(0, len(x), step):
+                block = x[a:a + step]
+                yield pa.RecordBatch.from_arrays([pa.array([len(block)], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["n", "b"])
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(run, "n int, b binary")
+
+
+def matrices(batches):
+    """The matrices of Arrow batches of ``(v)`` or of packed blocks ``(n, b)``; none is empty."""
+    import numpy as np
+    for batch in batches:
+        if "b" in batch.schema.names:
+            for n, b in zip(batch.column("n").to_pylist(), batch.column("b")):
+                yield np.frombuffer(b.as_buffer(), np.float64).reshape(n, -1)
+        elif batch.num_rows:
+            yield matrix(batch.column("v"))
+
+
 def partial_sums(rows: DataFrame, work, width: int):
     """Run ``work(batches) -> {key: float vector of width}`` once per task and add the vectors of each key.
 
@@ -66,4 +114,5 @@ def partial_sums(rows: DataFrame, work, width: int):
             yield as_batch(total)
 
     out = rows.mapInArrow(each, "k long, v array<double>").repartition("k").mapInArrow(added, "k long, v array<double>")
-    return {r["k"]: np.array(r["v"]) for r in out.collect()}
+    table = out.toArrow()
+    return dict(zip(table.column("k").to_pylist(), matrix(table.column("v")).copy())) if table.num_rows else {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuspulse.operators import clusters as C
 from corpuspulse.operators import kmeans as KM
 from corpuspulse.operators import silhouettes as S
+from corpuspulse.operators import vectors as V
 
 SCHEMA = "vec_id long, embedding array<double>, cluster_label string"
 
@@ -121,3 +122,24 @@ def test_sweep_of_silhouettes_matches_each_labelling(spark):
         labels = ((x[:, None] - fit.centers[k][None]) ** 2).sum(axis=2).argmin(axis=1)
         alone = S.silhouette_euclidean(frame(spark, x, labels)).first()
         assert np.allclose(got[k], (alone.low, alone.silhouette, alone.high)) and low <= exact(x, labels).mean() <= high
+
+
+def test_a_one_file_table_keeps_all_cores_busy_and_packed_blocks_sum_alike(spark, tmp_path):
+    x = np.random.default_rng(3).standard_normal((12_000, 64))
+    path = str(tmp_path / "vecs")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1).write.parquet(path)
+    vecs = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    assert vecs.rdd.getNumPartitions() <= 2
+    rows = KM.training_rows(vecs)
+    assert rows.rdd.getNumPartitions() == min(cores, 6)   # 6 MB
+    assert V.dealt(vecs.select("embedding"), 64, 10 ** 7).rdd.getNumPartitions() >= 153     # 5 GB
+    blocks = V.packed(rows)
+    assert blocks.agg(F.sum("n")).first()[0] == len(x) and blocks.agg(F.max(F.length("b"))).first()[0] <= V.PACK_BYTES
+    starts = {3: x[:3], 40: x[:40]}
+    plain, fast = KM.assign_and_sum(rows, starts), KM.assign_and_sum(blocks, starts)
+    for k, c in starts.items():
+        d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        for n, sums, cost in (plain[k], fast[k]):
+            assert np.array_equal(n, np.bincount(d.argmin(axis=1), minlength=k)) and abs(cost - d.min(axis=1).sum()) < 1e-6 * cost
+            assert np.allclose(sums, [x[d.argmin(axis=1) == j].sum(axis=0) for j in range(k)])
