@@ -204,8 +204,24 @@ def _worker_model(key: str, factory: Callable):
     return _MODELS[key]
 
 
+MODEL_ROWS, MODEL_CHARS = 1_000, 1_000_000   # a model meets at most so many rows, and about so many characters, at a time
+
+
+def _model_parts(pdf, cols):
+    """Consecutive pieces of a batch for the model; a single longer row is one piece."""
+    import numpy as np
+    import pandas as pd
+    size = np.full(len(pdf), MODEL_CHARS / MODEL_ROWS)
+    for c in cols:
+        if not pd.api.types.is_numeric_dtype(pdf[c]):
+            size += [len(v) if hasattr(v, "__len__") else 0 for v in pdf[c]]
+    part = np.cumsum(size) // MODEL_CHARS
+    at = [0, *(np.flatnonzero(np.diff(part)) + 1), len(pdf)]
+    return [pdf.iloc[a:b] for a, b in zip(at, at[1:])]
+
+
 def batch_infer(df: DataFrame, cols, factory: Callable, schema: str) -> DataFrame:
-    """M8: apply a caller's model to columns in Arrow batches.
+    """M8: apply a caller's model to columns, in pieces of Arrow batches (``MODEL_ROWS``, ``MODEL_CHARS``).
 
     ``factory()`` is called once per Python worker and must return a function
     ``pandas.DataFrame -> pandas.DataFrame`` with the columns of ``schema``;
@@ -223,9 +239,10 @@ def batch_infer(df: DataFrame, cols, factory: Callable, schema: str) -> DataFram
     def run(batches):
         import pandas as pd
         model = _worker_model(key, factory)
-        for pdf in batches:
-            res = model(pdf[list(cols)]).reset_index(drop=True)
-            yield pd.concat([pdf[keep].reset_index(drop=True), res], axis=1)
+        for batch in batches:
+            for pdf in _model_parts(batch, cols):
+                res = model(pdf[list(cols)].reset_index(drop=True)).reset_index(drop=True)
+                yield pd.concat([pdf[keep].reset_index(drop=True), res], axis=1)
 
     ship_package(df.sparkSession)
     return df.mapInPandas(run, out_schema)

@@ -761,3 +761,16 @@ def test_large_text_tables_come_in_parts(spark, tmp_root, monkeypatch):
     monkeypatch.setattr("corpuspulse.session.PART_BYTES", 100)
     df = S.text_table(spark, f"{tmp_root}/parts", "documents")
     assert df.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism and df.count() == 1000
+
+
+def test_batch_infer_gives_the_model_bounded_pieces(spark):
+    def make():
+        def run(pdf):
+            import pandas as pd
+            return pd.DataFrame({"rows": [len(pdf)] * len(pdf), "chars": [int(pdf["headline"].fillna("").str.len().sum())] * len(pdf)})
+        return run
+    text = [None if i % 50 == 0 else "ab " * (i % 700) for i in range(4000)] + ["z" * 3_000_000]
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id long, headline string").coalesce(1)
+    out = SCO.batch_infer(df, ["headline"], make, "rows long, chars long").collect()
+    assert {r.doc_id: r.headline for r in out} == dict(enumerate(text)) and len(out) == len(text)
+    assert max(r.rows for r in out) <= 1001 and max(r.chars for r in out if r.doc_id < 4000) <= 1_100_000
