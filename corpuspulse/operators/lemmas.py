@@ -4,7 +4,7 @@ A word's candidates are the word itself, the words its exceptions name, or, with
 makes of it by replacing an ending; only vocabulary words count.  The shortest candidate is the lemma (ties: the word
 itself, then the order of the rules); a word without candidates stays.  The rules are run backwards over the vocabulary,
 which gives all inflected forms at once: a table of at most (rules + 1) times the vocabulary plus the exceptions, whatever
-the size of the corpus.  Texts meet it as a dictionary in their own tasks while it is small, else in a join.
+the size of the corpus.  Texts meet it as a dictionary in their own tasks: all of it while it is small, else what a part's words need.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuspulse.session import ship_package
+from corpuspulse.session import checkpoint_dir, ship_package
 
 # Detachment rules of the public WordNet morphology (ending, replacement), nouns and verbs.
 NOUN_RULES = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")]
@@ -42,44 +42,71 @@ def lemma_forms(vocabulary: DataFrame, rules=NOUN_RULES, exceptions: DataFrame |
 def lemmatize(df: DataFrame, col: str, forms: DataFrame, out: str | None = None, shipped: int = SHIPPED_FORMS) -> DataFrame:
     """``df`` with the token array ``col`` lemmatised into ``out`` (default: in place); other words, NULL arrays and NULL tokens stay.
 
-    Up to ``shipped`` forms travel as a dictionary and no row is shuffled; beyond that tokens are joined and gathered by row.
+    Up to ``shipped`` forms travel as a dictionary and no row is shuffled; beyond that every part of the rows gets the forms it needs.
     """
     name = out or col
+    ship_package(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
+    forms = forms.checkpoint()   # read twice, and dear to derive from a corpus
+    tagged = df.withColumn(name, F.col(col).cast("array<string>"))
     table = forms.limit(shipped + 1).toArrow()
     if table.num_rows > shipped:
-        return _joined(df, col, forms, name)
-    ship_package(df.sparkSession)
+        return _by_parts(tagged, name, forms)
     of = dict(zip(table.column("form").to_pylist(), table.column("lemma").to_pylist()))
-    tagged = df.withColumn(name, F.col(col).cast("array<string>"))
 
     def run(batches):
-        import pyarrow as pa
         for batch in batches:
-            at = batch.schema.get_field_index(name)
-            column = batch.column(at)
-            # Each distinct token of a batch is looked up once.
-            tokens = column.values.dictionary_encode()
-            lemmas = pa.array([t if t is None else of.get(t, t) for t in tokens.dictionary.to_pylist()], pa.string())
-            offsets = column.offsets
-            if column.null_count:
-                import numpy as np
-                offsets = pa.array(column.offsets.to_numpy(), pa.int32(), mask=np.append(~column.is_valid().to_numpy(zero_copy_only=False), False))
-            new = pa.ListArray.from_arrays(offsets, lemmas.take(tokens.indices))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], new, *batch.columns[at + 1:]], names=batch.schema.names)
+            yield _mapped(batch, name, of)
     return tagged.mapInArrow(run, tagged.schema)
 
 
-def _joined(df: DataFrame, col: str, forms: DataFrame, name: str) -> DataFrame:
-    """The same by a join of tokens, gathered again by row (``_row`` is numbered in a kept table, so it never changes)."""
-    from corpuspulse.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    rows = df.checkpoint().withColumn("_row", F.monotonically_increasing_id())
-    tokens = rows.select("_row", F.posexplode(F.col(col).cast("array<string>")).alias("_p", "form"))
-    met = tokens.join(forms, "form", "left").select("_row", F.struct("_p", F.coalesce("lemma", "form").alias("t")).alias("x"))
-    gathered = met.groupBy("_row").agg(F.sort_array(F.collect_list("x"))["t"].alias("_lemmas"))
-    text = F.when(F.size(col) == 0, F.array().cast("array<string>")).otherwise(F.col("_lemmas"))
-    return rows.join(gathered, "_row", "left").select(*[text.alias(name) if c == name else F.col(c) for c in df.columns],
-                                                      *([] if name in df.columns else [text.alias(name)]))
+def _mapped(batch, name: str, of: dict):
+    """An Arrow batch with the tokens of its list column ``name`` replaced through ``of``."""
+    import pyarrow as pa
+    at = batch.schema.get_field_index(name)
+    column = batch.column(at)
+    # Each distinct token of a batch is looked up once.
+    tokens = column.values.dictionary_encode()
+    lemmas = pa.array([t if t is None else of.get(t, t) for t in tokens.dictionary.to_pylist()], pa.string())
+    offsets = column.offsets
+    if column.null_count:
+        import numpy as np
+        offsets = pa.array(column.offsets.to_numpy(), pa.int32(), mask=np.append(~column.is_valid().to_numpy(zero_copy_only=False), False))
+    new = pa.ListArray.from_arrays(offsets, lemmas.take(tokens.indices))
+    return pa.RecordBatch.from_arrays([*batch.columns[:at], new, *batch.columns[at + 1:]], names=batch.schema.names)
+
+
+def _by_parts(df: DataFrame, name: str, forms: DataFrame) -> DataFrame:
+    """The same for any number of forms: each part of the rows gets the forms that its own words need.
+
+    A part is a partition of ``df``, kept with its number.  Its distinct words meet the forms in a join, and what they need
+    precedes the part's rows in one stream; a task holds the forms of one part, and tokens stay in their rows.
+    """
+    kept = df.withColumn("_part", F.spark_partition_id()).checkpoint()
+    words = kept.select("_part", F.explode(name).alias("form")).distinct()
+    needed = words.join(forms, "form").select("_part", F.col("form").alias("_form"), F.col("lemma").alias("_lemma"))
+    both = needed.unionByName(kept, allowMissingColumns=True)
+    parts = max(1, kept.rdd.getNumPartitions())
+    stream = both.repartition(parts, "_part").sortWithinPartitions("_part", F.col("_form").isNull())
+    cols = df.columns
+
+    def run(batches):
+        import numpy as np
+        at, of = None, {}
+        for batch in batches:
+            part, row = batch.column("_part").to_numpy(), batch.column("_form").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (row[1:] != row[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(part)]):
+                if a == b:
+                    continue
+                if part[a] != at:
+                    at, of = part[a], {}
+                piece = batch.slice(a, b - a)
+                if row[a]:
+                    yield _mapped(piece.select(cols), name, of)
+                else:
+                    of.update(zip(piece.column("_form").to_pylist(), piece.column("_lemma").to_pylist()))
+    return stream.mapInArrow(run, df.schema)
 
 
 def frequent_words(df: DataFrame, col: str, least: int) -> DataFrame:

@@ -38,3 +38,17 @@ def test_empty_tables(spark):
     assert L.lemma_forms(vocab).collect() == []
     assert L.lemmatize(df, "t", L.lemma_forms(vocab)).first().t == ["cars"]
     assert L.lemmatize(df.limit(0), "t", L.lemma_forms(spark.createDataFrame([("car",)], "word string"))).collect() == []
+
+
+def test_many_forms_meet_each_part_of_the_rows_by_its_own_words(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    rows = [(i if i % 5 else None, None if i % 7 == 0 else [] if i % 7 == 1 else [f"w{(i * j) % 40}s" if j % 3 else None for j in range(i % 9)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, t array<string>").repartition(5)
+    forms = spark.createDataFrame([(f"w{j}s", f"w{j}") for j in range(0, 40, 2)], "form string, lemma string")
+    exploded, by = [], DataFrame.groupBy
+    monkeypatch.setattr(DataFrame, "groupBy", lambda self, *c: exploded.append(c) or by(self, *c))
+    got = L.lemmatize(df, "t", forms, shipped=5).collect()
+    assert not exploded   # no token is gathered by row
+    of = {f"w{j}s": f"w{j}" for j in range(0, 40, 2)}
+    want = [(i, None if t is None else [of.get(w, w) for w in t]) for i, t in rows]
+    assert sorted(map(repr, ((r.doc_id, r.t) for r in got))) == sorted(map(repr, want))
