@@ -19,6 +19,7 @@ from corpuspulse.functions.util import json_literal, let
 
 BUCKETS = 2_048
 REACH = 6               # tokens on each side that count, with their distance
+NEAR_CHARS = 256        # the stretch of a side that is split into tokens first
 LABELS = ("negative", "neutral", "positive")
 TEMPERATURES = tuple(0.25 * 1.25 ** i for i in range(16))
 
@@ -35,7 +36,11 @@ class TargetModel:
 def features(left: Column, target: Column, right: Column, buckets: int = BUCKETS, reach: int = REACH) -> Column:
     """Sorted distinct feature columns (array<int>) of a segment; NULL parts are empty."""
     def side(text: Column, name: str, near_end: bool) -> Column:
-        ts = tokens(F.lower(F.coalesce(text, F.lit(""))))
+        whole = F.coalesce(text, F.lit(""))
+        # A stretch next to the target gives the tokens, but for the one it may cut; only where they are too few is the rest read.
+        stretch = F.substring(whole, -NEAR_CHARS, NEAR_CHARS) if near_end else F.substring(whole, 1, NEAR_CHARS)
+        found = let(tokens(F.lower(stretch)), lambda t: F.slice(t, 2 if near_end else 1, F.greatest(F.size(t) - 1, F.lit(0))))
+        ts = let(found, lambda t: F.when(F.size(t) >= reach, t).otherwise(tokens(F.lower(whole))))
         near = let(ts, lambda t: F.reverse(F.slice(t, F.greatest(F.size(t) - reach + 1, F.lit(1)), reach)) if near_end else F.slice(t, 1, reach))
         return let(near, lambda t: F.concat(F.transform(t, lambda w, i: F.concat(F.lit(name), F.least(i, F.lit(3)).cast("string"), F.lit(":"), w)),
                                             F.transform(t, lambda w: F.concat(F.lit("c:"), w))))

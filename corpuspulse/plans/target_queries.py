@@ -19,7 +19,7 @@ def _labelled(spark, sf):
     """Segments with the label of their document: toxic is negative, else quality 1 is positive, quality 0 neutral."""
     lab = driver_table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "negative").when(
         F.col("quality") == 1, "positive").otherwise("neutral").alias("label"))
-    return _segments(spark, sf).join(lab, "doc_id")
+    return TP.tag_segments(_clean_heads(spark, sf).join(lab, "doc_id"), _kw(spark), "doc_id", "text", keep=("label",))
 
 
 def _given(buckets: int = M.BUCKETS):

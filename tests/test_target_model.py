@@ -77,3 +77,14 @@ def test_quality_on_the_documents(spark):
     q = M.target_quality(df, M.fit_targets(df)).first()
     print(f"held out {q.n}: accuracy {q.accuracy:.3f}, majority {q.majority:.3f}, log loss {q.log_loss:.3f}, calibration {q.calibration:+.3f}")
     assert q.accuracy > q.majority - 0.08 and abs(q.calibration) < 0.15
+
+
+def test_long_sides_are_not_split_whole(spark):
+    far = "x" * 300
+    rows = [(1, "t", "Wort " * 900 + "a b C d e f g", "t", "h i j k l m n " + "wort " * 900, None), (2, "t", f"a {far} b {far}", "t", f"{far} c {far} d", None),
+            (3, "t", " \t ".join(["Ä", far, "ΑΣ"]) + " " * 300, "t", "\n" * 300 + "ΟΔΟΣ q", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    f = M.features(F.col("left"), F.col("target"), F.col("right"))
+    assert "substring" in str(f)
+    for r in df.select("left", "target", "right", f.alias("f")).collect():
+        assert r.f == columns_of(r.left, r.target, r.right)
