@@ -36,7 +36,7 @@ PART = 4096
 REACH = 4
 FREQUENT = 200_000  # shingles with a known place at the end of the order of the set join
 POSTING = 2_000  # rows of one shingle that are joined in one group
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 250_000  # a piece takes about 32 times its bytes in a Python worker
 SHINGLE_BASE = np.uint64(0xD1B54A32D192ED03)
 _RNG = np.random.Generator(np.random.PCG64(5))
 FACTORS = _RNG.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from .cases import WORD, frame, texts
 from pyspark.sql import functions as F
@@ -181,6 +183,26 @@ def test_near_components_empty_table(spark):
     assert near_dedup.near_components(frame(spark, [])).count() == 0
 
 
+def _signed(rows, size=5):
+    ids = pa.array(range(len(rows)), pa.int64())
+    return near_dedup._sign(size)(iter([pa.RecordBatch.from_arrays([ids, ids, pa.array(rows, pa.string())], names=["key", "th", "text"])]))
+
+
+def test_signing_a_batch_needs_little_memory(monkeypatch):
+    """A worker cuts a batch into pieces; what it needs at once does not grow with the batch, and rows do not depend on pieces."""
+    rng = random.Random(7)
+    rows = [None, "", "one"] + [" ".join(rng.choices("abcdefghij", k=3_000)) for _ in range(400)]  # 2.4 MB
+    want = pa.Table.from_batches(_signed(rows)).to_pylist()
+    tracemalloc.start()
+    for _ in _signed(rows):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15_000_000
+    monkeypatch.setattr(near_dedup, "PIECE_BYTES", 1)
+    assert pa.Table.from_batches(_signed(rows)).to_pylist() == want
+
+
 def test_connected_components_of_long_paths_and_stars(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 150), (7, 7)]
