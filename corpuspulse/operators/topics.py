@@ -13,8 +13,9 @@ same rows either way:
   projection with no join and no shuffle, so matching and segmentation stay in
   the scan stage;
 * any number of phrases (``strategy='grams'``): each phrase is keyed by its
-  rarest gram; texts are scanned with a bit filter over these keys, and only the
-  surroundings of hits meet the phrases in an equi-join (``gram_index``);
+  rarest gram; texts are scanned with a bit filter over these keys, and hits meet
+  the phrases in the row's own task, or in an equi-join where they are too many
+  to travel (``gram_index``);
 * ``whole_word=True``: token n-grams of the text equi-joined with phrases
   (a hash join, no size limit on either side).
 """

@@ -69,7 +69,7 @@ def actual_alias(spark: SparkSession) -> DataFrame:
 def heads(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
     """Headlines ``(doc_id, paper, lang, headline)``: the whole text of each document on one line.
 
-    Without ``parts`` a large table keeps its splits, for jobs that shuffle the headlines anyway.
+    Without ``parts`` a large table keeps its splits, for jobs that shuffle the headlines anyway or do little with them.
     """
     d = text_table(spark, sf_dir, "documents") if parts else spread(driver_table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.col("source").alias("paper"), "lang", one_line("text").alias("headline"))
@@ -80,9 +80,9 @@ def one_line(col) -> Column:
     return F.translate(F.col(col), "\n", " ")
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Programme documents ``(doc_id, party, text)``."""
-    d = text_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+def docs(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
+    """Programme documents ``(doc_id, party, text)``; ``parts`` as in ``heads``."""
+    d = (text_table(spark, sf_dir, "documents") if parts else spread(driver_table(spark, sf_dir, "documents"))).select("doc_id", "source", "text")
     return d.select("doc_id", F.col("source").alias("party"), "text")
 
 

@@ -175,7 +175,7 @@ def q_match_topics_join(spark, sf):
 
 def _many_phrases(spark, sf):
     """A taxonomy of thousands of phrases: every word pair that opens a line of some document, topic by length."""
-    d = S.docs(spark, sf).select(F.explode(F.split("text", "\n")).alias("line"))
+    d = S.docs(spark, sf, parts=False).select(F.explode(F.split("text", "\n")).alias("line"))
     two = F.regexp_extract(F.lower("line"), r"^([a-z]+ [a-z]+)", 1)
     return d.select(two.alias("keyword")).where("keyword <> ''").distinct().select(
         F.concat(F.lit("t"), (F.length("keyword") % 5).cast("string")).alias("topic"), F.length("keyword").cast("int").alias("pos"), "keyword")
@@ -196,7 +196,7 @@ def q_match_topics_many(spark, sf):
     texts = S.docs(spark, sf).select("doc_id", F.lower("text").alias("h"))
     # Every phrase is a topic of its own here, so each hit is returned.
     each = kw.select(F.col("keyword").alias("topic"), "pos", "keyword")
-    hits = G.phrase_hits(texts, each, "h", ["doc_id"])
+    hits = G.phrase_hits(texts, each, "h", ["doc_id"], sample=S.docs(spark, sf, parts=False).select(F.lower("text").alias("h")))
     topic = F.concat(F.lit("t"), (F.length("keyword") % 5).cast("string"))
     return hits.groupBy("doc_id", topic.alias("topic")).agg(F.count(F.lit(1)).alias("phrases"), F.min("pos").alias("pos"))
 

@@ -64,3 +64,36 @@ def test_common_short_grams_hand_on_no_places(spark):
     assert G.snippets(t, "text", ["doc_id"], G._filter_of(keyed), [G.GRAM]).count() == 1
     assert [tuple(r) for r in G.phrase_hits(t, kw, "text", ["doc_id"]).collect()] == [(2, "n", 0, "abcdefgh")]
     assert G.CHUNK <= 1 << 18  # hits are handed on after so many bytes, so a task holds no more of them
+
+
+@pytest.mark.parametrize("carried, piece, chunk, pairs", [(1 << 30, 1, 1 << 18, 1 << 18), (1 << 30, 1, 50, 3), (0, 1 << 26, 50, 1 << 18)])
+def test_pieces_and_join_equal_plain_search(spark, monkeypatch, carried, piece, chunk, pairs):
+    """Phrases in many pieces, one topic over several of them, and phrases that do not travel give the same rows."""
+    monkeypatch.setattr(G, "CARRIED_BYTES", carried)
+    monkeypatch.setattr(G, "PIECE_BYTES", piece)
+    monkeypatch.setattr(G, "CHUNK", chunk)
+    monkeypatch.setattr(G, "PAIRS", pairs)
+    texts, phrases = data(2)
+    phrases = sorted({("t" if t < "t5" else t, pos, k) for t, pos, k in phrases})
+    pieces = []
+    monkeypatch.setattr(G, "_piece", lambda table, last, whole=G._piece: pieces.append(len(table)) or whole(table, last))
+    t = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    kw = spark.createDataFrame(phrases, "topic string, pos int, keyword string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = sorted((str(r.doc_id), r.topic, r.pos, r.keyword) for r in G.phrase_hits(t, kw, "text", ["doc_id"]).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == expected(texts, phrases)
+    assert len(pieces) > 5 if carried else not pieces
+
+
+def test_hits_are_not_shuffled(spark):
+    """The rows of texts and phrases that meet leave the texts' tasks only as results; a sum over them moves one row a text."""
+    t = spark.range(50).selectExpr("id as doc_id", "array_join(transform(sequence(0, 400), x -> concat('word', x * (id + 1))), ' ') as text")
+    kw = spark.range(3000).selectExpr("concat('word', id) as topic", "1 as pos", "concat('word', id) as keyword")
+    out = G.phrase_hits(t, kw, "text", ["doc_id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    expect = sum(f"word{k}" in " ".join(f"word{x * (i + 1)}" for x in range(401)) for i in range(50) for k in range(3000))
+    assert out.count() == expect
