@@ -27,6 +27,11 @@ def content_key(*cols: str) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
+def text_digest(col: str) -> Column:
+    """32 bytes that stand for a text where it does not travel along (SHA-256; no bytes for NULL, so it is never NULL)."""
+    return F.coalesce(F.unhex(F.sha2(F.col(col), 256)), F.lit(b""))
+
+
 def bucket_count(df: DataFrame, of: int | None = None) -> int:
     """Buckets of about ``BUCKET_BYTES`` by the optimizer's size of ``df``, a power of two so that tables fit each other."""
     size = of if of is not None else int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

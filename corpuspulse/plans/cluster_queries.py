@@ -389,21 +389,31 @@ def q_analysis_pipeline(spark, sf):
     from corpuspulse.operators import reports as R
     from corpuspulse.session import scratch_table_path
     from corpuspulse.sources.tables import read_table, write_table
-    key = ["date", "headline", "paper"]
-    h = R.dedup_first(S.heads(spark, sf, parts=False).select("doc_id", "paper", "headline"), "headline", ("paper", "doc_id"))
-    h = h.withColumn("date", F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")))
-    hits = TP.match_topics(h.select(*key, "doc_id", T.clean_en("headline").alias("text")), TP.prepare_keywords(S.kw(spark)), "doc_id", "text")
-    topic = h.join(hits.select("doc_id", "topic"), "doc_id").withColumn("score", (F.col("doc_id") % 7 - 3) / 4.0)
+    run = uuid.uuid4().hex
+    # Texts are shuffled once, to meet their scores on the way to the CSV; everywhere else a digest stands for them.
+    heads = S.heads(spark, sf, parts=False).select("doc_id", "paper", "headline", CJ.text_digest("headline").alias("text_key"))
+    first = R.dedup_first(heads.drop("headline"), "text_key", ("paper", "doc_id"))
+    write_table(first.withColumn("date", F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))),
+                path := scratch_table_path(spark, f"first-{run}"))
+    h = read_table(spark, path)
+    texts = heads.groupBy("text_key").agg(F.first("headline").alias("headline"))
+    hits = TP.match_topics(texts.select("text_key", T.clean_en("headline").alias("text")), TP.prepare_keywords(S.kw(spark)), "text_key", "text")
+    hits = h.select("doc_id", "text_key").join(hits.select("text_key", "topic"), "text_key").select("doc_id", "topic").distinct()
+    topic = h.join(hits, "doc_id").withColumn("score", (F.col("doc_id") % 7 - 3) / 4.0)
     whole = h.withColumn("topic", F.lit("whole")).withColumn("score", (F.col("doc_id") % 11) / 10.0 - 0.5)
-    wide = R.widen(topic.unionByName(whole), key, NB_TOPICS)
-    path = scratch_table_path(spark, f"wide-{uuid.uuid4().hex}")
-    write_table(wide, path, fmt="csv")
+    wide = R.widen(topic.unionByName(whole), ["date", "text_key", "paper"], NB_TOPICS)
+    wide = wide.join(texts, "text_key").select("date", "headline", "paper", *[c for c in wide.columns if c.startswith("sentiment_")])
+    path = scratch_table_path(spark, f"wide-{run}")
+    write_table(wide, path, fmt="csv", compression="gzip")
     wide = read_table(spark, path, fmt="csv", schema=", ".join(f"`{c}` {t}" for c, t in wide.dtypes))
+    # From here on a text is a key only, and a NULL one meets nothing.
+    key, known = ["date", "text_key", "paper"], F.when(F.length("text_key") > 0, F.col("text_key"))
+    wide = wide.withColumn("text_key", CJ.text_digest("headline")).drop("headline").withColumn("text_key", known)
     scores = R.canonical_topics(R.melt(wide, key).where("score is not null"), spark.createDataFrame(NB_ALIAS, "raw string, topic string"))
     e = _vecs(spark, sf).select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster_label"))
-    clusters = h.join(e, "doc_id").select(*key, "cluster_label")
+    clusters = h.withColumn("text_key", known).join(e, "doc_id").select(*key, "cluster_label")
     joined = C.join_scores_clusters(scores, clusters, key)
-    named = C.attach_cluster_name(clusters, _names(spark)).where("name is not null").select("headline", "name")
+    named = C.attach_cluster_name(clusters, _names(spark)).where("name is not null").select("text_key", "name")
     ct = spark.createDataFrame(CLUSTER_TOPIC, "name string, topics array<string>")
-    full = C.reassign_by_cluster(joined.select("headline", "paper", "topic", "score"), named, ct, "headline", ("paper",))
+    full = C.reassign_by_cluster(joined.select("text_key", "paper", "topic", "score"), named, ct, "text_key", ("paper",))
     return R.paper_topic_report(full, "avg").select("paper", "topic", (F.round("value", 6) + 0.0).alias("value"))

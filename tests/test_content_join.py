@@ -53,3 +53,31 @@ def test_a_collision_joins_nothing_wrong(spark, monkeypatch):
 def test_other_kinds_are_refused(spark):
     with pytest.raises(ValueError):
         J.join_on_content(*frames(spark), ON, "outer")
+
+
+def test_analysis_shuffles_texts_once(spark, tmp_path, monkeypatch):
+    """Copies, an empty and a NULL text: rows as in the SQL, and no shuffle or join of the analysis has a text among its keys."""
+    import re
+
+    import duckdb
+
+    from corpuspulse.plans import catalog
+    from corpuspulse.sources import tables
+    texts = ["the cat and of it is", "no match", "this goes with that", "", None, "an apple,\nthe \"pear\"", "xyz", " the end "]
+    docs = [(i, texts[i % len(texts)] if i < 30 else f"{texts[i % 4]} {i}", "en", f"s{i % 3}", 1) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 5) for i in range(0, 60, 2)], "vec_id long, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plans = []
+    plan_of = lambda df: plans.append(df._jdf.queryExecution().toString())
+    monkeypatch.setattr(tables, "write_table", lambda df, *a, whole=tables.write_table, **b: plan_of(df) or whole(df, *a, **b))
+    out = catalog.QUERIES["analysis_pipeline"](spark, str(tmp_path))
+    plan_of(out)
+    assert not any(re.search(r"(hashpartitioning|Join)[^\n]*headline#", p) for p in plans)
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rows = lambda found: sorted((str(p), str(t), None if v is None else round(v, 6)) for p, t, v in found)
+    names = ["paper", "topic", "value"]
+    expect = con.execute(f"SELECT {', '.join(names)} FROM ({catalog.ORACLE['analysis_pipeline']})").fetchall()
+    assert rows(out.select(*names).collect()) == rows(expect)
+    con.close()
